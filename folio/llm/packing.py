@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
-from folio.llm.tokens import encoder, text_batches
+from folio.llm.common import stored, text_buffer
+from folio.llm.tokens import encoded, encoder
 
 CAPACITY = 1024
 
@@ -173,9 +173,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                ids, counts = enc.encode(texts[a:b])
+            doc_ids = batch.column(0)
+            for a, b, ids, counts in encoded(enc, *text_buffer(batch.column(1))):
                 end = np.array([end_id], "<u4").tobytes()
                 row, piece, start, length, crc, rank = [], [], [], [], [], []
                 top = 0

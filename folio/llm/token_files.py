@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import scratch, spread
-from folio.llm.tokens import encoder, text_batches
+from folio.llm.common import scratch, text_buffer
+from folio.llm.tokens import encoded, encoder
 
 BLOCK, LANES = 256, 8
 ROWS = BLOCK // LANES
@@ -163,9 +163,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
             return pa.record_batch({"file": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                ids, counts = enc.encode(texts[a:b])
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, ids, counts in encoded(enc, *text_buffer(batch.column(1))):
                 ends = np.cumsum(counts + 1) - 1
                 out = np.empty(len(ids) + b - a, np.uint32)
                 own = np.ones(len(out), bool)

@@ -3,28 +3,33 @@
 A unit is a stretch of text that the tokenizer encodes the same way wherever it stands. Which cuts are safe
 follows from the tokenizer file: byte-level vocabularies split before a single space that a non-space follows;
 vocabularies that drop white space split at every space. For any other file the unit is the whole text.
+Units are looked up by a 64-bit hash and their length in a table of arrays, a batch at a time; what is new goes to the
+tokenizers library.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-from folio.llm.common import spread
+from folio.llm.common import mix64, slices, spread, word_hashes
 
-_RISKY = re.compile(r" (?:\s|$)")
+_FREE = np.zeros(256, bool)
+_FREE[[32, 10]] = True
+#: Bytes after a space that are, or may begin, white space.
+_SPACY = np.zeros(256, bool)
+_SPACY[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class UnitEncoder:
     """Encodes texts to ids; equal to ``Tokenizer.encode(text, add_special_tokens=False)`` text by text.
 
-    At most ``max_units`` units are cached; those that come later are encoded anew each time.
+    At most ``max_units`` units are kept; those that come later are encoded anew each time.
     """
 
-    def __init__(self, path: str, max_units: int = 1_000_000):
+    def __init__(self, path: str, max_units: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -34,7 +39,9 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.max_units = max_units
         self.kind = self._kind(spec)
-        self.index: dict = {}
+        self.slots = 1 << int(2 * max_units - 1).bit_length()
+        self.key, self.row = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.known = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1, np.int64)
         self.mark = self._mark(spec)
@@ -58,28 +65,55 @@ class UnitEncoder:
             return "free"
         return "whole"
 
-    def _units(self, text: str) -> list:
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units, and the first unit of each text (with a last bound)."""
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
         if self.kind == "free":
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        if self.kind == "whole" or not text:
-            return [(text,)] if text else []
-        parts = text.split(" ")
-        if "  " in text or text[-1] == " " or (" \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text if text.isascii() else _RISKY.search(text)):
-            joined = [parts[0]]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    joined.append(p)
-                else:
-                    joined[-1] += " " + p
-            parts = joined
-        parts[0] = (parts[0],)
-        return parts if parts[0][0] else parts[1:]
+            word = ~_FREE[data]
+            start, end = word.copy(), word.copy()
+            start[1:] &= ~word[:-1] | edge[1:n]
+            end[:-1] &= ~word[1:] | edge[1:n]
+            starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        else:
+            if self.kind == "led" and n > 1:
+                edge[: n - 1] |= (data[:-1] == 32) & ~_SPACY[data[1:]] & ~edge[1:n]
+            bounds = np.flatnonzero(edge)
+            starts, ends = bounds[:-1], bounds[1:]
+        return starts, ends, np.searchsorted(starts, offsets)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 where unknown: open addressing, all keys probed together."""
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            s = slot[live]
+            row = self.row[s]
+            hit = (row >= 0) & (self.key[s] == keys[live])
+            out[live[hit]] = row[hit]
+            live = live[(row >= 0) & ~hit]
+            slot[live] = (slot[live] + 1) & (self.slots - 1)
+        return out
 
-    def _encode_units(self, units: list) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            free = live[self.row[slot[live]] < 0]
+            self.row[slot[free]] = rows[free]  # of several for one slot the last stays
+            won = free[self.row[slot[free]] == rows[free]]
+            self.key[slot[won]] = keys[won]
+            done = np.zeros(len(keys), bool)
+            done[won] = True
+            live = live[~done[live]]
+            slot[live] = (slot[live] + 1) & (self.slots - 1)
+
+    def _encode_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units and their counts: most in one text, parted by a byte that no merge touches."""
         led = self.kind == "led"
-        texts = [u[0] if isinstance(u, tuple) else " " + u if led else u for u in units]
-        apart = [i for i, t in enumerate(texts) if isinstance(units[i], tuple) or "\0" in t or t[-1].isspace()] if self.mark is not None else range(len(texts))
+        apart = [i for i, t in enumerate(texts) if "\0" in t or t[-1].isspace() or (led and t[0] != " ")] if self.mark is not None else range(len(texts))
         lens, flat = np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
         if self.mark is not None:
             gone = set(apart)
@@ -104,33 +138,33 @@ class UnitEncoder:
             flat = np.concatenate(parts)
         return flat, lens
 
-    def _learn(self, units: list) -> None:
-        flat, lens = self._encode_units(units)
-        n, top = len(self.index), int(self.at[-1])
-        if top + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[top : top + len(flat)] = flat
-        self.at = np.concatenate([self.at, top + np.cumsum(lens)])
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each text (None counts as empty)."""
-        units, ends = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            units += self._units(t or "")
-            ends[i] = len(units)
-        known, new = len(self.index), list(set(units).difference(self.index))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        lens = self.at[which + 1] - self.at[which]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text, of texts given as UTF-8 bytes and offsets."""
+        starts, ends, first = self._units(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        keys = mix64(word_hashes(data, starts, ends) + (ends - starts).astype(np.uint64))
+        rows = self._find(keys)
+        ids, at = self.ids, self.at
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, where, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            flat, lens = self._encode_units([raw[a:b].decode() for a, b in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)])
+            rows[missing] = self.known + inverse
+            keep = min(len(new), self.max_units - self.known)
+            top, size = int(at[-1]), int(lens[:keep].sum())
+            if top + len(flat) > len(ids):
+                ids = np.concatenate([ids, np.zeros(max(len(ids) // 2, len(flat)), np.uint32)])
+            ids[top : top + len(flat)] = flat
+            at = np.concatenate([at, top + np.cumsum(lens)])
+            if keep > 0:
+                self._keep(new[:keep], self.known + np.arange(keep))
+            self.known += max(keep, 0)
+            self.ids, self.at = ids, at[: self.known + 1]
+        lens = at[rows + 1] - at[rows]
         total = np.concatenate([[0], np.cumsum(lens)])
-        out = self.ids[spread(self.at[which], lens)], np.diff(total[np.concatenate([[0], ends])])
-        if known + len(new) > self.max_units:  # full: what came last isn't kept, the earlier and so more frequent units are
-            for u in new[max(0, self.max_units - known) :]:
-                del self.index[u]
-            self.at = self.at[: len(self.index) + 1]
-        return out
+        return ids[spread(at[rows], lens)], np.diff(total[first])
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -143,12 +177,7 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def text_batches(texts: list, limit: int = 1 << 20) -> list[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters."""
-    out, i, size = [], 0, 0
-    for j, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            out.append((i, j + 1))
-            i, size = j + 1, 0
-    return out + ([(i, len(texts))] if i < len(texts) else [])
+def encoded(enc: UnitEncoder, data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
+    """(first text, last text, ids, counts) for ranges of texts of about ``limit`` bytes."""
+    for a, b in slices(offsets, limit):
+        yield a, b, *enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
