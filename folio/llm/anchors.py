@@ -20,6 +20,10 @@ from folio.llm.blooms import bits_for, once_filter, passes, twice_filter
 from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, text_buffer, word_hashes, word_spans
 
 
+#: Bytes of text that a step handles at a time: its arrays stay in the processor's cache.
+SLICE = 1 << 18
+
+
 @dataclass(frozen=True)
 class Windows:
     """``size`` elements a window, anchors of ``gram`` elements; elements are words or bytes."""
@@ -60,6 +64,15 @@ class Hashes:
             np.cumsum(x * powers(BASE, len(x)), out=self.sums[1:])
         self.inverse = powers(BASE_INV, len(x) + 1)
 
+    def every(self, size: int) -> np.ndarray:
+        """Of all ranges of ``size`` elements, in order: as ``of`` would give."""
+        with np.errstate(over="ignore"):
+            x = self.sums[size:] - self.sums[:-size]
+            x *= self.inverse[: len(x)]
+            x = mix64(x)
+            x += np.uint64(size)
+            return mix64(x)
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64(mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts]) + (ends - starts).astype(np.uint64))
@@ -71,10 +84,9 @@ def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = Tru
     if not counts.sum():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     hashes = Hashes(x)
-    at = np.arange(len(x) - spec.gram + 1)
-    grams = hashes.of(at, at + spec.gram)
+    grams = hashes.every(spec.gram)
     low = np.uint64(len(grams).bit_length())
-    least = _least(((grams >> low) << low) | at.astype(np.uint64), spec.size - spec.gram + 1)
+    least = _least(((grams >> low) << low) | np.arange(len(grams), dtype=np.uint64), spec.size - spec.gram + 1)
     starts = spread(rows[:-1], counts)
     anchor = (least[starts] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
@@ -87,7 +99,7 @@ def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = Tru
 
 def _each(batch: pa.RecordBatch, spec: Windows, with_units: bool) -> Iterator[tuple]:
     data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         x, rows = elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spec)
         yield a, rows, units(x, rows, spec, with_units)
 
@@ -139,7 +151,7 @@ def window_rows(joined: DataFrame, spec: Windows) -> DataFrame:
             ranges = batch.column("ranges")
             bounds, flat = ranges.offsets.to_numpy() - ranges.offsets[0].as_py(), ranges.flatten()
             s1, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s1", "n"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 x, rows = elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spec)
                 k = np.arange(bounds[a], bounds[b])
                 row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))

@@ -20,6 +20,10 @@ SLICE_BYTES = 4 << 20
 _OWN: dict[str, str] = {}
 
 
+# What Arrow frees goes back to the system at once; its own pools would keep it in every Python worker.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
@@ -31,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; Arrow batches are held to 2,000 rows where the session has Spark's default, for long texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
@@ -68,9 +79,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit integers (the public splitmix64 constants)."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 _POWERS: dict[int, np.ndarray] = {}

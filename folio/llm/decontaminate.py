@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.common import documents
+
 WINDOW = 8
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
@@ -216,7 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_items: int = 1, max
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, bench = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     marked = mark_hits(docs.select("doc_id", "text"), bench)
     names = F.array_sort("items")
     return marked.select(

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.common import documents
+
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 17
 
@@ -286,6 +288,6 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

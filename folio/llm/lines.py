@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.blooms import MAX_BITS, bits_for, passes, twice_filter
-from folio.llm.common import stored
+from folio.llm.common import documents, stored
 
 OF, KEYS = "__folio_of", "__folio_keys"
 
@@ -125,7 +125,7 @@ def _text_digest(text_col: str):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    kept = drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored, text_buffer
+from folio.llm.common import documents, stored, text_buffer
 from folio.llm.tokens import encoded, encoder
 
 CAPACITY = 1024
@@ -220,4 +220,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)

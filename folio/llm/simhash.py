@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import documents, stored
 from folio.llm.components import components
 
 BLOCK_LANES = 1 << 15
@@ -206,5 +206,5 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.anchors import Windows, covered, suspected_units, window_rows, with_rows
-from folio.llm.common import stored
+from folio.llm.common import documents, stored
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -60,7 +60,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 8, id_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

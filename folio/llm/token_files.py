@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import scratch, text_buffer
+from folio.llm.common import documents, scratch, text_buffer
 from folio.llm.tokens import encoded, encoder
 
 BLOCK, LANES = 256, 8
@@ -221,4 +221,4 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_table(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
