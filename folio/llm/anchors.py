@@ -79,10 +79,10 @@ class Hashes:
 
 
 def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = True) -> tuple[np.ndarray, ...]:
-    """For each unit: row, first window start (within the row), number of windows, anchor hash, unit hash."""
+    """For each unit: row, first window start (within the row), number of windows, anchor hash, unit hash, anchor's place after the first start."""
     counts = np.maximum(0, np.diff(rows) - spec.size + 1)
     if not counts.sum():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     hashes = Hashes(x)
     grams = hashes.every(spec.gram)
     low = np.uint64(len(grams).bit_length())
@@ -94,7 +94,7 @@ def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = Tru
     s = starts[first]
     row = np.searchsorted(rows, s, "right") - 1
     u = hashes.of(s, s + n - 1 + spec.size) if with_units else grams[anchor[first]]
-    return row, s - rows[row], n, grams[anchor[first]], u
+    return row, s - rows[row], n, grams[anchor[first]], u, anchor[first] - s
 
 
 def _each(batch: pa.RecordBatch, spec: Windows, with_units: bool) -> Iterator[tuple]:
@@ -105,7 +105,7 @@ def _each(batch: pa.RecordBatch, spec: Windows, with_units: bool) -> Iterator[tu
 
 
 def suspected_units(docs: DataFrame, spec: Windows) -> DataFrame:
-    """Units (rid, id, s1, n, h, u) of ``docs`` (rid, id, text) whose anchor passes the filter of anchors seen twice."""
+    """Units (rid, id, s1, n, h, u, a) of ``docs`` (rid, id, text) whose anchor passes the filter of anchors seen twice."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     guess = 2 * int(chars) // ((spec.size - spec.gram + 2) * (6 if spec.words else 1))
 
@@ -117,12 +117,12 @@ def suspected_units(docs: DataFrame, spec: Windows) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, (row, s, n, h, u) in _each(batch, spec, True):
+            for a, _, (row, s, n, h, u, place) in _each(batch, spec, True):
                 keep = passes(twice.value, h)
                 take = pa.array(a + row[keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("id").take(take), pa.array(s[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(u[keep].view(np.int64))], names=["rid", "id", "s1", "n", "h", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("id").take(take), pa.array(s[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(u[keep].view(np.int64)), pa.array(place[keep], pa.int32())], names=["rid", "id", "s1", "n", "h", "u", "a"])
 
-    return docs.select("rid", "id", "text").mapInArrow(task, "rid long, id long, s1 long, n long, h long, u long")
+    return docs.select("rid", "id", "text").mapInArrow(task, "rid long, id long, s1 long, n long, h long, u long, a int")
 
 
 def with_rows(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:

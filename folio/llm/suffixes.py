@@ -9,7 +9,8 @@ is repeated where the common prefix with either neighbour reaches ``size``.
 
 Every step is done for a whole bucket of suffixes at a time. The recursion on names ends in rank doubling once the
 names are too many for buckets. Anchors with more than ``max_units`` different units, which no single shard should hold,
-go window by window instead: each window's hash is counted over the cluster, with the same result.
+are compared by hashes of their windows instead, and beyond 25 times as many these hashes are counted over the cluster,
+with the same result.
 
 Defined results: null text counts as empty; texts shorter than ``size`` lose nothing; rows that repeat a document repeat
 each other; nothing crosses documents; the kept bytes may end within a character; an empty table gives no row.
@@ -200,54 +201,112 @@ def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [places[a:b] - s for a, b, s in zip(cut, cut[1:], starts, strict=False)]
 
 
+def repeated_starts_hashed(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """As :func:`repeated_starts`, by hashes of all windows: eight bytes a window, for an anchor with very many units."""
+    lens = np.array([max(0, len(x) - size + 1) for x in texts], np.int64)
+    found = np.zeros(int(lens.sum()), np.uint64)
+    ends = np.cumsum(lens)
+    for e, n, x in zip(ends, lens, texts, strict=True):
+        if n:
+            found[e - n : e] = Hashes(np.frombuffer(x, np.uint8).astype(np.uint64) + np.uint64(1)).every(size)
+    _, inverse, times = np.unique(found, return_inverse=True, return_counts=True)
+    hit = times[inverse] > 1
+    return [np.flatnonzero(hit[e - n : e]) for e, n in zip(ends, lens, strict=True)]
+
+
+#: Places of the anchor within a window that share one core (the bytes that all windows with these places hold).
+CORE = 48
+
+
+def open_ranges(group: list[tuple[int, int, bytes]], size: int) -> list[tuple[int, int]]:
+    """For units (anchor's place, windows, bytes) of one anchor: the range of windows that may equal a window of another unit.
+
+    Equal windows have the anchor at equal places, so they share the core of these places. A unit keeps the span of
+    windows whose cores another unit has too; no equal pair is lost.
+    """
+    seen: dict[tuple[int, int], int] = {}
+    cores: list[list[tuple[tuple[int, int], int, int]]] = []
+    for a, n, x in group:
+        own = []
+        for k in range((a - n + 1) // CORE, a // CORE + 1):
+            low, high = k * CORE, (k + 1) * CORE
+            key = (k, hash(x[a - low : a - high + 1 + size]))
+            seen[key] = seen.get(key, 0) + 1
+            own.append((key, max(0, a - high + 1), min(n - 1, a - low)))
+        cores.append(own)
+    out = []
+    for own in cores:
+        shared = [(s, e) for key, s, e in own if seen[key] > 1]
+        out.append((min(s for s, _ in shared), max(e for _, e in shared) + 1) if shared else (0, 0))
+    return out
+
+
+_CONTEXT = {"h": pa.int64(), "rid": pa.int64(), "s1": pa.int64(), "single": pa.bool_(), "a": pa.int32(), "n": pa.int64(), "context": pa.binary()}
+
+
 def _contexts(joined: DataFrame, size: int) -> DataFrame:
-    """The units' bytes: h, rid, s1, single, context."""
+    """The units' bytes: h, rid, s1, single, a, n, context."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             data = data.tobytes()
             rids = batch.column("rid").to_pylist()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in _CONTEXT]
             for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 for r in ranges:
                     s = int(offsets[i]) + r["s1"]
-                    for x, v in zip(out, (r["h"], rids[i], r["s1"], r["single"], data[s : s + r["n"] - 1 + size]), strict=True):
+                    for x, v in zip(out, (r["h"], rids[i], r["s1"], r["single"], r["a"], r["n"], data[s : s + r["n"] - 1 + size]), strict=True):
                         x.append(v)
-                if len(out[0]) > 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "rid", "s1", "single", "context"])
-                    out = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "rid", "s1", "single", "context"])
+                if len(out[0]) > 2000:
+                    yield pa.record_batch([pa.array(x, k) for x, k in zip(out, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
+                    out = [[] for _ in _CONTEXT]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
 
-    return joined.select("rid", "text", "ranges").mapInArrow(task, "h long, rid long, s1 long, single boolean, context binary")
+    return joined.select("rid", "text", "ranges").mapInArrow(task, "h long, rid long, s1 long, single boolean, a int, n long, context binary")
 
 
-def _sharded(contexts: DataFrame, size: int) -> DataFrame:
+def _sharded(contexts: DataFrame, size: int, max_units: int) -> DataFrame:
     """Repeated window ranges (rid, s1, n) of the single contexts. Rows of an anchor stay together; a shard ends with the anchor that fills it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[int, int, bool, bytes]] = []
+        group: list[tuple] = []
         total, last = 0, None
 
+        def close() -> None:
+            nonlocal total, group
+            for (r, s1, single, a, n, x), (s, e) in zip(group, open_ranges([(g[3], g[4], g[5]) for g in group], size), strict=True):
+                if e > s:
+                    held.append((r, s1 + s, single, x[s : e - 1 + size]))
+                    total += e - s - 1 + size
+            group = []
+
         def done() -> pa.RecordBatch:
+            nonlocal total
             rid, s1, n = [], [], []
-            for (r, s, single, _), at in zip(held, repeated_starts([x[3] for x in held], size), strict=True):
+            texts = [x[3] for x in held]
+            starts = repeated_starts_hashed(texts, size) if len(held) > max_units + 2000 else repeated_starts(texts, size) if held else []
+            for (r, s, single, _), at in zip(held, starts, strict=True):
                 if single and len(at):
                     first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
                     rid += [r] * len(first)
                     s1 += (s + at[first]).tolist()
                     n += np.diff(np.concatenate([first, [len(at)]])).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, s1, n)], names=["rid", "s1", "n"])
+            held.clear()
+            total = 0
+            return pa.record_batch([pa.array(x, pa.int64()) for x in (rid, s1, n)], names=["rid", "s1", "n"])
 
         for batch in batches:
-            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "rid", "s1", "single", "context")), strict=True):
-                if h != last and total >= SHARD_BYTES:
-                    yield done()
-                    held, total = [], 0
-                held.append(tuple(row))
-                total, last = total + len(row[3]), h
-        if held:
-            yield done()
+            for h, *row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT), strict=True):
+                if h != last:
+                    close()
+                    if total >= SHARD_BYTES:
+                        yield done()
+                group.append(tuple(row))
+                last = h
+        close()
+        yield done()
 
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(task, "rid long, s1 long, n long")
 
@@ -259,12 +318,12 @@ def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = 2000) -> Da
     seeds = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("places")).where("places > 1").select("h", "kinds")
     met = stored(
         found.join(kinds.join(seeds, "h"), ["h", "u"]).where("times > 1 or kinds > 1")
-        .select("rid", "s1", "n", "h", "kinds", (F.col("times") == 1).alias("single"), (F.struct("rid", "s1") == F.col("rep")).alias("is_rep")), "met",
+        .select("rid", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.struct("rid", "s1") == F.col("rep")).alias("is_rep")), "met",
     )
     open_units = met.where("is_rep and kinds > 1")
-    small = open_units.where(F.col("kinds") <= max_units).select("rid", "s1", "n", "h", "single")
-    out = met.where("not single").select("rid", "s1", "n").union(_sharded(_contexts(with_rows(rows, small, met.count()), spec.size), spec.size))
-    large = open_units.where(F.col("kinds") > max_units).select("rid", "s1", "n")
+    small = open_units.where(F.col("kinds") <= 25 * max_units).select("rid", "s1", "n", "h", "a", "single")
+    out = met.where("not single").select("rid", "s1", "n").union(_sharded(_contexts(with_rows(rows, small, met.count()), spec.size), spec.size, max_units))
+    large = open_units.where(F.col("kinds") > 25 * max_units).select("rid", "s1", "n")
     if (n := large.count()):
         wins = stored(window_rows(with_rows(rows, large, n), spec), "windows")
         twice = wins.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
