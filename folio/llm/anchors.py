@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.blooms import bits_for, once_filter, passes, twice_filter
-from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, text_buffer, word_hashes, word_spans
+from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, text_buffer, tidy, word_hashes, word_spans
 
 
 #: Bytes of text that a step handles at a time: its arrays stay in the processor's cache.
@@ -122,7 +122,7 @@ def suspected_units(docs: DataFrame, spec: Windows) -> DataFrame:
                 take = pa.array(a + row[keep], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("id").take(take), pa.array(s[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(u[keep].view(np.int64)), pa.array(place[keep], pa.int32())], names=["rid", "id", "s1", "n", "h", "u", "a"])
 
-    return docs.select("rid", "id", "text").mapInArrow(task, "rid long, id long, s1 long, n long, h long, u long, a int")
+    return docs.select("rid", "id", "text").mapInArrow(tidy(task), "rid long, id long, s1 long, n long, h long, u long, a int")
 
 
 def with_rows(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
@@ -135,7 +135,7 @@ def with_rows(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     grouped = ranges.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in ranges.columns if c != "rid"])).alias("ranges"))
-    return docs.mapInArrow(task, docs.schema).join(grouped, "rid")
+    return docs.mapInArrow(tidy(task), docs.schema).join(grouped, "rid")
 
 
 def _rids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -161,7 +161,7 @@ def window_rows(joined: DataFrame, spec: Windows) -> DataFrame:
                 take = pa.array(a + row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("rid").take(take), batch.column("id").take(take), pa.array(start - rows[row], pa.int64())], names=["wh", "rid", "id", "s1"])
 
-    return joined.select("rid", "id", "text", "ranges").mapInArrow(task, "wh long, rid long, id long, s1 long")
+    return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), "wh long, rid long, id long, s1 long")
 
 
 def covered(ranges: list, size: int) -> list[list[int]]:

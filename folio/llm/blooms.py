@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folio.llm.common import mix64
+from folio.llm.common import mix64, tidy
 
 SEGMENT = 1 << 17  # bytes of a filter's segment
 MAX_BITS = 1 << 29  # 64 MB: the bound of what is broadcast
@@ -92,8 +92,8 @@ def _merged(df: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Iterato
         if segment is not None:
             yield told()
 
-    parts = df.mapInArrow(build, "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInPandas(merge, "segment int, bits binary")
+    parts = df.mapInArrow(tidy(build), "segment int, once binary, twice binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInPandas(tidy(merge), "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.toLocalIterator():
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)

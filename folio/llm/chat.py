@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import stored, tidy
 
 Turns = list[tuple[str, str]]
 
@@ -129,7 +129,7 @@ def format_conversations(rows: DataFrame, template: Callable[[Turns], str] = ren
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     dealt = dealt.select(F.col("conv_id").isNull().alias("is_null"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"), "role", "text")
-    return dealt.mapInPandas(task, "conv_id long, formatted string, loss array<array<long>>, rewrites boolean")
+    return dealt.mapInPandas(tidy(task), "conv_id long, formatted string, loss array<array<long>>, rewrites boolean")
 
 
 #: A conversation whose texts are made of the template's own marks.
@@ -150,7 +150,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(told), hashlib.sha256(told.encode()).hexdigest(), len(formatted)))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
-    return written.mapInPandas(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return written.mapInPandas(tidy(digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE = r"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,38 @@ _OWN: dict[str, str] = {}
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+#: One cache per Python worker: what one kind of task keeps goes when another kind comes.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """The worker's object for ``key``, made once; objects of other keys are dropped."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` for mapInArrow or mapInPandas; its freed memory goes back at the end, so idle workers stay small."""
+
+    def run(batches: Iterator) -> Iterator:
+        if not getattr(task, "keeps", False):
+            _KEPT.clear()
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):

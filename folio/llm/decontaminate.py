@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents
+from folio.llm.common import documents, tidy
 
 WINDOW = 8
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -184,7 +184,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
                     items.append(old_items[i] + [sa.names[k] for k in who])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*columns, "n_words", "hits", "items"])
 
-        out = out.mapInArrow(task, out.schema)
+        out = out.mapInArrow(tidy(task), out.schema)
     return out
 
 
@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_items: int = 1, max
             texts = [cut(t, h) if h else t for t, h in zip(batch.column(text_col).to_pylist(), batch.column("hits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
 
-    return kept.mapInArrow(task, docs.select(*columns).schema)
+    return kept.mapInArrow(tidy(task), docs.select(*columns).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents
+from folio.llm.common import documents, tidy
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 17
@@ -169,7 +169,7 @@ class Crf:
         self.weights, self.trans = w.astype(np.float32), trans
         return self
 
-    def _ids(self, words: list[str], limit: int = 400_000) -> np.ndarray:
+    def _ids(self, words: list[str], limit: int = 250_000) -> np.ndarray:
         """Rows of the score table; words beyond the limit take rows that the next call uses again."""
         cache = self.cache
         new = list(set(words).difference(cache))
@@ -280,11 +280,11 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             got = []
-            for a in range(0, len(texts), 2000):
-                got += crf.predict(texts[a : a + 2000])
+            for a in range(0, len(texts), 500):
+                got += crf.predict(texts[a : a + 500])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*columns).mapInArrow(task, docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*columns).mapInArrow(tidy(task), docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

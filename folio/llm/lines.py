@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.blooms import MAX_BITS, bits_for, passes, twice_filter
-from folio.llm.common import documents, stored
+from folio.llm.common import documents, stored, tidy
 
 OF, KEYS = "__folio_of", "__folio_keys"
 
@@ -80,7 +80,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id
                 yield pa.record_batch({"of": pa.array(rows, pa.binary()), "key": pa.array(found, pa.binary()), "id": pa.array(owner, pa.int64())})
 
     # Equal texts lose the same lines, so a text's digest stands for its rows; each still counts as a document.
-    found = stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(suspects, "of binary, key binary, id long"), "suspect-lines")
+    found = stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(suspects), "of binary, key binary, id long"), "suspect-lines")
     frequent = found.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where(F.col("n") >= min_docs).select("key", "owner")
     # Copies of a text come here as one row, so a text holds as many rows as it has lines at most.
     hits = found.select("of", "key").distinct().join(frequent, "key").groupBy(F.col("of").alias(OF)).agg(F.collect_list(F.struct("key", "owner")).alias(KEYS))
@@ -111,7 +111,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id
             arrays = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(apply, docs.select(*columns).schema.add("n_lines", "long").add("n_dropped", "long"))
+    return joined.mapInArrow(tidy(apply), docs.select(*columns).schema.add("n_lines", "long").add("n_dropped", "long"))
 
 
 def _text_digest(text_col: str):

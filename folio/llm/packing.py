@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, stored, text_buffer
+from folio.llm.common import documents, stored, text_buffer, tidy
 from folio.llm.tokens import encoded, encoder
 
 CAPACITY = 1024
@@ -193,8 +193,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                         seen[e - s] += 1
                 yield pa.record_batch([doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(rank, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
+    task.keeps = True  # the encoder, for the worker's next task
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return rows.mapInArrow(tidy(task), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -214,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
             pdf["offset"] = table[at, 4]
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return cut.join(before, ["length", "part"]).mapInPandas(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.join(before, ["length", "part"]).mapInPandas(tidy(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

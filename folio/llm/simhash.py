@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, stored
+from folio.llm.common import documents, stored, tidy
 from folio.llm.components import components
 
 BLOCK_LANES = 1 << 15
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> D
             fps = np.array([fingerprint(t, shingle) for t in batch.column(text_col).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fps, pa.int64())], names=[*columns, "fp"])
 
-    return docs.select(*columns, text_col).mapInArrow(task, docs.select(*columns).schema.add("fp", "long"))
+    return docs.select(*columns, text_col).mapInArrow(tidy(task), docs.select(*columns).schema.add("fp", "long"))
 
 
 def _planes(fps: np.ndarray) -> list[int]:
@@ -186,7 +186,7 @@ def links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> DataFrame
         a, b = link_groups(np.zeros(len(rest_f), np.int64), rest_f.view(np.uint64), radius)
         yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return keyed.mapInPandas(task, "a long, b long")
+    return keyed.mapInPandas(tidy(task), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

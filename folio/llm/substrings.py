@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.anchors import Windows, covered, suspected_units, window_rows, with_rows
-from folio.llm.common import documents, stored
+from folio.llm.common import documents, stored, tidy
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -56,7 +56,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 8, id_col: str =
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[id_col, text_col, "n_words", "n_removed", "spans"])
 
-    return rows.join(gone, "rid", "left").select("id", "text", "ranges").mapInArrow(task, f"`{id_col}` long, `{text_col}` string, n_words long, n_removed long, spans array<array<long>>")
+    return rows.join(gone, "rid", "left").select("id", "text", "ranges").mapInArrow(tidy(task), f"`{id_col}` long, `{text_col}` string, n_words long, n_removed long, spans array<array<long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

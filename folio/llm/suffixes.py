@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.anchors import Hashes, Windows, covered, suspected_units, window_rows, with_rows
-from folio.llm.common import documents, spread, stored, text_buffer
+from folio.llm.common import documents, spread, stored, text_buffer, tidy
 
 SHARD_BYTES = 3 << 17
 BUCKETS = 4096
@@ -263,7 +263,7 @@ def _contexts(joined: DataFrame, size: int) -> DataFrame:
                     out = [[] for _ in _CONTEXT]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(out, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
 
-    return joined.select("rid", "text", "ranges").mapInArrow(task, "h long, rid long, s1 long, single boolean, a int, n long, context binary")
+    return joined.select("rid", "text", "ranges").mapInArrow(tidy(task), "h long, rid long, s1 long, single boolean, a int, n long, context binary")
 
 
 def _sharded(contexts: DataFrame, size: int, max_units: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _sharded(contexts: DataFrame, size: int, max_units: int) -> DataFrame:
         close()
         yield done()
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(task, "rid long, s1 long, n long")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(task), "rid long, s1 long, n long")
 
 
 def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = 2000) -> DataFrame:
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 16, id_col: str
                 spans.append(runs)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[id_col, "kept", "n_bytes", "n_removed", "spans"])
 
-    return rows.join(gone, "rid", "left").select("id", "text", "ranges").mapInArrow(task, f"`{id_col}` long, kept binary, n_bytes long, n_removed long, spans array<array<long>>")
+    return rows.join(gone, "rid", "left").select("id", "text", "ranges").mapInArrow(tidy(task), f"`{id_col}` long, kept binary, n_bytes long, n_removed long, spans array<array<long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, scratch, text_buffer
+from folio.llm.common import documents, scratch, text_buffer, tidy
 from folio.llm.tokens import encoded, encoder
 
 BLOCK, LANES = 256, 8
@@ -177,10 +177,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
         if held:
             yield flush()
 
+    task.keeps = True  # the encoder, for the worker's next task
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     spark = docs.sparkSession
-    rows.mapInArrow(task, "file string, n_docs long, n_ids long").write.parquet(f"{folder}/_manifest")
+    rows.mapInArrow(tidy(task), "file string, n_docs long, n_ids long").write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
 
 
@@ -201,7 +202,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     })
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
-    return files.mapInPandas(task, "file string, place long, doc_id long, file_start long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(tidy(task), "file string, place long, doc_id long, file_start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:

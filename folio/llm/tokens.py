@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from folio.llm.common import mix64, slices, spread, word_hashes
+from folio.llm.common import kept, mix64, slices, spread, word_hashes
 
 _FREE = np.zeros(256, bool)
 _FREE[[32, 10]] = True
@@ -29,7 +29,7 @@ class UnitEncoder:
     At most ``max_units`` units are kept; those that come later are encoded anew each time.
     """
 
-    def __init__(self, path: str, max_units: int = 2_000_000):
+    def __init__(self, path: str, max_units: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -167,17 +167,12 @@ class UnitEncoder:
         return ids[spread(at[rows], lens)], np.diff(total[first])
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for ``path``, made once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: UnitEncoder(path))
 
 
-def encoded(enc: UnitEncoder, data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
+def encoded(enc: UnitEncoder, data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18):
     """(first text, last text, ids, counts) for ranges of texts of about ``limit`` bytes."""
     for a, b in slices(offsets, limit):
         yield a, b, *enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
