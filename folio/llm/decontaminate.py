@@ -155,8 +155,11 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = 2_000_
         yield SuffixAutomaton(held, window)
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", max_words: int = 2_000_000) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (word runs [from, to) inside item windows, merged) and ``items`` (their ids)."""
+def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", max_words: int = 2_000_000, cut_hits: bool = False) -> DataFrame:
+    """``docs`` with ``n_words``, ``hits`` (word runs [from, to) inside item windows, merged) and ``items`` (their ids).
+
+    With ``cut_hits`` the texts lose the hit words.
+    """
     columns = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(*columns).withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.array().cast("array<array<long>>")).withColumn("items", F.array().cast("array<string>"))
     spark = docs.sparkSession
@@ -164,13 +167,14 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
     for one in made:
         told = spark.sparkContext.broadcast(one)
 
-        def task(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+        def task(batches: Iterator[pa.RecordBatch], told=told, last=one is made[-1]) -> Iterator[pa.RecordBatch]:
             sa = told.value
             get = sa.vocabulary.get
             for batch in batches:
                 n_words, hits, items = [], [], []
                 old_hits, old_items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for i, t in enumerate(batch.column(text_col).to_pylist()):
+                texts = batch.column(text_col).to_pylist()
+                for i, t in enumerate(texts):
                     ws = words(t)
                     runs, who = sa.scan([get(w, -1) for w in ws])
                     merged: list[list[int]] = []
@@ -182,7 +186,10 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
                     n_words.append(len(ws))
                     hits.append(merged)
                     items.append(old_items[i] + [sa.names[k] for k in who])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*columns, "n_words", "hits", "items"])
+                own = {c: batch.column(c) for c in columns}
+                if cut_hits and last:
+                    own[text_col] = pa.array([cut(t, h) if h else t for t, h in zip(texts, hits, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*columns, "n_words", "hits", "items"])
 
         out = out.mapInArrow(tidy(task), out.schema)
     return out
@@ -204,17 +211,10 @@ def cut(text: str | None, hits: list[list[int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_items: int = 1, max_coverage: float = 0.5, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """Cuts every hit run out of the texts; drops documents with windows of more than ``max_items`` items, or with more than ``max_coverage`` of their words hit. Columns stay as they are."""
-    marked = mark_hits(docs, benchmark, window, text_col)
+    marked = mark_hits(docs, benchmark, window, text_col, cut_hits=True)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
     kept = marked.where((F.size("items") <= max_items) & (n_hit <= max_coverage * F.col("n_words")))
-    columns = [c for c in docs.columns if c in marked.columns and c not in ("n_words", "hits", "items")]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut(t, h) if h else t for t, h in zip(batch.column(text_col).to_pylist(), batch.column("hits").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
-
-    return kept.mapInArrow(tidy(task), docs.select(*columns).schema)
+    return kept.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
