@@ -78,4 +78,7 @@ def to_json_volumes(docs: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; one with fewer splits than cores (a single row group, say) is dealt out first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
