@@ -9,7 +9,7 @@ from folio.operators import tokens
 from folio.sources import metadata, stores, volumes
 from folio.streaming import ingest
 
-URL = "https://schemas.hathitrust.org/EF_Schema_FeaturesSubSchema_v_3.0"
+URL = "https://example.org/features_v_3.0"  # any version but 2.0 and 3.0 is the linked-data one
 LONG = "x" * 70
 
 
