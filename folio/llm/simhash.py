@@ -142,13 +142,14 @@ def link_groups(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def _part(width: int, base: int, i: int, fp="fp"):
-    return F.shiftrightunsigned(F.col(fp), base + width * i).bitwiseAND(F.lit((1 << width) - 1))
+def _part(i: int):
+    """Sixteen bits of the fingerprint."""
+    return F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF))
 
 
-def _pairs_key(width: int, base: str | None = None):
+def _pair_keys():
     """Six keys from four parts: which pair of parts, and their bits."""
-    return [F.struct(F.lit(k).alias("way"), F.shiftleft(_part(width, 0, i), width).bitwiseOR(_part(width, 0, j)).alias("bits")) for k, (i, j) in enumerate(combinations(range(4), 2))]
+    return [F.struct(F.lit(k).alias("way"), F.shiftleft(_part(i), 16).bitwiseOR(_part(j)).alias("bits")) for k, (i, j) in enumerate(combinations(range(4), 2))]
 
 
 def _rest(way: int):
@@ -162,7 +163,7 @@ def links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> DataFrame
     """Links (a, b) over distinct fingerprints ``fp`` that connect all pairs within the radius."""
     if not 0 <= radius <= 2:
         raise ValueError("four parts find a radius of 2 at most")
-    dealt = distinct.select("fp", F.explode(F.array(*_pairs_key(16))).alias("k")).select("fp", F.col("k.way").alias("way"), F.col("k.bits").alias("bits"))
+    dealt = distinct.select("fp", F.explode(F.array(*_pair_keys())).alias("k")).select("fp", F.col("k.way").alias("way"), F.col("k.bits").alias("bits"))
     sizes = dealt.groupBy("way", "bits").agg(F.count("*").alias("n")).where("n > 1")
     sized = dealt.join(sizes, ["way", "bits"])
     sub = F.when(F.col("n") <= split, F.array(F.lit(0).cast("long")))

@@ -119,7 +119,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Of ``t``, whole numbers below a small bound whose last, 0, occurs once... or any numbers: a smaller sentinel is added."""
+    """Of ``t``, any whole numbers from 0; a smaller sentinel is added and left out again."""
     t = np.concatenate([t.astype(np.int64) + 1, [0]])
     return _sort(t)[1:]
 
