@@ -242,3 +242,18 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                 hit |= {j for i in at for j in range(i, i + k)}
         out.append((doc_id, len(ws), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), len(who) >= 2))
     return out
+
+
+#: The query's rows in SQL, every window compared.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, ws, least(8, len(ws)) AS n FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+u AS (SELECT DISTINCT n, k FROM w),
+p AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT rid, ws, unnest(range(1, 9)) AS n FROM d) WHERE n IN (SELECT n FROM u))),
+m AS (SELECT rid, i, n, k FROM p SEMI JOIN u USING (n, k)),
+h AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m JOIN w USING (n, k)) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""

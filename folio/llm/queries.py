@@ -15,4 +15,10 @@ QUERIES = {
     "op10_suffix_array": suffixes.query,
 }
 
-ORACLE_SQL = {"op4_line_dedup": lines.ORACLE, "op5_chat_format": chat.ORACLE}
+ORACLE_SQL = {
+    "op4_line_dedup": lines.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op9_substrings": substrings.ORACLE,
+    "op10_suffix_array": suffixes.ORACLE,
+}

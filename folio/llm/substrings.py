@@ -79,3 +79,15 @@ def brute_force(docs: list[tuple[int, str | None]], size: int = 50) -> list[tupl
         gone = {j for i in range(len(ws) - size + 1) if first[tuple(ws[i : i + size])] < d for j in range(i, i + size)}
         out.append((d, len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest()))
     return out
+
+
+#: The query's rows in SQL, every window looked up by its MD5.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+g AS (SELECT rid, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first FROM w) WHERE first < doc_id),
+x AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS j FROM g),
+l AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+k AS (SELECT l.rid, count(x.j) AS n_removed, string_agg(word, ' ' ORDER BY l.j) FILTER (WHERE x.j IS NULL) AS kept FROM l LEFT JOIN x ON l.rid = x.rid AND l.j = x.j GROUP BY l.rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""

@@ -374,3 +374,16 @@ def brute_force(docs: list[tuple[int, str | None]], size: int = 400) -> list[tup
         runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
         out.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])).hexdigest()))
     return out
+
+
+#: The query's rows in SQL, every string looked up by its MD5 (hex digits stand for bytes).
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, md5(substring(h, 2 * i + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, n - 399)) AS i FROM d)),
+g AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+r AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM g),
+s AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM r) GROUP BY rid, run),
+e AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS rest FROM e JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
