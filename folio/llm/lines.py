@@ -27,6 +27,7 @@ from folio.llm.blooms import MAX_BITS, bits_for, passes, twice_filter
 from folio.llm.common import documents, stored, tidy
 
 OF, KEYS = "__folio_of", "__folio_keys"
+HOT_SHARE = 4096
 
 
 def keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -81,9 +82,16 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id
 
     # Equal texts lose the same lines, so a text's digest stands for its rows; each still counts as a document.
     found = stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(suspects), "of binary, key binary, id long"), "suspect-lines")
-    frequent = found.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where(F.col("n") >= min_docs).select("key", "owner")
+    frequent = found.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where(F.col("n") >= min_docs)
+    frequent = stored(frequent, "frequent-lines")
+    # Keys with over a HOT_SHARE-th of the suspects' rows, fewer than HOT_SHARE keys by that count, are joined by broadcast;
+    # a join on the key would deal all rows of such a line to one task.
+    is_hot = F.col("n") * HOT_SHARE > F.lit(found.count())
+    hot = F.broadcast(frequent.where(is_hot).select("key", "owner"))
+    pairs = found.select("of", "key").distinct()
+    cold = pairs.join(hot, "key", "left_anti").join(frequent.where(~is_hot).select("key", "owner"), "key")
     # Copies of a text come here as one row, so a text holds as many rows as it has lines at most.
-    hits = found.select("of", "key").distinct().join(frequent, "key").groupBy(F.col("of").alias(OF)).agg(F.collect_list(F.struct("key", "owner")).alias(KEYS))
+    hits = pairs.join(hot, "key").unionByName(cold).groupBy(F.col("of").alias(OF)).agg(F.collect_list(F.struct("key", "owner")).alias(KEYS))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns).withColumn(OF, _text_digest(text_col)).join(hits, OF, "left").drop(OF)
 
