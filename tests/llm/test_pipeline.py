@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as cp
@@ -36,3 +37,25 @@ def test_repeated_lines_stay_once(spark, sf_dir):
     got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs, sf_dir).collect()}
     assert set(got) == {0, 1, 3, 5, 7, 9, 11} and sum("boiler" in t for t in got.values()) == 1
     assert all(re.search(r"\S", t) for t in got.values())
+
+
+def test_edited_copies_go_as_brute_force_says(spark, sf_dir):
+    rng = random.Random(5)
+    texts = []
+    for g in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))]
+        texts.append(" ".join(words))
+        for _ in range(6):  # copies of copies, so that chains come with ends under the similarity
+            words = [f"x{rng.randrange(3000)}" if rng.random() < 0.012 else w for w in words]
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()}
+    assert 30 < len(set(root)) < 200 and got == set(root)
