@@ -28,20 +28,23 @@ from folio.llm.common import documents, tidy
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 17
+#: Text without spaces is read in pieces of so many letters.
+PIECE = 40
 
 
 def letters(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; none where the text has no letter."""
+    """Lower-cased runs of letters, longer ones in consecutive pieces of ``PIECE``; none where the text has no letter."""
     ws = _WORD.findall((text or "").lower())
+    if any(len(w) > PIECE for w in ws):
+        ws = [w[i : i + PIECE] for w in ws for i in range(0, len(w), PIECE)]
     return ws if any(c.isalpha() for w in ws for c in w) else []
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed features: prefixes and suffixes to 4, two- and three-grams with ends marked, the word, its lexicon entry."""
-    w = word[:40]
-    marked = f"^{w}$".encode()
+    marked = f"^{word}$".encode()
     out = [b"w" + marked]
-    raw = w.encode()
+    raw = word.encode()
     for k in (1, 2, 3, 4):
         out.append(b"p" + raw[: 2 * k])
         out.append(b"s" + raw[-2 * k :])

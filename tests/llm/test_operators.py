@@ -387,3 +387,12 @@ def test_components(spark):
 
 def test_scratch_is_shared(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_language_reads_long_runs_whole():
+    run = "abcdefghij" * 4 + "klmnopqrst" * 5
+    pieces = language.letters(f"Ab {run} x")
+    assert "".join(pieces) == f"ab{run}x" and max(map(len, pieces)) == 40
+    german, french = "derundistnicht" * 20, "lesetdansavec" * 20
+    model = language.Crf(["de", "fr"]).fit([("de", "der und ist nicht " * 20), ("fr", "les et dans avec " * 20)] * 5, sequences=400)
+    assert model.predict([german[:40] + french])[0][0] == "fr" and model.predict([french[:40] + german])[0][0] == "de"
