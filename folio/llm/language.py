@@ -196,7 +196,11 @@ class Crf:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each whole text."""
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        return [x[:2] for x in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, confidence) of each whole text; the confidence is the mean of the words' highest posteriors."""
+        out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
         docs, words, lens = [], [], []
         for i, t in enumerate(texts):
             if self.languages and (ws := letters(t)):
@@ -214,14 +218,17 @@ class Crf:
             longest = int(n[order[a]])
             some = order[a : a + max(1, min(1024, 600_000 // longest))]
             a += len(some)
-            sums = self._posterior_sums([ids[starts[d] : starts[d] + n[d]] for d in some], n[some])
-            for d, s in zip(some, sums, strict=True):
+            sums, peaks = self._posteriors([ids[starts[d] : starts[d] + n[d]] for d in some], n[some])
+            for d, s, p in zip(some, sums, peaks, strict=True):
                 k = int(s.argmax())
-                out[docs[d]] = (self.languages[k], float(min(1.0, max(0.0, s[k] / n[d]))))
+                out[docs[d]] = (self.languages[k], float(min(1.0, max(0.0, s[k] / n[d]))), float(min(1.0, max(0.0, p / n[d]))))
         return out
 
     def _posterior_sums(self, rows: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """Sums of posteriors over each sequence; rows come by falling length, so at step t the first active[t] still run."""
+        return self._posteriors(rows, n)[0]
+
+    def _posteriors(self, rows: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of posteriors, and of each word's highest, over each sequence; rows come by falling length, so at step t the first active[t] still run."""
         steps, k = int(n[0]), len(self.languages)
         grid = np.zeros((len(rows), steps), np.int64)
         for r, x in zip(grid, rows, strict=True):
@@ -238,7 +245,7 @@ class Crf:
             x /= x.sum(axis=1, keepdims=True)
             alpha[t, :m] = x
         beta = np.ones((len(rows), k), np.float32)
-        sums = np.zeros((len(rows), k))
+        sums, peaks = np.zeros((len(rows), k)), np.zeros(len(rows))
         for t in range(steps - 1, -1, -1):
             m = active[t]
             if t + 1 < steps and active[t + 1]:
@@ -249,7 +256,8 @@ class Crf:
             g = alpha[t, :m] * beta[:m]
             g /= g.sum(axis=1, keepdims=True)
             sums[:m] += g
-        return sums
+            peaks[:m] += g.max(axis=1)
+        return sums, peaks
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -272,9 +280,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``confidence`` (the mean of the words' highest posteriors)."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", "confidence"]
+    columns = [c for c in docs.columns if c not in added]
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -284,10 +293,11 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             texts = batch.column(text_col).to_pylist()
             got = []
             for a in range(0, len(texts), 500):
-                got += crf.predict(texts[a : a + 500])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
+                got += crf.judge(texts[a : a + 500])
+            found = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found], names=[*columns, *added])
 
-    return docs.select(*columns).mapInArrow(tidy(task), docs.select(*columns).schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*columns).mapInArrow(tidy(task), docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("confidence", "double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,18 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in last.collect()} == kept
 
 
+def test_texts_of_several_languages_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS)
+    by = {}
+    for r in docs.where("length(text) > 1000").orderBy("doc_id").collect():
+        by.setdefault(r.lang, r.text)
+    # a third of the words each, so that no language leads with half
+    three = " ".join(" ".join(re.findall(r"[^\W\d_]+", by[k])[:60]) for k in sorted(by)[:3])
+    mixed = spark.createDataFrame([(-1, three, None, "s", len(three))], docs.schema)
+    got = cp.language_id(spark, docs.unionByName(mixed), sf_dir)
+    assert got.where("doc_id = -1").count() == 1
+
+
 def test_near_copies_go_and_firsts_stay(spark, sf_dir):
     text = "one two three four five six seven " * 5
     rows = [(i, text, "en", "s", len(text)) for i in range(5)] + [(9, "quite another text about other things " * 3, "en", "s", 1)]
