@@ -214,6 +214,30 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return found.select("htid", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[63], 6).alias("v63"))
 
 
+def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with ``r``, the place from 1 in the order, which must have no ties; rows are numbered in the range partitions of a sort."""
+    path = scratch(df.sparkSession, name)
+    df.orderBy(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return placed.withColumn("place", place).join(offsets, "part").withColumn("r", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
+# doc_vectors and its SQL stop at the first vectors and two dimensions; this has the whole table and all dimensions
+@query("doc_vectors_whole", None)
+def _whole_vectors(s: SparkSession, d: str) -> DataFrame:
+    lines = bridge.lines(bridge.read(s, d)).where("section = 'body'")
+    path = scratch(s, "body")  # read three times
+    lines.select("htid", F.explode(F.regexp_extract_all("line", F.lit(bridge.TOKEN), F.lit(0))).alias("token")).groupBy("htid", "token").agg(F.count("*").alias("count")).write.parquet(path)
+    body = s.read.parquet(path)
+    words = _ranked(body.groupBy("token").agg(F.sum("count").alias("count")), "words", F.desc("count"), F.asc("token"))
+    vecs = _ranked(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vectors", F.asc("vec_id"))
+    found = vectors.document_vectors(body, words.join(vecs, "r").select("token", "vec"), _DIM)
+    return found.select("htid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
 def _ids(s: SparkSession, d: str) -> DataFrame:
     docs = bridge.read(s, d)
     return docs.select(F.concat(F.col("lang"), F.lit(".ark:/13960/t"), F.col("doc_id"), F.lit("."), F.col("source")).alias("htid"))
