@@ -1,9 +1,9 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window hashes.
 
 Seeds are winnowed anchors of words; documents meet on anchors that more than one of them has. An anchor's unit (all
 windows around it) is compared first: where a smaller document has the same unit, the whole unit is repeated. Elsewhere
-the match is extended both ways from the anchor window by window, each found in the smallest document that has it, and
-the repeated windows merge into maximal repeats. Only the first document of each different unit brings windows to that
+all windows around the anchor are looked up by hash, each found in the smallest document that has it, and the repeated
+windows merge into maximal repeats; words are not compared. Only the first document of each different unit brings windows to that
 step, so copies are not expanded and no pairs are made.
 
 Defined results: null text has no words; documents of fewer than ``size`` words lose nothing; rows that repeat a
