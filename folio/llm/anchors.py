@@ -2,8 +2,12 @@
 
 Elements are words or bytes. A window's anchor is its least k-gram by hash (the leftmost of equals), which its content
 alone decides, so equal windows have equal anchors wherever they stand. The windows of one anchor start in one range; the
-text they cover together is the anchor's unit. Equal units stand for all their windows at once; where units of one
-anchor differ, their windows are compared.
+text they cover together is the anchor's unit, named by a 128-bit digest of its content (words joined by one space).
+Equal units stand for all their windows at once; where units of one anchor differ, their contents meet in one task.
+
+An anchor with too many different units for one task is parted (:func:`split_units`): windows with about the same anchor
+place share a core of content, whose digest is the key of a smaller group. The last parting has one window a group, so
+it ends whatever the input holds.
 """
 
 from __future__ import annotations
@@ -13,32 +17,58 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.blooms import bits_for, once_filter, passes, twice_filter
 from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, text_buffer, tidy, word_hashes, word_spans
 
-
 #: Bytes of text that a step handles at a time: its arrays stay in the processor's cache.
 SLICE = 1 << 18
+UNITS = "rid binary, id long, s1 long, n long, h long, u binary, a int"
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``size`` elements a window, anchors of ``gram`` elements; elements are words or bytes."""
+    """``size`` elements a window, anchors of ``gram`` elements; elements are words or bytes. ``parts``: anchor places that share a core, by round."""
 
     size: int
     gram: int
     words: bool
+    parts: tuple[int, ...] = (1,)
+
+
+def row_id(id_col: str, text_col: str) -> Column:
+    """A 128-bit digest of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
-def elements(data: np.ndarray, offsets: np.ndarray, spec: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each element and the rows' offsets in elements."""
-    if not spec.words:
-        return data.astype(np.uint64) + np.uint64(1), offsets
-    starts, ends, rows = word_spans(data, offsets)
-    return word_hashes(data, starts, ends), rows
+class Elements:
+    """The elements of some texts: ``x`` a hash of each, ``rows`` the texts' offsets in elements, and the bytes of any range."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, spec: Windows):
+        self.words = spec.words
+        self.raw = data.tobytes()
+        if not spec.words:
+            self.x, self.rows = data.astype(np.uint64) + np.uint64(1), offsets
+            return
+        self.starts, self.ends, self.rows = word_spans(data, offsets)
+        self.x = word_hashes(data, self.starts, self.ends)
+        odd = np.zeros(len(self.starts) + 1, np.int64)  # how many words so far follow on anything but one space
+        if len(self.starts):
+            odd[2:] = np.cumsum((self.starts[1:] - self.ends[:-1] != 1) | (data[self.ends[:-1]] != 32))
+        self.odd = odd
+
+    def content(self, a: np.ndarray, b: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the elements [a, b) for each pair; words are joined by one space."""
+        raw = self.raw
+        if not self.words:
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                yield raw[i:j]
+            return
+        for i, j, odd in zip(self.starts[a].tolist(), self.ends[b - 1].tolist(), (self.odd[b] > self.odd[a + 1]).tolist(), strict=True):
+            yield b" ".join(raw[i:j].split()) if odd else raw[i:j]
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -55,36 +85,22 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-class Hashes:
-    """Hashes of any range of elements, independent of place."""
-
-    def __init__(self, x: np.ndarray):
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum(x * powers(BASE, len(x)), out=self.sums[1:])
-        self.inverse = powers(BASE_INV, len(x) + 1)
-
-    def every(self, size: int) -> np.ndarray:
-        """Of all ranges of ``size`` elements, in order: as ``of`` would give."""
-        with np.errstate(over="ignore"):
-            x = self.sums[size:] - self.sums[:-size]
-            x *= self.inverse[: len(x)]
-            x = mix64(x)
-            x += np.uint64(size)
-            return mix64(x)
+def gram_hashes(x: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ranges of ``size`` elements, independent of place. They choose anchors only; equal ones are not taken for equal content."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * powers(BASE, len(x)), out=sums[1:])
+        out = sums[size:] - sums[:-size]
+        out *= powers(BASE_INV, len(x) + 1)[: len(out)]
+        return mix64(mix64(out) + np.uint64(size))
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64(mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts]) + (ends - starts).astype(np.uint64))
 
-
-def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = True) -> tuple[np.ndarray, ...]:
-    """For each unit: row, first window start (within the row), number of windows, anchor hash, unit hash, anchor's place after the first start."""
+def units(x: np.ndarray, rows: np.ndarray, spec: Windows) -> tuple[np.ndarray, ...]:
+    """For each unit: row, first window start (within the row), number of windows, anchor hash, anchor's place after the first start."""
     counts = np.maximum(0, np.diff(rows) - spec.size + 1)
     if not counts.sum():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    hashes = Hashes(x)
-    grams = hashes.every(spec.gram)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
+    grams = gram_hashes(x, spec.gram)
     low = np.uint64(len(grams).bit_length())
     least = _least(((grams >> low) << low) | np.arange(len(grams), dtype=np.uint64), spec.size - spec.gram + 1)
     starts = spread(rows[:-1], counts)
@@ -93,15 +109,19 @@ def units(x: np.ndarray, rows: np.ndarray, spec: Windows, with_units: bool = Tru
     n = np.diff(np.concatenate([first, [len(starts)]]))
     s = starts[first]
     row = np.searchsorted(rows, s, "right") - 1
-    u = hashes.of(s, s + n - 1 + spec.size) if with_units else grams[anchor[first]]
-    return row, s - rows[row], n, grams[anchor[first]], u, anchor[first] - s
+    return row, s - rows[row], n, grams[anchor[first]], anchor[first] - s
 
 
-def _each(batch: pa.RecordBatch, spec: Windows, with_units: bool) -> Iterator[tuple]:
+def _each(batch: pa.RecordBatch, spec: Windows) -> Iterator[tuple[int, Elements, tuple]]:
     data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
     for a, b in slices(offsets, SLICE):
-        x, rows = elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spec)
-        yield a, rows, units(x, rows, spec, with_units)
+        own = Elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spec)
+        yield a, own, units(own.x, own.rows, spec)
+
+
+def _unit_batch(rid: pa.Array, ids: pa.Array, s: np.ndarray, n: np.ndarray, h: np.ndarray, u: list[bytes], a: np.ndarray) -> pa.RecordBatch:
+    columns = [rid, ids, pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(h.view(np.int64)), pa.array(u, pa.binary()), pa.array(a, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["rid", "id", "s1", "n", "h", "u", "a"])
 
 
 def suspected_units(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -110,58 +130,107 @@ def suspected_units(docs: DataFrame, spec: Windows) -> DataFrame:
     guess = 2 * int(chars) // ((spec.size - spec.gram + 2) * (6 if spec.words else 1))
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, found in _each(batch, spec, False):
+        for _, _, found in _each(batch, spec):
             yield found[3]
 
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs.select("text"), bits_for(guess), anchors))
+    name = xxhash.xxh3_128_digest
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, (row, s, n, h, u, place) in _each(batch, spec, True):
+            for at, own, (row, s, n, h, place) in _each(batch, spec):
                 keep = passes(twice.value, h)
-                take = pa.array(a + row[keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("id").take(take), pa.array(s[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(u[keep].view(np.int64)), pa.array(place[keep], pa.int32())], names=["rid", "id", "s1", "n", "h", "u", "a"])
+                row, s, n, h, place = row[keep], s[keep], n[keep], h[keep], place[keep]
+                a = own.rows[row] + s
+                take = pa.array(at + row, pa.int64())
+                yield _unit_batch(batch.column("rid").take(take), batch.column("id").take(take), s, n, h, [name(x) for x in own.content(a, a + n - 1 + spec.size)], place)
 
-    return docs.select("rid", "id", "text").mapInArrow(tidy(task), "rid long, id long, s1 long, n long, h long, u long, a int")
+    return docs.select("rid", "id", "text").mapInArrow(tidy(task), UNITS)
 
 
 def with_rows(docs: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
     """``docs`` (rid, ...) joined with their ``ranges`` (rid, s1, n, ...) as an array; a filter of the rids keeps other texts out of the shuffle."""
-    filt = docs.sparkSession.sparkContext.broadcast(once_filter(ranges.select("rid").distinct(), bits_for(count), _rids))
+    filt = docs.sparkSession.sparkContext.broadcast(once_filter(ranges.select("rid").distinct(), bits_for(count), lambda batch: iter([_low(batch.column(0))])))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = passes(filt.value, batch.column("rid").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(passes(filt.value, _low(batch.column("rid")))))
 
     grouped = ranges.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in ranges.columns if c != "rid"])).alias("ranges"))
     return docs.mapInArrow(tidy(task), docs.schema).join(grouped, "rid")
 
 
-def _rids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+def _low(rids: pa.Array) -> np.ndarray:
+    """The first eight bytes of each id."""
+    return np.frombuffer(b"".join(rids.to_pylist()), "<u8")[::2] if len(rids) else np.zeros(0, np.uint64)
+
+
+def _ranged(batch: pa.RecordBatch, spec: Windows) -> Iterator[tuple]:
+    """For slices of a batch of :func:`with_rows`: elements, batch rows of the ranges, first elements, and the ranges' fields."""
+    data, offsets = text_buffer(batch.column("text"))
+    ranges = batch.column("ranges")
+    bounds, flat = ranges.offsets.to_numpy() - ranges.offsets[0].as_py(), ranges.flatten()
+    fields = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
+    for i, j in slices(offsets, SLICE):
+        own = Elements(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], spec)
+        k = slice(int(bounds[i]), int(bounds[j]))
+        row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+        some = {c: v[k] for c, v in fields.items()}
+        yield own, pa.array(i + row, pa.int64()), own.rows[row] + some["s1"].to_numpy(zero_copy_only=False), some
+
+
+CONTEXTS = "h long, rid binary, id long, s1 long, n long, a int, single boolean, context binary"
 
 
-def window_rows(joined: DataFrame, spec: Windows) -> DataFrame:
-    """Every window of the given ranges: wh (hash), rid, id, s1."""
+def contexts(joined: DataFrame, spec: Windows) -> DataFrame:
+    """The units' bytes of :func:`with_rows` (ranges of s1, n, h, a, single): h, rid, id, s1, n, a, single, context."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            ranges = batch.column("ranges")
-            bounds, flat = ranges.offsets.to_numpy() - ranges.offsets[0].as_py(), ranges.flatten()
-            s1, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s1", "n"))
-            for a, b in slices(offsets, SLICE):
-                x, rows = elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], spec)
-                k = np.arange(bounds[a], bounds[b])
-                row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-                start = spread(s1[k] + rows[row], n[k])
-                row = np.repeat(row, n[k])
-                h = Hashes(x).of(start, start + spec.size)
-                take = pa.array(a + row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("rid").take(take), batch.column("id").take(take), pa.array(start - rows[row], pa.int64())], names=["wh", "rid", "id", "s1"])
-
-    return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), "wh long, rid long, id long, s1 long")
+            for own, rows, start, some in _ranged(batch, spec):
+                n = some["n"].to_numpy(zero_copy_only=False)
+                found = pa.array(list(own.content(start, start + n - 1 + spec.size)), pa.binary())
+                columns = [some["h"], batch.column("rid").take(rows), batch.column("id").take(rows), some["s1"], some["n"], some["a"], some["single"], found]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "rid", "id", "s1", "n", "a", "single", "context"])
+
+    return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), CONTEXTS)
+
+
+def split_units(joined: DataFrame, spec: Windows, width: int) -> DataFrame:
+    """Smaller units of :func:`with_rows`: windows of a unit whose anchor places fall into one bin of ``width``, keyed by what all windows of the bin share.
+
+    Equal windows of one anchor have it at equal places, so they fall into one bin and share its core: none is lost.
+    """
+    name = xxhash.xxh3_128_digest
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, rows, start, some in _ranged(batch, spec):
+                h, n, a, s1 = (some[c].to_numpy(zero_copy_only=False) for c in ("h", "n", "a", "s1"))
+                low = (a - n + 1) // width
+                bins = a // width - low + 1
+                of = np.repeat(np.arange(len(n)), bins)
+                k = spread(low, bins)
+                s = np.maximum(0, a[of] - (k + 1) * width + 1)  # the bin's windows within the unit: from s to e
+                e = np.minimum(n[of] - 1, a[of] - k * width)
+                core = start[of] + a[of] - k * width
+                key = [int.from_bytes(name(b"%d %d %b" % c)[:8], "little", signed=True) for c in zip(h[of].tolist(), k.tolist(), own.content(core, core - width + 1 + spec.size), strict=True)]
+                u = [name(x) for x in own.content(start[of] + s, start[of] + e + spec.size)]
+                take = rows.take(pa.array(of))
+                yield _unit_batch(batch.column("rid").take(take), batch.column("id").take(take), s1[of] + s, e - s + 1, np.array(key, np.int64), u, a[of] - s)
+
+    return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), UNITS)
+
+
+#: A key with over this share of the rows is joined by broadcast: there are fewer than HOT_SHARE of them whatever the input holds.
+HOT_SHARE = 4096
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with ``right`` (one row a key; ``weight``: at least its rows in ``left``, of ``total`` in all). Rows of hot keys stay where they are."""
+    hot = F.col(weight) * F.lit(HOT_SHARE) > F.lit(total)
+    heavy = F.broadcast(right.where(hot))
+    return left.join(heavy, on).unionByName(left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot), on))
 
 
 def covered(ranges: list, size: int) -> list[list[int]]:
@@ -173,3 +242,9 @@ def covered(ranges: list, size: int) -> list[list[int]]:
         else:
             out.append([s, s + n - 1 + size])
     return out
+
+
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and lengths of the runs of following numbers."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1])) if len(at) else np.zeros(0, np.int64)
+    return at[first], np.diff(np.concatenate([first, [len(at)]]))

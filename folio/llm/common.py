@@ -58,9 +58,11 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and everything runs in one process (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="folio-")
@@ -141,16 +143,6 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 
 
-def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
-    """Hash of x[i:i+size] for every i, from one prefix sum of x[j] * BASE**j modulo 2**64."""
-    if len(x) < size:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        c = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * powers(BASE, len(x)), out=c[1:])
-        return mix64((c[size:] - c[:-size]) * powers(BASE_INV, len(x) - size + 1))
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the index of the first word of each row (with a last bound)."""
     n = len(data)
@@ -169,13 +161,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each range as numbers of eight bytes (the last one filled up with zeros), and how many numbers each has."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    length = ends - starts
+    if len(length) and length.max() <= 8:  # most words by far
+        at, left, n = starts, length, np.ones(len(starts), np.int64)
+    else:
+        n = np.maximum(1, (length + 7) >> 3)
+        step = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * 8
+        at, left = np.repeat(starts, n) + step, np.repeat(length, n) - step
+    return eight[at].view("<u8").ravel() & _MASK[np.minimum(left, 8)], n
+
+
+#: The low k bytes, for k from 0 to 8.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def lane_hashes(values: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` lanes: every lane is mixed with its place before it is added, so that no pattern of places cancels."""
+    with np.errstate(over="ignore"):
+        first = np.cumsum(n) - n
+        if len(values) > len(n):
+            place = (np.arange(len(values)) - np.repeat(first, n)).astype(np.uint64)
+            values = np.add.reduceat(mix64(mix64(values + place * np.uint64(BASE)) ^ place), first)
+        else:
+            values = mix64(mix64(values))
+        return mix64(values ^ (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, independent of where it stands."""
-    with np.errstate(over="ignore"):
-        c = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=c[1:])
-        h = (c[ends] - c[starts]) * powers(BASE_INV, len(data) + 1)[starts]
-        return mix64(h ^ (ends - starts).astype(np.uint64))
+    return lane_hashes(*lanes(data, starts, ends), ends - starts) if len(starts) else np.zeros(0, np.uint64)
 
 
 def spread(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from folio.llm.common import mix64, slices, spread, stored, text_buffer, tidy, window_hashes, word_hashes, word_spans
+from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, stored, text_buffer, tidy, word_hashes, word_spans
 from folio.llm.components import components
 
 SHINGLE = 5
@@ -33,6 +33,16 @@ _SEEDS = np.random.default_rng(11).integers(0, 2**63, (2, ROWS * BANDS), np.uint
 _FLIP, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
 
 
+def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
+    """Hash of x[i:i+size] for every i, from one prefix sum of x[j] * BASE**j modulo 2**64."""
+    if len(x) < size:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        c = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * powers(BASE, len(x)), out=c[1:])
+        return mix64((c[size:] - c[:-size]) * powers(BASE_INV, len(x) - size + 1))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and their bounds; a row without a word has the one shingle 0."""
     data = _LOWER[data]

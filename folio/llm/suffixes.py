@@ -2,18 +2,21 @@
 
 A string of ``size`` bytes that occurs twice has the same anchor in both places (:mod:`folio.llm.anchors`), so the texts
 around one anchor make up a shard's text, and all equal strings meet in one shard. Units that occur whole twice or more
-are repeated at once and stand in the shard once. Each shard's suffix array is made by induced sorting: suffixes are
-classified, the leftmost-smaller (LMS) substrings are sorted by one induction, named, and ordered recursively, then all
-suffixes are induced from them; the permuted common prefixes are computed at irreducible places and carried on. A place
-is repeated where the common prefix with either neighbour reaches ``size``.
+(equal 128-bit digests) are repeated at once and stand in the shard once. Each shard's suffix array is made by induced
+sorting: suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by one induction, named by content,
+and ordered recursively, then all suffixes are induced from them; the permuted common prefixes are computed at
+irreducible places and carried on. A place is repeated where the common prefix with either neighbour reaches ``size``.
 
-Every step is done for a whole bucket of suffixes at a time. The recursion on names ends in rank doubling once the
-names are too many for buckets. Anchors with more than ``max_units`` different units, which no single shard should hold,
-are compared by hashes of their windows instead, and beyond 25 times as many these hashes are counted over the cluster,
-with the same result.
+Every step is done for a whole bucket of suffixes at a time, so buckets must be few: names that occur once are in place
+already and only end the strings of the others, and where there are still over ``BUCKETS`` names, each is written as two
+digits for the recursion, which keeps the suffixes' order.
+
+An anchor with over ``max_units`` different units is parted by what its windows share, and the parts take the same way;
+texts of any length are read whole, in slices of whole rows.
 
 Defined results: null text counts as empty; texts shorter than ``size`` lose nothing; rows that repeat a document repeat
-each other; nothing crosses documents; the kept bytes may end within a character; an empty table gives no row.
+each other; nothing crosses documents; the kept bytes may end within a character; other columns are left out, whatever
+their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.anchors import Hashes, Windows, covered, suspected_units, window_rows, with_rows
-from folio.llm.common import documents, spread, stored, text_buffer, tidy
+from folio.llm.anchors import Windows, contexts, covered, join_sized, row_id, runs, split_units, suspected_units, with_rows
+from folio.llm.common import documents, stored, tidy
 
 SHARD_BYTES = 3 << 17
-BUCKETS = 4096
+#: Names that a recursion sorts as they are.
+BUCKETS = 512
+MAX_UNITS = 2000
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -102,28 +107,45 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     return sa
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``names`` by doubling ranks."""
-    n, h = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        key = rank * (n + 1)
-        key[:-h or None][: n - h] += rank[h:] + 1 if h < n else 0
-        order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or h >= n:
-            return order
-        h *= 2
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of ``t``, any whole numbers from 0; a smaller sentinel is added and left out again."""
     t = np.concatenate([t.astype(np.int64) + 1, [0]])
     return _sort(t)[1:]
 
 
+def _names(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Names, from 0, of the sorted substrings of ``length`` at ``at``: equal content has one name."""
+    padded = np.concatenate([t, np.zeros(8, t.dtype)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(t), 8), (t.itemsize, t.itemsize))
+    same = length[1:] == length[:-1]
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        left = length[live] - k
+        differ = ((eight[at[live] + k] != eight[at[live + 1] + k]) & (np.arange(8) < left[:, None])).any(axis=1)
+        same[live[differ]] = False
+        live = live[~differ & (left > 8)]
+        k += 8
+    return np.concatenate([[0], np.cumsum(~same)])
+
+
+def _by_rest(names: np.ndarray, longest: int) -> np.ndarray:
+    """The places of names that occur more than once, ordered by name and what follows."""
+    once = np.bincount(names)[names] == 1
+    kept = ~once  # and the name that ends each run of them: no comparison goes past it
+    kept[1:] |= ~once[:-1]
+    at = np.flatnonzero(kept)
+    own, ranks = np.unique(names[at], return_inverse=True)
+    if len(own) > BUCKETS and 2 * len(at) < longest:
+        base = int(np.ceil(np.sqrt(len(own))))
+        digits = np.stack([ranks // base, ranks % base], axis=1).ravel()
+        order = suffix_array(digits)
+        order = order[order % 2 == 0] // 2
+    else:
+        order = suffix_array(ranks)
+    order = at[order]
+    return order[~once[order]]
+
+
 def _sort(t: np.ndarray) -> np.ndarray:
     """Suffix array of ``t``, whose last element is its only least one."""
     n = len(t)
@@ -140,15 +162,16 @@ def _sort(t: np.ndarray) -> np.ndarray:
         got = sa[is_lms[sa]]
         place = np.zeros(n, np.int64)
         place[lms] = np.arange(len(lms))
-        stop = np.minimum(np.concatenate([lms[1:], [n - 1]]) + 1, n)  # a substring ends with the next LMS element
-        h = Hashes(t.astype(np.uint64) + np.uint64(1)).of(lms, stop)[place[got]]
-        length = (stop - lms)[place[got]]
-        name = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (length[1:] != length[:-1]))])
+        length = np.minimum(np.concatenate([lms[1:], [n - 1]]) + 1, n) - lms  # a substring ends with the next LMS element
+        name = _names(narrow, got, length[place[got]])
         if name[-1] < len(lms) - 1:
             names = np.empty(len(lms), np.int64)
             names[place[got]] = name
-            got = lms[_sort(names) if name[-1] < BUCKETS else _doubling(names)]
-        sa = _induce(narrow, small, ends, got)
+            many = np.bincount(name)[name] > 1
+            got[many] = lms[_by_rest(names, n - 1)]
+            sa = _induce(narrow, small, ends, got)
+        else:
+            sa = _induce(narrow, small, ends, got)
     return sa
 
 
@@ -201,19 +224,6 @@ def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [places[a:b] - s for a, b, s in zip(cut, cut[1:], starts, strict=False)]
 
 
-def repeated_starts_hashed(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """As :func:`repeated_starts`, by hashes of all windows: eight bytes a window, for an anchor with very many units."""
-    lens = np.array([max(0, len(x) - size + 1) for x in texts], np.int64)
-    found = np.zeros(int(lens.sum()), np.uint64)
-    ends = np.cumsum(lens)
-    for e, n, x in zip(ends, lens, texts, strict=True):
-        if n:
-            found[e - n : e] = Hashes(np.frombuffer(x, np.uint8).astype(np.uint64) + np.uint64(1)).every(size)
-    _, inverse, times = np.unique(found, return_inverse=True, return_counts=True)
-    hit = times[inverse] > 1
-    return [np.flatnonzero(hit[e - n : e]) for e, n in zip(ends, lens, strict=True)]
-
-
 #: Places of the anchor within a window that share one core (the bytes that all windows with these places hold).
 CORE = 48
 
@@ -241,116 +251,94 @@ def open_ranges(group: list[tuple[int, int, bytes]], size: int) -> list[tuple[in
     return out
 
 
-_CONTEXT = {"h": pa.int64(), "rid": pa.int64(), "s1": pa.int64(), "single": pa.bool_(), "a": pa.int32(), "n": pa.int64(), "context": pa.binary()}
-
-
-def _contexts(joined: DataFrame, size: int) -> DataFrame:
-    """The units' bytes: h, rid, s1, single, a, n, context."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            data = data.tobytes()
-            rids = batch.column("rid").to_pylist()
-            out: list[list] = [[] for _ in _CONTEXT]
-            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
-                for r in ranges:
-                    s = int(offsets[i]) + r["s1"]
-                    for x, v in zip(out, (r["h"], rids[i], r["s1"], r["single"], r["a"], r["n"], data[s : s + r["n"] - 1 + size]), strict=True):
-                        x.append(v)
-                if len(out[0]) > 2000:
-                    yield pa.record_batch([pa.array(x, k) for x, k in zip(out, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
-                    out = [[] for _ in _CONTEXT]
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, _CONTEXT.values(), strict=True)], names=list(_CONTEXT))
-
-    return joined.select("rid", "text", "ranges").mapInArrow(tidy(task), "h long, rid long, s1 long, single boolean, a int, n long, context binary")
-
-
-def _sharded(contexts: DataFrame, size: int, max_units: int) -> DataFrame:
+def _sharded(units: DataFrame, size: int) -> DataFrame:
     """Repeated window ranges (rid, s1, n) of the single contexts. Rows of an anchor stay together; a shard ends with the anchor that fills it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bool, bytes]] = []
-        group: list[tuple] = []
+        held: list[tuple[bytes, int, bool, bytes]] = []
+        group: dict[tuple, tuple] = {}
         total, last = 0, None
 
         def close() -> None:
-            nonlocal total, group
-            for (r, s1, single, a, n, x), (s, e) in zip(group, open_ranges([(g[3], g[4], g[5]) for g in group], size), strict=True):
+            nonlocal total
+            for (r, s1), (a, n, x, single), (s, e) in zip(group, group.values(), open_ranges([g[:3] for g in group.values()], size), strict=True):
                 if e > s:
                     held.append((r, s1 + s, single, x[s : e - 1 + size]))
                     total += e - s - 1 + size
-            group = []
+            group.clear()
 
         def done() -> pa.RecordBatch:
             nonlocal total
             rid, s1, n = [], [], []
-            texts = [x[3] for x in held]
-            starts = repeated_starts_hashed(texts, size) if len(held) > max_units + 2000 else repeated_starts(texts, size) if held else []
-            for (r, s, single, _), at in zip(held, starts, strict=True):
+            for (r, s, single, _), at in zip(held, repeated_starts([x[3] for x in held], size) if held else (), strict=True):
                 if single and len(at):
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+                    first, many = runs(at)
                     rid += [r] * len(first)
-                    s1 += (s + at[first]).tolist()
-                    n += np.diff(np.concatenate([first, [len(at)]])).tolist()
+                    s1 += (s + first).tolist()
+                    n += many.tolist()
             held.clear()
             total = 0
-            return pa.record_batch([pa.array(x, pa.int64()) for x in (rid, s1, n)], names=["rid", "s1", "n"])
+            return pa.record_batch([pa.array(rid, pa.binary()), pa.array(s1, pa.int64()), pa.array(n, pa.int64())], names=["rid", "s1", "n"])
 
         for batch in batches:
-            for h, *row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT), strict=True):
+            for h, rid, s1, n, a, x, single in zip(*(batch.column(c).to_pylist() for c in ("h", "rid", "s1", "n", "a", "context", "single")), strict=True):
                 if h != last:
                     close()
                     if total >= SHARD_BYTES:
                         yield done()
-                group.append(tuple(row))
+                group[(rid, s1)] = (a, n, x, single)  # a row that repeats brings nothing new
                 last = h
         close()
         yield done()
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(task), "rid long, s1 long, n long")
+    return units.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(task), "rid binary, s1 long, n long")
 
 
-def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = 2000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = MAX_UNITS) -> DataFrame:
     """Ranges (rid, s1, n) of windows of ``rows`` (rid, id, text) that start at any other place too."""
     found = stored(suspected_units(rows, spec), "anchors")
-    kinds = found.groupBy("h", "u").agg(F.count("*").alias("times"), F.min(F.struct("rid", "s1")).alias("rep"))
-    seeds = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("places")).where("places > 1").select("h", "kinds")
-    met = stored(
-        found.join(kinds.join(seeds, "h"), ["h", "u"]).where("times > 1 or kinds > 1")
-        .select("rid", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.struct("rid", "s1") == F.col("rep")).alias("is_rep")), "met",
-    )
-    open_units = met.where("is_rep and kinds > 1")
-    small = open_units.where(F.col("kinds") <= 25 * max_units).select("rid", "s1", "n", "h", "a", "single")
-    out = met.where("not single").select("rid", "s1", "n").union(_sharded(_contexts(with_rows(rows, small, met.count()), spec.size), spec.size, max_units))
-    large = open_units.where(F.col("kinds") > 25 * max_units).select("rid", "s1", "n")
-    if (n := large.count()):
-        wins = stored(window_rows(with_rows(rows, large, n), spec), "windows")
-        twice = wins.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
-        out = out.union(wins.join(twice, "wh").select("rid", "s1", F.lit(1).cast("long").alias("n")))
+    out = None
+    for width in (*spec.parts, 0):
+        total = found.count()
+        kinds = found.groupBy("h", "u").agg(F.count("*").alias("times"), F.min(F.struct("rid", "s1")).alias("rep"))
+        seeds = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("places")).where("places > 1").select("h", "kinds")
+        kinds = join_sized(kinds, seeds, ["h"], "kinds", total)
+        met = stored(
+            join_sized(found, kinds, ["h", "u"], "times", total).where("times > 1 or kinds > 1")
+            .select("rid", "id", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.struct("rid", "s1") == F.col("rep")).alias("is_rep")), "met",
+        )
+        units = met.where("is_rep and kinds > 1").select("rid", "s1", "n", "h", "a", "single", "kinds")
+        count = met.count()
+        is_large = (F.col("kinds") > max_units) if width else F.lit(False)  # a part of one window is never large
+        own = met.where("not single").select("rid", "s1", "n").union(_sharded(contexts(with_rows(rows, units.where(~is_large).drop("kinds"), count), spec), spec.size))
+        out = own if out is None else out.union(own)
+        large = units.where(is_large).drop("kinds")
+        if large.isEmpty():
+            break
+        found = stored(split_units(with_rows(rows, large, count), spec, width), "parts")
     return out
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", max_units: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS) -> DataFrame:
     """One row per document: ``id_col``, kept (bytes), n_bytes, n_removed, spans (byte runs removed)."""
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(rows, Windows(size, gram, False), max_units)
-    gone = ranges.groupBy("rid").agg(F.collect_list(F.struct("s1", "n")).alias("ranges"))
+    rows = docs.select(row_id(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ranges = repeated_ranges(rows, Windows(size, gram, False, (48, 8, 1)), max_units)
+    found = ranges.groupBy("rid").agg(F.collect_list(F.struct("s1", "n")).alias("ranges"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_bytes, n_removed, spans = [], [], [], []
             for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data = (t or "").encode()
-                runs = covered(r, size)
-                cuts = [0, *(x for run in runs for x in run), len(data)]
+                gone = covered(r, size)
+                cuts = [0, *(x for run in gone for x in run), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 n_bytes.append(len(data))
-                n_removed.append(sum(b - a for a, b in runs))
-                spans.append(runs)
+                n_removed.append(sum(b - a for a, b in gone))
+                spans.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[id_col, "kept", "n_bytes", "n_removed", "spans"])
 
-    return rows.join(gone, "rid", "left").select("id", "text", "ranges").mapInArrow(tidy(task), f"`{id_col}` long, kept binary, n_bytes long, n_removed long, spans array<array<long>>")
+    return rows.join(found, "rid", "left").select("id", "text", "ranges").mapInArrow(tidy(task), f"`{id_col}` long, kept binary, n_bytes long, n_removed long, spans array<array<long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A unit is a stretch of text that the tokenizer encodes the same way wherever it stands. Which cuts are safe
 follows from the tokenizer file: byte-level vocabularies split before a single space that a non-space follows;
 vocabularies that drop white space split at every space. For any other file the unit is the whole text.
-Units are looked up by a 64-bit hash and their length in a table of arrays, a batch at a time; what is new goes to the
-tokenizers library.
+Units are looked up by a 64-bit hash in a table of arrays, a batch at a time, and their bytes are compared with those
+kept; what is new goes to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from folio.llm.common import kept, mix64, slices, spread, word_hashes
+from folio.llm.common import kept, lane_hashes, lanes, slices, spread
 
 _FREE = np.zeros(256, bool)
 _FREE[[32, 10]] = True
@@ -44,6 +44,8 @@ class UnitEncoder:
         self.known = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1, np.int64)
+        #: The bytes of the units kept, as lanes, and each unit's length.
+        self.lanes, self.lane_at, self.length = np.zeros(1 << 16, np.uint64), np.zeros(max_units + 1, np.int64), np.zeros(max_units, np.int64)
         self.mark = self._mark(spec)
 
     def _mark(self, spec: dict) -> int | None:
@@ -138,29 +140,64 @@ class UnitEncoder:
             flat = np.concatenate(parts)
         return flat, lens
 
+    def _same(self, rows: np.ndarray, values: np.ndarray, first: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the units (their lanes ``values`` from ``first``, ``n`` each) are those kept in ``rows``, byte for byte."""
+        same = self.length[rows] == length
+        ok = np.flatnonzero(same)
+        if len(ok):
+            differ = self.lanes[spread(self.lane_at[rows[ok]], n[ok])] != values[spread(first[ok], n[ok])]
+            same[ok] = ~np.logical_or.reduceat(differ, np.cumsum(n[ok]) - n[ok])
+        return same
+
+    def _keep_units(self, values: np.ndarray, n: np.ndarray, length: np.ndarray) -> None:
+        top, known = int(self.lane_at[self.known]), self.known
+        if top + len(values) > len(self.lanes):
+            self.lanes = np.concatenate([self.lanes, np.zeros(max(len(self.lanes) // 2, len(values)), np.uint64)])
+        self.lanes[top : top + len(values)] = values
+        self.lane_at[known + 1 : known + 1 + len(n)] = top + np.cumsum(n)
+        self.length[known : known + len(n)] = length
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text, of texts given as UTF-8 bytes and offsets."""
         starts, ends, first = self._units(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        keys = mix64(word_hashes(data, starts, ends) + (ends - starts).astype(np.uint64))
+        length = ends - starts
+        values, n = lanes(data, starts, ends)
+        lane = np.cumsum(n) - n
+        keys = lane_hashes(values, n, length)
         rows = self._find(keys)
         ids, at = self.ids, self.at
+        known = np.flatnonzero(rows >= 0)
+        taken = known[~self._same(rows[known], values, lane[known], n[known], length[known])]  # another unit with this hash is kept
         missing = np.flatnonzero(rows < 0)
-        if len(missing):
+        if len(missing) or len(taken):
             new, where, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            reps = missing[where]
+            own = reps[inverse]
+            # of the units that share a hash within the batch, those unlike the first are encoded one by one, and not kept
+            alike = (length[own] == length[missing]) & (n[own] == n[missing])
+            pairs = np.flatnonzero(alike)
+            if len(pairs):
+                k = n[missing[pairs]]
+                differ = values[spread(lane[own[pairs]], k)] != values[spread(lane[missing[pairs]], k)]
+                alike[pairs] = ~np.logical_or.reduceat(differ, np.cumsum(k) - k)
+            odd = np.concatenate([missing[~alike], taken])
             raw = data.tobytes()
-            flat, lens = self._encode_units([raw[a:b].decode() for a, b in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)])
+            todo = np.concatenate([reps, odd])
+            flat, lens = self._encode_units([raw[a:b].decode() for a, b in zip(starts[todo].tolist(), ends[todo].tolist(), strict=True)])
             rows[missing] = self.known + inverse
-            keep = min(len(new), self.max_units - self.known)
+            rows[odd] = self.known + len(reps) + np.arange(len(odd))
+            keep = max(min(len(new), self.max_units - self.known), 0)
             top, size = int(at[-1]), int(lens[:keep].sum())
             if top + len(flat) > len(ids):
                 ids = np.concatenate([ids, np.zeros(max(len(ids) // 2, len(flat)), np.uint32)])
             ids[top : top + len(flat)] = flat
             at = np.concatenate([at, top + np.cumsum(lens)])
-            if keep > 0:
+            if keep:
                 self._keep(new[:keep], self.known + np.arange(keep))
-            self.known += max(keep, 0)
+                self._keep_units(values[spread(lane[reps[:keep]], n[reps[:keep]])], n[reps[:keep]], length[reps[:keep]])
+            self.known += keep
             self.ids, self.at = ids, at[: self.known + 1]
         lens = at[rows + 1] - at[rows]
         total = np.concatenate([[0], np.cumsum(lens)])

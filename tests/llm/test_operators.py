@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folio.llm import chat, decontaminate, language, lines, packing, quality, queries, simhash, substrings, suffixes, token_files
+from folio.llm import chat, decontaminate, language, lines, packing, quality, queries, simhash, substrings, suffixes, token_files, tokens
 from folio.llm.common import scratch, text_buffer
 from folio.llm.components import components
 from folio.llm.tokens import UnitEncoder, encoded
@@ -347,26 +347,81 @@ def test_repeats(spark, sf_dir, hard, empty, operator):
     assert Counter((r.doc_id, r.n_words if operator is substrings else r.n_bytes, r.n_removed) for r in got) == want
 
 
-@pytest.mark.parametrize("max_units", [2000, 0])
-def test_large_groups_by_hashes(spark, max_units):
-    r = random.Random(5)
-    core = "".join(r.choice("abcdefgh ") for _ in range(900))
-    docs = [(i, core[: r.randrange(450, 900)] + words(60, i)) for i in range(40)] + [(50, "z" * 2000)]
-    df = spark.createDataFrame(docs, DOCS)
-    got = sorted((x.doc_id, x.n_bytes, x.n_removed, len(x.spans)) for x in suffixes.remove_repeats(df, max_units=max_units).collect())
-    assert got == sorted(x[:4] for x in suffixes.brute_force(docs))
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += other(s)
+    return s
+
 
+def other(s):
+    return s.translate(str.maketrans("ab", "ba"))
 
-def test_suffix_arrays():
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_units_whose_hashes_could_collide(file, weak, monkeypatch):
+    """Long words of a pattern that cancels in polynomial hashes; and any words where all hashes collide."""
+    from tokenizers import Tokenizer
+
+    if weak:
+        monkeypatch.setattr(tokens, "lane_hashes", lambda values, n, length: (length % 3).astype(np.uint64))
+    texts = [f"x {thue_morse(n)} y {other(thue_morse(n))} the cat" for n in (512, 1024, 2048)] * 2 + ["the dog", "dog cat the"]
+    plain, enc = Tokenizer.from_file(path(file)), UnitEncoder(path(file), 1000)
+    for _ in range(2):
+        for a, b, ids, counts in encoded(enc, *text_buffer(pa.array(texts)), limit=600):
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            for i in range(a, b):
+                assert ids[ends[i - a] : ends[i - a + 1]].tolist() == plain.encode(texts[i], add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("max_units", [2000, 3, 0])
+@pytest.mark.parametrize("operator", [substrings, suffixes])
+def test_hot_anchors(spark, operator, max_units):
+    """A passage in very many texts, near copies, rows that repeat, and words of colliding patterns; small limits part the groups."""
+    r = random.Random(5)
+    passage = words(90, 99)
+    frame = [" ".join(f"{c}{i}" for i in range(40)) for c in "uv"]
+    docs = [(i, f"{frame[0]} {x} {frame[1]}") for i, x in enumerate([thue_morse(1024), other(thue_morse(1024))])] + [(2, thue_morse(2048)), (3, "z" + other(thue_morse(2048)))]
+    docs += [(100 + i, words(r.randrange(5, 60), i) + "\t " + passage + ("  " if i % 2 else "\n") + words(r.randrange(5, 60), i + 900)) for i in range(60)]
+    docs += [(300 + i // 2, passage) for i in range(20)] + [(400, None), (401, ""), (402, (words(20, 5) + " ") * 40), (403, "z" * 2000)]
+    for i in range(60):
+        ws = passage.split() * 3
+        for _ in range(r.randrange(4)):
+            ws[r.randrange(len(ws))] = f"e{r.randrange(9)}"
+        docs.append((500 + i, " ".join(ws)))
+    df = spark.createDataFrame(docs, DOCS).repartition(5).withColumn("rid", pa_lit("clash")).withColumn("n_removed", pa_lit("clash"))
+    got = Counter((x.doc_id, x.n_words if operator is substrings else x.n_bytes, x.n_removed) for x in operator.remove_repeats(df, max_units=max_units).collect())
+    assert got == Counter(x[:3] for x in operator.brute_force(docs))
+
+
+@pytest.mark.parametrize("buckets", [512, 2, 5])
+def test_suffix_arrays(buckets, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKETS", buckets)
     rng = np.random.default_rng(0)
     for n, k in [(1, 2), (2, 1), (60, 1), (60, 2), (400, 3), (3000, 2), (3000, 40)]:
         t = rng.integers(0, k, n)
-        b = bytes(t.astype(np.uint8))
-        assert suffixes.suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
+        again = np.tile(t[: n // 10 + 1], 10)
+        changed = np.where(rng.random(len(again)) < 0.002, 0, again)
+        for x in (t, again, changed):
+            b = bytes(x.astype(np.uint8))
+            assert suffixes.suffix_array(x).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
     texts = [bytes(rng.integers(97, 100, rng.integers(0, 60)).astype(np.uint8)) for _ in range(200)]
     seen = Counter(x[i : i + 8] for x in texts for i in range(len(x) - 7))
     want = [[i for i in range(len(x) - 7) if seen[x[i : i + 8]] > 1] for x in texts]
-    assert [g.tolist() for g in suffixes.repeated_starts(texts, 8)] == want == [g.tolist() for g in suffixes.repeated_starts_hashed(texts, 8)]
+    assert [g.tolist() for g in suffixes.repeated_starts(texts, 8)] == want
+
+
+def test_every_suffix_is_induced(monkeypatch):
+    """Any number of names goes through the recursion: the texts of a shard are sorted by nothing else."""
+    sizes = []
+    induce = suffixes._induce
+    monkeypatch.setattr(suffixes, "_induce", lambda t, *rest: sizes.append((len(t), int(t.max()) + 1)) or induce(t, *rest))
+    t = np.frombuffer(" ".join(words(12, i % 900) for i in range(3000)).encode(), np.uint8)
+    sa = suffixes.suffix_array(t)
+    b = t.tobytes()
+    assert len(np.unique(sa)) == len(b) and all(b[i : i + 200] <= b[j : j + 200] for i, j in zip(sa, sa[1:]))
+    assert sizes[0][0] == len(t) + 1 and len({n for n, _ in sizes}) > 2 and max(k for _, k in sizes) < 1000
 
 
 def test_components(spark):
