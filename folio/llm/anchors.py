@@ -222,15 +222,20 @@ def split_units(joined: DataFrame, spec: Windows, width: int) -> DataFrame:
     return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), UNITS)
 
 
-#: A key with over this share of the rows is joined by broadcast: there are fewer than HOT_SHARE of them whatever the input holds.
+#: An anchor with over this share of the rows is hot: there are fewer than HOT_SHARE of them whatever the input holds.
 HOT_SHARE = 4096
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join with ``right`` (one row a key; ``weight``: at least its rows in ``left``, of ``total`` in all). Rows of hot keys stay where they are."""
-    hot = F.col(weight) * F.lit(HOT_SHARE) > F.lit(total)
-    heavy = F.broadcast(right.where(hot))
-    return left.join(heavy, on).unionByName(left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot), on))
+def hot_anchors(found: DataFrame, total: int) -> list[int]:
+    return [r["h"] for r in found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > F.lit(max(total, HOT_SHARE * 100))).select("h").collect()]
+
+
+def join_anchors(kinds: DataFrame, seeds: DataFrame, hot: list[int]) -> DataFrame:
+    """``kinds`` (h, ...) joined with ``seeds`` (one row an anchor). Rows of hot anchors stay where they are; their seeds are broadcast."""
+    if not hot:
+        return kinds.join(seeds, "h")
+    is_hot = F.col("h").isin(hot)
+    return kinds.where(~is_hot).join(seeds.where(~is_hot), "h").unionByName(kinds.where(is_hot).join(F.broadcast(seeds.where(is_hot)), "h"))
 
 
 def covered(ranges: list, size: int) -> list[list[int]]:

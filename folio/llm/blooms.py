@@ -95,7 +95,7 @@ def _merged(df: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Iterato
     parts = df.mapInArrow(tidy(build), "segment int, once binary, twice binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInPandas(tidy(merge), "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # compressed segments of one filter: bounded like it, and one job for all partitions
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
     return out
 

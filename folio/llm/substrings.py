@@ -19,13 +19,14 @@ not kept (one space joins the kept words); other columns are left out, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.anchors import Windows, contexts, covered, join_sized, row_id, runs, split_units, suspected_units, with_rows
+from folio.llm.anchors import Windows, contexts, covered, hot_anchors, join_anchors, row_id, runs, split_units, suspected_units, with_rows
 from folio.llm.common import documents, stored, tidy
 
 #: Units that one step extends together.
@@ -110,23 +111,23 @@ def _extended(units: DataFrame, spec: Windows) -> DataFrame:
 def repeated_windows(docs: DataFrame, spec: Windows, max_units: int = MAX_UNITS) -> DataFrame:
     """Ranges (rid, s1, n) of windows of ``docs`` (rid, id, text) that start in a document with a smaller id."""
     found = stored(suspected_units(docs.where("id is not null"), spec), "seeds")
-    out = None
+    whole, units = [], []
     for width in (*spec.parts, 0):
         total = found.count()
-        kinds = found.groupBy("h", "u").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("times"))
+        kinds = found.groupBy("h", "u").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         seeds = kinds.groupBy("h").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("kinds")).where("lo < hi").select("h", "kinds")
-        kinds = join_sized(kinds.select("h", "u", "first", "times"), seeds, ["h"], "kinds", total)
-        met = stored(join_sized(found, kinds, ["h", "u"], "times", total).select("rid", "id", "s1", "n", "h", "a", "kinds", (F.col("first") < F.col("id")).alias("whole")), "met")
-        units = met.where("not whole and kinds > 1").select("rid", "s1", "n", "h", "a", F.lit(True).alias("single"), "kinds")
-        count = met.count()
+        kinds = join_anchors(kinds.select("h", "u", "first"), seeds, hot_anchors(found, total))
+        met = stored(found.join(kinds, ["h", "u"]).select("rid", "s1", "n", "h", "a", "kinds", (F.col("first") < F.col("id")).alias("whole")), "met")
+        whole.append(met.where("whole").select("rid", "s1", "n"))
+        own = met.where("not whole and kinds > 1").select("rid", "s1", "n", "h", "a", F.lit(True).alias("single"), "kinds")
         is_large = (F.col("kinds") > max_units) if width else F.lit(False)  # a part of one window is never large
-        own = met.where("whole").select("rid", "s1", "n").union(_extended(contexts(with_rows(docs, units.where(~is_large).drop("kinds"), count), spec), spec))
-        out = own if out is None else out.union(own)
-        large = units.where(is_large).drop("kinds")
+        units.append(own.where(~is_large).drop("kinds"))
+        large = own.where(is_large).drop("kinds")
         if large.isEmpty():
             break
-        found = stored(split_units(with_rows(docs, large, count), spec, width), "parts")
-    return out
+        found = stored(split_units(with_rows(docs, large, total), spec, width), "parts")
+    units = reduce(DataFrame.union, units)
+    return reduce(DataFrame.union, whole).union(_extended(contexts(with_rows(docs, units, units.count()), spec), spec))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS) -> DataFrame:

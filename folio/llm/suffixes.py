@@ -22,18 +22,19 @@ their names; an empty table gives no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.anchors import Windows, contexts, covered, join_sized, row_id, runs, split_units, suspected_units, with_rows
+from folio.llm.anchors import Windows, contexts, covered, hot_anchors, join_anchors, row_id, runs, split_units, suspected_units, with_rows
 from folio.llm.common import documents, stored, tidy
 
 SHARD_BYTES = 3 << 17
 #: Names that a recursion sorts as they are.
-BUCKETS = 512
+BUCKETS = 2048
 MAX_UNITS = 2000
 
 
@@ -48,16 +49,26 @@ def _types(t: np.ndarray) -> np.ndarray:
     return step[at] > 0
 
 
-def _put(sa: np.ndarray, place: np.ndarray, t: np.ndarray, found: np.ndarray, sign: int) -> None:
-    """Puts the suffixes, in order, at their buckets' next places."""
+def _put(sa: np.ndarray, place: np.ndarray, t: np.ndarray, found: np.ndarray, sign: int, count: np.ndarray) -> None:
+    """Puts the suffixes, in order, at their buckets' next places. ``count``: whole numbers from 0."""
     c = t[found]
-    order = np.argsort(c, kind="stable")
+    if len(c) == 1:
+        k = c[0]
+        sa[place[k]] = found[0]
+        place[k] += sign
+        return
+    order = c.argsort(kind="stable")
     c = c[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    n = np.diff(np.concatenate([first, [len(c)]]))
-    within = np.arange(len(c)) - np.repeat(first, n)
-    sa[place[c] + sign * within] = found[order]
-    place[c[first]] += sign * n
+    cut = (c[1:] != c[:-1]).nonzero()[0]
+    first = np.zeros(len(cut) + 2, np.int64)
+    first[1:-1] = cut + 1
+    first[-1] = len(c)
+    n = first[1:] - first[:-1]
+    first = first[:-1]
+    own = c[first]
+    at = place[own]
+    sa[(at - sign * first).repeat(n) + sign * count[: len(c)]] = found[order]
+    place[own] = at + sign * n
 
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -65,45 +76,46 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     n, k = len(t), len(ends)
     heads = np.concatenate([[0], ends[:-1]])
     sa = np.full(n, -1, np.int64)
+    count = np.arange(n)
     c = t[lms]
     order = np.argsort(c, kind="stable")
-    own, bounds = lms[order], np.searchsorted(c[order], np.arange(k + 1))
-    used = np.unique(t)
+    own, bounds = lms[order], np.searchsorted(c[order], np.arange(k + 1)).tolist()
+    used = np.unique(t).tolist()
+    large, small = ~small, small.copy()
+    small[-1] = False  # place -1, before the first, and the sentinel are never induced
     place = heads.copy()
+    starts = heads.tolist()
     for b in used:
-        at = heads[b]
-        while at < place[b]:
-            now = sa[at : place[b]]
-            at = place[b]
-            found = now[now > 0] - 1
-            found = found[~small[found]]
+        at = starts[b]
+        while at < (to := int(place[b])):
+            found = sa[at:to] - 1
+            at = to
+            found = found[large[found]]
+            if len(found):
+                _put(sa, place, t, found, 1, count)
+        if bounds[b] < bounds[b + 1]:
+            found = own[bounds[b] : bounds[b + 1]] - 1
+            found = found[large[found]]
             if len(found):
-                _put(sa, place, t, found, 1)
-        now = own[bounds[b] : bounds[b + 1]]
-        found = now[now > 0] - 1
-        if len(found):
-            _put(sa, place, t, found, 1)
-    large_ends = place
+                _put(sa, place, t, found, 1, count)
+    large_ends = place.tolist()
     place = ends - 1
-    if n:
-        sa[0] = n - 1  # the sentinel's bucket
-        place[t[n - 1]] -= 1
-    for b in used[::-1]:
-        at = ends[b] - 1
-        if b == t[n - 1]:
-            at = place[b]
-        while at > place[b]:
-            now = sa[place[b] + 1 : at + 1][::-1]
-            at = place[b]
-            found = now[now > 0] - 1
+    sa[0] = n - 1  # the sentinel's bucket
+    place[t[n - 1]] -= 1
+    tops = place.tolist()
+    for b in reversed(used):
+        at = tops[b]
+        while at > (to := int(place[b])):
+            found = sa[to + 1 : at + 1][::-1] - 1
+            at = to
             found = found[small[found]]
             if len(found):
-                _put(sa, place, t, found, -1)
-        now = sa[heads[b] : large_ends[b]][::-1]
-        found = now[now > 0] - 1
-        found = found[small[found]]
-        if len(found):
-            _put(sa, place, t, found, -1)
+                _put(sa, place, t, found, -1, count)
+        if starts[b] < large_ends[b]:
+            found = sa[starts[b] : large_ends[b]][::-1] - 1
+            found = found[small[found]]
+            if len(found):
+                _put(sa, place, t, found, -1, count)
     return sa
 
 
@@ -297,32 +309,29 @@ def _sharded(units: DataFrame, size: int) -> DataFrame:
 def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = MAX_UNITS) -> DataFrame:
     """Ranges (rid, s1, n) of windows of ``rows`` (rid, id, text) that start at any other place too."""
     found = stored(suspected_units(rows, spec), "anchors")
-    out = None
+    whole, units = [], []
     for width in (*spec.parts, 0):
         total = found.count()
-        kinds = found.groupBy("h", "u").agg(F.count("*").alias("times"), F.min(F.struct("rid", "s1")).alias("rep"))
+        kinds = found.groupBy("h", "u").agg(F.count("*").alias("times"), F.min(F.xxhash64("rid", "s1")).alias("rep"))
         seeds = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("places")).where("places > 1").select("h", "kinds")
-        kinds = join_sized(kinds, seeds, ["h"], "kinds", total)
-        met = stored(
-            join_sized(found, kinds, ["h", "u"], "times", total).where("times > 1 or kinds > 1")
-            .select("rid", "id", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.struct("rid", "s1") == F.col("rep")).alias("is_rep")), "met",
-        )
-        units = met.where("is_rep and kinds > 1").select("rid", "s1", "n", "h", "a", "single", "kinds")
-        count = met.count()
+        kinds = join_anchors(kinds, seeds, hot_anchors(found, total)).where("times > 1 or kinds > 1")
+        met = stored(found.join(kinds, ["h", "u"]).select("rid", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.xxhash64("rid", "s1") == F.col("rep")).alias("is_rep")), "met")
+        whole.append(met.where("not single").select("rid", "s1", "n"))
+        own = met.where("is_rep and kinds > 1").select("rid", "s1", "n", "h", "a", "single", "kinds")
         is_large = (F.col("kinds") > max_units) if width else F.lit(False)  # a part of one window is never large
-        own = met.where("not single").select("rid", "s1", "n").union(_sharded(contexts(with_rows(rows, units.where(~is_large).drop("kinds"), count), spec), spec.size))
-        out = own if out is None else out.union(own)
-        large = units.where(is_large).drop("kinds")
+        units.append(own.where(~is_large).drop("kinds"))
+        large = own.where(is_large).drop("kinds")
         if large.isEmpty():
             break
-        found = stored(split_units(with_rows(rows, large, count), spec, width), "parts")
-    return out
+        found = stored(split_units(with_rows(rows, large, total), spec, width), "parts")
+    units = reduce(DataFrame.union, units)
+    return reduce(DataFrame.union, whole).union(_sharded(contexts(with_rows(rows, units, units.count()), spec), spec.size))
 
 
 def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS) -> DataFrame:
     """One row per document: ``id_col``, kept (bytes), n_bytes, n_removed, spans (byte runs removed)."""
     rows = docs.select(row_id(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(rows, Windows(size, gram, False, (48, 8, 1)), max_units)
+    ranges = repeated_ranges(rows, Windows(size, gram, False, (48, 1)), max_units)
     found = ranges.groupBy("rid").agg(F.collect_list(F.struct("s1", "n")).alias("ranges"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
