@@ -4,17 +4,22 @@ The automaton is built over the normalised words of the test items (the state is
 crosses from one into the next). Training words are streamed through it with the longest matching length tracked; where
 that length reaches the window, the last words are an item window, and the state names the items that hold it.
 
-Normalised: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Automata hold at most ``max_words`` words of
-items each; a larger benchmark is cut into several (an item is never cut) that documents pass one after the other, so
-what is broadcast is bounded. An item longer than ``max_words`` has an automaton of its own.
+Normalised: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. An automaton is built over ``max_words`` words of
+items at most (an item is never cut, a longer one has its own), then kept as flat arrays with sorted transitions: about
+60 bytes a word. A larger benchmark has several, which documents pass one after the other; those that a worker holds
+together stay below ``max_bytes``.
 
 Defined results: null text has no words and an item without words never occurs; null ``item_id`` items are named
-``null``; rows that repeat an item are each counted; repeated documents stay; empty tables give no row or no hit.
+``null``; rows that repeat an item are each counted; repeated documents stay; texts of any length are read whole, word by
+word; the columns that :func:`mark_hits` adds take the place of columns so named, :func:`decontaminate` keeps all columns;
+empty tables give no row or no hit.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import documents, tidy
 
 WINDOW = 8
+#: Words of items that one automaton is built over, and bytes of automata that a worker holds together.
+MAX_WORDS, MAX_BYTES = 250_000, 200 << 20
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
 
@@ -32,22 +39,14 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-class SuffixAutomaton:
-    """Of all items' words. ``windows[state]`` and ``shorts[state]`` tell what a match that ends in a state holds."""
+class _Growing:
+    """The automaton while words are added: a table of transitions for each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ids = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]) for name, ws in items if ws]
-        for _, ws in ids:
-            last = 0
-            for w in ws:
-                last = self._extend(last, w)
-        self._mark(ids)
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
-    def _extend(self, last: int, w: int) -> int:
+    def extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if w in nxt[last]:
             q = nxt[last][w]
@@ -77,71 +76,122 @@ class SuffixAutomaton:
             p = link[p]
         return clone
 
-    def _mark(self, ids: list[tuple[str, list[int]]]) -> None:
-        n, k = len(self.next), self.window
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        #: The suffix-link ancestor that holds the last `window` words, where a state's longest string has them.
-        self.base = [-1] * n
-        for v in order:
-            if self.length[v] >= k:
-                u = self.link[v]
-                self.base[v] = v if self.length[u] < k else self.base[u]
-        self.windows: dict[int, set[int]] = {}
-        short: dict[int, dict[int, set[int]]] = {}
+
+def _ints(values) -> array:
+    return array("i", np.asarray(values, np.int32).tobytes())
+
+
+class SuffixAutomaton:
+    """Of all items' words, as flat arrays: what a match that ends in a state holds is found through the arrays too.
+
+    ``first[v]`` to ``first[v + 1]`` are state v's transitions in ``word`` (sorted) and ``target``; ``root`` are those of
+    the first state by word.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.window = k = window
+        self.vocabulary: dict[bytes, int] = {}
+        ids = [(name, array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws])) for name, ws in items if ws]
         self.names = [name for name, _ in ids]
+        grown = _Growing()
+        for _, ws in ids:
+            last = 0
+            for w in ws:
+                last = grown.extend(last, w)
+        counts = np.fromiter(map(len, grown.next), np.int64, len(grown.next))
+        self.first = _ints(np.concatenate([[0], np.cumsum(counts)]))
+        self.word, self.target = array("i"), array("i")
+        for v, row in enumerate(grown.next):
+            for w in sorted(row):
+                self.word.append(w)
+                self.target.append(row[w])
+            grown.next[v] = None
+        self.root = self.target[: len(self.vocabulary)]  # every word begins somewhere, so word w is the w-th
+        self.link, self.length = grown.link, grown.length
+        self._mark(ids, k)
+
+    def step(self, v: int, w: int) -> int:
+        """The state after ``w``, -1 where there is none."""
+        if not v:
+            return self.root[w]
+        high = self.first[v + 1]
+        j = bisect_left(self.word, w, self.first[v], high)
+        return self.target[j] if j < high and self.word[j] == w else -1
+
+    def _mark(self, ids: list[tuple[str, array]], k: int) -> None:
+        link, length = self.link, self.length
+        order = np.argsort(np.frombuffer(length, np.int32), kind="stable").tolist()
+        #: The suffix-link ancestor that holds the last `window` words, where a state's longest string has them.
+        self.base = array("i", [-1]) * len(length)
+        ends: dict[int, set[int]] = {}
+        for v in order[1:]:
+            if length[v] >= k:
+                self.base[v] = v if length[link[v]] < k else self.base[link[v]]
+        state, item = array("i"), array("i")
         for i, (_, ws) in enumerate(ids):
             v = 0
             for at, w in enumerate(ws):
-                v = self.next[v][w]
+                v = self.step(v, w)
                 if at + 1 >= k:
-                    self.windows.setdefault(self.base[v], set()).add(i)
+                    state.append(self.base[v])
+                    item.append(i)
             if len(ws) < k:
-                short.setdefault(v, {}).setdefault(len(ws), set()).add(i)
-        #: For each state: (length, items) of whole short items that end there, by falling length.
-        self.shorts: dict[int, list[tuple[int, set[int]]]] = {}
-        for v in order:
-            found = dict(short.get(v, {}))
-            for length, who in self.shorts.get(self.link[v], []):
-                found[length] = found.get(length, set()) | who
-            if found:
-                self.shorts[v] = sorted(found.items(), reverse=True)
+                ends.setdefault(v, set()).add(i)
+        # the items of each window: of state u, item[held[u]] to item[held[u + 1]]
+        pairs = np.unique(np.frombuffer(state, np.int32).astype(np.int64) << 32 | np.frombuffer(item, np.int32)) if len(state) else np.zeros(0, np.int64)
+        self.item = _ints(pairs & 0xFFFFFFFF)
+        self.held = _ints(np.searchsorted(pairs >> 32, np.arange(len(length) + 1)))
+        #: Whole short items that end a state's strings, and each state's nearest ancestor (itself first) with such.
+        self.shorts = {v: (len(ids[min(who)][1]), sorted(who)) for v, who in ends.items()}
+        self.short = array("i", [0]) * len(length)
+        if ends:
+            for v in order[1:]:
+                self.short[v] = v if v in ends else self.short[link[v]]
+
+    def nbytes(self) -> int:
+        """Of the arrays and, roughly, of the words and names."""
+        arrays = (self.first, self.word, self.target, self.root, self.link, self.length, self.base, self.item, self.held, self.short)
+        return sum(x.itemsize * len(x) for x in arrays) + 150 * len(self.vocabulary) + 60 * len(self.names) + 300 * len(self.shorts)
 
     def scan(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit runs [from, to) of word places, and the items whose windows occur. Unknown words are negative."""
-        nxt, link, length, base, k, shorts = self.next, self.link, self.length, self.base, self.window, self.shorts
+        first, word, target, root, link, length, base, k = self.first, self.word, self.target, self.root, self.link, self.length, self.base, self.window
+        short, shorts = self.short, self.shorts
         v, m, who, runs, states = 0, 0, set(), [], set()
         for i, w in enumerate(ids):
             if w < 0:
                 v = m = 0
                 continue
-            t = nxt[v]
-            if w in t:
-                v = t[w]
-                m += 1
+            while v:
+                high = first[v + 1]
+                j = bisect_left(word, w, first[v], high)
+                if j < high and word[j] == w:
+                    v = target[j]
+                    m += 1
+                    break
+                v = link[v]
+                m = length[v]
             else:
-                while v and w not in nxt[v]:
-                    v = link[v]
-                m = length[v] + 1 if v or w in nxt[0] else 0
-                v = nxt[v].get(w, 0)
+                v, m = root[w], 1
             if m >= k:
                 states.add(base[v])
                 runs.append((i - m + 1, i + 1))
-            elif shorts and v in shorts:
-                for n, items in shorts[v]:
-                    if n <= m:
+            u = short[v] if shorts else 0
+            longest = m < k
+            while u:
+                n, items = shorts[u]
+                if n <= m:
+                    if longest:
                         runs.append((i - n + 1, i + 1))
-                        who |= items
-                        break
-            if shorts and v in shorts:
-                for n, items in shorts[v]:
-                    if n <= m:
-                        who |= items
+                        longest = False
+                    who.update(items)
+                u = short[link[u]]
         for s in states:
-            who |= self.windows.get(s, set())
+            who.update(self.item[self.held[s] : self.held[s + 1]])
         return runs, who
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = 2_000_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[SuffixAutomaton]:
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[SuffixAutomaton]:
     """The benchmark's automata, made as the items stream to the driver."""
     held, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
@@ -155,41 +205,58 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = 2_000_
         yield SuffixAutomaton(held, window)
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", max_words: int = 2_000_000, cut_hits: bool = False) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (word runs [from, to) inside item windows, merged) and ``items`` (their ids).
+def _groups(made: Iterator[SuffixAutomaton], max_bytes: int) -> Iterator[list[SuffixAutomaton]]:
+    """Automata that a worker holds together: below ``max_bytes``, one at least."""
+    held, size = [], 0
+    for one in made:
+        if held and size + one.nbytes() > max_bytes:
+            yield held
+            held, size = [], 0
+        held.append(one)
+        size += one.nbytes()
+    if held:
+        yield held
+
+
+def mark_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", max_words: int = MAX_WORDS, max_bytes: int = MAX_BYTES, cut_hits: bool = False,
+    added: tuple[str, str, str] = ("n_words", "hits", "items"),
+) -> DataFrame:
+    """``docs`` with the columns ``added``: number of words, word runs [from, to) inside item windows (merged) and ids of the items.
 
     With ``cut_hits`` the texts lose the hit words.
     """
-    columns = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    out = docs.select(*columns).withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.array().cast("array<array<long>>")).withColumn("items", F.array().cast("array<string>"))
+    columns = [c for c in docs.columns if c not in added]
+    n_col, hits_col, items_col = added
+    out = docs.select(*columns).withColumn(n_col, F.lit(0).cast("long")).withColumn(hits_col, F.array().cast("array<array<long>>")).withColumn(items_col, F.array().cast("array<string>"))
     spark = docs.sparkSession
-    made = list(automata(benchmark, window, max_words)) or [SuffixAutomaton([], window)]
-    for one in made:
-        told = spark.sparkContext.broadcast(one)
+    told = [spark.sparkContext.broadcast(group) for group in _groups(automata(benchmark, window, max_words), max_bytes)] or [spark.sparkContext.broadcast([SuffixAutomaton([], window)])]
+    for k, one in enumerate(told):
 
-        def task(batches: Iterator[pa.RecordBatch], told=told, last=one is made[-1]) -> Iterator[pa.RecordBatch]:
-            sa = told.value
-            get = sa.vocabulary.get
+        def task(batches: Iterator[pa.RecordBatch], one=one, last=k == len(told) - 1) -> Iterator[pa.RecordBatch]:
+            made = [(sa, sa.vocabulary.get, sa.names) for sa in one.value]
             for batch in batches:
                 n_words, hits, items = [], [], []
-                old_hits, old_items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
                 texts = batch.column(text_col).to_pylist()
-                for i, t in enumerate(texts):
+                for t, runs, who in zip(texts, batch.column(hits_col).to_pylist(), batch.column(items_col).to_pylist(), strict=True):
                     ws = words(t)
-                    runs, who = sa.scan([get(w, -1) for w in ws])
+                    for sa, get, names in made:
+                        found, whose = sa.scan([get(w, -1) for w in ws])
+                        runs += found
+                        who += [names[k] for k in whose]
                     merged: list[list[int]] = []
-                    for s, e in sorted([*runs, *map(tuple, old_hits[i])]) if runs or old_hits[i] else ():
+                    for s, e in sorted(map(tuple, runs)) if runs else ():
                         if merged and s <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], e)
                         else:
                             merged.append([s, e])
                     n_words.append(len(ws))
                     hits.append(merged)
-                    items.append(old_items[i] + [sa.names[k] for k in who])
+                    items.append(who)
                 own = {c: batch.column(c) for c in columns}
                 if cut_hits and last:
                     own[text_col] = pa.array([cut(t, h) if h else t for t, h in zip(texts, hits, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*columns, "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[*columns, *added])
 
         out = out.mapInArrow(tidy(task), out.schema)
     return out
@@ -211,10 +278,10 @@ def cut(text: str | None, hits: list[list[int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_items: int = 1, max_coverage: float = 0.5, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """Cuts every hit run out of the texts; drops documents with windows of more than ``max_items`` items, or with more than ``max_coverage`` of their words hit. Columns stay as they are."""
-    marked = mark_hits(docs, benchmark, window, text_col, cut_hits=True)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    kept = marked.where((F.size("items") <= max_items) & (n_hit <= max_coverage * F.col("n_words")))
-    return kept.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items")])
+    n_words, hits, items = added = ("__folio_words", "__folio_hits", "__folio_items")
+    marked = mark_hits(docs, benchmark, window, text_col, cut_hits=True, added=added)
+    n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
+    return marked.where((F.size(items) <= max_items) & (n_hit <= max_coverage * F.col(n_words))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

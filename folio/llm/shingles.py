@@ -1,15 +1,18 @@
-"""Near-dedup by shingle sets: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup by similarity: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash bits cannot decide this: at a similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits, with a
-spread of 3 either way. So candidates come from minhashes in ``BANDS`` bands of ``ROWS``: a pair at 0.8 shares no band
-with a probability of (1 - 0.8**4)**32, below 1e-7, and less above. Every link is then confirmed on the whole sets.
+At a similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits, with a spread of 3 either way, so that no
+bounded number of buckets keyed by fingerprint bits finds all pairs. Blocks therefore hold the documents that share one
+of ``BANDS`` keys of ``ROWS`` least shingles each: a pair at 0.8 shares no block with a probability of (1 - 0.8**4)**32,
+below 1e-7, and less above. Within a block the fingerprints' bit planes are compared as in :mod:`folio.llm.simhash`, with
+a radius of ``RADIUS`` bits, five spreads over the mean; what is left is confirmed on the whole sets.
 
-Equal sets are one node. Each bucket's members are first compared with its least one only, so a large group of near
-copies makes no pairs. Buckets whose members are not all connected by that go to a task with their sets, where all pairs
-that are still apart are compared. Links become components.
+Equal sets are one node. Each block's members are first compared with its least one only, so a large group of near
+copies makes no pairs. Blocks whose members are not all connected by that go to a task with their sets, where the bit
+planes of all members are compared, shift by shift, in lanes that are still apart. Links become components.
 
 Defined results: texts without a word are one set; a text of fewer than five words is one shingle; words are lower-cased
-in ASCII and split at ASCII white space; null ``doc_id`` rows link but never name a component.
+in ASCII and split at ASCII white space; texts of any length are read whole; null ``doc_id`` rows link but never name a
+component; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql.types import ArrayType, LongType
 
 from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, stored, text_buffer, tidy, word_hashes, word_spans
 from folio.llm.components import components
+from folio.llm.simhash import _lanes, _planes, near
 
-SHINGLE = 5
+SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 32
+RADIUS = 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, (2, ROWS * BANDS), np.uint64)
@@ -72,6 +77,13 @@ def set_names(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return mix64(np.add.reduceat(mix64(h ^ _FLIP[0]), bounds[:-1]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits a set; bit i is set where more than half of the shingle hashes have it."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, bounds[:-1], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def band_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Keys (row, band) of the sets."""
     out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
@@ -86,14 +98,14 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
 
 
-def printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def printed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """id, ``text_hash``, ``fp`` (the set's name) and ``bands``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_col))
             for a, b in slices(offsets):
-                h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 keys = band_keys(h, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col).slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(set_names(h, bounds)), _lists(keys.ravel(), np.arange(b - a + 1) * BANDS)],
@@ -104,45 +116,48 @@ def printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(tidy(task), rows.select(id_col, "text_hash").schema.add("fp", "long").add("bands", ArrayType(LongType())))
 
 
-def _sets(texts: DataFrame, text_col: str) -> DataFrame:
-    """``fp`` and ``s``, the sorted shingle hashes."""
+def _sets(texts: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """``fp``, ``bits`` (the fingerprint) and ``s``, the sorted shingle hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_col))
-            for a, b in slices(offsets):
-                h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, bounds)), _lists(h.view(np.int64), bounds)], names=["fp", "s"])
+            for a, b in slices(offsets, 1 << 18):
+                h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, bounds)), pa.array(fingerprints(h, bounds).view(np.int64)), _lists(h.view(np.int64), bounds)], names=["fp", "bits", "s"])
 
-    return texts.select(text_col).mapInArrow(tidy(task), "fp long, s array<long>")
+    return texts.select(text_col).mapInArrow(tidy(task), "fp long, bits long, s array<long>")
 
 
-def unite(roots: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Links (member, member) with a similarity of 0.8 or more that join all members' groups (``roots``) that such links join."""
+def unite(roots: np.ndarray, bits: np.ndarray, flat: np.ndarray, bounds: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (member, member) of ``similarity`` or more that join all members' groups (``roots``) that such links join."""
     label = np.unique(roots, return_inverse=True)[1]
-    vocabulary, ids = np.unique(flat, return_inverse=True)
-    sizes, out = np.diff(bounds), []
-    mark = np.zeros(len(vocabulary), np.int64)
-    for i in range(len(roots) - 1):
-        apart = np.flatnonzero((label[i + 1 :] != label[i]) & (5 * sizes[i + 1 :] >= 4 * sizes[i]) & (4 * sizes[i + 1 :] <= 5 * sizes[i])) + i + 1
-        if not len(apart):
+    planes, sizes, out = _planes(bits), np.diff(bounds), []
+    n = len(roots)
+    for d in range(1, n):
+        apart = label[:-d] != label[d:]
+        if not apart.any():
             continue
-        mark[ids[bounds[i] : bounds[i + 1]]] = 1
-        both = np.add.reduceat(mark[ids[spread(bounds[apart], sizes[apart])]], np.cumsum(sizes[apart]) - sizes[apart])
-        mark[ids[bounds[i] : bounds[i + 1]]] = 0
-        for j in apart[9 * both >= 4 * (sizes[apart] + sizes[i])].tolist():
-            if label[i] != label[j]:
-                label[label == label[j]] = label[i]
-                out.append((i, j))
+        hit = near(planes, d, int.from_bytes(np.packbits(apart, bitorder="little").tobytes(), "little"), RADIUS)
+        for i in _lanes(n - d, hit).tolist() if hit else ():
+            if label[i] == label[i + d]:
+                continue
+            x, y = sizes[i], sizes[i + d]
+            if min(x, y) < similarity * max(x, y):
+                continue
+            both = len(np.intersect1d(flat[bounds[i] : bounds[i + 1]], flat[bounds[i + d] : bounds[i + d + 1]], assume_unique=True))
+            if both + 1e-9 >= similarity * (x + y - both):
+                label[label == label[i + d]] = label[i]
+                out.append((i, i + d))
     return out
 
 
-def _mixed_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) of the buckets ``members`` (key, fp, root, s)."""
+def _mixed_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the blocks ``members`` (key, fp, root, bits, s)."""
 
-    def links(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        bounds = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
-        found = unite(np.array([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), bounds)
+    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        bounds = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+        found = unite(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64), np.concatenate([r[3] for r in rows]), bounds, similarity)
         return [(rows[i][0], rows[j][0]) for i, j in found]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +166,12 @@ def _mixed_links(members: DataFrame) -> DataFrame:
             out: list[tuple[int, int]] = []
             s = batch.column("s")
             flat, at = s.values.to_numpy(), s.offsets.to_numpy()
-            for i, (key, fp, root) in enumerate(zip(batch.column("key").to_pylist(), batch.column("fp").to_pylist(), batch.column("root").to_pylist(), strict=True)):
+            for i, (key, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "fp", "root", "bits")), strict=True)):
                 if key != last and rows:
                     out += links(rows)
                     rows = []
                 last = key
-                rows.append((fp, root, flat[at[i] : at[i + 1]].copy()))
+                rows.append((*row, flat[at[i] : at[i + 1]].copy()))
             yield _pairs(out)
         if rows:
             yield _pairs(links(rows))
@@ -169,32 +184,30 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, ``component_id`` (the least id reachable)."""
-    rows = stored(printed(docs, id_col, text_col), "shingles")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col``, ``fp`` (the set's name), ``component_id`` (the least id reachable)."""
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"blocks and radius are made for a similarity of {SIMILARITY} or more")
+    rows = stored(printed(docs, shingle, id_col, text_col), "shingles")
     least = rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
     dealt = least.select("fp", F.posexplode("bands").alias("band", "k")).select("fp", F.xxhash64("band", "k").alias("key"))
     hubs = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1").select("key", "hub")
     buckets = stored(dealt.join(hubs, "key").select("key", "fp", "hub"), "buckets")
     wanted = least.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_hash")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), text_col).join(wanted, "text_hash", "left_semi")
-    sets = stored(_sets(texts, text_col).dropDuplicates(["fp"]), "sets")
+    sets = stored(_sets(texts, shingle, text_col).dropDuplicates(["fp"]), "sets")
     pairs = buckets.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    alike = stored(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("bits").alias("p"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("bits").alias("q"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    close = both.where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS)
+    alike = stored(close.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
     roots = components(alike)
     rooted = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("low <> high")
-    # buckets with the same members count once
+    # blocks with the same members count once
     mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
-    more = _mixed_links(rooted.join(mixed, "key", "left_semi").join(sets, "fp").select("key", "fp", "root", "s"))
+    more = _mixed_links(rooted.join(mixed, "key", "left_semi").join(sets, "fp").select("key", "fp", "root", "bits", "s"), similarity)
     roots = components(alike.unionByName(more))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are their component's first (and those without an id)."""
-    firsts = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__folio_id")).distinct()
-    return docs.join(firsts, docs[id_col] == F.col("__folio_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return rows.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")

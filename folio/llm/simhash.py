@@ -7,13 +7,17 @@ more than ``split`` fingerprints is dealt anew by its other bits in the same way
 group at 2**16 fingerprints whatever the input holds.
 
 Within a task the sorted fingerprints' bit planes are kept vertically, as 64 long bit vectors. Comparing every member
-with the one d places on is 64 exclusive-ors of a plane with itself shifted by d, summed by carry-save counters of two
-bits that saturate; the block is abandoned as soon as every lane exceeds the radius. Matches are merged in the task, so
-a bucket yields at most one link a member. Links become components over distinct fingerprints.
+with the one d places on is 64 exclusive-ors of a plane with itself shifted by d, summed by carry-save counters; the
+block is abandoned as soon as every lane exceeds the radius. Matches are merged in the task, so a bucket yields at most
+one link a member. Links become components over distinct fingerprints.
+
+With ``similarity`` the same comparison finds documents whose shingle sets have at least this Jaccard similarity
+(:mod:`folio.llm.shingles`): a wide radius leaves candidates, which the sets confirm.
 
 Defined results: null or wordless text has fingerprint zero, linked like any other; copies share one fingerprint, and
 rows that repeat a ``doc_id`` are kept; null ``doc_id`` rows link but never name a component (null where no other does);
-an empty table gives no row.
+texts of any length are read whole; other columns stay in :func:`keep_first`, whatever their names, and are left out of
+:func:`near_duplicates`; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -75,22 +79,25 @@ def _lanes(n: int, word: int) -> np.ndarray:
 
 
 def near(planes: list[int], d: int, lanes: int, radius: int) -> int:
-    """Which of the lanes (a bit vector) are within ``radius`` of the one d places on: carry-save counters, saturating at 3."""
-    low = high = 0
+    """Which of the lanes (a bit vector) are within ``radius`` of the one d places on: carry-save counters, one bit vector a digit.
+
+    The counters start so high that the first difference over the radius carries out of their last digit; that lane leaves,
+    and the block is abandoned as soon as no lane is left.
+    """
+    digits = radius.bit_length() if radius else 1
+    start = (1 << digits) - 1 - radius
+    counter = [lanes if start >> k & 1 else 0 for k in range(digits)]
     alive = lanes
     for p in planes:
-        x = (p ^ (p >> d)) & alive
-        if x:
-            carry = low & x
-            low ^= x
-            over = high & carry
-            high ^= carry
-            # a lane over the radius leaves: 3 and more for radius 2, 2 for radius 1, 1 for radius 0
-            alive &= ~(over | (high & low if radius == 2 else high if radius == 1 else high | low))
+        carry = (p ^ (p >> d)) & alive
+        for k in range(digits):
+            if not carry:
+                break
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        else:
+            alive &= ~carry
             if not alive:
                 break
-            low &= alive
-            high &= alive
     return alive
 
 
@@ -190,8 +197,12 @@ def links(distinct: DataFrame, radius: int = 2, split: int = SPLIT) -> DataFrame
     return keyed.mapInPandas(tidy(task), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row per document: ``id_col``, ``fp``, ``component_id`` (the least id reachable)."""
+    if similarity is not None:
+        from folio.llm import shingles
+
+        return shingles.near_duplicates(docs, shingle, similarity, id_col, text_col)
     printed = stored(fingerprints(docs.select(id_col, text_col), shingle, text_col), "fingerprints")
     least = printed.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(least.select("fp"), radius))
@@ -200,9 +211,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return printed.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The documents that are their component's first (and those without an id)."""
-    firsts = near_duplicates(docs, shingle, radius, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__folio_id")).distinct()
+    found = near_duplicates(docs, shingle, radius, id_col, text_col, similarity)
+    firsts = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__folio_id")).distinct()
     return docs.join(firsts, docs[id_col] == F.col("__folio_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -174,6 +174,22 @@ def test_simhash_fingerprints_and_links(spark, hard, empty):
     assert {r.doc_id for r in kept} == {r.doc_id for r in rows if r.doc_id == r.component_id} | {None}
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 7, 8, 24])
+def test_counters_find_the_radius(radius):
+    r = random.Random(radius)
+    fps = []
+    for base in (r.getrandbits(64) for _ in range(4)):
+        for k in (0, 1, 2, 3, 7, 8, 9, 24, 25, 40):
+            x = base
+            for j in r.sample(range(64), k):
+                x ^= 1 << j
+            fps.append(x)
+    planes = simhash._planes(np.array(fps, np.uint64))
+    for d in range(1, len(fps)):
+        got = simhash._lanes(len(fps), simhash.near(planes, d, (1 << len(fps) - d) - 1, radius)).tolist()
+        assert got == [i for i in range(len(fps) - d) if (fps[i] ^ fps[i + d]).bit_count() <= radius]
+
+
 @pytest.mark.parametrize("split", [1024, 3])
 def test_links_join_all_pairs_in_the_radius(spark, split):
     r = random.Random(3)
@@ -247,12 +263,14 @@ def test_decontamination(spark, hard, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame(docs, DOCS)
     plain = decontaminate.brute_force(docs, [("null" if i is None else i, t) for i, t in ITEMS])
-    for limit in (2_000_000, 10):  # one automaton, and one for each item
-        marked = decontaminate.mark_hits(df, bench, max_words=limit).collect()
+    for limit in ({}, {"max_words": 10}, {"max_words": 10, "max_bytes": 1}):  # one automaton, one for each item, each in a pass of its own
+        marked = decontaminate.mark_hits(df, bench, **limit).collect()
         got = [(r.doc_id, r.n_words, sum(e - s for s, e in r.hits), len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest(), len(r["items"]) >= 2) for r in marked]
         assert sorted(got, key=str) == sorted(plain, key=str)
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(df, spark.createDataFrame([(1, words(20, 50))], "item_id long, text string"), max_coverage=0.95).collect()}
     assert cut[1] == HARD[0][1] and words(20, 50)[30:] not in cut[30] and 32 not in cut
+    clash = decontaminate.decontaminate(df.withColumn("hits", pa_lit("own")).withColumn("n_words", df.doc_id), bench)
+    assert clash.columns == ["doc_id", "text", "hits", "n_words"] and {r.hits for r in clash.collect()} == {"own"}
     assert decontaminate.mark_hits(empty, bench).count() == 0
     assert decontaminate.mark_hits(hard, bench.where("false")).where("size(hits) > 0").count() == 0
 
@@ -268,6 +286,16 @@ def test_automaton_against_all_windows(window):
         assert len({j for s, e in runs for j in range(s, e)}) == row[2] and len(who) == row[3]
 
 
+def test_automata_are_flat():
+    """Some hundred thousand words of items, held in far fewer bytes than tables of Python objects take."""
+    items = [(str(i), words(500, i, 20_000).encode().split()) for i in range(200)]
+    sa = decontaminate.SuffixAutomaton(items)
+    assert sa.nbytes() < 100 * 100_000 and len(__import__("pickle").dumps(sa)) < sa.nbytes()
+    text = items[7][1][100:300] + [b"none"] + items[9][1][:20]
+    runs, who = sa.scan([sa.vocabulary.get(w, -1) for w in text])
+    assert {7, 9} <= who and {j for s, e in runs for j in range(s, e)} >= set(range(200)) | set(range(201, 221))
+
+
 def test_benchmark_table(spark, sf_dir):
     docs, items = ([(r[0], r[1]) for r in table(spark, sf_dir, t)] for t in ("documents", "benchmark"))
     assert sorted(map(tuple, decontaminate.query(spark, sf_dir).collect())) == sorted(decontaminate.brute_force(docs, items))
