@@ -142,11 +142,11 @@ class UnitEncoder:
 
     def _same(self, rows: np.ndarray, values: np.ndarray, first: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether the units (their lanes ``values`` from ``first``, ``n`` each) are those kept in ``rows``, byte for byte."""
-        same = self.length[rows] == length
-        ok = np.flatnonzero(same)
-        if len(ok):
-            differ = self.lanes[spread(self.lane_at[rows[ok]], n[ok])] != values[spread(first[ok], n[ok])]
-            same[ok] = ~np.logical_or.reduceat(differ, np.cumsum(n[ok]) - n[ok])
+        same = (self.length[rows] == length) & (self.lanes[self.lane_at[rows]] == values[first])
+        more = np.flatnonzero(same & (n > 1))  # most units are one lane
+        if len(more):
+            differ = self.lanes[spread(self.lane_at[rows[more]], n[more])] != values[spread(first[more], n[more])]
+            same[more] = ~np.logical_or.reduceat(differ, np.cumsum(n[more]) - n[more])
         return same
 
     def _keep_units(self, values: np.ndarray, n: np.ndarray, length: np.ndarray) -> None:
@@ -168,16 +168,20 @@ class UnitEncoder:
         keys = lane_hashes(values, n, length)
         rows = self._find(keys)
         ids, at = self.ids, self.at
-        known = np.flatnonzero(rows >= 0)
-        taken = known[~self._same(rows[known], values, lane[known], n[known], length[known])]  # another unit with this hash is kept
-        missing = np.flatnonzero(rows < 0)
+        found = rows >= 0
+        if found.all():
+            taken = np.flatnonzero(~self._same(rows, values, lane, n, length))
+        else:
+            known = np.flatnonzero(found)
+            taken = known[~self._same(rows[known], values, lane[known], n[known], length[known])]  # another unit with this hash is kept
+        missing = np.flatnonzero(~found)
         if len(missing) or len(taken):
             new, where, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
             reps = missing[where]
             own = reps[inverse]
             # of the units that share a hash within the batch, those unlike the first are encoded one by one, and not kept
-            alike = (length[own] == length[missing]) & (n[own] == n[missing])
-            pairs = np.flatnonzero(alike)
+            alike = (length[own] == length[missing]) & (values[lane[own]] == values[lane[missing]])
+            pairs = np.flatnonzero(alike & (own != missing) & (n[missing] > 1))
             if len(pairs):
                 k = n[missing[pairs]]
                 differ = values[spread(lane[own[pairs]], k)] != values[spread(lane[missing[pairs]], k)]
