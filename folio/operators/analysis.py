@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,17 @@ def long_pages(totals: DataFrame, share: float = 0.8) -> DataFrame:
     return totals.withColumn("mean", mean).where(F.col("total") > share * F.col("mean")).select("htid", "page", "total")
 
 
-def page_sentiment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """htid, page, sentiment: the sum of count times valence of ``lexicon`` (token, valence)."""
-    rows = tokenlist(tokens, pos=False, case=False).select("htid", "page", F.col("lowercase").alias("token"), "count")
+#: Up to so many words a lexicon also filters the tokens before they are summed.
+LISTED_WORDS = 10_000
+
+
+def page_sentiment(tokens: DataFrame, lexicon: DataFrame, section: str = "body") -> DataFrame:
+    """htid, page, sentiment: the sum of count times valence of ``lexicon`` (token, valence) over a section's folded words."""
+    words = [r["token"] for r in lexicon.select("token").distinct().limit(LISTED_WORDS + 1).collect()]
+    rows = tokens.where(F.col("section") == section)
+    if len(words) <= LISTED_WORDS:  # a filter on the words alone passes below the tokens' own aggregate
+        rows = rows.where(F.lower("token").isin(words))
+    rows = rows.select("htid", "page", F.lower("token").alias("token"), "count")
     return rows.join(lexicon, "token").groupBy("htid", "page").agg(F.sum(F.col("count") * F.col("valence")).alias("sentiment"))
 
 
@@ -62,24 +72,39 @@ def moving_average(rows: DataFrame, value: str, window: int = 20) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(w)).withColumn("average", F.avg(value).over(w.rowsBetween(1 - window, 0)))
 
 
+def smoothed(x: np.ndarray, y: np.ndarray, share: float = 0.3) -> np.ndarray:
+    """Locally weighted linear regression at every x (sorted), with tricube weights over the nearest ``share`` of the points.
+
+    The nearest points are a window of the sorted ones, which moves on with x; windows are handled in blocks.
+    """
+    n = len(x)
+    k = min(n, max(2, int(np.ceil(share * n))))
+    low, at = np.zeros(n, np.int64), 0
+    for i in range(n):
+        while at + k < n and x[at + k] - x[i] < x[i] - x[at]:
+            at += 1
+        low[i] = at
+    out = np.zeros(n)
+    for a in range(0, n, block := max(1, 1_000_000 // max(k, 1))):
+        own = low[a : a + block, None] + np.arange(k)
+        px, py, here = x[own], y[own], x[a : a + block, None]
+        d = np.abs(px - here)
+        w = np.clip(1 - (d / np.maximum(d.max(axis=1, keepdims=True), 1e-9)) ** 3, 0, 1) ** 3
+        total = w.sum(axis=1)
+        mx, my = (w * px).sum(axis=1) / total, (w * py).sum(axis=1) / total
+        dx = px - mx[:, None]
+        var = (w * dx**2).sum(axis=1) / total
+        cov = (w * dx * (py - my[:, None])).sum(axis=1) / total
+        out[a : a + block] = my + np.where(var > 1e-12, cov / np.where(var > 1e-12, var, 1), 0) * (here[:, 0] - mx)
+    return out
+
+
 def lowess(rows: DataFrame, value: str, share: float = 0.3) -> DataFrame:
-    """``rows`` (htid, page) with ``smooth``: locally weighted linear regression with tricube weights, one volume a group."""
-    import numpy as np
-    import pandas as pd
+    """``rows`` (htid, page) with ``smooth``: see :func:`smoothed`; one volume a group."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page")
-        x, y = pdf["page"].to_numpy(float), pdf[value].to_numpy(float)
-        k = max(2, int(np.ceil(share * len(x))))
-        out = []
-        for at in x:
-            d = np.abs(x - at)
-            h = max(np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1], 1e-9)
-            w = np.clip(1 - (d / h) ** 3, 0, 1) ** 3 + 1e-12
-            mx, my = np.average(x, weights=w), np.average(y, weights=w)
-            var = np.average((x - mx) ** 2, weights=w)
-            out.append(my + (np.average((x - mx) * (y - my), weights=w) / var if var > 1e-12 else 0) * (at - mx))
-        return pd.DataFrame({"htid": pdf["htid"], "page": pdf["page"], "smooth": out})
+        return pd.DataFrame({"htid": pdf["htid"], "page": pdf["page"], "smooth": smoothed(pdf["page"].to_numpy(float), pdf[value].to_numpy(float), share)})
 
     return rows.select("htid", "page", value).groupBy("htid").applyInPandas(fit, "htid string, page int, smooth double")
 
@@ -97,3 +122,13 @@ def chunk_quality(chunks: DataFrame, target: float) -> DataFrame:
 def top(rows: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     """The first ``k`` rows by falling ``by``; ties go by the other columns given."""
     return rows.orderBy(F.desc(by), *ties).limit(k)
+
+
+def random_rows(rows: DataFrame, k: int, seed: int | None = None) -> DataFrame:
+    """``k`` rows drawn at random."""
+    return rows.orderBy(F.rand(seed)).limit(k)
+
+
+def chunk_order(chunks: DataFrame) -> DataFrame:
+    """A chunked token list in the order of its keys."""
+    return chunks.orderBy(*[c for c in ("htid", "chunk", "pstart", "pend", "section", "token", "lowercase", "pos") if c in chunks.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES_A_PAGE = 4
@@ -17,11 +17,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("htid", (F.floor(F.col("i") / LINES_A_PAGE) + 1).cast("int").alias("page"), section.alias("section"), "line")
 
 
+def _pos(token: str) -> Column:
+    return F.when(F.col(token).rlike(r"^[0-9]"), "CD").when(F.col(token).rlike(r"^\p{Lu}"), "NNP").when(F.col(token).rlike(r"^\p{L}"), "NN").otherwise("SYM")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """htid, page, section, token, pos, count."""
     words = lines(docs).select("htid", "page", "section", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
-    pos = F.when(F.col("token").rlike(r"^[0-9]"), "CD").when(F.col("token").rlike(r"^\p{Lu}"), "NNP").when(F.col("token").rlike(r"^\p{L}"), "NN").otherwise("SYM")
-    return words.withColumn("pos", pos).groupBy("htid", "page", "section", "token", "pos").agg(F.count("*").alias("count"))
+    return words.withColumn("pos", _pos("token")).groupBy("htid", "page", "section", "token", "pos").agg(F.count("*").alias("count"))
 
 
 def line_chars(docs: DataFrame) -> DataFrame:
@@ -48,8 +51,11 @@ def page_list(docs: DataFrame) -> DataFrame:
 
 def page_features(docs: DataFrame) -> DataFrame:
     """htid, page, languages, calculatedLanguage, version."""
-    langs = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.col("lang").alias("calculatedLanguage"))
-    return page_list(docs).join(langs, "htid").select("htid", "page", F.lit(None).cast("string").alias("languages"), "calculatedLanguage", F.lit("1").alias("version"))
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return docs.select(
+        F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.explode(F.sequence(F.lit(1), F.ceil(n / LINES_A_PAGE).cast("int"))).alias("page"),
+        F.lit(None).cast("string").alias("languages"), F.col("lang").alias("calculatedLanguage"), F.lit("1").alias("version"),
+    )
 
 
 def volumes(docs: DataFrame) -> DataFrame:
@@ -58,23 +64,51 @@ def volumes(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.col("lang").alias("language"), F.col("source").alias("collection"), n.alias("page_count"))
 
 
+def _section_lines(docs: DataFrame) -> DataFrame:
+    """htid, page, section, lines: one row a section, made within each document's row."""
+    split = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("ls"))
+    starts = F.sequence(F.lit(0), F.ceil(F.size("ls") / LINES_A_PAGE).cast("int") - 1)
+    pages = split.select("htid", F.posexplode(F.transform(starts, lambda p: F.slice("ls", p * LINES_A_PAGE + 1, LINES_A_PAGE))).alias("p", "ls"))
+    each = F.array(*[F.struct(F.lit(s).alias("section"), F.slice("ls", a, n).alias("lines")) for s, a, n in (("header", 1, 1), ("body", 2, LINES_A_PAGE - 2), ("footer", LINES_A_PAGE, 1))])
+    return pages.select("htid", (F.col("p") + 1).alias("page"), F.explode(each).alias("x")).select("htid", "page", "x.section", "x.lines").where(F.size("lines") > 0)
+
+
+def _counted(chars: Column) -> Column:
+    """A map from each of a few characters to how often it is there."""
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda d: d == c)))))
+
+
 def to_json_volumes(docs: DataFrame) -> DataFrame:
-    """htid, value: one nested JSON text per volume, as the scan reads them (schema version 3.0)."""
-    by_pos = tokens(docs).groupBy("htid", "page", "section", "token").agg(F.map_from_entries(F.collect_list(F.struct("pos", "count"))).alias("m"))
-    counts = by_pos.groupBy("htid", "page", "section").agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("tokenPosCount"))
-    chars = line_chars(docs).groupBy("htid", "page", "section").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("place") == "begin", F.struct("char", "count")))).alias("beginCharCounts"),
-        F.map_from_entries(F.collect_list(F.when(F.col("place") == "end", F.struct("char", "count")))).alias("endCharCount"),
+    """htid, value: one nested JSON text per volume, as the scan reads them (schema version 3.0).
+
+    Section rows are made within each document's row; only token rows and section statistics are dealt out, once, by
+    volume, and all that follows stays within the volume's partition.
+    """
+    sections = _section_lines(docs)
+
+    def total(of) -> Column:
+        return F.aggregate("lines", F.lit(0), lambda n, x: n + of(x))
+
+    text = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
+    stats = sections.select(
+        "htid", "page", "section", total(lambda x: F.regexp_count(x, F.lit(TOKEN))).alias("tokenCount"), F.size("lines").alias("lineCount"), (F.size("lines") - F.size(text)).alias("emptyLineCount"),
+        F.array_max(F.transform("lines", lambda x: F.length(F.regexp_extract(x, r"^\p{Lu}*", 0)))).alias("capAlphaSeq"),
+        F.when(F.size(text) > 0, F.aggregate(text, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit("[.!?]")))).alias("sentenceCount"),
+        _counted(F.transform(text, lambda x: F.substring(x, 1, 1))).alias("beginCharCounts"), _counted(F.transform(text, lambda x: F.substring(x, -1, 1))).alias("endCharCount"),
     )
-    parts = section_features(docs).join(counts, ["htid", "page", "section"], "left").join(chars, ["htid", "page", "section"], "left")
+    words = sections.select("htid", "page", "section", F.explode("lines").alias("line")).select("htid", "page", "section", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
+    counted = words.repartition("htid").groupBy("htid", "page", "section", "token").agg(F.count("*").alias("count"))
+    counts = counted.groupBy("htid", "page", "section").agg(F.map_from_entries(F.collect_list(F.struct("token", F.create_map(_pos("token"), "count")))).alias("tokenPosCount"))
+    parts = stats.repartition("htid").join(counts, ["htid", "page", "section"], "left")
     body = F.struct("tokenCount", "lineCount", "emptyLineCount", "capAlphaSeq", "sentenceCount", F.coalesce("tokenPosCount", F.from_json(F.lit("{}"), "map<string,map<string,bigint>>")).alias("tokenPosCount"), "beginCharCounts", "endCharCount")
-    pages = parts.groupBy("htid", "page").agg(*[F.max(F.when(F.col("section") == s, F.struct(F.to_json(body).alias("j")))).alias(s) for s in ("header", "body", "footer")])
-    page = F.concat(F.lit('{"seq":"'), F.lpad(F.col("page").cast("string"), 8, "0"), F.lit('"'), *[F.coalesce(F.concat(F.lit(f',"{s}":'), F.col(f"{s}.j")), F.lit(f',"{s}":null')) for s in ("header", "body", "footer")], F.lit("}"))
-    whole = pages.groupBy("htid").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("j")))).alias("p"))
-    meta = volumes(docs).select(F.col("htid").alias("id"), F.to_json(F.struct(F.col("htid").alias("title"), "language")).alias("metadata"))
-    joined = whole.join(meta, F.col("htid") == F.col("id"))
+    names = ("header", "body", "footer")
+    own = F.map_from_entries(F.collect_list(F.struct("section", F.to_json(body))))
+    page = F.concat(F.lit('{"seq":"'), F.lpad(F.col("page").cast("string"), 8, "0"), F.lit('"'), *[F.concat(F.lit(f',"{s}":'), F.coalesce(F.col("own")[s], F.lit("null"))) for s in names], F.lit("}"))
+    pages = parts.groupBy("htid", "page").agg(own.alias("own")).select("htid", F.struct("page", page.alias("j")).alias("p"))
+    whole = pages.groupBy("htid").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    meta = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.to_json(F.struct(F.concat(F.lit("doc."), F.col("doc_id")).alias("title"), F.col("lang").alias("language"))).alias("metadata"))
     text = F.concat(F.lit('{"id":"'), F.col("htid"), F.lit('","metadata":'), F.col("metadata"), F.lit(',"features":{"schemaVersion":"3.0","pageCount":'), F.size("p").cast("string"), F.lit(',"pages":['), F.array_join(F.transform("p", lambda x: x["j"]), ","), F.lit("]}}"))
-    return joined.select("htid", text.alias("value"))
+    return whole.join(meta, "htid").select("htid", text.alias("value"))
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:

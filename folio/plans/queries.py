@@ -153,12 +153,40 @@ def _modulo(s: SparkSession, d: str) -> DataFrame:
     return chunking.modulo_chunks(_totals(s, d), _TARGET)
 
 
+def _chunk_sql(strategy: str) -> str:
+    """Tables that end in ``lab`` (htid, page, chunk): the cuts by a recursion over rounds, every page tried in each."""
+    two, shared = strategy != "last", {"last": "0", "even": "sur / greatest(2, round_even(whole / {t}, 0))", "ends": "sur / CASE WHEN turn = 0 THEN 2 ELSE greatest(2, round_even(whole / {t}, 0)) END"}[strategy].format(t=f"{_TARGET}.0")
+    return _TOTALS + f""",
+z AS (SELECT htid, page, total, row_number() OVER w - 1 AS i, sum(total) OVER w - total AS before FROM p WINDOW w AS (PARTITION BY htid ORDER BY page)),
+v AS (SELECT htid, count(*) AS n, sum(total) AS whole FROM p GROUP BY htid),
+cum AS (SELECT htid, i, CAST(before AS DOUBLE) AS t FROM z UNION ALL SELECT htid, n, CAST(whole AS DOUBLE) FROM v),
+s AS (SELECT htid, n, 0 AS turn, CAST(0 AS BIGINT) AS low, n AS high, CAST(0 AS BIGINT) AS c1, CAST(NULL AS BIGINT) AS c2 FROM v
+  UNION ALL
+  SELECT htid, n, turn + 1, CASE WHEN halves THEN high ELSE f END, CASE WHEN halves OR f = n THEN CASE WHEN halves THEN high ELSE f END ELSE greatest(b, f) END, CASE WHEN halves THEN h ELSE f END, CASE WHEN NOT halves AND f < n AND {two} THEN b END
+  FROM (SELECT htid, n, turn, low, high, halves, h.k AS h, f.k AS f, CASE WHEN {two} THEN -b.k ELSE high END AS b FROM (
+    SELECT htid, n, turn, low, high, halves, min(CASE WHEN i > low THEN {{'d': abs(t - t0 - whole / 2), 'k': i}} END) AS h, min(CASE WHEN i > low THEN {{'d': abs(t - t0 - goal), 'k': i}} END) AS f,
+      min(CASE WHEN i < high THEN {{'d': abs(t1 - t - goal), 'k': -i}} END) AS b
+    FROM (SELECT *, {_TARGET} + {shared} AS goal, {two} AND whole < 2.5 * {_TARGET} AS halves FROM (SELECT *, CASE WHEN ov > {_TARGET} - ov THEN ov - {_TARGET} ELSE ov END AS sur FROM
+      (SELECT s.*, a.i, a.t, lo.t AS t0, hi.t AS t1, hi.t - lo.t AS whole, (hi.t - lo.t) % {_TARGET} AS ov FROM s JOIN cum lo ON s.htid = lo.htid AND lo.i = low JOIN cum hi ON s.htid = hi.htid AND hi.i = high JOIN cum a ON s.htid = a.htid AND a.i BETWEEN low AND high
+       WHERE low < high AND hi.t - lo.t >= 1.5 * {_TARGET}))) GROUP BY htid, n, turn, low, high, halves))),
+m AS (SELECT DISTINCT htid, unnest([c1, c2]) AS i FROM s),
+lab AS (SELECT htid, page, CAST(sum(CASE WHEN m.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY htid ORDER BY page) AS INTEGER) AS chunk FROM z LEFT JOIN m USING (htid, i))"""
+
+
+def _recursive(name: str, sql: str, strategy: str) -> Callable[[Query], Query]:
+    return query(name, f"WITH RECURSIVE {_chunk_sql(strategy).strip()} {sql}")
+
+
 for _name in chunking.STRATEGIES:
-    query(f"chunk_{_name}", None)(lambda s, d, n=_name: chunking.page_labels(_totals(s, d), _TARGET, n))
-query("chunk_tokenlist_page_ref", None)(lambda s, d: tokens.tokenlist(_tokens(s, d), chunk=True, chunk_target=_TARGET, page_ref=True))
+    _recursive(f"chunk_{_name}", "SELECT htid, page, chunk FROM lab", _name)(lambda s, d, n=_name: chunking.page_labels(_totals(s, d), _TARGET, n))
+_recursive("chunk_tokenlist_page_ref", """SELECT htid, chunk, pstart, pend, section, token, pos, CAST(sum(count) AS BIGINT) AS count
+  FROM t JOIN (SELECT *, min(page) OVER w AS pstart, max(page) OVER w AS pend FROM lab WINDOW w AS (PARTITION BY htid, chunk)) USING (htid, page) WHERE section = 'body' GROUP BY ALL""", "ends")(
+    lambda s, d: tokens.tokenlist(_tokens(s, d), chunk=True, chunk_target=_TARGET, page_ref=True)
+)
 
 
-@query("chunk_quality", None)
+@_recursive("chunk_quality", f"""SELECT round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS std, min(e) AS min, max(e) AS max, median(e) AS median
+  FROM (SELECT CAST(sum(total) - {_TARGET} AS DOUBLE) AS e FROM p JOIN lab USING (htid, page) GROUP BY htid, chunk)""", "ends")
 def _quality(s: SparkSession, d: str) -> DataFrame:
     t = _totals(s, d)
     chunks = t.join(chunking.page_labels(t, _TARGET), ["htid", "page"]).groupBy("htid", "chunk").agg(F.sum("total").alias("total"))
@@ -196,22 +224,16 @@ def _sentiment(s: SparkSession, d: str) -> DataFrame:
 query("page_sentiment", _SENTIMENT, _TOKENS)(_sentiment)
 query("sentiment_moving_avg", f"""SELECT htid, page, sentiment, CAST(row_number() OVER w AS INTEGER) AS seq, round(avg(sentiment) OVER (PARTITION BY htid ORDER BY page ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS average
   FROM ({_SENTIMENT}) WINDOW w AS (PARTITION BY htid ORDER BY page)""", _TOKENS)(lambda s, d: analysis.moving_average(_sentiment(s, d), "sentiment").withColumn("average", F.round("average", 6)))
-query("sentiment_lowess", None)(lambda s, d: analysis.lowess(_sentiment(s, d).withColumn("sentiment", F.col("sentiment").cast("double")), "sentiment"))
-_N_VECTORS, _DIM = 200, 64
-
-
-@query("doc_vectors", f"""SELECT htid, round(CASE WHEN n > 10 THEN v0 END, 6) AS v0, round(CASE WHEN n > 10 THEN v63 END, 6) AS v63 FROM (SELECT DISTINCT htid FROM t WHERE section = 'body') LEFT JOIN (
-  SELECT htid, count(*) AS n, sum(ln(1 + count) * CAST(embedding[1] AS DOUBLE)) AS v0, sum(ln(1 + count) * CAST(embedding[64] AS DOUBLE)) AS v63 FROM
-  (SELECT htid, token, sum(count) AS count FROM t WHERE section = 'body' GROUP BY ALL) JOIN (SELECT token, row_number() OVER (ORDER BY sum(count) DESC, token) AS r FROM t WHERE section = 'body' GROUP BY token QUALIFY r <= {_N_VECTORS}) USING (token)
-  JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings QUALIFY r <= {_N_VECTORS}) USING (r) GROUP BY htid) USING (htid)""", _TOKENS)
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    body = _tokens(s, d).where("section = 'body'")
-    words = analysis.top(body.groupBy("token").agg(F.sum("count").alias("count")), "count", _N_VECTORS, "token")
-    words = words.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "token")))  # the model's vocabulary: 200 rows
-    vecs = s.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").limit(_N_VECTORS)
-    vecs = vecs.select(F.row_number().over(Window.orderBy("vec_id")).alias("r"), F.col("embedding").cast("array<double>").alias("vec"))
-    found = vectors.document_vectors(body, words.join(vecs, "r").select("token", "vec"), _DIM)
-    return found.select("htid", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[63], 6).alias("v63"))
+query("sentiment_lowess", f"""SELECT htid, page, round(my + CASE WHEN var > 1e-12 THEN cov / var ELSE 0 END * (page - mx), 6) AS smooth FROM (
+  SELECT htid, page, mx, my, sum(w * (x - mx) * (x - mx)) / sum(w) AS var, sum(w * (x - mx) * (y - my)) / sum(w) AS cov FROM (
+    SELECT *, sum(w * x) OVER g / sum(w) OVER g AS mx, sum(w * y) OVER g / sum(w) OVER g AS my FROM (
+      SELECT htid, page, x, y, power(greatest(0, 1 - power(d / greatest(ds[CAST(least(n, greatest(2, ceil(CAST(0.3 AS DOUBLE) * n))) AS INTEGER)], 1e-9), 3)), 3) AS w FROM (
+        SELECT *, list(d ORDER BY d) OVER (PARTITION BY htid, page) AS ds, count(*) OVER (PARTITION BY htid, page) AS n FROM (
+          SELECT a.htid, a.page, CAST(b.page AS DOUBLE) AS x, CAST(b.sentiment AS DOUBLE) AS y, CAST(abs(a.page - b.page) AS DOUBLE) AS d FROM ({_SENTIMENT}) a JOIN ({_SENTIMENT}) b ON a.htid = b.htid)))
+    WINDOW g AS (PARTITION BY htid, page)) GROUP BY ALL)""", _TOKENS)(
+    lambda s, d: analysis.lowess(_sentiment(s, d).withColumn("sentiment", F.col("sentiment").cast("double")), "sentiment").withColumn("smooth", F.round("smooth", 6))
+)
+_DIM = 64
 
 
 def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
@@ -225,17 +247,20 @@ def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
     return placed.withColumn("place", place).join(offsets, "part").withColumn("r", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
-# doc_vectors and its SQL stop at the first vectors and two dimensions; this has the whole table and all dimensions
-@query("doc_vectors_whole", None)
-def _whole_vectors(s: SparkSession, d: str) -> DataFrame:
+@query("doc_vectors", f"""SELECT htid, dim, round(CASE WHEN n > 10 THEN value END, 6) AS value FROM (SELECT htid, CAST(dim AS INTEGER) AS dim FROM (SELECT DISTINCT htid FROM t WHERE section = 'body'), range({_DIM}) g(dim)) LEFT JOIN (
+  SELECT htid, CAST(i AS INTEGER) AS dim, count(*) AS n, sum(ln(1 + count) * CAST(embedding[i + 1] AS DOUBLE)) AS value FROM
+  (SELECT htid, token, sum(count) AS count FROM t WHERE section = 'body' GROUP BY ALL) JOIN (SELECT token, row_number() OVER (ORDER BY sum(count) DESC, token) AS r FROM t WHERE section = 'body' GROUP BY token) USING (token)
+  JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) USING (r), range({_DIM}) x(i) GROUP BY htid, i) USING (htid, dim)""", _TOKENS)
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    """Every vector goes to the word of its rank; all dimensions, one a row."""
     lines = bridge.lines(bridge.read(s, d)).where("section = 'body'")
     path = scratch(s, "body")  # read three times
     lines.select("htid", F.explode(F.regexp_extract_all("line", F.lit(bridge.TOKEN), F.lit(0))).alias("token")).groupBy("htid", "token").agg(F.count("*").alias("count")).write.parquet(path)
-    body = s.read.parquet(path)
+    body = s.read.schema("htid string, token string, count long").parquet(path)
     words = _ranked(body.groupBy("token").agg(F.sum("count").alias("count")), "words", F.desc("count"), F.asc("token"))
     vecs = _ranked(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vectors", F.asc("vec_id"))
     found = vectors.document_vectors(body, words.join(vecs, "r").select("token", "vec"), _DIM)
-    return found.select("htid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return found.select("htid", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
