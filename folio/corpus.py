@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio import config
 from folio.functions.ids import file_or_id
 from folio.model import MissingDataError
+from folio.operators import analysis
 from folio.operators import features as feats
 from folio.operators import tokens as toks
 from folio.sources import metadata, stores, volumes
@@ -36,6 +38,37 @@ class Corpus:
             raise AssertionError("no paths")
         return cls.from_raw(volumes.read_files(spark, paths), **kw)
 
+    @classmethod
+    def from_handler(cls, spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str], **kw) -> Corpus:
+        """From files of any format: ``parse`` makes a file's bytes a nested text, on the executors."""
+        return cls.from_raw(volumes.read_with(spark, paths, parse), **kw)
+
+    @classmethod
+    def open(cls, spark: SparkSession, paths: str | list[str] | None = None, ids: list[str] | None = None, store: stores.Store | None = None, format: str | None = None, compression: str | None = None, **kw) -> Corpus:
+        """From ``paths`` or from ``ids`` (in a ``store``, or below ``root`` in a layout), but not from both.
+
+        What ``format`` and ``compression`` leave open is learnt from the first path's name; if they don't agree with it,
+        TypeError is raised.
+        """
+        if (paths is None) == (ids is None):
+            raise TypeError("either paths or ids")
+        if ids is not None:
+            if store is not None:
+                return cls.from_raw(store.get(spark.createDataFrame([(i,) for i in ids], "htid string")), **kw)
+            return cls.from_ids(spark, ids, **kw | ({"compression": compression} if compression else {}))
+        if store is not None:
+            raise TypeError("a store is asked for ids")
+        paths = [paths] if isinstance(paths, str) else list(paths)
+        own = config.learn(paths[0]) if paths and "." in paths[0].rsplit("/", 1)[-1] else {}
+        for name, given in (("format", format), ("compression", compression)):
+            if given is not None and own and own[name] != given:
+                raise TypeError(f"{name} is {own[name]} by the first path's name, not {given}")
+        if (format or own.get("format", "json")) == "parquet":
+            if len(paths) > 1:
+                raise TypeError("one folder of tables")
+            return cls.from_tables(spark, paths[0], **kw)
+        return cls.from_paths(spark, paths, **kw)
+
     @classmethod
     def from_ids(cls, spark: SparkSession, ids: list[str], root: str, layout: str = "stubbytree", compression: str | None = "bz2", **kw) -> Corpus:
         from folio.functions.ids import path_text
@@ -70,6 +103,17 @@ class Corpus:
     def ids(self) -> DataFrame:
         return next(iter(self._tables.values())).select("htid").distinct()
 
+    def first(self) -> Volume:
+        """The volume with the least id."""
+        found = self.ids.orderBy("htid").first()
+        if found is None:
+            raise MissingDataError("the corpus has no volume")
+        return self.volume(found["htid"])
+
+    def random_rows(self, k: int = 10, seed: int | None = None) -> DataFrame:
+        """Some rows of the token table, drawn at random."""
+        return analysis.random_rows(self.tokens, k, seed)
+
     def persist(self) -> Corpus:
         """Keeps the tables once computed."""
         self._tables = {k: v.persist() for k, v in self._tables.items()}
@@ -117,8 +161,16 @@ class Corpus:
         """``fn`` on each volume's token list."""
         return self.tokenlist(**kw).groupBy("htid").applyInPandas(fn, schema)
 
-    def save(self, folder: str, files: tuple[str, ...] = ("meta", "tokens"), token_kwargs: dict | None = None, compression: str = "snappy", mode: str = "errorifexists") -> None:
-        """Parquet tables; tokens are folded by ``token_kwargs`` first (all sections unless it says otherwise)."""
+    def save(self, folder: str, files: tuple[str, ...] | None = None, token_kwargs: dict | None = None, compression: str | None = None, mode: str = "errorifexists", format: str = "parquet", layout: str = "stubbytree") -> None:
+        """Parquet tables (by default meta and tokens; tokens are folded by ``token_kwargs`` first, all sections unless it says otherwise), or with ``format='json'`` the nested texts in a layout."""
+        if format == "json":
+            if files or token_kwargs:
+                raise TypeError("nested texts are saved whole")
+            stores.copy_volumes(None, self.jsons(parsed=False), folder, layout, compression or "bz2")
+            return
+        if format != "parquet":
+            raise ValueError(f"no such format: {format}")
+        files, compression = files or ("meta", "tokens"), compression or "snappy"
         made = {}
         if "meta" in files:
             made["meta"] = self.volumes
@@ -169,3 +221,25 @@ class Page:
 
     def token_count(self) -> DataFrame:
         return self.section_features(feature="tokenCount")
+
+    def line_count(self, **kw) -> DataFrame:
+        return self.section_features(feature="lineCount", **kw)
+
+    def empty_line_count(self, **kw) -> DataFrame:
+        return self.section_features(feature="emptyLineCount", **kw)
+
+    def cap_alpha_seq(self) -> DataFrame:
+        """Of the body: the count is kept for no other section."""
+        return self.section_features(feature="capAlphaSeq", section="body")
+
+    def sentence_count(self, **kw) -> DataFrame:
+        return self.section_features(feature="sentenceCount", **kw)
+
+    def begin_line_chars(self, **kw) -> DataFrame:
+        return self.line_chars(place="begin", **kw)
+
+    def end_line_chars(self, **kw) -> DataFrame:
+        return self.line_chars(place="end", **kw)
+
+    def page_features(self) -> DataFrame:
+        return feats.page_features(self.volume.page_features, page_select=self.seq)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 import os
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +19,26 @@ from folio.model import MissingDataError
 KINDS = ("meta", "tokens", "chars", "section")
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, compression: str = "snappy", mode: str = "errorifexists") -> None:
-    """Each kind of table as one Parquet dataset below ``folder``, sorted within files for pruning by volume and page."""
+def write_tables(tables: dict[str, DataFrame], folder: str, compression: str = "snappy", mode: str = "errorifexists", order: tuple[str, ...] | None = None) -> None:
+    """Each kind of table as one Parquet dataset below ``folder``, sorted within files (by ``order``, or for pruning by volume and page)."""
     for kind, df in tables.items():
         if kind not in KINDS:
             raise ValueError(f"no such kind of table: {kind}")
-        keys = [c for c in ("htid", "page", "chunk", "section", "token", "lowercase", "pos") if c in df.columns]
+        keys = [c for c in order or ("htid", "page", "chunk", "section", "token", "lowercase", "pos") if c in df.columns]
         df.sortWithinPartitions(*keys).write.mode(mode).option("compression", compression).parquet(f"{folder}/{kind}")
 
 
+def sort_order_sizes(tokens: DataFrame, folder: str, keys: tuple[str, ...] = ("page", "section", "token", "pos"), compression: str = "snappy") -> DataFrame:
+    """``keys`` (joined by commas) and ``bytes``: the size of the token table written in each order of its keys within a volume."""
+    spark, rows = tokens.sparkSession, []
+    for order in itertools.permutations(keys):
+        path = f"{folder}/{'-'.join(order)}"
+        write_tables({"tokens": tokens}, path, compression, order=("htid", *order))
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        rows.append((",".join(order), sizes.agg(F.sum("length")).first()[0] or 0))
+    return spark.createDataFrame(rows, "keys string, bytes long")
+
+
 def read_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """One kind of table; unsigned page and count columns come back signed. A missing one raises MissingDataError."""
     try:
@@ -43,8 +56,9 @@ def read_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 def read_volume_tables(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Per-volume Parquet files ``<id>.<kind>.parquet`` anywhere below ``folder``, with htid from their names."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}.parquet").option("mergeSchema", "true").parquet(folder)
+    columns = [c for c in df.columns if c != "htid"]
     df = df.withColumn("htid", ids.extract_htid(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)))
-    return df.select("htid", *[F.col(c).cast("int") if c in ("page", "chunk") else F.col(c).cast("bigint") if c == "count" else F.col(c) for c in df.columns if c != "htid"])
+    return df.select("htid", *[F.col(c).cast("int").alias(c) if c in ("page", "chunk") else F.col(c).cast("bigint").alias(c) if c == "count" else F.col(c) for c in columns])
 
 
 def _filesystem(path: str):
@@ -53,10 +67,16 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _part(path: str) -> str:
+    """A name of its own for each attempt, so that speculative or repeated tasks never share a file."""
+    return f"{path}.{uuid.uuid4().hex}.part"
+
+
 def write_volumes(raw: DataFrame, root: str, layout: str = "stubbytree", compression: str | None = "bz2") -> DataFrame:
-    """One nested file per volume of ``raw`` (htid, value) in a layout; returns htid and path once written.
+    """One nested file per volume of ``raw`` (htid, value) in a layout, written when the result (htid, path) is used.
 
-    Files appear by rename, so a repeated task leaves whole files. ``ziptree`` appends by bucket and refuses doubles.
+    Files appear by rename, so a repeated task leaves whole files. ``ziptree`` adds to the archives that are there and
+    refuses doubles; a task that repeats after it has put its archive in place is refused too.
     """
     if layout == "ziptree":
         return _write_zips(raw, root)
@@ -71,46 +91,76 @@ def write_volumes(raw: DataFrame, root: str, layout: str = "stubbytree", compres
         for pdf in batches:
             for path, value in zip(pdf["path"], pdf["value"], strict=True):
                 files.create_dir(os.path.dirname(f"{top}/{path}"), recursive=True)
-                with files.open_output_stream(f"{top}/{path}.part", compression=None) as f:
+                with files.open_output_stream(part := _part(f"{top}/{path}"), compression=None) as f:
                     f.write(pack(value.encode()))
-                files.move(f"{top}/{path}.part", f"{top}/{path}")
+                files.move(part, f"{top}/{path}")
             yield pdf[["htid", "path"]]
 
     return raw.select("htid", place.alias("path"), "value").mapInPandas(task, "htid string, path string")
 
 
+class _Archive:
+    """A bucket's archive while volumes are added: what is there already is copied, entry by entry, and nothing is held."""
+
+    def __init__(self, files, top: str, bucket: str):
+        self.files, self.path = files, f"{top}/{bucket}.zip"
+        files.create_dir(top, recursive=True)
+        self.part = _part(self.path)
+        self.stream = files.open_output_stream(self.part, compression=None)
+        self.out, self.names = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED), set()
+        if files.get_file_info(self.path).is_file:
+            with files.open_input_file(self.path) as f, zipfile.ZipFile(f) as old:
+                for name in old.namelist():
+                    self.add(name, old.read(name))
+
+    def add(self, name: str, value: str | bytes) -> None:
+        if name in self.names:
+            self.out.close()
+            self.stream.close()
+            self.files.delete_file(self.part)
+            raise KeyError(f"a volume is twice in an archive: {name}")
+        self.names.add(name)
+        self.out.writestr(name, value)
+
+    def close(self) -> None:
+        self.out.close()
+        self.stream.close()
+        self.files.move(self.part, self.path)
+
+
 def _write_zips(raw: DataFrame, root: str, hash_chars: int = 3) -> DataFrame:
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = _filesystem(root)
-        bucket = pdf["bucket"].iloc[0]
-        data = io.BytesIO()
-        names = pdf["name"].tolist()
-        if len(set(names)) < len(names):
-            raise KeyError("a volume is twice in an archive")
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, value in zip(names, pdf["value"], strict=True):
-                z.writestr(name, value)
-        files.create_dir(top, recursive=True)
-        with files.open_output_stream(f"{top}/{bucket}.zip.part", compression=None) as f:
-            f.write(data.getvalue())
-        files.move(f"{top}/{bucket}.zip.part", f"{top}/{bucket}.zip")
-        return pd.DataFrame({"htid": pdf["htid"], "path": f"{bucket}.zip"})
+        bucket, archive = None, None
+        for pdf in batches:  # sorted by bucket: one archive is open at a time, and its volumes stream into it
+            for b, name, value in zip(pdf["bucket"], pdf["name"], pdf["value"], strict=True):
+                if b != bucket:
+                    if archive:
+                        archive.close()
+                    bucket, archive = b, _Archive(files, top, b)
+                archive.add(name, value)
+            yield pd.DataFrame({"htid": pdf["htid"], "path": pdf["bucket"] + ".zip"})
+        if archive:
+            archive.close()
 
     rows = raw.select("htid", ids.zip_bucket("htid", hash_chars).alias("bucket"), ids.file_name("htid", "json", None).alias("name"), "value")
-    return rows.groupBy("bucket").applyInPandas(pack, "htid string, path string")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "name").mapInPandas(pack, "htid string, path string")
 
 
 def read_zips(spark: SparkSession, root: str) -> DataFrame:
-    """htid, value of all volumes in the archives below ``root``."""
+    """htid, value of all volumes in the archives below ``root``; archives are opened where they are, an entry at a time."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    names = [n for n in z.namelist() if n.endswith(".json")]
-                    yield pd.DataFrame({"htid": [ids.extract_text(n) for n in names], "value": [z.read(n).decode() for n in names]})
+            for path in pdf["path"]:
+                files, at = _filesystem(path)
+                with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                    for n in z.namelist():
+                        if n.endswith(".json"):
+                            yield pd.DataFrame({"htid": [ids.extract_text(n)], "value": [z.read(n).decode()]})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("content").mapInPandas(task, "htid string, value string")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path")  # contents are not read
+    return listed.mapInPandas(task, "htid string, value string")
 
 
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
@@ -119,6 +169,34 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
     return df.select(ids.extract_htid(F.element_at(F.split("path", "/"), -1)).alias("htid"), "content")
 
 
+def read_ids(wanted: DataFrame, root: str, layout: str = "stubbytree", compression: str | None = "bz2") -> DataFrame:
+    """htid, value of the wanted ids that a layout below ``root`` has; each task opens its own ids' files, nothing is listed."""
+    place = F.concat(ids.zip_bucket("htid"), F.lit(".zip")) if layout == "ziptree" else ids.LAYOUTS[layout]("htid", "json", compression)
+    rows = wanted.select("htid", place.alias("path"), ids.file_name("htid", "json", None).alias("name"))
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import bz2
+        import gzip
+
+        unpack = {"bz2": bz2.decompress, "gz": gzip.decompress, None: bytes}[None if layout == "ziptree" else compression]
+        files, top = _filesystem(root)
+        for pdf in batches:
+            found = []
+            for htid, path, name in zip(pdf["htid"], pdf["path"], pdf["name"], strict=True):
+                if not files.get_file_info(f"{top}/{path}").is_file:
+                    continue
+                with files.open_input_file(f"{top}/{path}") as f:
+                    if layout == "ziptree":
+                        with zipfile.ZipFile(f) as z:
+                            if name in z.NameToInfo:
+                                found.append((htid, z.read(name).decode()))
+                    else:
+                        found.append((htid, unpack(f.read()).decode()))
+            yield pd.DataFrame(found, columns=["htid", "value"])
+
+    return rows.mapInPandas(task, "htid string, value string")
+
+
 def fetched(wanted: DataFrame, fetch: Callable[[str], str] | None = None) -> DataFrame:
     """htid, value through a fetcher called per id on executors; without one, a clear error: this build has no network."""
     if fetch is None:
@@ -131,12 +209,37 @@ def fetched(wanted: DataFrame, fetch: Callable[[str], str] | None = None) -> Dat
     return wanted.select("htid").mapInPandas(task, "htid string, value string")
 
 
-def with_fallback(wanted: DataFrame, cached: DataFrame, fallback: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """htid, value of the wanted ids: from ``cached`` where it has them, else from ``fallback`` (called with the missing ids), written back by ``write``."""
+def url_fetcher(template: str, timeout: float = 60) -> Callable[[str], str]:
+    """A fetcher of ``template`` with ``{id}`` (the quoted id) or ``{clean}`` (its file name form); .bz2 and .gz answers are unpacked."""
+
+    def fetch(htid: str) -> str:
+        import bz2
+        import gzip
+        import urllib.parse
+        import urllib.request
+
+        url = template.format(id=urllib.parse.quote(htid, safe=""), clean=urllib.parse.quote(ids.path_text(htid, "local", "json", None).removesuffix(".json")))
+        with urllib.request.urlopen(url, timeout=timeout) as r:
+            data = r.read()
+        return (bz2.decompress(data) if url.endswith(".bz2") else gzip.decompress(data) if url.endswith(".gz") else data).decode()
+
+    return fetch
+
+
+def with_fallback(wanted: DataFrame, cached: DataFrame, fallback: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
+    """htid, value of the wanted ids: from ``cached`` where it has them, else from ``fallback`` (called with the missing ids).
+
+    ``write`` stores what was fetched and may return it as stored; otherwise the fetched rows are kept on the executors'
+    disks, so that none is fetched twice.
+    """
     hits = cached.join(wanted.select("htid"), "htid", "left_semi")
     missed = fallback(wanted.select("htid").join(cached.select("htid"), "htid", "left_anti"))
     if write:
-        write(missed)
+        from pyspark import StorageLevel
+
+        kept = missed.persist(StorageLevel.DISK_ONLY)
+        back = write(kept)
+        missed = kept if back is None else back
     return hits.unionByName(missed)
 
 
@@ -146,9 +249,9 @@ def available(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     return wanted.select("htid").join(have, "htid", "left").select("htid", F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
-def copy_volumes(spark: SparkSession, source: DataFrame, root: str, layout: str = "stubbytree", compression: str | None = "bz2") -> DataFrame:
-    """Volumes of one store (htid, value) written into another."""
-    return write_volumes(source, root, layout, compression)
+def copy_volumes(spark: SparkSession, source: DataFrame, root: str, layout: str = "stubbytree", compression: str | None = "bz2") -> int:
+    """Writes the volumes of one store (htid, value) into another, once; returns how many."""
+    return write_volumes(source, root, layout, compression).count()
 
 
 def transfer_list(wanted: DataFrame, layout: str = "stubbytree") -> DataFrame:
@@ -163,9 +266,51 @@ def layouts() -> dict[str, str]:
 
 
 def named_store(name: str) -> tuple[str, str | None]:
-    """(store, cache) of a nickname: a store's name, or ``a_cached_b`` for a over b as its cache."""
+    """(cache, store) of a nickname: a store's name alone, or ``a_cached_b`` for b with a as its cache."""
     known = layouts()
     store, _, cache = name.partition("_cached_")
     if store not in known or (cache and cache not in known):
         raise KeyError(name)
     return store, cache or None
+
+
+@dataclass(frozen=True)
+class Store:
+    """Where volumes are: a layout below ``root``, or ``http`` through ``fetch``; ``behind`` is asked for what is missing, and what it gives is kept here."""
+
+    layout: str
+    root: str | None = None
+    compression: str | None = "bz2"
+    fetch: Callable[[str], str] | None = None
+    behind: Store | None = None
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """htid, value of the wanted ids (htid) that are found."""
+        if self.layout == "http":
+            return fetched(wanted, self.fetch)
+        own = read_ids(wanted, self.root, self.layout, self.compression)
+        if self.behind is None:
+            return own
+        return with_fallback(wanted, own.persist(), self.behind.get, self._keep)
+
+    def put(self, raw: DataFrame) -> int:
+        """Stores ``raw`` (htid, value); returns how many."""
+        if self.layout == "http":
+            raise ValueError("this store can only be read")
+        return write_volumes(raw, self.root, self.layout, self.compression).count()
+
+    def _keep(self, fetched_rows: DataFrame) -> None:
+        self.put(fetched_rows)
+
+
+def open_store(name: str, root: str | None = None, compression: str | None = "bz2", fetch: Callable[[str], str] | None = None, behind_root: str | None = None) -> Store:
+    """The store of a nickname: ``stubbytree`` and so on below ``root``, ``http`` through ``fetch``, ``a_cached_b`` for a below ``root`` in front of b (below ``behind_root``)."""
+    first, second = named_store(name)
+    store = Store(first, root, compression, fetch)
+    if first not in ("http",) and root is None:
+        raise TypeError(f"{first} needs a root")
+    if second is None:
+        return store
+    if second != "http" and behind_root is None:
+        raise TypeError(f"{second} needs a root")
+    return replace(store, behind=Store(second, behind_root, compression, fetch))

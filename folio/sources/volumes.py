@@ -6,6 +6,9 @@ explicit: inference would turn every token into a field.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.coalesce(F.get_json_object("value", "$.htid"), F.get_json_object("value", "$.id")).alias("htid"), "value")
 
 
+def read_with(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str]) -> DataFrame:
+    """As :func:`read_files`, with a caller's handler for each file's bytes."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"htid": pdf["htid"], "value": [parse(bytes(x)) for x in pdf["content"]]})
+
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return df.select(extract_htid(F.element_at(F.split("path", "/"), -1)).alias("htid"), "content").mapInPandas(task, "htid string, value string")
+
+
 def _pages(raw: DataFrame, table: str) -> DataFrame:
     v = F.from_json("value", _schema(table))
     rows = raw.select("htid", v.alias("v")).select("htid", F.col("v.features.schemaVersion").alias("version"), F.explode("v.features.pages").alias("p"))

@@ -1,11 +1,15 @@
 import bz2
 import json
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from folio import config
 from folio.corpus import Corpus
 from folio.model import MissingDataError, MissingFieldError
-from folio.operators import tokens
+from folio.operators import analysis, tokens
 from folio.sources import metadata, stores, volumes
 from folio.streaming import ingest
 
@@ -144,6 +148,113 @@ def test_fallback(spark):
         stores.named_store("attic")
 
 
+def test_archives_grow(raw, spark, tmp_path):
+    rows = raw.orderBy("htid").collect()
+    one, rest = (spark.createDataFrame([tuple(r) for r in part], "htid string, value string") for part in (rows[:1], rows[1:]))
+    assert stores.write_volumes(one, str(tmp_path), "ziptree").count() == 1
+    own = stores._write_zips(one.select(F.concat(F.lit("b."), "htid").alias("htid"), "value"), str(tmp_path / "flat"), 0)
+    assert own.count() == 1 and stores._write_zips(rest, str(tmp_path / "flat"), 0).count() == 2  # one bucket for all
+    assert sorted(r.htid for r in stores.read_zips(spark, str(tmp_path / "flat")).collect()) == ["a.1", "a.2", "b.a.0"]
+    stores.write_volumes(rest, str(tmp_path), "ziptree").count()
+    with pytest.raises(Exception, match="twice"):
+        stores.write_volumes(one, str(tmp_path), "ziptree").count()
+    assert sorted(map(tuple, stores.read_zips(spark, str(tmp_path)).collect())) == sorted(map(tuple, rows))
+
+
+def test_nothing_is_fetched_twice(spark, tmp_path):
+    def fetch(htid):
+        (tmp_path / "asked" / f"{htid}-{time.time_ns()}").write_text("")
+        return htid * 2
+
+    (tmp_path / "asked").mkdir()
+    wanted = spark.createDataFrame([("a.1",), ("a.2",), ("a.3",)], "htid string")
+    store = stores.open_store("stubbytree_cached_http", str(tmp_path / "cache"), fetch=fetch)
+    stores.write_volumes(spark.createDataFrame([("a.1", "own")], "htid string, value string"), store.root).count()
+    want = [("a.1", "own"), ("a.2", "a.2a.2"), ("a.3", "a.3a.3")]
+    for _ in range(2):  # the second time all are in the cache
+        assert sorted(map(tuple, store.get(wanted).collect())) == want
+        assert len(list((tmp_path / "asked").iterdir())) == 2
+
+
+@pytest.mark.parametrize("layout", ["stubbytree", "ziptree"])
+def test_stores_by_name(raw, spark, tmp_path, layout):
+    store = stores.open_store(layout, str(tmp_path))
+    assert store.put(raw) == 3
+    assert [r.htid for r in store.get(spark.createDataFrame([("a.1",), ("z.9",)], "htid string")).collect()] == ["a.1"]
+    for bad in ((layout,), (f"{layout}_cached_local", "x")):
+        with pytest.raises(TypeError):
+            stores.open_store(*bad)
+
+
+def test_url_fetcher(tmp_path):
+    (tmp_path / "a.1.json.bz2").write_bytes(bz2.compress(b"{}"))
+    assert stores.url_fetcher(f"file://{tmp_path}/{{clean}}.json.bz2")("a.1") == "{}"
+
+
+def test_per_volume_tables(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for i in range(2):
+        pq.write_table(pa.table({"page": pa.array([1, 2], pa.uint64()), "section": ["body"] * 2, "token": ["x", "y"], "pos": ["NN"] * 2, "count": pa.array([3, i], pa.uint32())}), tmp_path / f"a.v{i}.tokens.parquet")
+    pq.write_table(pa.table({"page": [1]}), tmp_path / "a.v0.chars.parquet")
+    df = stores.read_volume_tables(spark, str(tmp_path), "tokens")
+    assert dict(df.dtypes) == {"htid": "string", "page": "int", "section": "string", "token": "string", "pos": "string", "count": "bigint"}
+    assert {(r.htid, r.page, r["count"]) for r in df.collect()} == {("a.v0", 1, 3), ("a.v0", 2, 0), ("a.v1", 1, 3), ("a.v1", 2, 1)}
+
+
+def test_open(raw, corpus, spark, tmp_path):
+    corpus.save(str(tmp_path / "json"), format="json")
+    path = str(next((tmp_path / "json").rglob("*.bz2")))
+    assert Corpus.open(spark, path).tokens.count() == 9 and Corpus.open(spark, path, compression="bz2", format="json").tokens.count() == 9
+    assert Corpus.open(spark, ids=["a.0", "a.2"], store=stores.open_store("stubbytree", str(tmp_path / "json"))).tokens.count() == 18
+    assert Corpus.open(spark, ids=["a.0"], root=str(tmp_path / "json")).tokens.count() == 9
+    upper = Corpus.from_handler(spark, path, lambda data: bz2.decompress(data).decode())
+    assert upper.tokens.count() == 9
+    for kw in ({}, {"paths": path, "ids": ["a.0"]}, {"paths": path, "compression": "gz"}, {"paths": path, "format": "parquet"}):
+        with pytest.raises(TypeError):
+            Corpus.open(spark, **kw)
+    with pytest.raises(TypeError):
+        corpus.save(str(tmp_path / "x"), ("meta",), format="json")
+
+
+def test_first_random_and_pages(corpus):
+    assert {r.htid for r in corpus.first().tokens.collect()} == {"a.0"}
+    assert corpus.random_rows(4, seed=1).count() == 4
+    page = corpus.volume("a.1").page(2)
+    got = [getattr(page, m)().first()[2] for m in ("token_count", "line_count", "empty_line_count", "cap_alpha_seq", "sentence_count")]
+    assert got == [6, 3, 1, 2, None] and page.line_count(section="header").count() == 1
+    assert page.begin_line_chars().count() == 1 and page.end_line_chars().count() == 0 and page.page_features().count() == 1
+
+
+def test_sort_orders(corpus, tmp_path):
+    sizes = stores.sort_order_sizes(corpus.tokens, str(tmp_path), ("page", "token")).collect()
+    assert {r["keys"] for r in sizes} == {"page,token", "token,page"} and all(r.bytes > 0 for r in sizes)
+
+
+def test_settings(tmp_path):
+    (tmp_path / "a.yaml").write_text("layout: pairtree  # theirs\ncompression: null\nroot: '/data'\n")
+    (tmp_path / "b.json").write_text('{"format": "parquet"}')
+    got = config.load_files(str(tmp_path / "none.yaml"), str(tmp_path / "a.yaml"), str(tmp_path / "b.json"), layout="local", root=None)
+    assert got == {"default_section": "body", "format": "parquet", "compression": None, "layout": "local", "root": "/data"}
+    assert config._plain_yaml((tmp_path / "a.yaml").read_text()) == {"layout": "pairtree", "compression": None, "root": "/data"}
+    assert config.learn("x/a.1.json.bz2") == {"format": "json", "compression": "bz2"} and config.learn("a.json") == {"format": "json", "compression": None}
+    with pytest.raises(ValueError):
+        config.learn("a.txt")
+
+
+def test_smoothing_equals_plain_regression():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 10, 60):
+        x, y = np.sort(rng.choice(300, n, replace=False)).astype(float), rng.normal(size=n)
+        k = min(n, max(2, int(np.ceil(0.3 * n))))
+        for at, got in zip(x, analysis.smoothed(x, y), strict=True):
+            d = np.abs(x - at)
+            w = np.clip(1 - (d / max(np.sort(d)[k - 1], 1e-9)) ** 3, 0, 1) ** 3
+            a = np.stack([np.ones(n), x - at], 1) * np.sqrt(w)[:, None]
+            assert got == pytest.approx(np.linalg.lstsq(a, y * np.sqrt(w), rcond=None)[0][0], abs=1e-6)
+
+
 def test_map_volumes(corpus):
     out = corpus.map_volumes(lambda pdf: pdf.groupby("htid", as_index=False)["count"].sum(), "htid string, count long")
     assert {r["count"] for r in out.collect()} == {12}
