@@ -9,7 +9,7 @@ stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased.
 Filter size: 16 bits a line, a power of two, at most ``max_bits`` (2**29: 64 MB, the bound of what is broadcast). Beyond
 that the filters let more lines through to the exact count; the result stays the same.
 
-Defined results: null text counts as empty (one empty line); a row is a document, also where a ``doc_id`` repeats;
+Defined results: null text counts as empty (one empty line); texts of any length are read whole; a row is a document, also where a ``doc_id`` repeats;
 other columns are kept by :func:`drop_lines`; an empty table gives no row.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from folio.llm.blooms import MAX_BITS, bits_for, passes, twice_filter
 from folio.llm.common import documents, stored, tidy
 
-OF, KEYS = "__folio_of", "__folio_keys"
-HOT_SHARE = 4096
+OF, KEYS, SALT = "__folio_of", "__folio_keys", "__folio_salt"
+HOT_SHARE, SALTS = 4096, 32
 
 
 def keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -93,7 +93,15 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id
     # Copies of a text come here as one row, so a text holds as many rows as it has lines at most.
     hits = pairs.join(hot, "key").unionByName(cold).groupBy(F.col("of").alias(OF)).agg(F.collect_list(F.struct("key", "owner")).alias(KEYS))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*columns).withColumn(OF, _text_digest(text_col)).join(hits, OF, "left").drop(OF)
+    # Copies of one text with over a HOT_SHARE-th of the suspects' rows are dealt to SALTS tasks, and so are its hits.
+    hot_texts = [r["of"] for r in found.groupBy("of").agg(F.count("*").alias("n")).where(is_hot).select("of").collect()]
+    keyed = docs.select(*columns).withColumn(OF, _text_digest(text_col))
+    if hot_texts:
+        keyed = keyed.withColumn(SALT, F.when(F.col(OF).isin(hot_texts), F.spark_partition_id() % SALTS).otherwise(0))
+        salts = F.when(F.col(OF).isin(hot_texts), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        joined = keyed.join(hits.withColumn(SALT, F.explode(salts)), [OF, SALT], "left").drop(OF, SALT)
+    else:
+        joined = keyed.join(hits, OF, "left").drop(OF)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -226,6 +226,73 @@ def test_line_dedup(spark, empty):
     assert lines.drop_lines(empty).count() == 0
 
 
+def plain_fingerprint(text):
+    import xxhash
+
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hs = [xxhash.xxh64_intdigest(" ".join(ws[i : i + 3]).encode(), 42) for i in range(max(1, len(ws) - 2))] if ws else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_query(spark, sf_dir):
+    docs = [(r[0], r[1]) for r in table(spark, sf_dir, "documents")]
+    fps = {d: plain_fingerprint(t) for d, t in docs}
+    root = {f: f for f in fps.values()}
+    for a in list(root):
+        for b in list(root):
+            if (a ^ b).bit_count() <= 2 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    least = {}
+    for d, f in fps.items():
+        least[root[f]] = min(least.get(root[f], d), d)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.query(spark, sf_dir).collect()}
+    assert got == {(d, f"{f:016x}", least[root[f]]) for d, f in fps.items()}
+
+
+def test_token_queries(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    docs = sorted((r[0], r[1]) for r in table(spark, sf_dir, "documents"))
+    plain = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want, start = [], 0
+    for d, t in docs:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.query(spark, sf_dir).collect()) == want
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = []
+    for d, t in docs:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rows = packing.query(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    assert check_packing(rows) <= -(-sum(r.length for r in rows) // 1024) + 3
+
+
+def test_quality_query(spark, sf_dir):
+    docs = dict((r[0], r[1]) for r in table(spark, sf_dir, "documents"))
+    rows = quality.query(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id] or "")
+        tri = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+        rep = len({j for i in range(len(ws) - 2) if tri[tuple(ws[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+        ls = [x for x in (docs[r.doc_id] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(ws), sum(map(len, ws)), len(ls) - len(set(ls)), rep)
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", docs[r.doc_id] or "")) and r.base_failed == (len(ws) < 50 or 100 * rep > 50 * len(ws))
+        assert r.kept in (True, False) and not (r.kept and r.base_failed)
+
+
+def test_copies_of_one_text_are_dealt_out(spark):
+    rows = [(i, f"menu\nown {i % 3}\n" + ("copy" if i % 4 else str(i))) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = {r.doc_id: r.text for r in lines.drop_lines(docs).collect()}
+    assert got == {i: t.split("\n")[2] if i % 4 == 0 else "" for i, t in rows}
+
+
 def pa_lit(x):
     from pyspark.sql import functions as F
 

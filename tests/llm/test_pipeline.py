@@ -51,6 +51,34 @@ def test_repeated_lines_stay_once(spark, sf_dir):
     assert all(re.search(r"\S", t) for t in got.values())
 
 
+def test_rows_without_a_text_and_empty_tables(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "the cat of the house is on the mat and it was good for all of them to see that day again " * 4
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (None, text, None, None, None)]
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS)
+    for docs, fixed in ((base.where("false"), set()), (base.unionByName(spark.createDataFrame([(r[0] and -r[0], *r[1:]) for r in rows], schema)), {-3})):
+        for _, stage in cp.STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), "test")
+            assert docs.columns == cp.COLUMNS
+        assert {r.doc_id for r in docs.where("doc_id < 0").collect()} == fixed
+        assert cp.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_the_whole_run(spark, sf_dir):
+    rows = cp.run(spark, sf_dir).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for seq in by.values():
+        at = 0
+        for o, n in sorted(seq):
+            assert o == at
+            at += n
+        assert at <= 1024
+    every = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows} <= every
+
+
 def test_edited_copies_go_as_brute_force_says(spark, sf_dir):
     rng = random.Random(5)
     texts = []
