@@ -40,12 +40,13 @@ class UnitEncoder:
         self.max_units = max_units
         self.kind = self._kind(spec)
         self.slots = 1 << int(2 * max_units - 1).bit_length()
-        self.key, self.row = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        #: The high half of each unit's hash is enough to find it, as its bytes are compared.
+        self.key, self.row = np.zeros(self.slots, np.uint32), np.full(self.slots, -1, np.int32)
         self.known = 0
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1, np.int64)
+        self.at = np.zeros(1, np.int32)
         #: The bytes of the units kept, as lanes, and each unit's length.
-        self.lanes, self.lane_at, self.length = np.zeros(1 << 16, np.uint64), np.zeros(max_units + 1, np.int64), np.zeros(max_units, np.int64)
+        self.lanes, self.lane_at, self.length = np.zeros(1 << 16, np.uint64), np.zeros(max_units + 1, np.int32), np.zeros(max_units, np.int32)
         self.mark = self._mark(spec)
 
     def _mark(self, spec: dict) -> int | None:
@@ -88,12 +89,13 @@ class UnitEncoder:
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of the keys, -1 where unknown: open addressing, all keys probed together."""
         slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        high = (keys >> np.uint64(32)).astype(np.uint32)
         out = np.full(len(keys), -1, np.int64)
         live = np.arange(len(keys))
         while len(live):
             s = slot[live]
             row = self.row[s]
-            hit = (row >= 0) & (self.key[s] == keys[live])
+            hit = (row >= 0) & (self.key[s] == high[live])
             out[live[hit]] = row[hit]
             live = live[(row >= 0) & ~hit]
             slot[live] = (slot[live] + 1) & (self.slots - 1)
@@ -106,7 +108,7 @@ class UnitEncoder:
             free = live[self.row[slot[live]] < 0]
             self.row[slot[free]] = rows[free]  # of several for one slot the last stays
             won = free[self.row[slot[free]] == rows[free]]
-            self.key[slot[won]] = keys[won]
+            self.key[slot[won]] = keys[won] >> np.uint64(32)
             done = np.zeros(len(keys), bool)
             done[won] = True
             live = live[~done[live]]
@@ -197,7 +199,7 @@ class UnitEncoder:
             if top + len(flat) > len(ids):
                 ids = np.concatenate([ids, np.zeros(max(len(ids) // 2, len(flat)), np.uint32)])
             ids[top : top + len(flat)] = flat
-            at = np.concatenate([at, top + np.cumsum(lens)])
+            at = np.concatenate([at, (top + np.cumsum(lens)).astype(np.int32)])
             if keep:
                 self._keep(new[:keep], self.known + np.arange(keep))
                 self._keep_units(values[spread(lane[reps[:keep]], n[reps[:keep]])], n[reps[:keep]], length[reps[:keep]])
