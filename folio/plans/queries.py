@@ -185,6 +185,29 @@ _recursive("chunk_tokenlist_page_ref", """SELECT htid, chunk, pstart, pend, sect
 )
 
 
+def _older_sql(strategy: str) -> str:
+    """``lab`` of the older scheme: one cut a round, every page behind the last one tried."""
+    even, first = strategy == "even", "goal0 + sur / 2" if strategy == "ends" else "goal0"
+    return _TOTALS + f""",
+z AS (SELECT htid, page, total, row_number() OVER w - 1 AS i, sum(total) OVER w - total AS before FROM p WINDOW w AS (PARTITION BY htid ORDER BY page)),
+v AS (SELECT htid, n, whole, sur, CASE WHEN whole < {_TARGET} THEN 1 ELSE CAST(floor(whole / {_TARGET}) AS BIGINT) + CASE WHEN sur < 0 THEN 1 ELSE 0 END END AS planned
+  FROM (SELECT *, CASE WHEN ov > {_TARGET} - ov THEN ov - {_TARGET} ELSE ov END AS sur FROM (SELECT htid, count(*) AS n, CAST(sum(total) AS DOUBLE) AS whole, CAST(sum(total) AS DOUBLE) % {_TARGET} AS ov FROM p GROUP BY htid))),
+cum AS (SELECT htid, i, CAST(before AS DOUBLE) AS t FROM z UNION ALL SELECT htid, n, whole FROM v),
+s AS (SELECT htid, n, whole, planned, CAST(1 AS BIGINT) AS made, goal0 AS target, {first} AS goal, CAST(0 AS BIGINT) AS cut, CAST(0 AS DOUBLE) AS t0 FROM (SELECT *, CAST({_TARGET} AS DOUBLE) + {"sur / planned" if even else "0"} AS goal0 FROM v)
+  UNION ALL
+  SELECT htid, n, whole, plan, made + 1, target, target + greatest(-0.1::DOUBLE * target, least(0.1::DOUBLE * target, off * {"1" if even else "((1 + rest::DOUBLE / plan) / 2)"})), cut, t
+  FROM (SELECT *, planned + CASE WHEN abs(off) > 0.4::DOUBLE * target THEN sign(off)::BIGINT ELSE 0 END AS plan FROM (SELECT *, (whole - t) / rest - target AS off FROM (
+    SELECT htid, n, whole, planned, made, target, planned - made AS rest, x.k AS cut, x.t AS t FROM (
+      SELECT s.htid, n, whole, planned, made, target, min({{'d': abs(a.t - t0 - goal), 'k': a.i, 't': a.t}}) AS x FROM s JOIN cum a ON s.htid = a.htid AND a.i > s.cut WHERE made < planned AND cut < n GROUP BY ALL)))
+    WHERE cut < n)),
+m AS (SELECT DISTINCT htid, cut AS i FROM s),
+lab AS (SELECT htid, page, CAST(sum(CASE WHEN m.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY htid ORDER BY page) AS INTEGER) AS chunk FROM z LEFT JOIN m USING (htid, i))"""
+
+
+for _name in chunking.STRATEGIES:
+    query(f"chunk_older_{_name}", f"WITH RECURSIVE {_older_sql(_name).strip()} SELECT htid, page, chunk FROM lab")(lambda s, d, n=_name: chunking.page_labels(_totals(s, d), _TARGET, n, older=True))
+
+
 @_recursive("chunk_quality", f"""SELECT round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS std, min(e) AS min, max(e) AS max, median(e) AS median
   FROM (SELECT CAST(sum(total) - {_TARGET} AS DOUBLE) AS e FROM p JOIN lab USING (htid, page) GROUP BY htid, chunk)""", "ends")
 def _quality(s: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources import stores
+
 # Attribute by JSON path, as the volume files name them.
 COMMON = {
     "metadata_schema_version": "$.metadata.schemaVersion", "enumeration_chronology": "$.metadata.enumerationChronology", "type_of_resource": "$.metadata.typeOfResource", "title": "$.metadata.title",
@@ -24,6 +28,22 @@ LINKED = {
 }
 OLD_VERSIONS = ("2.0", "3.0")
 GENRE_PREFIX = "http://id.loc.gov/vocabulary/marcgt/"
+# The codes of the MARC genre term list and their labels, by code.
+GENRES = {
+    "abs": "abstract or summary", "aro": "art original", "arr": "art reproduction", "art": "article", "atl": "atlas", "aut": "autobiography", "bda": "bibliographic data",
+    "bib": "bibliography", "bio": "biography", "boo": "book", "cal": "calendar", "cat": "catalog", "cgn": "comic or graphic novel", "cha": "chart", "cod": "comedy",
+    "com": "computer program", "cpb": "conference publication", "dic": "dictionary", "dio": "diorama", "dir": "directory", "dis": "discography", "doc": "document (computer)",
+    "dra": "drama", "dtb": "database", "enc": "encyclopedia", "ess": "essay", "fes": "festschrift", "fic": "fiction", "fil": "filmography", "fin": "finding aid",
+    "fla": "flash card", "fls": "filmstrip", "fol": "folktale", "fon": "font", "gam": "game", "glo": "globe", "gov": "government publication", "gra": "graphic", "han": "handbook",
+    "his": "history", "hum": "humor, satire", "ind": "index", "inm": "interactive multimedia", "ins": "instruction", "int": "interview", "iss": "issue", "jou": "journal",
+    "kit": "kit", "lan": "language instruction", "law": "law report or digest", "lea": "legal article", "lec": "legal case and case notes", "leg": "legislation", "let": "letter",
+    "loo": "loose-leaf", "man": "manuscript", "map": "map", "mem": "memoir", "mic": "microscope slide", "mod": "model", "mot": "motion picture", "new": "newspaper",
+    "nos": "nonmusical sound", "nov": "novel", "num": "numeric data", "off": "offprint", "ons": "online system or service", "pat": "patent", "per": "periodical", "pic": "picture",
+    "pla": "playing cards", "poe": "poetry", "pos": "postcard", "pro": "programmed text", "puz": "puzzle", "rea": "realia", "reh": "rehearsal", "rem": "remote sensing image",
+    "rep": "representational", "rev": "review", "rpt": "reporting", "scr": "script", "ser": "series", "sho": "short story", "sli": "slide", "sou": "sound", "spe": "speech",
+    "sta": "statistics", "stp": "standard or specification", "sur": "survey of literature", "ted": "technical drawing", "ter": "technical report", "the": "thesis", "toy": "toy",
+    "tra": "transparency", "tre": "treaty", "vid": "videorecording", "wal": "wall map", "web": "web site", "yea": "yearbook",
+}
 
 
 def _names(x: Column) -> Column:
@@ -43,7 +63,7 @@ def genre_labels(x: Column, labels: dict[str, str]) -> Column:
 
 
 def volumes(raw: DataFrame, genres: dict[str, str] | None = None) -> DataFrame:
-    """Metadata of ``raw`` (htid, value). ``genres``: labels by vocabulary code."""
+    """Metadata of ``raw`` (htid, value). ``genres``: labels by vocabulary code, in place of the list's; an empty table leaves codes as they are."""
     old = F.get_json_object("value", "$.features.schemaVersion").isin(*OLD_VERSIONS)
 
     def got(path: str | None) -> Column:
@@ -54,7 +74,7 @@ def volumes(raw: DataFrame, genres: dict[str, str] | None = None) -> DataFrame:
     for k in ("contributor", "source_institution", "pub_place", "publisher"):
         flat = _names(F.col(f"{k}_ld"))
         rows = rows.withColumn(k, F.when(F.col("_old"), F.col(k)).otherwise(flat) if k in rows.columns else flat)
-    rows = rows.withColumn("genre", genre_labels(F.when(F.col("_old"), F.col("genre")).otherwise(F.col("genre_ld")), genres or {}))
+    rows = rows.withColumn("genre", genre_labels(F.when(F.col("_old"), F.col("genre")).otherwise(F.col("genre_ld")), GENRES if genres is None else genres))
     who = F.when(F.col("_old"), F.col("names")).otherwise(F.col("contributor"))
     author = F.when(who.isNull(), F.array().cast("array<string>")).when(who.startswith("["), F.from_json(who, "array<string>")).otherwise(F.array(who))
     rows = rows.withColumn("author", author).withColumn("year", F.col("pub_date")).withColumn("page_count", F.col("page_count").cast("int"))
@@ -72,6 +92,29 @@ def sidecar(raw: DataFrame) -> DataFrame:
     )
 
 
+def bibliographic(rows: DataFrame, fetch: Callable[[str], str] | None = None) -> DataFrame:
+    """htid, record_id, marc_xml of volumes (htid, ht_bib_url): the first item's record in the service's answer.
+
+    Each address is fetched once, on executors, by ``fetch`` (say ``stores.url_fetcher("{url}")``); an answer without items gives nulls,
+    a volume without an address is left out.
+    """
+    asked = rows.where(F.col("ht_bib_url").isNotNull()).select("htid", "ht_bib_url")
+    answers = stores.fetched(asked.select(F.col("ht_bib_url").alias("htid")).distinct(), fetch).withColumnRenamed("htid", "ht_bib_url")
+    records = F.from_json(F.get_json_object("value", "$.records"), "map<string, struct<`marc-xml`: string>>")
+    got = answers.select("ht_bib_url", F.get_json_object("value", "$.items[0].fromRecord").alias("record_id"), records.alias("records"))
+    return asked.join(got, "ht_bib_url").select("htid", "record_id", F.col("records")[F.col("record_id")]["marc-xml"].alias("marc_xml"))
+
+
+def marc_subfields(xml: Column, tag: str, code: str) -> Column:
+    """The texts of a record's subfields ``code`` in the fields ``tag``, in order; none is an empty list."""
+    return F.when(xml.isNull(), None).otherwise(F.xpath(xml, F.lit(f"//datafield[@tag='{tag}']/subfield[@code='{code}']/text()")))
+
+
+def marc_control(xml: Column, tag: str) -> Column:
+    """The text of a record's control field; none is null."""
+    return F.try_element_at(F.xpath(xml, F.lit(f"//controlfield[@tag='{tag}']/text()")), F.lit(1))
+
+
 def short(x: Column, width: int) -> Column:
     """Cut for display."""
     return F.when(F.length(x) > width, F.concat(F.trim(F.substring(x, 1, width)), F.lit("..."))).otherwise(x)

@@ -210,7 +210,7 @@ def fetched(wanted: DataFrame, fetch: Callable[[str], str] | None = None) -> Dat
 
 
 def url_fetcher(template: str, timeout: float = 60) -> Callable[[str], str]:
-    """A fetcher of ``template`` with ``{id}`` (the quoted id) or ``{clean}`` (its file name form); .bz2 and .gz answers are unpacked."""
+    """A fetcher of ``template`` with ``{id}`` (the quoted id), ``{url}`` (what is asked for is an address itself) or ``{clean}`` (its file name form); .bz2 and .gz answers are unpacked."""
 
     def fetch(htid: str) -> str:
         import bz2
@@ -218,7 +218,7 @@ def url_fetcher(template: str, timeout: float = 60) -> Callable[[str], str]:
         import urllib.parse
         import urllib.request
 
-        url = template.format(id=urllib.parse.quote(htid, safe=""), clean=urllib.parse.quote(ids.path_text(htid, "local", "json", None).removesuffix(".json")))
+        url = htid if template == "{url}" else template.format(id=urllib.parse.quote(htid, safe=""), clean=urllib.parse.quote(ids.path_text(htid, "local", "json", None).removesuffix(".json")))
         with urllib.request.urlopen(url, timeout=timeout) as r:
             data = r.read()
         return (bz2.decompress(data) if url.endswith(".bz2") else gzip.decompress(data) if url.endswith(".gz") else data).decode()

@@ -79,6 +79,25 @@ def test_missing_genre_is_empty(spark):
     assert row.genre == [] and row.author == []
 
 
+def test_genre_list(raw):
+    rows = {r.htid: r.genre for r in metadata.volumes(raw).collect()}
+    assert rows["a.2"] == ["fiction"]  # a code of the list by default
+    assert {r.htid: r.genre for r in metadata.volumes(raw, {}).collect()}["a.2"] == ["http://id.loc.gov/vocabulary/marcgt/fic"]
+
+
+def test_bibliographic(spark, tmp_path):
+    marc = "<collection xmlns='http://www.loc.gov/MARC21/slim'><record><controlfield tag='001'>77</controlfield><datafield tag='245' ind1='1'><subfield code='a'>A title</subfield><subfield code='c'>N</subfield></datafield><datafield tag='245'><subfield code='a'>Another</subfield></datafield></record></collection>"
+    (tmp_path / "one.json").write_text(json.dumps({"items": [{"fromRecord": "77"}, {"fromRecord": "78"}], "records": {"78": {"marc-xml": "<x/>"}, "77": {"marc-xml": marc}}}))
+    (tmp_path / "none.json").write_text(json.dumps({"items": [], "records": []}))
+    one, none = f"file://{tmp_path}/one.json", f"file://{tmp_path}/none.json"
+    rows = spark.createDataFrame([("a.1", one), ("a.2", one), ("a.3", none), ("a.4", None)], "htid string, ht_bib_url string")
+    xml = F.col("marc_xml")
+    got = metadata.bibliographic(rows, stores.url_fetcher("{url}")).select("htid", "record_id", metadata.marc_subfields(xml, "245", "a").alias("t"), metadata.marc_subfields(xml, "100", "a").alias("w"), metadata.marc_control(xml, "001").alias("c")).orderBy("htid").collect()
+    assert [tuple(r) for r in got] == [("a.1", "77", ["A title", "Another"], [], "77"), ("a.2", "77", ["A title", "Another"], [], "77"), ("a.3", None, None, None, None)]
+    with pytest.raises(MissingDataError):
+        metadata.bibliographic(rows)
+
+
 def test_sidecar(spark):
     row = metadata.sidecar(spark.createDataFrame([("a.1", "{}")], "htid string, value string")).first()
     assert (row.id, row.title, row.handle_url) == ("a.1", "a.1", "http://hdl.handle.net/2027/a.1")
