@@ -77,9 +77,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder for this subpackage, in the shared folder."""
+    return f"{shared_dir(spark)}/folio/llm-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes the application's scratch tables of this subpackage: once the results that read them are stored. False where there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

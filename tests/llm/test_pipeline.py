@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline as cp
-from folio.llm import decontaminate
+from folio.llm import common, decontaminate
 from folio.llm.common import stored
 
 
@@ -99,3 +99,13 @@ def test_edited_copies_go_as_brute_force_says(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()}
     assert 30 < len(set(root)) < 200 and got == set(root)
+
+
+def test_scratch_tables_go_when_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    assert not common.clear(spark)
+    df = common.stored(spark.range(3), "mine")
+    assert df.count() == 3 and list(tmp_path.glob("folio/llm-*/mine-*"))
+    (tmp_path / "folio" / "other").mkdir()
+    assert common.clear(spark) and not common.clear(spark)
+    assert [p.name for p in (tmp_path / "folio").iterdir()] == ["other"]
