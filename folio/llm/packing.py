@@ -5,7 +5,8 @@ input size): large lengths are rounded up within groups of equal cardinality, fe
 column generation, the actual lengths are substituted group by group, and what is left (small lengths, rounding
 remainders) goes best-fit, longest first, into the remaining gaps. The plan is a table of intervals "the items of
 length l with ranks a to b go to sequences s, s+1, ... at offset o"; executors look their pieces up in it.
-A piece's rank among those of its length comes from task-local counters plus a running sum over (length, task).
+A piece's rank among those of its length comes from task-local counters plus a running sum over (length, task), told to
+the tasks where it is small, so that the pieces are not shuffled, and joined to the pieces where it is not.
 
 Defined results: null text counts as empty (one end id, so one piece of length 1); repeated rows are packed each;
 null ``doc_id`` is kept; other columns are ignored; an empty table gives no row.
@@ -27,6 +28,8 @@ from folio.llm.common import documents, stored, text_buffer, tidy
 from folio.llm.tokens import encoded, encoder
 
 CAPACITY = 1024
+#: Up to so many rows (length, task), the running sums go to the tasks that look pieces up as one broadcast (16 bytes each); more are joined.
+TOLD = 1 << 18
 
 
 def groups(hist: dict[int, int], small: int, count: int) -> list[tuple[int, list[list[int]]]]:
@@ -198,24 +201,45 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return rows.mapInArrow(tidy(task), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def offsets(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (length, part, n): the keys of (length, part) in order, and how many pieces of the length the parts before hold."""
+    length, part, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("length", "part", "n"))
+    key = (length << 32) + part
+    order = np.argsort(key)
+    n, length = n[order], length[order]
+    before = np.cumsum(n) - n
+    return key[order], before - before[np.searchsorted(length, length)]
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, told: int = TOLD) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset``."""
     cut = stored(pieces(docs, tokenizer, end_id, capacity), "pieces")  # written once: ranks must not change afterwards
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    table, _ = plan(hist, capacity)
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()  # at most `capacity` rows
+    table, _ = plan({r["length"]: r["n"] for r in lengths}, capacity)
+    small = sum(r["parts"] for r in lengths) <= told
+    if small:
+        known = cut.sparkSession.sparkContext.broadcast(offsets(counts.toArrow()))
+    else:
+        before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+        cut = cut.join(before, ["length", "part"])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = (table[:, 0] << 44) + table[:, 1]
         for pdf in batches:
-            rank = pdf["rank"].to_numpy() + pdf["before"].to_numpy()
-            at = np.searchsorted(key, (pdf["length"].to_numpy() << 44) + rank, "right") - 1
+            length = pdf["length"].to_numpy()
+            if small:
+                keys, firsts = known.value
+                first = firsts[np.searchsorted(keys, (length << 32) + pdf["part"].to_numpy())]
+            else:
+                first = pdf["before"].to_numpy()
+            rank = pdf["rank"].to_numpy() + first
+            at = np.searchsorted(key, (length << 44) + rank, "right") - 1
             pdf["sequence_id"] = table[at, 3] + rank - table[at, 1]
             pdf["offset"] = table[at, 4]
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return cut.join(before, ["length", "part"]).mapInPandas(tidy(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.mapInPandas(tidy(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

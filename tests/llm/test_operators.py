@@ -130,6 +130,19 @@ def test_packing(spark, hard, empty, sf_dir):
     assert packing.pack(empty, path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_shuffles_pieces_only_where_the_sums_are_many(spark, hard, empty):
+    file = path("byte_bpe_50k.json")
+    told, joined = packing.pack(hard, file), packing.pack(hard, file, told=0)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (told, joined)]
+    assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+    both = [df.collect() for df in (told, joined)]
+    assert check_packing(both[0]) == check_packing(both[1])
+    assert len(both[0]) > len(HARD)
+    pieces = [Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) for rows in both]
+    assert pieces[0] == pieces[1]
+    assert packing.pack(empty, file, told=0).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_are_near_the_bound(seed):
     rng = np.random.default_rng(seed)
