@@ -24,6 +24,19 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in last.collect()} == kept
 
 
+def test_each_stage_holds_arrow_batches_short(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40), spark.conf.get(key)
+    try:
+        for set_to, wanted in (("10000", "2000"), ("700", "700")):
+            for name, stage in cp.STAGES:
+                spark.conf.set(key, set_to)
+                stage(spark, docs, sf_dir)
+                assert spark.conf.get(key) == wanted, name
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_texts_of_several_languages_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS)
     by = {}
