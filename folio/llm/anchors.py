@@ -1,7 +1,7 @@
 """Winnowed anchors: which windows of a fixed size hold which anchor, the units they form, and repeated ones.
 
-Elements are words or bytes. A window's anchor is its least k-gram by hash (the leftmost of equals), which its content
-alone decides, so equal windows have equal anchors wherever they stand. The windows of one anchor start in one range; the
+Elements are words or bytes. A window's anchor is its least k-gram by its whole 64-bit hash (the leftmost of equals),
+which the window's content alone decides, so equal windows have equal anchors wherever they stand. The windows of one anchor start in one range; the
 text they cover together is the anchor's unit, named by a 128-bit digest of its content (words joined by one space).
 Equal units stand for all their windows at once; where units of one anchor differ, their contents meet in one task.
 
@@ -72,17 +72,25 @@ class Elements:
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of keys[i : i + width] for every i: block-wise prefix and suffix minima."""
+    """For every i the place of the least of keys[i : i + width], the leftmost of equals: block-wise prefix and suffix minima.
+
+    Whole keys are compared, so the place follows from the window alone, however long the text around it is.
+    """
     n = len(keys) - width + 1
     if n <= 0:
-        return keys[:0]
+        return np.zeros(0, np.int64)
     size = -(-len(keys) // width) * width
     padded = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(keys)] = keys
-    blocks = padded.reshape(-1, width)
-    before = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(after[:n], before[width - 1 : width - 1 + n])
+    blocks, at = padded.reshape(-1, width), np.arange(size)
+    before = np.minimum.accumulate(blocks, axis=1)
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
+    fresh = np.ones(blocks.shape, bool)  # where a prefix gets a smaller minimum
+    fresh[:, 1:] = before[:, 1:] != before[:, :-1]
+    in_prefix = np.maximum.accumulate(np.where(fresh.ravel(), at, 0))
+    in_suffix = np.minimum.accumulate(np.where((after == blocks).ravel(), at, size)[::-1])[::-1]
+    left, right = after.ravel()[:n], before.ravel()[width - 1 : width - 1 + n]
+    return np.where(left <= right, in_suffix[:n], in_prefix[width - 1 : width - 1 + n])
 
 
 def gram_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -101,10 +109,8 @@ def units(x: np.ndarray, rows: np.ndarray, spec: Windows) -> tuple[np.ndarray, .
     if not counts.sum():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     grams = gram_hashes(x, spec.gram)
-    low = np.uint64(len(grams).bit_length())
-    least = _least(((grams >> low) << low) | np.arange(len(grams), dtype=np.uint64), spec.size - spec.gram + 1)
     starts = spread(rows[:-1], counts)
-    anchor = (least[starts] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    anchor = _least(grams, spec.size - spec.gram + 1)[starts]
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.concatenate([first, [len(starts)]]))
     s = starts[first]
@@ -222,12 +228,18 @@ def split_units(joined: DataFrame, spec: Windows, width: int) -> DataFrame:
     return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), UNITS)
 
 
-#: An anchor with over this share of the rows is hot: there are fewer than HOT_SHARE of them whatever the input holds.
+#: An anchor (a unit) with over this share of the rows is hot: there are fewer than HOT_SHARE of them whatever the input holds.
 HOT_SHARE = 4096
 
 
-def hot_anchors(found: DataFrame, total: int) -> list[int]:
-    return [r["h"] for r in found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > F.lit(max(total, HOT_SHARE * 100))).select("h").collect()]
+def hot_keys(found: DataFrame, total: int) -> tuple[list[int], list[tuple[int, bytes]]]:
+    """The hot anchors ``h``, and the hot units (h, u); a hot unit's anchor is hot."""
+    least = F.lit(max(total, HOT_SHARE * 100))
+    hot = [r["h"] for r in found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > least).select("h").collect()]
+    if not hot:
+        return [], []
+    units = found.where(F.col("h").isin(hot)).groupBy("h", "u").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > least)
+    return hot, [(r["h"], bytes(r["u"])) for r in units.select("h", "u").collect()]
 
 
 def join_anchors(kinds: DataFrame, seeds: DataFrame, hot: list[int]) -> DataFrame:
@@ -238,6 +250,19 @@ def join_anchors(kinds: DataFrame, seeds: DataFrame, hot: list[int]) -> DataFram
     return kinds.where(~is_hot).join(seeds.where(~is_hot), "h").unionByName(kinds.where(is_hot).join(F.broadcast(seeds.where(is_hot)), "h"))
 
 
+def join_units(found: DataFrame, kinds: DataFrame, hot: list[tuple[int, bytes]]) -> DataFrame:
+    """``found`` (h, u, ...) joined with ``kinds`` (one row a unit). Copies of hot units stay where they are; their kinds are broadcast."""
+    if not hot:
+        return found.join(kinds, ["h", "u"])
+    keys = F.broadcast(found.sparkSession.createDataFrame(hot, "h long, u binary"))
+
+    def parted(how: str) -> tuple[DataFrame, DataFrame]:
+        return found.join(keys, ["h", "u"], how), kinds.join(keys, ["h", "u"], how)
+
+    cold, few = parted("left_anti"), parted("left_semi")
+    return cold[0].join(cold[1], ["h", "u"]).unionByName(few[0].join(F.broadcast(few[1]), ["h", "u"]))
+
+
 def covered(ranges: list, size: int) -> list[list[int]]:
     """Merged [from, to) runs of elements that windows starting in the ranges cover."""
     out: list[list[int]] = []

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.anchors import Windows, contexts, covered, hot_anchors, join_anchors, row_id, runs, split_units, suspected_units, with_rows
+from folio.llm.anchors import Windows, contexts, covered, hot_keys, join_anchors, join_units, row_id, runs, split_units, suspected_units, with_rows
 from folio.llm.common import documents, stored, tidy
 
 #: Units that one step extends together.
 SHARD_UNITS = 4096
-MAX_UNITS = 4000
+MAX_UNITS = 500
 
 
 def _parted(classes: np.ndarray, words: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -114,10 +114,11 @@ def repeated_windows(docs: DataFrame, spec: Windows, max_units: int = MAX_UNITS)
     whole, units = [], []
     for width in (*spec.parts, 0):
         total = found.count()
+        hot, hot_units = hot_keys(found, total)
         kinds = found.groupBy("h", "u").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         seeds = kinds.groupBy("h").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("kinds")).where("lo < hi").select("h", "kinds")
-        kinds = join_anchors(kinds.select("h", "u", "first"), seeds, hot_anchors(found, total))
-        met = stored(found.join(kinds, ["h", "u"]).select("rid", "s1", "n", "h", "a", "kinds", (F.col("first") < F.col("id")).alias("whole")), "met")
+        kinds = join_anchors(kinds.select("h", "u", "first"), seeds, hot)
+        met = stored(join_units(found, kinds, hot_units).select("rid", "s1", "n", "h", "a", "kinds", (F.col("first") < F.col("id")).alias("whole")), "met")
         whole.append(met.where("whole").select("rid", "s1", "n"))
         own = met.where("not whole and kinds > 1").select("rid", "s1", "n", "h", "a", F.lit(True).alias("single"), "kinds")
         is_large = (F.col("kinds") > max_units) if width else F.lit(False)  # a part of one window is never large

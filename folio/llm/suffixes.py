@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.anchors import Windows, contexts, covered, hot_anchors, join_anchors, row_id, runs, split_units, suspected_units, with_rows
+from folio.llm.anchors import Windows, contexts, covered, hot_keys, join_anchors, join_units, row_id, runs, split_units, suspected_units, with_rows
 from folio.llm.common import documents, stored, tidy
 
 SHARD_BYTES = 3 << 17
 #: Names that a recursion sorts as they are.
 BUCKETS = 2048
-MAX_UNITS = 2000
+MAX_UNITS = 500
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -312,10 +312,11 @@ def repeated_ranges(rows: DataFrame, spec: Windows, max_units: int = MAX_UNITS)
     whole, units = [], []
     for width in (*spec.parts, 0):
         total = found.count()
+        hot, hot_units = hot_keys(found, total)
         kinds = found.groupBy("h", "u").agg(F.count("*").alias("times"), F.min(F.xxhash64("rid", "s1")).alias("rep"))
         seeds = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("places")).where("places > 1").select("h", "kinds")
-        kinds = join_anchors(kinds, seeds, hot_anchors(found, total)).where("times > 1 or kinds > 1")
-        met = stored(found.join(kinds, ["h", "u"]).select("rid", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.xxhash64("rid", "s1") == F.col("rep")).alias("is_rep")), "met")
+        kinds = join_anchors(kinds, seeds, hot).where("times > 1 or kinds > 1")
+        met = stored(join_units(found, kinds, hot_units).select("rid", "s1", "n", "h", "a", "kinds", (F.col("times") == 1).alias("single"), (F.xxhash64("rid", "s1") == F.col("rep")).alias("is_rep")), "met")
         whole.append(met.where("not single").select("rid", "s1", "n"))
         own = met.where("is_rep and kinds > 1").select("rid", "s1", "n", "h", "a", "single", "kinds")
         is_large = (F.col("kinds") > max_units) if width else F.lit(False)  # a part of one window is never large

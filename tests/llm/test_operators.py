@@ -559,3 +559,85 @@ def test_language_reads_long_runs_whole():
     german, french = "derundistnicht" * 20, "lesetdansavec" * 20
     model = language.Crf(["de", "fr"]).fit([("de", "der und ist nicht " * 20), ("fr", "les et dans avec " * 20)] * 5, sequences=400)
     assert model.predict([german[:40] + french])[0][0] == "fr" and model.predict([french[:40] + german])[0][0] == "de"
+
+
+@pytest.mark.parametrize("in_words", [False, True])
+@pytest.mark.parametrize("distinct", [1, 3, 50, 1 << 40])
+def test_anchors_follow_from_the_window_alone(in_words, distinct, monkeypatch):
+    """Whatever hashes tie, in part or as a whole: a window alone has the anchor that it has in a long text."""
+    from folio.llm import anchors
+
+    spec = anchors.Windows(50, 8, True) if in_words else anchors.Windows(400, 16, False)
+    whole = anchors.gram_hashes
+    monkeypatch.setattr(anchors, "gram_hashes", lambda x, size: whole(x, size) % np.uint64(distinct))
+    x = np.random.default_rng(3).integers(0, 90, 60_000).astype(np.uint64)
+    row, s, n, h, place = anchors.units(x, np.array([0, 7000, len(x)]), spec)
+    hashes = anchors.gram_hashes(x, spec.gram)
+    at, of = {}, {}
+    for k in range(len(row)):
+        for j in range(n[k]):
+            at[(row[k], s[k] + j)], of[(row[k], s[k] + j)] = s[k] + place[k] - (s[k] + j), h[k]
+    assert len(at) == len(x) - 2 * (spec.size - 1)
+    for start in range(0, len(x) - spec.size + 1, 97):
+        r = int(start >= 7000)
+        if not r and start + spec.size > 7000:
+            continue
+        own = hashes[start : start + spec.size - spec.gram + 1]
+        assert at[(r, start - 7000 * r)] == own.argmin() and of[(r, start - 7000 * r)] == own.min()
+        alone = anchors.units(x[start : start + spec.size], np.array([0, spec.size]), spec)
+        assert (alone[3][0], alone[4][0]) == (own.min(), own.argmin())
+
+
+def half_collision(size=400, gram=16, upper=39):
+    """A text of ``size`` letters whose two least grams by hash agree in their upper bits, the later one the least."""
+    from folio.llm import anchors
+
+    rng = np.random.default_rng(7)
+    letters = rng.integers(97, 123, (6_000_000, gram)).astype(np.uint8)
+    with np.errstate(over="ignore"):
+        h = anchors.mix64(anchors.mix64(((letters.astype(np.uint64) + np.uint64(1)) * anchors.powers(anchors.BASE, gram)).sum(axis=1)) + np.uint64(gram))
+    order = np.argsort(h)
+    top = h[order] >> np.uint64(64 - upper)
+    for k in np.flatnonzero(top[1:] == top[:-1])[:3]:
+        low, high = letters[order[k]], letters[order[k + 1]]
+        for _ in range(5000):
+            text = rng.integers(97, 123, size).astype(np.uint8)
+            text[150 : 150 + gram], text[200 : 200 + gram] = high, low
+            g = anchors.gram_hashes(text.astype(np.uint64) + np.uint64(1), gram)
+            if g.argmin() == 200 and np.partition(g, 1)[1] == g[150]:
+                return text.tobytes().decode()
+    raise AssertionError("none found")
+
+
+def test_anchors_in_short_and_long_texts(spark):
+    text = half_collision()
+    r = random.Random(3)
+    tail = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=400))
+    filler = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=17_000_000))
+    df = spark.createDataFrame([(1, text), (2, text + tail + filler), (3, tail)], DOCS).repartition(3)
+    got = {x.doc_id: [list(s) for s in x.spans] for x in suffixes.remove_repeats(df).select("doc_id", "spans").collect()}
+    assert got == {1: [[0, 400]], 2: [[0, 800]], 3: [[0, 400]]}
+
+
+@pytest.mark.parametrize("operator", [substrings, suffixes])
+def test_repeats_in_texts_over_several_slices(spark, operator):
+    """Passages at the start, in the middle and at the end of texts over three slices, and alone."""
+    parts = [words(70, 1000 + i, 10**6) for i in range(4)]
+    long = [words(70_000, 50 + i, 10**6) for i in range(4)]  # 480 KB each
+    docs = [(1, f"{parts[0]} {long[0]} {parts[1]} {long[1]} {parts[2]}"), (2, parts[0]), (3, f"{long[2]} {parts[2]} {long[3]} {parts[3]}"), (4, parts[3]), (5, parts[1] + " end")]
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = Counter((x.doc_id, x.n_words if operator is substrings else x.n_bytes, x.n_removed) for x in operator.remove_repeats(df).collect())
+    assert got == Counter(x[:3] for x in operator.brute_force(docs))
+
+
+@pytest.mark.parametrize("operator", [substrings, suffixes])
+def test_one_text_in_half_of_all_rows(spark, operator, monkeypatch):
+    """Its units are hot: their copies stay where they are, and the result is the same."""
+    from folio.llm import anchors
+
+    monkeypatch.setattr(anchors, "HOT_SHARE", 16)
+    hot = words(120, 5)
+    docs = [(i, hot if i % 2 else f"{words(60, 2000 + i)} {words(60, 77) if i % 3 else ''}") for i in range(800)]
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    got = Counter((x.doc_id, x.n_words if operator is substrings else x.n_bytes, x.n_removed) for x in operator.remove_repeats(df).collect())
+    assert got == Counter(x[:3] for x in operator.brute_force(docs))
