@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.blooms import bits_for, once_filter, passes, twice_filter
-from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, text_buffer, tidy, word_hashes, word_spans
+from folio.llm.common import BASE, BASE_INV, HOT_SHARE, mix64, powers, slices, spread, text_buffer, tidy, word_hashes, word_spans
 
 #: Bytes of text that a step handles at a time: its arrays stay in the processor's cache.
 SLICE = 1 << 18
@@ -228,12 +228,8 @@ def split_units(joined: DataFrame, spec: Windows, width: int) -> DataFrame:
     return joined.select("rid", "id", "text", "ranges").mapInArrow(tidy(task), UNITS)
 
 
-#: An anchor (a unit) with over this share of the rows is hot: there are fewer than HOT_SHARE of them whatever the input holds.
-HOT_SHARE = 4096
-
-
 def hot_keys(found: DataFrame, total: int) -> tuple[list[int], list[tuple[int, bytes]]]:
-    """The hot anchors ``h``, and the hot units (h, u); a hot unit's anchor is hot."""
+    """The anchors ``h`` and the units (h, u) with over the hot share of the rows; a hot unit's anchor is hot."""
     least = F.lit(max(total, HOT_SHARE * 100))
     hot = [r["h"] for r in found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > least).select("h").collect()]
     if not hot:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white space characters that split words and surround line keys.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -105,6 +106,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over this share of the rows is hot: there are fewer than HOT_SHARE of them whatever the input holds.
+HOT_SHARE = 4096
+#: Parts that a hot key's rows are dealt to.
+SALTS = 64
+
+
+def hot_of(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys of ``counts`` (one row a key) whose count ``n`` is over the hot share of ``total`` rows, and over 100."""
+    return [r[0] for r in counts.where((F.col(n) * HOT_SHARE > F.lit(max(total, HOT_SHARE * 100))) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def join_salted(many: DataFrame, one: DataFrame, key: str, hot: list, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row a key). Rows of hot keys are dealt out by ``by``, and their partners repeated once a part."""
+    if not hot:
+        return many.join(one, key, how)
+    salt, is_hot = "__folio_salt", F.col(key).isin(hot)
+    left = many.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = one.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -1,18 +1,23 @@
 """SimHash near-dedup by similarity: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-At a similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits, with a spread of 3 either way, so that no
-bounded number of buckets keyed by fingerprint bits finds all pairs. Blocks therefore hold the documents that share one
-of ``BANDS`` keys of ``ROWS`` least shingles each: a pair at 0.8 shares no block with a probability of (1 - 0.8**4)**32,
-below 1e-7, and less above. Within a block the fingerprints' bit planes are compared as in :mod:`folio.llm.simhash`, with
-a radius of ``RADIUS`` bits, five spreads over the mean; what is left is confirmed on the whole sets.
+At a similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits, and those of very short texts in up to 30, so
+that no bounded number of buckets keyed by fingerprint bits finds all pairs, and no radius alone parts them from others.
+Blocks therefore hold the documents that share one of ``BANDS`` keys of ``ROWS`` least shingles each: a pair at 0.8
+shares no block with a probability of (1 - 0.8**4)**32, below 5e-8, and less above. Whole sets decide on every link.
 
 Equal sets are one node. Each block's members are first compared with its least one only, so a large group of near
-copies makes no pairs. Blocks whose members are not all connected by that go to a task with their sets, where the bit
-planes of all members are compared, shift by shift, in lanes that are still apart. Links become components.
+copies makes no pairs. Blocks whose members are not all connected by that go to a task with their sets. There the
+fingerprints' bit planes are compared as in :mod:`folio.llm.simhash`, shift by shift, in lanes that are still apart:
+pairs within ``RADIUS`` bits come first, and most groups are joined by them. For members still apart after that, the
+block's inverted lists of shingles count every common shingle, so the radius saves time and loses nothing.
+
+A block of over ``max_block`` members is parted before: two sets at the similarity share a shingle among the rarest
+n - ceil(0.8 n) + 1 of each of them, so members meet by those; groups that are still larger are compared tile by tile.
 
 Defined results: texts without a word are one set; a text of fewer than five words is one shingle; words are lower-cased
 in ASCII and split at ASCII white space; texts of any length are read whole; null ``doc_id`` rows link but never name a
-component; an empty table gives no row.
+component; other columns are not read, whatever their names; an empty table gives no row. Sets are named by 64 bits, and
+shingles stand for 64-bit hashes of five words.
 """
 
 from __future__ import annotations
@@ -21,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from folio.llm.common import BASE, BASE_INV, mix64, powers, slices, spread, stored, text_buffer, tidy, word_hashes, word_spans
+from folio.llm.common import BASE, BASE_INV, hot_of, join_salted, mix64, powers, slices, spread, stored, text_buffer, tidy, word_hashes, word_spans
 from folio.llm.components import components
 from folio.llm.simhash import _lanes, _planes, near
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 32
+#: Pairs within so many bits are compared first.
 RADIUS = 24
+#: A larger block is parted before its members are compared.
+MAX_BLOCK = 1000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, (2, ROWS * BANDS), np.uint64)
@@ -134,6 +142,11 @@ def unite(roots: np.ndarray, bits: np.ndarray, flat: np.ndarray, bounds: np.ndar
     label = np.unique(roots, return_inverse=True)[1]
     planes, sizes, out = _planes(bits), np.diff(bounds), []
     n = len(roots)
+
+    def join(i: int, j: int) -> None:
+        label[label == label[j]] = label[i]
+        out.append((i, j))
+
     for d in range(1, n):
         apart = label[:-d] != label[d:]
         if not apart.any():
@@ -147,11 +160,49 @@ def unite(roots: np.ndarray, bits: np.ndarray, flat: np.ndarray, bounds: np.ndar
                 continue
             both = len(np.intersect1d(flat[bounds[i] : bounds[i + 1]], flat[bounds[i + d] : bounds[i + d + 1]], assume_unique=True))
             if both + 1e-9 >= similarity * (x + y - both):
-                label[label == label[i + d]] = label[i]
-                out.append((i, i + d))
+                join(i, i + d)
+    # the rest without a radius: inverted lists count all common shingles of a member and the others at once
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(n), sizes)[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])) if len(flat) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([first, [len(flat)]]))
+    lists = np.empty(len(flat), np.int64)
+    lists[order] = np.repeat(np.arange(len(first)), many)
+    for i in range(n):
+        if (label == label[0]).all():
+            break
+        own = lists[bounds[i] : bounds[i + 1]]
+        own = own[many[own] > 1]
+        both = np.bincount(owner[spread(first[own], many[own])], minlength=n)
+        alike = (both > 0) & (both + 1e-9 >= similarity * (sizes[i] + sizes - both)) & (label != label[i])
+        for j in np.flatnonzero(alike).tolist():
+            if label[i] != label[j]:
+                join(i, j)
     return out
 
 
+def _large_blocks(members: DataFrame, sets: DataFrame, similarity: float, max_block: int) -> DataFrame:
+    """``members`` (key, fp, root) of large blocks in smaller ones, so that members at ``similarity`` still meet: by their rarest shingles, then by tiles."""
+    each = members.join(sets.select("fp", "s"), "fp").select("key", "fp", "root", F.size("s").alias("n"), F.explode("s").alias("t"))
+    rare = each.groupBy("key", "t").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("key", "fp").orderBy("f", "t"))
+    reach = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    met = each.join(rare, ["key", "t"]).withColumn("place", place).where((F.col("place") <= reach) & (F.col("f") > 1))
+    met = met.select(F.xxhash64("key", "t").alias("key"), "fp", "root")
+    apart = _apart(met).select("key", "n")
+    tiles = F.ceil(F.col("n") / F.lit(max_block)).cast("int")
+    met = met.join(apart, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    pairs = met.select("key", "fp", "root", "tile", other)
+    return pairs.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "fp", "root")
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
+    """``key`` and ``n`` of the blocks ``rooted`` (key, fp, root) with members of more than one root; blocks with the same members count once."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("low <> high")
+    return mixed.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def _mixed_links(members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of the blocks ``members`` (key, fp, root, bits, s)."""
 
@@ -184,30 +235,36 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_block: int = MAX_BLOCK) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` (the set's name), ``component_id`` (the least id reachable)."""
     if not SIMILARITY <= similarity <= 1:
-        raise ValueError(f"blocks and radius are made for a similarity of {SIMILARITY} or more")
+        raise ValueError(f"blocks are made for a similarity of {SIMILARITY} or more")
     rows = stored(printed(docs, shingle, id_col, text_col), "shingles")
-    least = rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    least = rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"), F.min(F.struct(own_id.alias("id"), "text_hash")).alias("rep"), F.first("bands").alias("bands"))
+    total = rows.count()
+    hot_sets = hot_of(rows.groupBy("fp").agg(F.count("*").alias("n")), "fp", "n", total)
     dealt = least.select("fp", F.posexplode("bands").alias("band", "k")).select("fp", F.xxhash64("band", "k").alias("key"))
-    hubs = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1").select("key", "hub")
-    buckets = stored(dealt.join(hubs, "key").select("key", "fp", "hub"), "buckets")
-    wanted = least.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_hash")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), text_col).join(wanted, "text_hash", "left_semi")
-    sets = stored(_sets(texts, shingle, text_col).dropDuplicates(["fp"]), "sets")
+    hubs = stored(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"), "hubs")
+    buckets = stored(join_salted(dealt, hubs.select("key", "hub"), "key", hot_of(hubs, "key", "n", total), "fp").select("key", "fp", "hub"), "buckets")
+    # one row a set: copies of one text never meet here
+    wanted = least.join(buckets.select("fp").distinct(), "fp", "left_semi").select("rep.id", "rep.text_hash")
+    texts = docs.select(own_id.alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, ["id", "text_hash"], "left_semi")
+    sets = stored(_sets(texts, shingle, "text").dropDuplicates(["fp"]), "sets")
     pairs = buckets.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("bits").alias("p"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("bits").alias("q"), F.col("s").alias("y")), "b")
+    half = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
+    hot_hubs = hot_of(hubs.groupBy("hub").agg(F.sum("n").alias("n")), "hub", "n", total)
+    both = join_salted(half, sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b", hot_hubs, "a")
     common = F.size(F.array_intersect("x", "y"))
-    close = both.where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS)
-    alike = stored(close.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    alike = stored(both.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
     roots = components(alike)
     rooted = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("low <> high")
-    # blocks with the same members count once
-    mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
-    more = _mixed_links(rooted.join(mixed, "key", "left_semi").join(sets, "fp").select("key", "fp", "root", "bits", "s"), similarity)
+    mixed = stored(rooted.join(_apart(rooted), "key").select("key", "fp", "root", "n"), "mixed")
+    blocks = mixed.where(F.col("n") <= max_block).select("key", "fp", "root")
+    if not (large := mixed.where(F.col("n") > max_block)).isEmpty():
+        blocks = blocks.unionByName(_large_blocks(large, sets, similarity, max_block))
+    more = _mixed_links(blocks.join(sets, "fp").select("key", "fp", "root", "bits", "s"), similarity)
     roots = components(alike.unionByName(more))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return join_salted(rows, named.join(firsts, "root").select("fp", "component_id"), "fp", hot_sets, id_col).select(id_col, "fp", "component_id")

@@ -12,7 +12,7 @@ block is abandoned as soon as every lane exceeds the radius. Matches are merged
 one link a member. Links become components over distinct fingerprints.
 
 With ``similarity`` the same comparison finds documents whose shingle sets have at least this Jaccard similarity
-(:mod:`folio.llm.shingles`): a wide radius leaves candidates, which the sets confirm.
+(:mod:`folio.llm.shingles`): likely pairs come from the bit planes, and whole sets decide.
 
 Defined results: null or wordless text has fingerprint zero, linked like any other; copies share one fingerprint, and
 rows that repeat a ``doc_id`` are kept; null ``doc_id`` rows link but never name a component (null where no other does);
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, stored, tidy
+from folio.llm.common import documents, hot_of, join_salted, stored, tidy
 from folio.llm.components import components
 
 BLOCK_LANES = 1 << 15
@@ -204,11 +204,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
         return shingles.near_duplicates(docs, shingle, similarity, id_col, text_col)
     printed = stored(fingerprints(docs.select(id_col, text_col), shingle, text_col), "fingerprints")
-    least = printed.groupBy("fp").agg(F.min(id_col).alias("first"))
+    least = printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    hot = hot_of(least, "fp", "n", printed.count())  # one text in very many rows
     roots = components(links(least.select("fp"), radius))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return printed.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return join_salted(printed, named.join(firsts, "root").select("fp", "component_id"), "fp", hot, id_col).select(id_col, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

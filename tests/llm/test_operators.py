@@ -641,3 +641,71 @@ def test_one_text_in_half_of_all_rows(spark, operator, monkeypatch):
     df = spark.createDataFrame(docs, DOCS).repartition(4)
     got = Counter((x.doc_id, x.n_words if operator is substrings else x.n_bytes, x.n_removed) for x in operator.remove_repeats(df).collect())
     assert got == Counter(x[:3] for x in operator.brute_force(docs))
+
+
+def test_short_pairs_at_the_similarity_are_all_found(spark):
+    """4 of 5, 8 of 10 and 8 common of 9 and 9 shingles: similarity 0.8 exactly, 10,000 pairs each."""
+    r = random.Random(9)
+    docs = []
+    for a, b in ((slice(0, 8), slice(0, 9)), (slice(0, 12), slice(0, 14)), (slice(0, 13), slice(1, 14))):
+        for _ in range(10_000):
+            ws = [f"{r.randrange(10**6)}x" for _ in range(14)]
+            docs += [(len(docs), " ".join(ws[a])), (len(docs) + 1, " ".join(ws[b]))]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, DOCS).repartition(4), shingle=5, similarity=0.8)
+    assert got.where("component_id <> doc_id - doc_id % 2").count() == 0 and got.count() == 60_000
+
+
+def jaccard_roots(sets):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_that_stay_apart_lose_no_link(seed):
+    from folio.llm import shingles
+
+    r = random.Random(seed)
+    sets = []
+    for _ in range(40):
+        base = {r.randrange(40 if seed % 2 else 10**6) for _ in range(r.randrange(4, 14))}
+        sets += [base, base | {r.randrange(10**6)}, set(list(base)[1:]) or base]
+    flat = np.array([x for s in sets for x in sorted(s)], np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for bits in (np.random.default_rng(seed).integers(0, 2**63, len(sets)).astype(np.uint64), np.zeros(len(sets), np.uint64)):  # whatever the fingerprints say
+        label = list(range(len(sets)))
+        for i, j in shingles.unite(np.arange(len(sets)), bits, flat, bounds):
+            both = len(sets[i] & sets[j])
+            assert 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+        assert label == jaccard_roots(sets)
+
+
+@pytest.mark.parametrize("max_block", [1000, 7])
+def test_large_blocks_are_parted(spark, max_block, monkeypatch):
+    """Texts with much in common that are mostly apart, in blocks that hold them all; and one text in very many rows."""
+    r = random.Random(2)
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        own = common + [f"o{r.randrange(10**6)}" for _ in range(r.randrange(6, 14))]
+        texts += [" ".join(own), " ".join(own + ["z"] * r.randrange(3)), " ".join(own[: r.randrange(28, len(own))])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = dict(enumerate(jaccard_roots(sets)))
+    texts += [texts[0]] * 500
+    want |= {i: 0 for i in range(180, 680)}
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(4).withColumn("fp", pa_lit("clash")).withColumn("rep", pa_lit("clash"))
+    got = simhash.near_duplicates(docs, shingle=5, similarity=0.8) if max_block == 1000 else shingles_with(docs, max_block)
+    assert {x.doc_id: x.component_id for x in got.collect()} == want
+
+
+def shingles_with(docs, max_block):
+    from folio.llm import shingles
+
+    return shingles.near_duplicates(docs, max_block=max_block)
