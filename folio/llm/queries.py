@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from folio.llm import chat, decontaminate, language, lines, packing, quality, simhash, substrings, suffixes, token_files
+from folio.llm import chat, collocations, decontaminate, language, lines, packing, quality, simhash, substrings, suffixes, token_counts, token_files, whitening
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_substrings": substrings.query,
     "op10_suffix_array": suffixes.query,
+    "op11_token_counts": token_counts.query,
+    "op12_whitening": whitening.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLE_SQL = {
@@ -21,4 +24,5 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_suffix_array": suffixes.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -709,3 +709,162 @@ def shingles_with(docs, max_block):
     from folio.llm import shingles
 
     return shingles.near_duplicates(docs, max_block=max_block)
+
+
+def test_token_counts(spark, sf_dir, hard, empty):
+    from folio.llm import token_counts
+
+    file = path("byte_bpe_50k.json")
+    docs = [(r[0], r[1]) for r in table(spark, sf_dir, "documents")]
+    assert sorted(map(tuple, token_counts.query(spark, sf_dir).collect())) == sorted(token_counts.brute_force(docs, file))
+    odd = [*HARD, (70, "<|endoftext|>"), (71, "a <|endoftext|> b <|endoftext|>"), (72, ("word, don't stop.  " * 40_000) + "x"), (73, "y" * 700_000)]
+    clash = spark.createDataFrame(odd, DOCS).repartition(3).withColumn("n_bytes", pa_lit("clash")).withColumn("word", pa_lit("clash"))
+    for size in (0, 5, token_counts.TABLE):  # the table only saves time
+        got = token_counts.count_tokens(clash, file, size=size, cache=3 if size else 0)
+        assert Counter(map(tuple, got.collect())) == Counter(token_counts.brute_force(odd, file))
+    assert token_counts.count_tokens(empty, file).count() == 0
+    words_kind = path("word_bpe_49k.json")  # another kind of vocabulary: texts go to the library whole
+    assert Counter(map(tuple, token_counts.count_tokens(hard, words_kind).collect())) == Counter(token_counts.brute_force(HARD, words_kind))
+
+
+def test_token_counts_shuffle_no_text(spark, hard):
+    from folio.llm import token_counts
+
+    plan = token_counts.count_tokens(hard.coalesce(1), path("byte_bpe_50k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == hard._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_pre_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from folio.llm import token_counts
+
+    file = path("byte_bpe_50k.json")
+    plain, split = Tokenizer.from_file(file), token_counts.PreTokens(file)
+    r = random.Random(3)
+    letters = " \n\t\r\x0b\x1c\x85\xa0　​ abcstmdrevl'''''sA1é.!\0ćß中²ⅷ٣😀ª́<|endoftext|>"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(14))) for _ in range(8000)] + ["<|endoftext", "|>", None, "don't we'll they've I'm he'd we're  's 'S"]
+    got = split.counts(*text_buffer(pa.array(texts)), token_counts.LengthTable([b" a", b"a", b"'s"], [1, 1, 1]))
+    assert got.tolist() == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    data, offsets = text_buffer(pa.array(["a b  c\td   e " * 50, "x" * 90, " ' s" * 30]))
+    bounds, row = token_counts.pieces(data, offsets, 16)
+    assert len(row) > 20 and bounds[0] == 0 and bounds[-1] == len(data) and (np.diff(bounds) >= 0).all() and set(row) == {0, 1, 2}
+    tokens_of = np.zeros(3, np.int64)
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        tokens_of[row[i]] += len(plain.encode(data[a:b].tobytes().decode()).ids)
+    assert tokens_of.tolist() == [len(plain.encode(t).ids) for t in ("a b  c\td   e " * 50, "x" * 90, " ' s" * 30)]
+
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def check_whitening(rows, docs):
+    from folio.llm import whitening
+
+    want, _ = whitening.brute_force(docs)
+    assert Counter((r.vec_id, r.component) for r in rows) == Counter({k: sum(1 for i, _ in docs if i == k[0]) for k in want})
+    for r in rows:
+        n, dev, size, share = want[(r.vec_id, r.component)]
+        assert (r.n, r.deviation) == (n, dev if dev < 2**63 else None) and r.explained == pytest.approx(share, rel=1e-9) and r.identity_error < 1e-8
+        assert abs(r.whitened) == pytest.approx(size, abs=1e-7)
+
+
+def test_whitening(spark, sf_dir):
+    from folio.llm import whitening
+
+    check_whitening(whitening.query(spark, sf_dir).collect(), [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()])
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((60, 5)) * [9, 5, 3, 2, 1]
+    docs = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(base)] + [(100 + i, [float(np.float32(c)) for c in base[0]]) for i in range(90)]  # copies count once in the fit
+    docs += [(7, docs[7][1]), (200, None), (201, [1.0, None, 2.0, 3.0, 4.0]), (202, [float("nan"), 1.0, 1.0, 1.0, 1.0]), (203, [float("inf"), 1.0, 1.0, 1.0, 1.0]), (204, [-0.0] * 5)]
+    df = spark.createDataFrame(docs, VECTORS).repartition(3).withColumn("component", pa_lit("clash")).withColumn("x", pa_lit("clash"))
+    check_whitening(whitening.whiten(df).collect(), docs)
+    odd = spark.createDataFrame([*docs, (300, [1.0]), (301, [])], VECTORS)
+    assert whitening.whiten(odd).where("vec_id >= 300").count() == 0
+    assert whitening.whiten(spark.createDataFrame([], VECTORS)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], VECTORS)).count() == 0  # no variance
+    line = whitening.whiten(spark.createDataFrame([(i, [float(i), 2.0 * i, 0.5]) for i in range(9)], VECTORS)).collect()
+    assert {r.component for r in line} == {1} and line[0].explained == pytest.approx(1)
+
+
+@pytest.mark.parametrize("kind", ["flat", "repeated", "low rank", "steep", "clustered"])
+def test_lanczos(kind):
+    from folio.llm import whitening
+
+    rng = np.random.default_rng(4)
+    dim = 90
+    values = {"flat": np.ones(dim), "repeated": np.repeat([9.0, 4.0, 1.0], 30), "low rank": np.r_[5.0, 4.0, 3.0, np.zeros(dim - 3)], "steep": 0.5 ** np.arange(dim), "clustered": 1 + 1e-9 * np.arange(dim)[::-1]}[kind]
+    q = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    a = q * values @ q.T
+    got, vectors, passes = whitening.block_lanczos(lambda v: a @ v, dim, 4)
+    assert np.allclose(got, np.sort(values)[::-1][:4], atol=1e-11) and np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-12)
+    assert np.abs(a @ vectors - vectors * got).max() < 1e-11
+    if kind in ("low rank", "steep"):
+        assert passes < 8
+
+
+def test_sums_past_63_bits(spark):
+    from folio.llm import whitening
+
+    big = [(i, [2.0**50 * (i + 1), -(2.0**50) * i]) for i in range(30)]
+    df = spark.createDataFrame(big, VECTORS)
+    packed = whitening._packed(df, "embedding", 2)
+    n, sums = whitening.exact_sums(packed, 2)
+    assert (n, sums) == (30, [sum(2**58 * (i + 1) for i in range(30)), -sum(2**58 * i for i in range(30))])
+    assert {r.deviation for r in whitening.whiten(df).collect()} == {None}
+    with_ends = whitening.whiten(spark.createDataFrame([(1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [0.0, 0.5])], VECTORS)).collect()
+    assert {r.vec_id for r in with_ends} == {1, 2, 3}
+
+
+def phrases_by_hand(docs, min_count, top):
+    from collections import defaultdict
+
+    n, f = Counter(), defaultdict(Counter)
+    for lang, text in docs:
+        t = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", t):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(ws)
+            for i in range(len(ws)):
+                for k in range(1, min(5, len(ws) - i) + 1):
+                    f[lang or "und"][tuple(ws[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        cand = {p: a for p, a in counts.items() if a >= min_count and len(p) > 1}
+        rows = []
+        for p, a in cand.items():
+            if any(len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in cand.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size,counters", [(1_000_000, 1 << 26), (40, 1 << 26), (100, 1 << 8)])
+def test_collocations(spark, empty, size, counters):
+    from folio.llm import collocations
+
+    r = random.Random(6)
+    docs = []
+    for i in range(120):
+        ws = [r.choice(["the", "The", "of", "é", "a\x1cb", "new", "york", "\x00", "x"]) + r.choice(["", "", "", ",", ".", "\n", "\t", "!?"]) for _ in range(r.randrange(40))]
+        docs.append((i, r.choice(["en", "de", None, "und", ""]), " ".join(ws)))
+    docs += [(200, "en", None), (201, "en", ""), (202, "fr", "a " * 300), (203, None, "..,"), (204, "long", ("one two three four five six " * 30 + ". ") * 3)] + [(5, docs[5][1], docs[5][2])] * 3
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(3).withColumn("n", pa_lit("clash")).withColumn("phrase", pa_lit("clash"))
+    got = collocations.mine(df, min_count=5, top=25, size=size, max_counters=counters)
+    assert sorted(map(tuple, got.collect())) == phrases_by_hand([(x[1], x[2]) for x in docs], 5, 25)
+    assert collocations.mine(empty.withColumn("lang", pa_lit("en"))).count() == 0
+
+
+def test_bitmaps_are_and_ed_over_blocks():
+    """One word only: bitmaps shift over the bounds of blocks, and occurrences overlap."""
+    from folio.llm import collocations
+
+    n = 1000
+    ids = np.zeros(n, np.int32)
+    ids[[0, 500]] = ~0
+    shard = collocations.Shard("en", b"a", ids.tobytes())
+    everything = [np.full(16, 255, np.uint8)] * 5
+    got = {p: int(c) for phrases, counts in collocations.phrase_counts(shard, everything) for p, c in zip(phrases, counts, strict=True)}
+    assert got == {b" ".join([b"a"] * k): n - 2 * (k - 1) for k in range(1, 6)}
