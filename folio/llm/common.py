@@ -71,8 +71,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Bytes of an Arrow batch, where the session sets no bound of its own.
+BATCH_BYTES = 16 << 20
+
+
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches are held to 2,000 rows where the session has Spark's default, for long texts."""
+    """Arrow batches are held to 2,000 rows where the session has Spark's default, and to ``BATCH_BYTES`` where it has no bound, for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**63 - 1))) > 1 << 32:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -99,10 +105,10 @@ def clear(spark: SparkSession) -> bool:
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -824,10 +824,10 @@ def phrases_by_hand(docs, min_count, top):
         t = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", t):
             ws = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und"] += len(ws)
+            n["und" if lang is None else lang] += len(ws)
             for i in range(len(ws)):
                 for k in range(1, min(5, len(ws) - i) + 1):
-                    f[lang or "und"][tuple(ws[i : i + k])] += 1
+                    f["und" if lang is None else lang][tuple(ws[i : i + k])] += 1
     out = []
     for lang, counts in f.items():
         cand = {p: a for p, a in counts.items() if a >= min_count and len(p) > 1}
