@@ -71,16 +71,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Bytes of an Arrow batch, where the session sets no bound of its own.
-BATCH_BYTES = 16 << 20
+#: What Arrow batches are held to where a session has Spark's defaults: setting, default, bound.
+BATCH_BOUNDS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(16 << 20)))
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches are held to 2,000 rows where the session has Spark's default, and to ``BATCH_BYTES`` where it has no bound, for long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**63 - 1))) > 1 << 32:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches are held to 2,000 rows and 16 MB where the session has Spark's defaults, for long texts."""
+    for key, default, bound in BATCH_BOUNDS:
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
