@@ -5,7 +5,8 @@ has a bit for each place; only its nonzero blocks of ``BITS`` places are kept. A
 phrase ends. Shifted by one place, and'ed with the places that go on within a piece, and and'ed with a word's bitmap it
 is the bitmap of a longer phrase, and its popcount is the shard's number of occurrences. Phrases grow depth-first, some
 first words at a time; the bitmaps of a phrase's last word with each successor are what it is and'ed with. Popcounts of
-the shards are summed.
+the shards are summed. A phrase that always goes on in one way within a shard (as in copies of one text) has the longer
+phrase's popcount, so only the longer one is told, with how many of its beginnings it stands for.
 
 Which phrases can reach ``min_count`` over all shards is known beforehand, length by length: each shard adds its
 phrases' hashes to saturating counters, which never count too few, and places whose phrase stays below are masked out
@@ -36,6 +37,8 @@ LONGEST = 5
 BITS = 64
 #: Words of a shard, and bitmap entries that are extended together (a pair's entry meets up to ``BITS`` words).
 SHARD_WORDS, BATCH = 500_000, 20_000
+#: Phrases that a task adds up before it tells them.
+HELD = 300_000
 #: Counters of a length, and how many of them make a segment.
 MAX_COUNTERS, SEGMENT = 1 << 26, 1 << 17
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -194,8 +197,8 @@ def shifted(block: np.ndarray, bits: np.ndarray, mask: np.ndarray) -> tuple[np.n
     return np.concatenate([a, b]), np.concatenate([block[a], block[b] + 1]), np.concatenate([stay[a], over[b]])
 
 
-def phrase_counts(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, popcounts) of one word and more that pass the filters."""
+def phrase_counts(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(phrases, popcounts, covers) of one word and more that pass the filters; so many of a phrase's beginnings, one word shorter each, have its popcount and are not told themselves."""
     ids, n = shard.ids.astype(np.int64), len(shard.ids)
     blocks = n // BITS + 2
     ends = []  # by length: the places that may end a phrase, as bits by block
@@ -214,7 +217,7 @@ def phrase_counts(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[lis
     own, at = np.unique(word, return_index=True)
     if not len(own):
         return
-    yield [shard.words[w] for w in own.tolist()], np.add.reduceat(np.bitwise_count(bits).astype(np.int64), at)
+    yield [shard.words[w] for w in own.tolist()], np.add.reduceat(np.bitwise_count(bits).astype(np.int64), at), np.zeros(len(own), np.int64)
     # pairs: each word's bitmap, shifted, with those of all words of the block
     by_block = np.argsort(block, kind="stable")
     start = np.searchsorted(block[by_block], np.arange(blocks + 1))
@@ -245,18 +248,34 @@ def phrase_counts(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[lis
         at = to
 
 
-def _grown(shard: Shard, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, ends: list[np.ndarray], next_key: np.ndarray, next_word: np.ndarray, next_bits: np.ndarray, blocks: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _grown(shard: Shard, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, ends: list[np.ndarray], next_key: np.ndarray, next_word: np.ndarray, next_bits: np.ndarray, blocks: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """The counts of the phrases of these entries (one row of word numbers an entry), and of all that go on from them."""
     words = len(shard.words)
     number = np.unique(phrase[:, 0] * words + phrase[:, 1], return_inverse=True)[1]
-    while len(bits):
-        count = np.bincount(number, np.bitwise_count(bits).astype(np.float64)).astype(np.int64)
-        rep = np.zeros(len(count), np.int64)
+    rows, count, cover = np.zeros((0, 1), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the length before
+    parent = np.full(len(number), -1)
+
+    def told(rows: np.ndarray, count: np.ndarray, cover: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return [b" ".join([shard.words[w] for w in p]) for p in rows.tolist()], count, cover
+
+    while True:
+        now = np.bincount(number, np.bitwise_count(bits).astype(np.float64)).astype(np.int64)
+        rep = np.zeros(len(now), np.int64)
         rep[number] = np.arange(len(number))
-        rows = phrase[rep]
-        yield [b" ".join([shard.words[w] for w in p]) for p in rows.tolist()], count
+        above = parent[rep]
+        stands = np.zeros(len(now), np.int64)
+        if len(count):
+            same = np.flatnonzero(count[above] == now)
+            stands[same] = cover[above[same]] + 1
+            alone = np.ones(len(count), bool)
+            alone[above[same]] = False
+            if alone.any():
+                yield told(rows[alone], count[alone], cover[alone])
+        rows, count, cover = phrase[rep], now, stands
         k = phrase.shape[1]
-        if k == len(ends):
+        if k == len(ends) or not len(bits):
+            if len(count):
+                yield told(rows, count, cover)
             return
         entry, to, moved = shifted(block, bits, ends[k])
         wanted = phrase[entry, -1] * blocks + to
@@ -267,7 +286,8 @@ def _grown(shard: Shard, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray
         hit = np.flatnonzero(both)
         left = np.repeat(entry, many)[hit]
         last = next_word[with_[hit]]
-        number = np.unique(number[left] * words + last, return_inverse=True)[1]
+        parent = number[left]
+        number = np.unique(parent * words + last, return_inverse=True)[1]
         phrase = np.column_stack([phrase[left], last])
         block, bits = np.repeat(to, many)[hit], both[hit]
 
@@ -280,11 +300,27 @@ def phrase_table(parts: DataFrame, min_count: int, longest: int = LONGEST, count
     told = parts.sparkSession.sparkContext.broadcast(filters)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, bytes], int] = {}  # shards of one task are added up before they are told
+
+        def done() -> pa.RecordBatch:
+            keys = list(held)
+            out = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[2].decode() for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "cover", "n"])
+            held.clear()
+            return out
+
         for lang, shard in _each(batches):
-            for phrases, n in phrase_counts(shard, told.value):
-                yield pa.record_batch([pa.array([lang] * len(phrases)), pa.array([p.decode() for p in phrases]), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+            for phrases, n, cover in phrase_counts(shard, told.value):
+                for key in zip([lang] * len(phrases), cover.tolist(), phrases, n.tolist(), strict=True):
+                    held[key[:3]] = held.get(key[:3], 0) + key[3]
+            if len(held) > HELD:
+                yield done()
+        yield done()
 
-    return parts.mapInArrow(tidy(task), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    counted = parts.mapInArrow(tidy(task), "lang string, phrase string, cover int, n long").groupBy("lang", "phrase", "cover").agg(F.sum("n").alias("n"))
+    back = F.explode(F.sequence(F.lit(0), F.col("cover"))).alias("back")
+    begin = F.when(F.col("back") == 0, F.col("phrase")).otherwise(F.expr("substring_index(phrase, ' ', size(split(phrase, ' ')) - back)"))
+    each = counted.select("lang", "phrase", "n", back).select("lang", begin.alias("phrase"), "n")
+    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
 
 def mine(docs: DataFrame, min_count: int = 100, top: int = 2000, keep_share: int = 100, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", size: int = SHARD_WORDS, max_counters: int = MAX_COUNTERS) -> DataFrame:
@@ -295,15 +331,16 @@ def mine(docs: DataFrame, min_count: int = 100, top: int = 2000, keep_share: int
     counters = min(max_counters, max(1 << 14, 1 << (max(words // 4, 1) - 1).bit_length()))
     table = stored(phrase_table(parts, min_count, longest, counters).withColumn("k", F.size(F.split("phrase", " "))), "phrases")
     candidates = table.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), "k")
-    cuts = candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("head", F.expr("substring_index(phrase, ' ', cut)")).withColumn("tail", F.expr("substring_index(phrase, ' ', cut - k)"))
+    # a phrase inside a longer one is also inside one of a word more, which is no rarer: its beginning or its end
+    ends = F.explode(F.array(F.expr("substring_index(phrase, ' ', k - 1)"), F.expr("substring_index(phrase, ' ', 1 - k)"))).alias("phrase")
+    longer = candidates.where("k > 2").select("lang", ends, F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    kept = candidates.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < F.lit(keep_share) * F.col("a")))
+    cuts = kept.drop("longer").withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("head", F.expr("substring_index(phrase, ' ', cut)")).withColumn("tail", F.expr("substring_index(phrase, ' ', cut - k)"))
     left, right = table.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), table.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
     cuts = cuts.join(left, ["lang", "head"]).join(right, ["lang", "tail"]).join(totals, "lang")
     score = F.expr("cast(1000 * cast(a as decimal(18, 0)) * cast(n as decimal(16, 0)) as decimal(38, 0)) div (cast(l as decimal(18, 0)) * cast(r as decimal(18, 0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
-    parts_of = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")
-    longer = candidates.where("k > 2").select("lang", F.explode(parts_of).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < F.lit(keep_share) * F.col("a")))
-    rows = kept.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
+    rows = best.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # each part of a language tells its own first ones, so that no task sorts a whole language
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))

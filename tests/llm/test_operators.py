@@ -866,5 +866,15 @@ def test_bitmaps_are_and_ed_over_blocks():
     ids[[0, 500]] = ~0
     shard = collocations.Shard("en", b"a", ids.tobytes())
     everything = [np.full(16, 255, np.uint8)] * 5
-    got = {p: int(c) for phrases, counts in collocations.phrase_counts(shard, everything) for p, c in zip(phrases, counts, strict=True)}
-    assert got == {b" ".join([b"a"] * k): n - 2 * (k - 1) for k in range(1, 6)}
+    got = {p: (int(c), int(v)) for told in collocations.phrase_counts(shard, everything) for p, c, v in zip(*told, strict=True)}
+    assert got == {b" ".join([b"a"] * k): (n - 2 * (k - 1), 0) for k in range(1, 6)}
+
+
+def test_phrases_that_go_on_in_one_way_are_told_once():
+    from folio.llm import collocations
+
+    ids = np.tile(np.array([~0, 1, 2, 3, 4, 5], np.int32), 7)
+    shard = collocations.Shard("en", b"a\nb\nc\nd\ne\nf", ids.tobytes())
+    told = [(p, int(c), int(v)) for got in collocations.phrase_counts(shard, [np.full(16, 255, np.uint8)] * 5) for p, c, v in zip(*got, strict=True)]
+    assert all(c == 7 for _, c, _ in told)
+    assert {(p, v) for p, _, v in told if b" " in p} == {(b"a b c d e", 3), (b"b c d e f", 3), (b"c d e f", 2), (b"d e f", 1), (b"e f", 0)}
