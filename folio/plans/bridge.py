@@ -111,6 +111,25 @@ def to_json_volumes(docs: DataFrame) -> DataFrame:
     return whole.join(meta, "htid").select("htid", text.alias("value"))
 
 
+def to_metadata_volumes(docs: DataFrame) -> DataFrame:
+    """htid, value: nested JSON texts without pages, in the kinds that volume files have: two older versions and the linked-data one, whose values are texts, objects or lists."""
+    i, name = F.col("doc_id"), F.concat(F.lit("doc."), F.col("doc_id"))
+    year = (1800 + F.pmod(i, F.lit(200))).cast("string")
+
+    def text(x: Column) -> Column:
+        return F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)
+
+    def named(x: Column) -> Column:
+        return F.concat(F.lit('{"type":"Thing","name":'), text(x), F.lit("}"))
+
+    who = F.when(i % 5 == 0, named(F.concat(F.col("source"), F.lit(", A. ")))).when(i % 5 == 1, F.concat(F.lit("["), named(F.col("source")), F.lit(',{"x":1},'), named(F.lit("B \u00e9")), F.lit("]"))).when(i % 5 == 2, text(F.col("source"))).when(i % 5 == 3, F.lit("null")).otherwise(F.lit("[]"))
+    shared = F.concat(F.lit('"title":'), text(name), F.lit(',"language":'), F.coalesce(text(F.col("lang")), F.lit("null")), F.lit(',"pubDate":'), year)
+    genre = F.when(i % 2 == 0, F.lit('["http://id.loc.gov/vocabulary/marcgt/fic","x"]')).otherwise(F.lit('"http://id.loc.gov/vocabulary/marcgt/bio"'))
+    linked = F.concat(F.lit('{"htid":"'), name, F.lit('","metadata":{'), shared, F.lit(',"contributor":'), who, F.lit(',"genre":'), genre, F.lit(',"publisher":'), named(F.col("source")), F.lit(',"pubPlace":"bare"},"features":{"schemaVersion":"linked","pageCount":'), F.pmod(i, F.lit(9)), F.lit(',"pages":[]}}'))
+    older = F.concat(F.lit('{"id":"'), name, F.lit('","metadata":{'), shared, F.lit(',"names":["N ",'), text(F.col("source")), F.lit('],"pubPlace":"xx","sourceInstitution":'), text(F.col("source")), F.lit('},"features":{"schemaVersion":"'), F.when(i % 3 == 0, "2.0").otherwise("3.0"), F.lit('","pageCount":'), F.pmod(i, F.lit(9)), F.lit(',"pages":[]}}'))
+    return docs.where(i.isNotNull()).withColumn("source", F.coalesce("source", F.lit(""))).select(name.alias("htid"), F.when(i % 3 == 2, linked).otherwise(older).alias("value"))
+
+
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table; one with fewer splits than cores (a single row group, say) is dealt out first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

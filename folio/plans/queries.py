@@ -11,7 +11,7 @@ from folio.functions import ids
 from folio.operators import analysis, chunking, features, tokens, vectors
 from folio.plans import bridge
 from folio.plans.scratch import scratch
-from folio.sources import stores, volumes
+from folio.sources import metadata, stores, volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,6 +334,17 @@ query("json_roundtrip_sections", f"SELECT htid, page, section, {_STATS} FROM s",
 query("json_roundtrip_pages", "SELECT DISTINCT htid, page FROM ln", _LINES)(lambda s, d: volumes.page_list(_nested(s, d)))
 
 
+@query("volumes_metadata", r"""WITH v AS (SELECT doc_id AS i, 'doc.' || doc_id AS htid, lang, coalesce(source, '') AS source, doc_id % 3 = 2 AS linked FROM documents WHERE doc_id IS NOT NULL)
+  SELECT htid, htid AS id, htid AS title, lang AS language, CAST(1800 + i % 200 AS VARCHAR) AS year, CASE WHEN linked THEN 'linked' WHEN i % 3 = 0 THEN '2.0' ELSE '3.0' END AS feature_schema_version, CAST(i % 9 AS INTEGER) AS page_count,
+  CASE WHEN NOT linked THEN 'N |' || source WHEN i % 5 = 0 THEN source || ', A. ' WHEN i % 5 = 1 THEN source || '|B ' || chr(233) WHEN i % 5 = 2 THEN source ELSE '' END AS author,
+  CASE WHEN NOT linked THEN '' WHEN i % 2 = 0 THEN 'fiction|x' ELSE 'biography' END AS genre, CASE WHEN linked THEN 'bare' ELSE 'xx' END AS pub_place,
+  CASE WHEN linked THEN source END AS publisher, CASE WHEN NOT linked THEN source END AS source_institution, NOT linked AND coalesce(lang IN ('jpn', 'chi'), false) AS tokenization_warning FROM v""")
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    rows = metadata.volumes(bridge.to_metadata_volumes(bridge.read(s, d)))
+    joined = [F.array_join(c, "|").alias(c) for c in ("author", "genre")]
+    return rows.select("htid", "id", "title", "language", "year", "feature_schema_version", "page_count", *joined, "pub_place", "publisher", "source_institution", "tokenization_warning")
+
+
 @query("parquet_roundtrip", _sum("htid, page, lowercase", "true"), _TOKENS)
 def _parquet(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "tables")

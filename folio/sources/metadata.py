@@ -62,23 +62,35 @@ def genre_labels(x: Column, labels: dict[str, str]) -> Column:
     return F.transform(items, lambda g: F.when(g.startswith(GENRE_PREFIX), F.coalesce(F.element_at(table, F.substring(g, len(GENRE_PREFIX) + 1, 64)), g)).otherwise(g))
 
 
+def _schema() -> str:
+    """What a volume's text is parsed for, once: the attributes above, each as its text, so that no value is refused for its kind."""
+    paths = {p for table in (COMMON, OLD, LINKED) for p in table.values()}
+    top = [p[2:] for p in sorted(paths) if p.count(".") == 1]
+    below = {part: sorted(p.rsplit(".", 1)[1] for p in paths if p.startswith(f"$.{part}.")) for part in ("metadata", "features")}
+    return ", ".join([*(f"`{k}` string" for k in top), *(f"{part} struct<{', '.join(f'`{k}`: string' for k in keys)}>" for part, keys in below.items())])
+
+
 def volumes(raw: DataFrame, genres: dict[str, str] | None = None) -> DataFrame:
-    """Metadata of ``raw`` (htid, value). ``genres``: labels by vocabulary code, in place of the list's; an empty table leaves codes as they are."""
-    old = F.get_json_object("value", "$.features.schemaVersion").isin(*OLD_VERSIONS)
+    """Metadata of ``raw`` (htid, value). ``genres``: labels by vocabulary code, in place of the list's; an empty table leaves codes as they are.
+
+    Each text is parsed once and its pages are skipped; a text that is no JSON gives a row of nulls.
+    """
+    parsed = raw.select("htid", F.from_json("value", _schema()).alias("v"))
+    old = F.col("v.features.schemaVersion").isin(*OLD_VERSIONS)
 
     def got(path: str | None) -> Column:
-        return F.get_json_object("value", path) if path else F.lit(None).cast("string")
+        return F.col(f"v{path[1:]}") if path else F.lit(None).cast("string")
 
     names = list(dict.fromkeys([*OLD, *LINKED]))
-    rows = raw.select("htid", *[got(p).alias(k) for k, p in COMMON.items()], *[F.when(old, got(OLD.get(k))).otherwise(got(LINKED.get(k))).alias(k) for k in names], F.coalesce(old, F.lit(False)).alias("_old"))
-    for k in ("contributor", "source_institution", "pub_place", "publisher"):
-        flat = _names(F.col(f"{k}_ld"))
-        rows = rows.withColumn(k, F.when(F.col("_old"), F.col(k)).otherwise(flat) if k in rows.columns else flat)
-    rows = rows.withColumn("genre", genre_labels(F.when(F.col("_old"), F.col("genre")).otherwise(F.col("genre_ld")), GENRES if genres is None else genres))
+    rows = parsed.select("htid", *[got(p).alias(k) for k, p in COMMON.items()], *[F.when(old, got(OLD.get(k))).otherwise(got(LINKED.get(k))).alias(k) for k in names], F.coalesce(old, F.lit(False)).alias("_old"))
+    flat = {k: _names(F.col(f"{k}_ld")) for k in ("contributor", "source_institution", "pub_place", "publisher")}
+    rows = rows.withColumns({k: F.when(F.col("_old"), F.col(k)).otherwise(x) if k in rows.columns else x for k, x in flat.items()})
     who = F.when(F.col("_old"), F.col("names")).otherwise(F.col("contributor"))
     author = F.when(who.isNull(), F.array().cast("array<string>")).when(who.startswith("["), F.from_json(who, "array<string>")).otherwise(F.array(who))
-    rows = rows.withColumn("author", author).withColumn("year", F.col("pub_date")).withColumn("page_count", F.col("page_count").cast("int"))
-    return rows.withColumn("tokenization_warning", F.col("_old") & F.coalesce(F.col("language").isin("jpn", "chi"), F.lit(False))).drop("_old")
+    return rows.withColumns({
+        "genre": genre_labels(F.when(F.col("_old"), F.col("genre")).otherwise(F.col("genre_ld")), GENRES if genres is None else genres), "author": author, "year": F.col("pub_date"), "page_count": F.col("page_count").cast("int"),
+        "tokenization_warning": F.col("_old") & F.coalesce(F.col("language").isin("jpn", "chi"), F.lit(False)),
+    }).drop("_old")
 
 
 def sidecar(raw: DataFrame) -> DataFrame:

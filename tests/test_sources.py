@@ -73,6 +73,20 @@ def test_metadata(raw):
     assert rows["a.2"].source_institution is None and rows["a.2"].handle_url == "http://h/a"
 
 
+def test_metadata_is_parsed_once(raw):
+    plan = metadata.volumes(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(StructField(id") + plan.count("from_json(StructField(htid") == 1
+    assert "get_json_object(value" not in plan and "pages" not in plan
+
+
+def test_texts_that_are_no_volume(spark):
+    rows = [("a", "no json"), ("b", None), ("c", "{}"), ("d", json.dumps({"id": 7, "metadata": {"title": ["x", {"y": 1.50}], "language": None, "pubDate": 1900}, "features": {"schemaVersion": "3.0", "pageCount": "12"}}))]
+    got = {r.htid: r for r in metadata.volumes(spark.createDataFrame(rows, "htid string, value string")).collect()}
+    assert [(got[k].title, got[k].author, got[k].genre) for k in "abc"] == [(None, [], [])] * 3
+    d = got["d"]
+    assert (d.id, json.loads(d.title), d.language, d.year, d.page_count) == ("7", ["x", {"y": 1.5}], None, "1900", 12)
+
+
 def test_missing_genre_is_empty(spark):
     df = spark.createDataFrame([("a", json.dumps({"htid": "a", "metadata": {}, "features": {"schemaVersion": "x", "pages": []}}))], "htid string, value string")
     row = metadata.volumes(df).first()
