@@ -23,12 +23,15 @@ class Corpus:
 
     def __init__(self, tables: dict[str, DataFrame], default_section: str = "body", raw: DataFrame | None = None):
         self._tables, self.default_section, self.raw = tables, default_section, raw
+        self._whole = False  # whether the tables are the nested texts' own
 
     @classmethod
     def from_raw(cls, raw: DataFrame, **kw) -> Corpus:
         """From nested texts (htid, value)."""
         made = {"tokens": volumes.tokens(raw), "chars": volumes.line_chars(raw), "sections": volumes.section_features(raw), "page_features": volumes.page_features(raw), "pages": volumes.page_list(raw), "volumes": metadata.volumes(raw)}
-        return cls(made, raw=raw, **kw)
+        out = cls(made, raw=raw, **kw)
+        out._whole = True
+        return out
 
     @classmethod
     def from_paths(cls, spark: SparkSession, paths: str | list[str], **kw) -> Corpus:
@@ -171,6 +174,12 @@ class Corpus:
         if format != "parquet":
             raise ValueError(f"no such format: {format}")
         files, compression = files or ("meta", "tokens"), compression or "snappy"
+        kinds = tuple(k for k in ("tokens", "chars", "section") if k in files or (k == "section" and "section_features" in files))
+        if self.raw is not None and len(kinds) > 1 and not token_kwargs and self._whole:
+            stores.write_in_one_pass(self.raw, folder, kinds, compression, mode)  # every text is parsed once
+            if "meta" in files:
+                stores.write_tables({"meta": self.volumes}, folder, compression, "append")
+            return
         made = {}
         if "meta" in files:
             made["meta"] = self.volumes

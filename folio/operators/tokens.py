@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.model import SECTIONS, MissingFieldError
@@ -81,6 +81,47 @@ def tokenlist_cube(tokens: DataFrame) -> DataFrame:
     return tokens.cube("page", "section", "token", "pos").agg(F.grouping_id().alias("grouping_id"), F.sum("count").alias("count"))
 
 
+def page_bitmaps(tokens: DataFrame) -> DataFrame:
+    """htid, section, token, pos, block, bits: which pages of each 64 have the word, to be stored and merged over any of the keys."""
+    keys = [c for c in ("htid", "section", "token", "lowercase", "pos") if c in tokens.columns]
+    bit = F.expr("shiftleft(1L, cast(pmod(page, 64) as int))")
+    return tokens.groupBy(*keys, F.floor(F.col("page") / 64).alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def bitmap_page_freqs(bitmaps: DataFrame, section: str = "default", case: bool = True, pos: bool = True, default_section: str = "body") -> DataFrame:
+    """Distinct pages by [htid, section, token or lowercase, pos] from :func:`page_bitmaps`: bits are or'ed over what folds, then counted. No page row is read."""
+    section = default_section if section == "default" else section
+    df = bitmaps
+    if section in SECTIONS:
+        df = df.where(F.col("section") == section)
+    elif section not in ("all", "group"):
+        raise ValueError(f"no such section: {section}")
+    if not case and "token" in df.columns:
+        df = df.withColumn("lowercase", F.lower("token"))
+    word = "token" if case else "lowercase"
+    _require(df, word, "folded case" if not case else "case")
+    keys = ["htid", *(["section"] if section != "group" else []), word, *(["pos"] if pos else [])]
+    merged = df.groupBy(*keys, "block").agg(F.bit_or("bits").alias("bits"))
+    return merged.groupBy(*keys).agg(F.sum(F.bit_count("bits")).cast("long").alias("count"))
+
+
+def vocabulary(words: DataFrame, word: str = "token", parts: int = 256) -> DataFrame:
+    """``word`` and ``index`` from 0: every distinct word numbered. Parts of the words are numbered side by side; only ``parts`` counts meet in one task."""
+    part = F.pmod(F.xxhash64(word), F.lit(parts))
+    dealt = words.select(word).distinct().withColumn("part", part)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(word)) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(before), "part").select(word, (F.col("before") + F.col("own")).alias("index"))
+
+
+def sparse_rows(long: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("htid",), word: str = "token", count: str = "count") -> DataFrame:
+    """A term matrix over a whole vocabulary (:func:`vocabulary`): ``keys``, ``indices`` (rising) and ``values``, one row a volume or page; words outside it are left out."""
+    entry = F.struct("index", F.col(count).cast("long").alias("value"))
+    rows = long.join(words, word).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    return rows.select(*keys, F.col("x.index").alias("indices"), F.col("x.value").alias("values"))
+
+
 def term_page_freqs(tokens: DataFrame, page_freq: bool = True, case: bool = True, default_section: str = "body") -> DataFrame:
     """htid, page, term, count in long form: 1 or the number of uses."""
     section = "group" if default_section == "all" else "default"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,15 @@ _fold("tokenlist_drop_section", "SELECT htid, page, token, CAST(n AS BIGINT) AS
 _fold("page_freq_pages_kept", _sum("htid, page, section, lowercase", value="1"), case=False, pos=False, page_freq=True)
 _fold("page_freq_distinct", _sum("htid, lowercase", "true", "count(DISTINCT page)"), section="group", case=False, pos=False, pages=False, page_freq=True)
 _fold("page_freq_rows", _sum("htid, lowercase", "true", "count(*)"), section="group", case=False, pos=False, pages=False, page_freq=True, freq="rows")
+
+
+@query("page_freq_bitmaps", _sum("htid, lowercase", "true", "count(DISTINCT page)"), _TOKENS)
+def _bitmaps(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "bitmaps")
+    tokens.page_bitmaps(_tokens(s, d)).write.parquet(path)
+    return tokens.bitmap_page_freqs(s.read.parquet(path), section="group", case=False, pos=False)
+
+
 query("tokenlist_cube", """SELECT page, section, token, pos, CAST(grouping_id(page, section, token, pos) AS BIGINT) AS grouping_id, CAST(sum(count) AS BIGINT) AS count
   FROM t GROUP BY CUBE (page, section, token, pos)""", _TOKENS)(lambda s, d: tokens.tokenlist_cube(_tokens(s, d)))
 
@@ -334,6 +344,28 @@ query("json_roundtrip_sections", f"SELECT htid, page, section, {_STATS} FROM s",
 query("json_roundtrip_pages", "SELECT DISTINCT htid, page FROM ln", _LINES)(lambda s, d: volumes.page_list(_nested(s, d)))
 
 
+@query("term_matrix_sparse", """SELECT htid, page, CAST(count(*) AS BIGINT) AS terms, string_agg(token || ' ' || n, ',' ORDER BY token) AS uses
+  FROM (SELECT htid, page, token, CAST(sum(count) AS BIGINT) AS n FROM t WHERE section = 'body' GROUP BY ALL) GROUP BY htid, page""", _TOKENS)
+def _sparse(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "terms")
+    tokens.term_page_freqs(_tokens(s, d), page_freq=False).write.parquet(path)
+    long = s.read.parquet(path)
+    words = tokens.vocabulary(long, "term")
+    rows = tokens.sparse_rows(long, words, ("htid", "page"), "term")
+    each = rows.select("htid", "page", F.explode(F.arrays_zip("indices", "values")).alias("x")).select("htid", "page", F.col("x.indices").alias("index"), F.col("x.values").alias("n"))
+    back = each.join(words, "index").groupBy("htid", "page").agg(F.count("*").alias("terms"), F.array_sort(F.collect_list(F.struct("term", "n"))).alias("u"))
+    return back.select("htid", "page", "terms", F.array_join(F.transform("u", lambda u: F.concat_ws(" ", u["term"], u["n"])), ",").alias("uses"))
+
+
+@query("tables_in_one_pass", "SELECT kind, htid, page, n FROM (SELECT 'tokens' AS kind, htid, page, CAST(sum(count) AS BIGINT) AS n FROM t GROUP BY ALL UNION ALL SELECT 'section', htid, page, count(*) FROM (SELECT DISTINCT htid, page, section FROM ln) GROUP BY ALL UNION ALL SELECT 'pages', htid, page, 1 FROM (SELECT DISTINCT htid, page FROM ln) UNION ALL SELECT 'chars', htid, page, 2 * count(*) FROM ln WHERE trim(line, ' ') <> '' GROUP BY ALL)", _TOKENS)
+def _one_pass(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "kinds")
+    stores.write_in_one_pass(_nested(s, d), path)
+    made = [(kind, stores.read_table(s, path, kind)) for kind in ("tokens", "section", "pages", "chars")]
+    counted = [df.groupBy("htid", "page").agg((F.sum("count") if "count" in df.columns else F.count("*")).alias("n")).select(F.lit(kind).alias("kind"), "htid", "page", "n") for kind, df in made]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("volumes_metadata", r"""WITH v AS (SELECT doc_id AS i, 'doc.' || doc_id AS htid, lang, coalesce(source, '') AS source, doc_id % 3 = 2 AS linked FROM documents WHERE doc_id IS NOT NULL)
   SELECT htid, htid AS id, htid AS title, lang AS language, CAST(1800 + i % 200 AS VARCHAR) AS year, CASE WHEN linked THEN 'linked' WHEN i % 3 = 0 THEN '2.0' ELSE '3.0' END AS feature_schema_version, CAST(i % 9 AS INTEGER) AS page_count,
   CASE WHEN NOT linked THEN 'N |' || source WHEN i % 5 = 0 THEN source || ', A. ' WHEN i % 5 = 1 THEN source || '|B ' || chr(233) WHEN i % 5 = 2 THEN source ELSE '' END AS author,

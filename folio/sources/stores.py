@@ -6,15 +6,19 @@ import itertools
 import os
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import ids
 from folio.model import MissingDataError
+from folio.sources import volumes
 
 KINDS = ("meta", "tokens", "chars", "section")
 
@@ -28,6 +32,69 @@ def write_tables(tables: dict[str, DataFrame], folder: str, compression: str = "
         df.sortWithinPartitions(*keys).write.mode(mode).option("compression", compression).parquet(f"{folder}/{kind}")
 
 
+def write_in_one_pass(raw: DataFrame, folder: str, kinds: tuple[str, ...] = ("tokens", "chars", "section", "pages"), compression: str = "snappy", mode: str = "errorifexists") -> None:
+    """Several tables of ``raw`` (htid, value) from one parse of each text, as partitions ``kind=...`` of one dataset; :func:`read_table` finds them."""
+    rows = volumes.tagged(raw, kinds)
+    keys = [c for c in ("kind", "htid", "page", "section", "token", "pos") if c in rows.columns]
+    rows.sortWithinPartitions(*keys).write.mode(mode).partitionBy("kind").option("compression", compression).parquet(folder)
+
+
+def write_buckets(tables: dict[str, DataFrame], prefix: str, folder: str, buckets: int, mode: str = "errorifexists") -> None:
+    """Each kind of table as the catalog's table ``<prefix>_<kind>``, hashed by volume into ``buckets`` files a task: folds and joins by volume need no shuffle."""
+    for kind, df in tables.items():
+        keys = [c for c in ("page", "section", "token", "lowercase", "pos") if c in df.columns]
+        df.repartition(buckets, "htid").write.mode(mode).bucketBy(buckets, "htid").sortBy("htid", *keys).option("path", f"{folder}/{kind}").saveAsTable(f"{prefix}_{kind}")
+
+
+def read_buckets(spark: SparkSession, prefix: str, kind: str) -> DataFrame:
+    """A table of :func:`write_buckets`. Joins by volume and page count as joins by volume in this session, which is how the tables are dealt."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark.table(f"{prefix}_{kind}")
+
+
+def write_volume_tables(tables: dict[str, DataFrame], root: str, layout: str = "local", compression: str = "snappy") -> DataFrame:
+    """htid, path of one Parquet file ``<id>.<kind>.parquet`` per volume and kind in a layout, written when the result is used; :func:`read_volume_tables` reads them.
+
+    A volume's rows stream into its file, batch by batch; files appear by rename, so a repeated task leaves whole files.
+    """
+    out = []
+    for kind, df in tables.items():
+        if kind not in KINDS:
+            raise ValueError(f"no such kind of table: {kind}")
+        columns = [c for c in df.columns if c != "htid"]
+
+        def task(batches: Iterator[pa.RecordBatch], columns=columns) -> Iterator[pa.RecordBatch]:
+            import pyarrow.compute as pc
+            import pyarrow.parquet as pq
+
+            files, top = _filesystem(root)
+            path, part, writer, done = None, None, None, []
+
+            def close() -> None:
+                if writer:
+                    writer.close()
+                    files.move(part, f"{top}/{path}")
+
+            for batch in batches:  # sorted by volume: one file is open at a time
+                for own in pc.unique(batch.column("path")).to_pylist():
+                    rows = batch.filter(pc.equal(batch.column("path"), own))
+                    if own != path:
+                        close()
+                        path, part = own, _part(f"{top}/{own}")
+                        files.create_dir(os.path.dirname(part), recursive=True)
+                        writer = pq.ParquetWriter(part, rows.select(columns).schema, filesystem=files, compression=compression)
+                        done.append((rows.column("htid")[0].as_py(), own))
+                    writer.write_batch(rows.select(columns))
+            close()
+            yield pa.record_batch([pa.array([h for h, _ in done], pa.string()), pa.array([p for _, p in done], pa.string())], names=["htid", "path"])
+
+        place = ids.LAYOUTS[layout]("htid", "parquet", None, kind)
+        keys = [c for c in ("page", "chunk", "section", "token", "lowercase", "pos") if c in columns]
+        rows = df.withColumn("path", place).repartition("htid").sortWithinPartitions("htid", *keys)
+        out.append(rows.mapInArrow(task, "htid string, path string"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def sort_order_sizes(tokens: DataFrame, folder: str, keys: tuple[str, ...] = ("page", "section", "token", "pos"), compression: str = "snappy") -> DataFrame:
     """``keys`` (joined by commas) and ``bytes``: the size of the token table written in each order of its keys within a volume."""
     spark, rows = tokens.sparkSession, []
@@ -41,12 +108,18 @@ def sort_order_sizes(tokens: DataFrame, folder: str, keys: tuple[str, ...] = ("p
 
 def read_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """One kind of table; unsigned page and count columns come back signed. A missing one raises MissingDataError."""
-    try:
-        df = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{kind}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            raise MissingDataError(f"{folder}/{kind}") from e
-        raise
+    df = None
+    for place in (kind, f"kind={kind}"):  # as its own dataset, or as a part of one
+        try:
+            df = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{place}")
+            break
+        except Exception as e:
+            if not ("PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)):
+                raise
+    if df is None:
+        raise MissingDataError(f"{folder}/{kind}")
+    if place != kind:
+        df = df.select(*volumes.KIND_COLUMNS[kind])
     for c, kind_ in (("page", "int"), ("chunk", "int"), ("count", "bigint")):
         if c in df.columns:
             df = df.withColumn(c, F.col(c).cast(kind_))
@@ -76,7 +149,8 @@ def write_volumes(raw: DataFrame, root: str, layout: str = "stubbytree", compres
     """One nested file per volume of ``raw`` (htid, value) in a layout, written when the result (htid, path) is used.
 
     Files appear by rename, so a repeated task leaves whole files. ``ziptree`` adds to the archives that are there and
-    refuses doubles; a task that repeats after it has put its archive in place is refused too.
+    refuses doubles; a task that repeats after it has put its archive in place, or a result that is used twice, finds its
+    own write in the archive's manifest and adds nothing.
     """
     if layout == "ziptree":
         return _write_zips(raw, root)
@@ -100,35 +174,67 @@ def write_volumes(raw: DataFrame, root: str, layout: str = "stubbytree", compres
 
 
 class _Archive:
-    """A bucket's archive while volumes are added: what is there already is copied, entry by entry, and nothing is held."""
+    """A bucket's archive while one write adds volumes: what is there already is copied, entry by entry, and nothing is held.
 
-    def __init__(self, files, top: str, bucket: str):
+    It is staged beside its place and put there by one rename. Its comment is the manifest: the writes that made it. A
+    task that finds its own write there has been here before (its result was lost), so it only checks that each of its
+    volumes is there with the same content.
+    """
+
+    def __init__(self, files, top: str, bucket: str, write: str):
         self.files, self.path = files, f"{top}/{bucket}.zip"
         files.create_dir(top, recursive=True)
-        self.part = _part(self.path)
-        self.stream = files.open_output_stream(self.part, compression=None)
-        self.out, self.names = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED), set()
+        self.names: dict[str, tuple[int, int]] = {}
+        self.out, writes = None, []
         if files.get_file_info(self.path).is_file:
             with files.open_input_file(self.path) as f, zipfile.ZipFile(f) as old:
-                for name in old.namelist():
-                    self.add(name, old.read(name))
-
-    def add(self, name: str, value: str | bytes) -> None:
+                writes = old.comment.decode().split()
+                self.names = {i.filename: (i.file_size, i.CRC) for i in old.infolist()}
+                self.done = write in writes
+                if not self.done:
+                    self._stage()
+                    for name in old.namelist():
+                        self.out.writestr(name, old.read(name))
+        else:
+            self.done = False
+            self._stage()
+        if self.out:
+            self.out.comment = " ".join([*writes, write][-WRITES:]).encode()
+
+    def _stage(self) -> None:
+        self.part = _part(self.path)
+        self.stream = self.files.open_output_stream(self.part, compression=None)
+        self.out = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, name: str, value: str) -> None:
+        data = value.encode()
+        if self.done:
+            if self.names.get(name) != (len(data), zlib.crc32(data)):
+                raise KeyError(f"an archive of this write lacks a volume, or has another text of it: {name}")
+            return
         if name in self.names:
             self.out.close()
             self.stream.close()
             self.files.delete_file(self.part)
             raise KeyError(f"a volume is twice in an archive: {name}")
-        self.names.add(name)
-        self.out.writestr(name, value)
+        self.names[name] = (len(data), zlib.crc32(data))
+        self.out.writestr(name, data)
 
     def close(self) -> None:
+        if self.done:
+            return
         self.out.close()
         self.stream.close()
         self.files.move(self.part, self.path)
 
 
+#: Writes that an archive's manifest remembers.
+WRITES = 500
+
+
 def _write_zips(raw: DataFrame, root: str, hash_chars: int = 3) -> DataFrame:
+    write = uuid.uuid4().hex
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = _filesystem(root)
         bucket, archive = None, None
@@ -137,7 +243,7 @@ def _write_zips(raw: DataFrame, root: str, hash_chars: int = 3) -> DataFrame:
                 if b != bucket:
                     if archive:
                         archive.close()
-                    bucket, archive = b, _Archive(files, top, b)
+                    bucket, archive = b, _Archive(files, top, b, write)
                 archive.add(name, value)
             yield pd.DataFrame({"htid": pdf["htid"], "path": pdf["bucket"] + ".zip"})
         if archive:

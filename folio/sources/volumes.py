@@ -99,6 +99,53 @@ def page_list(raw: DataFrame) -> DataFrame:
     return _pages(raw, "pages").select("htid", "page")
 
 
+_STATS = ("tokenCount", "lineCount", "emptyLineCount", "capAlphaSeq", "sentenceCount")
+#: The columns of each kind of row that :func:`tagged` gives.
+KIND_COLUMNS = {
+    "tokens": ("htid", "page", "section", "token", "pos", "count"), "chars": ("htid", "page", "section", "place", "char", "count"),
+    "section": ("htid", "page", "section", *_STATS), "pages": ("htid", "page", "languages", "calculatedLanguage", "version"),
+}
+
+
+def tagged(raw: DataFrame, kinds: tuple[str, ...] = ("tokens", "chars", "section", "pages")) -> DataFrame:
+    """The rows of several tables from one parse of each text: ``kind`` and all tables' columns, null where a kind lacks them.
+
+    The schema parsed covers the kinds asked for only. Rows are made page by page, so beside a volume's text and its
+    parsed form a task holds one page's rows.
+    """
+    parts = ["tokens" if k == "tokens" else "line_chars" if k == "chars" else "section_features" for k in kinds if k != "pages"]
+    page = "seq:string,languages:string,calculatedLanguage:string,version:string" if "pages" in kinds else "seq:string"
+    page += "".join(f",{s}:struct<{','.join(_SECTION[p] for p in parts)}>" for s in SECTIONS) if parts else ""
+    rows = raw.select("htid", F.from_json("value", f"features struct<pages:array<struct<{page}>>>").alias("v")).select("htid", F.explode("v.features.pages").alias("p"))
+    columns = list(dict.fromkeys(c for k in kinds for c in KIND_COLUMNS[k] if c not in ("htid", "page")))
+    types = {"count": "bigint"} | dict.fromkeys(_STATS, "int")
+
+    def row(kind: str, **own: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[own.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in columns])
+
+    made = []
+    for name in SECTIONS if parts else ():
+        x = F.col(f"p.{name}")
+        if "tokens" in kinds:
+            uses = F.flatten(F.transform(F.map_entries(x["tokenPosCount"]), lambda t: F.transform(F.map_entries(t["value"]), lambda c: F.struct(t["key"].alias("token"), c["key"].alias("pos"), c["value"].alias("count")))))
+            made.append(F.transform(uses, lambda u: row("tokens", section=F.lit(name), token=u["token"], pos=u["pos"], count=u["count"])))
+        if "chars" in kinds:
+            for place, maps in (("begin", ("beginCharCounts", "beginCharCount", "beginLineChars")), ("end", ("endCharCount", "endLineChars"))):
+                found = F.map_entries(F.coalesce(*[x[m] for m in maps]))
+                made.append(F.transform(found, lambda c: row("chars", section=F.lit(name), place=F.lit(place), char=c["key"], count=c["value"])))
+        if "section" in kinds:
+            made.append(F.when(x.isNotNull(), F.array(row("section", section=F.lit(name), **{c: x[c] for c in _STATS}))))
+    if "pages" in kinds:
+        made.append(F.array(row("pages", **{c: F.col(f"p.{c}") for c in ("languages", "calculatedLanguage", "version")})))
+    each = F.explode(F.flatten(F.filter(F.array(*made), lambda m: m.isNotNull()))).alias("r")
+    return rows.select("htid", F.col("p.seq").cast("int").alias("page"), each).select("r.kind", "htid", "page", *[f"r.{c}" for c in columns])
+
+
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """One table of :func:`tagged` rows."""
+    return rows.where(F.col("kind") == kind).select(*KIND_COLUMNS[kind])
+
+
 def variants(raw: DataFrame) -> DataFrame:
     """htid, doc: the whole nested text as VARIANT."""
     return raw.select("htid", F.parse_json("value").alias("doc"))

@@ -299,3 +299,111 @@ def test_stream(raw, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.pos, r["count"]) for r in spark.table("pos").collect()} == {("DT", 18), ("NN", 18)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_all_tables_from_one_parse(raw, corpus, spark, tmp_path):
+    tagged = volumes.tagged(raw)
+    plan = plan_of(tagged)
+    assert plan.count("from_json(StructField") == 1 and plan.count("Scan text") == 1 and "Exchange" not in plan
+    for kind, table in (("tokens", corpus.tokens), ("chars", corpus.chars), ("section", corpus.sections), ("pages", corpus.page_features)):
+        assert rows_of(volumes.of_kind(tagged, kind).select(*table.columns)) == rows_of(table)
+    assert "tokenPosCount" not in plan_of(volumes.tagged(raw, ("chars", "section")))
+    stores.write_in_one_pass(raw, str(tmp_path / "w"))
+    for kind, table in (("tokens", corpus.tokens), ("chars", corpus.chars), ("section", corpus.sections), ("pages", corpus.page_features)):
+        assert rows_of(stores.read_table(spark, str(tmp_path / "w"), kind).select(*table.columns)) == rows_of(table)
+    Corpus.from_raw(raw).save(str(tmp_path / "s"), ("meta", "tokens", "section"))
+    back = Corpus.from_tables(spark, str(tmp_path / "s"))
+    assert rows_of(back.tokens) == rows_of(corpus.tokens) and rows_of(back.sections) == rows_of(corpus.sections) and back.volumes.count() == 3
+    with pytest.raises(MissingDataError):
+        back.chars
+
+
+def test_buckets_need_no_shuffle(corpus, spark, tmp_path):
+    stores.write_buckets({"tokens": corpus.tokens, "section": corpus.sections}, "held", str(tmp_path / "b"), 3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        toks, secs = stores.read_buckets(spark, "held", "tokens"), stores.read_buckets(spark, "held", "section")
+        totals = toks.groupBy("htid", "page").agg(F.sum("count").alias("total"))
+        folded = tokens.tokenlist(toks, case=False, pos=False)
+        joined = toks.join(totals, ["htid", "page"]).join(secs.where("section = 'body'").select("htid", "page", "tokenCount"), ["htid", "page"])
+        for df in (totals, folded, joined, tokens.tokenlist(toks, pages=False)):
+            assert "Exchange" not in plan_of(df)
+        assert rows_of(folded) == rows_of(tokens.tokenlist(corpus.tokens, case=False, pos=False)) and joined.count() == corpus.tokens.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for k in ("tokens", "section"):
+            spark.sql(f"DROP TABLE held_{k}")
+
+
+@pytest.mark.parametrize("layout", ["local", "stubbytree", "pairtree"])
+def test_tables_of_each_volume(corpus, spark, tmp_path, layout):
+    wide = corpus.tokens.unionByName(corpus.tokens.withColumn("htid", F.lit("lib.a:c/d.1")).withColumn("count", F.col("count") + 1))
+    paths = {(r.htid, r.path) for r in stores.write_volume_tables({"tokens": wide, "section": corpus.sections}, str(tmp_path / "v"), layout).collect()}
+    assert len(paths) == 4 + 3 and all((tmp_path / "v" / p).is_file() for _, p in paths)
+    assert not list((tmp_path / "v").rglob("*.part"))
+    assert rows_of(stores.read_volume_tables(spark, str(tmp_path / "v"), "tokens").select(*wide.columns)) == rows_of(wide)
+    assert rows_of(stores.read_volume_tables(spark, str(tmp_path / "v"), "section").select(*corpus.sections.columns)) == rows_of(corpus.sections)
+    with pytest.raises(ValueError):
+        stores.write_volume_tables({"other": wide}, str(tmp_path / "v"))
+
+
+def test_archive_writes_may_be_repeated(spark, tmp_path):
+    first = spark.createDataFrame([(f"a.{i}", f"text {i}") for i in range(40)], "htid string, value string")
+    out = stores.write_volumes(first, str(tmp_path), "ziptree")
+    one, size = rows_of(out), {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("*.zip")}
+    assert rows_of(out) == one and {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("*.zip")} == size  # the same write: nothing is added
+    with pytest.raises(Exception, match="twice in an archive"):  # another write with a volume that is there
+        stores.write_volumes(first.limit(1), str(tmp_path), "ziptree").collect()
+    more = stores.write_volumes(spark.createDataFrame([(f"b.{i}", "x") for i in range(40)], "htid string, value string"), str(tmp_path), "ziptree")
+    assert len(more.collect()) == len(more.collect()) == 40
+    assert rows_of(out) == one  # and the earlier write still knows its own
+    assert stores.read_zips(spark, str(tmp_path)).count() == 80 and not list(tmp_path.glob("*.part"))
+    with pytest.raises(Exception, match="twice in an archive"):
+        stores.write_volumes(first.limit(3).union(first.limit(3)), str(tmp_path / "new"), "ziptree").collect()
+
+
+def test_an_archive_task_that_is_lost_is_repeated(spark, tmp_path):
+    """Its archive is in place and its result is lost: the retry finds its own write, and no other content passes for it."""
+    root = str(tmp_path / "z")
+    from folio.sources.stores import _Archive, _filesystem
+
+    files, top = _filesystem(root)
+    for _ in range(2):  # the same task twice, as the scheduler would run it
+        archive = _Archive(files, top, "abc", "w1")
+        for i in range(5):
+            archive.add(f"{i}.json", f"v{i}")
+        archive.close()
+    changed = _Archive(files, top, "abc", "w1")
+    with pytest.raises(KeyError):
+        changed.add("0.json", "another text")
+    assert sorted(p.name for p in (tmp_path / "z").iterdir()) == ["abc.zip"]
+
+
+def test_sparse_rows_over_the_whole_vocabulary(corpus):
+    long = tokens.tokenlist(corpus.tokens, pages=False, pos=False, section="group")
+    words = tokens.vocabulary(long, parts=3)
+    known = {r.token: r["index"] for r in words.collect()}
+    assert sorted(known.values()) == list(range(len(known))) and set(known) == {r.token for r in long.collect()}
+    rows = tokens.sparse_rows(long, words).collect()
+    assert all(r.indices == sorted(r.indices) for r in rows)
+    assert sorted((r.htid, i, v) for r in rows for i, v in zip(r.indices, r["values"], strict=True)) == sorted((r.htid, known[r.token], r["count"]) for r in long.collect())
+
+
+def test_bitmaps_of_pages(spark):
+    rows = [("v", p, s, w, "NN", 2) for p in (1, 63, 64, 65, 128, 129, 1000) for s in ("body", "header") for w in ("A", "a") if p % 2 or w == "a"]
+    df = spark.createDataFrame(rows, "htid string, page int, section string, token string, pos string, count long")
+    held = tokens.page_bitmaps(df)
+    for kw in ({}, {"case": False}, {"section": "group"}, {"section": "all", "pos": False}, {"section": "group", "case": False, "pos": False}):
+        assert rows_of(tokens.bitmap_page_freqs(held, **kw)) == rows_of(tokens.tokenlist(df, pages=False, page_freq=True, **kw))
+    with pytest.raises(ValueError):
+        tokens.bitmap_page_freqs(held, section="margin")
