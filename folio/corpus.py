@@ -191,6 +191,10 @@ class Corpus:
             made["section"] = self.sections
         stores.write_tables(made, folder, compression, mode)
 
+    def printed(self) -> DataFrame:
+        """A line of text and of HTML for each volume."""
+        return metadata.printed(self.volumes)
+
     def volume(self, htid: str) -> Volume:
         return Volume({k: v.where(F.col("htid") == htid) for k, v in self._tables.items()}, self.default_section, self.raw.where(F.col("htid") == htid) if self.raw is not None else None)
 
@@ -216,6 +220,10 @@ class Page:
     def __init__(self, volume: Volume, seq: int):
         self.volume, self.seq = volume, seq
 
+    def printed(self) -> DataFrame:
+        """The page in one line of text."""
+        return metadata.printed_pages(self.volume.pages.where(F.col("page") == self.seq))
+
     def tokenlist(self, **kw) -> DataFrame:
         return self.volume.tokenlist(page_select=self.seq, **kw)
 

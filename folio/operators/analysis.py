@@ -99,14 +99,53 @@ def smoothed(x: np.ndarray, y: np.ndarray, share: float = 0.3) -> np.ndarray:
     return out
 
 
-def lowess(rows: DataFrame, value: str, share: float = 0.3) -> DataFrame:
-    """``rows`` (htid, page) with ``smooth``: see :func:`smoothed`; one volume a group."""
+def robustly_smoothed(x: np.ndarray, y: np.ndarray, share: float = 0.3, passes: int = 3) -> np.ndarray:
+    """As :func:`smoothed`, with ``passes`` more fits, each weighting points by the bisquare of their residuals (six median residuals are the reach).
+
+    A window holds ``share`` of the points, rounded down; where all of its weights vanish, the point itself stays.
+    """
+    n = len(x)
+    k = min(n, max(2, int(share * n + 1e-10)))
+    low, at = np.zeros(n, np.int64), 0
+    for i in range(n):
+        while at + k < n and x[at + k] - x[i] < x[i] - x[at]:
+            at += 1
+        low[i] = at
+    weight, out = np.ones(n), y.astype(np.float64).copy()
+    for turn in range(passes + 1):
+        for a in range(0, n, block := max(1, 1_000_000 // max(k, 1))):
+            own = low[a : a + block, None] + np.arange(k)
+            px, py, here = x[own], y[own], x[a : a + block]
+            d = np.abs(px - here[:, None])
+            reach = d.max(axis=1, keepdims=True)
+            w = np.clip(1 - (d / np.where(reach > 0, reach, 1)) ** 3, 0, 1) ** 3 * weight[own]
+            total = w.sum(axis=1)
+            fine = total > 0
+            total = np.where(fine, total, 1)
+            mx, my = (w * px).sum(axis=1) / total, (w * py).sum(axis=1) / total
+            dx = px - mx[:, None]
+            var, cov = (w * dx**2).sum(axis=1) / total, (w * dx * (py - my[:, None])).sum(axis=1) / total
+            sloped = var > 1e-12 * np.maximum(reach[:, 0], 1e-9) ** 2
+            fit = my + np.where(sloped, cov / np.where(sloped, var, 1), 0) * (here - mx)
+            out[a : a + block] = np.where(fine, fit, y[a : a + block])
+        if turn < passes:
+            left = np.abs(y - out)
+            middle = np.median(left)
+            if middle < 1e-12 * max(1.0, np.abs(y).max()):  # at least half of the points lie on the curve
+                break
+            weight = np.clip(1 - (left / (6 * middle)) ** 2, 0, 1) ** 2
+    return out
+
+
+def lowess(rows: DataFrame, value: str, share: float = 0.3, passes: int = 0, by: str = "page") -> DataFrame:
+    """``rows`` (htid, page and ``by``) with ``smooth`` over ``by``; one volume a group. ``passes`` over zero: :func:`robustly_smoothed`, else :func:`smoothed`."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page")
-        return pd.DataFrame({"htid": pdf["htid"], "page": pdf["page"], "smooth": smoothed(pdf["page"].to_numpy(float), pdf[value].to_numpy(float), share)})
+        pdf = pdf.sort_values(by)
+        x, y = pdf[by].to_numpy(float), pdf[value].to_numpy(float)
+        return pd.DataFrame({"htid": pdf["htid"], "page": pdf["page"], "smooth": robustly_smoothed(x, y, share, passes) if passes else smoothed(x, y, share)})
 
-    return rows.select("htid", "page", value).groupBy("htid").applyInPandas(fit, "htid string, page int, smooth double")
+    return rows.select(*dict.fromkeys(["htid", "page", by, value])).groupBy("htid").applyInPandas(fit, "htid string, page int, smooth double")
 
 
 def chunk_quality(chunks: DataFrame, target: float) -> DataFrame:

@@ -377,6 +377,18 @@ def _metadata(s: SparkSession, d: str) -> DataFrame:
     return rows.select("htid", "id", "title", "language", "year", "feature_schema_version", "page_count", *joined, "pub_place", "publisher", "source_institution", "tokenization_warning")
 
 
+@query("volume_lines", r"""WITH v AS (SELECT doc_id AS i, 'doc.' || doc_id AS htid, coalesce(source, '') AS source, doc_id % 3 = 2 AS linked FROM documents WHERE doc_id IS NOT NULL)
+  SELECT htid, '<Volume: ' || htid || ' (' || (1800 + i % 200) || CASE WHEN linked AND i % 5 > 2 THEN ') without a listed author>' ELSE ') by ' || CASE WHEN NOT linked THEN 'N' WHEN i % 5 = 0 THEN trim(source || ', A. ') ELSE source END || '>' END AS line FROM v""")
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return metadata.printed(metadata.volumes(bridge.to_metadata_volumes(bridge.read(s, d)))).select("htid", "line")
+
+
+@query("sentiment_lowess_robust", None)
+def _robust(s: SparkSession, d: str) -> DataFrame:
+    rows = analysis.moving_average(_sentiment(s, d).withColumn("sentiment", F.col("sentiment").cast("double")), "sentiment")
+    return analysis.lowess(rows, "sentiment", passes=3, by="seq").withColumn("smooth", F.round("smooth", 6))
+
+
 @query("parquet_roundtrip", _sum("htid, page, lowercase", "true"), _TOKENS)
 def _parquet(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "tables")

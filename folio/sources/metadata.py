@@ -127,6 +127,26 @@ def marc_control(xml: Column, tag: str) -> Column:
     return F.try_element_at(F.xpath(xml, F.lit(f"//controlfield[@tag='{tag}']/text()")), F.lit(1))
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def short(x: Column, width: int) -> Column:
-    """Cut for display."""
-    return F.when(F.length(x) > width, F.concat(F.trim(F.substring(x, 1, width)), F.lit("..."))).otherwise(x)
+    """Cut for display: without white space at its ends, and with dots where it was longer than ``width``."""
+    return F.when(F.length(x) > width, F.concat(_stripped(F.substring(x, 1, width)), F.lit("..."))).otherwise(_stripped(x))
+
+
+def printed(rows: DataFrame) -> DataFrame:
+    """htid, ``line`` (a volume in one line of text) and ``html`` (the same with its address) of volumes' metadata; what is missing is printed as None."""
+    def shown(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit("None"))
+
+    title, year = F.col("title"), shown(F.col("year"))
+    line = F.when(F.size("author") > 0, F.concat(F.lit("<Volume: "), shown(short(title, 30)), F.lit(" ("), year, F.lit(") by "), shown(short(F.col("author")[0], 40)), F.lit(">"))).otherwise(F.concat(F.lit("<Volume: "), shown(short(title, 30)), F.lit(" ("), year, F.lit(") without a listed author>")))
+    html = F.concat(F.lit("<strong><a href='"), shown(F.col("handle_url")), F.lit("'>"), shown(title), F.lit("</a></strong> by <em>"), F.array_join("author", ", "), F.lit("</em> ("), year, F.lit(", "), shown(F.col("page_count")), F.lit(" pages) - <code>"), shown(F.col("id")), F.lit("</code>"))
+    return rows.select("htid", line.alias("line"), html.alias("html"))
+
+
+def printed_pages(pages: DataFrame) -> DataFrame:
+    """htid, page, ``line`` of pages (htid, page)."""
+    return pages.select("htid", "page", F.format_string("<page %d of volume %s>", "page", "htid").alias("line"))

@@ -20,16 +20,26 @@ from folio.functions import ids
 from folio.model import MissingDataError
 from folio.sources import volumes
 
+#: Row groups of clustered tables.
+LOOKUP_BYTES = 8 << 20
 KINDS = ("meta", "tokens", "chars", "section")
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, compression: str = "snappy", mode: str = "errorifexists", order: tuple[str, ...] | None = None) -> None:
-    """Each kind of table as one Parquet dataset below ``folder``, sorted within files (by ``order``, or for pruning by volume and page)."""
+def write_tables(tables: dict[str, DataFrame], folder: str, compression: str = "snappy", mode: str = "errorifexists", order: tuple[str, ...] | None = None, clustered: bool = False) -> None:
+    """Each kind of table as one Parquet dataset below ``folder``, sorted within files (by ``order``, or for pruning by volume and page).
+
+    ``clustered``: volumes are dealt out by ranges of their ids, with a Bloom filter of the ids in each row group of
+    ``LOOKUP_BYTES``, so that a query for one volume reads the few row groups that hold it.
+    """
     for kind, df in tables.items():
         if kind not in KINDS:
             raise ValueError(f"no such kind of table: {kind}")
         keys = [c for c in order or ("htid", "page", "chunk", "section", "token", "lowercase", "pos") if c in df.columns]
-        df.sortWithinPartitions(*keys).write.mode(mode).option("compression", compression).parquet(f"{folder}/{kind}")
+        own = {}
+        if clustered and "htid" in df.columns:
+            df = df.repartitionByRange("htid", *[c for c in ("page", "chunk") if c in df.columns])
+            own = {"parquet.bloom.filter.enabled#htid": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(LOOKUP_BYTES), "parquet.enable.dictionary#htid": "true"}
+        df.sortWithinPartitions(*keys).write.mode(mode).options(**own).option("compression", compression).parquet(f"{folder}/{kind}")
 
 
 def write_in_one_pass(raw: DataFrame, folder: str, kinds: tuple[str, ...] = ("tokens", "chars", "section", "pages"), compression: str = "snappy", mode: str = "errorifexists") -> None:
@@ -303,16 +313,47 @@ def read_ids(wanted: DataFrame, root: str, layout: str = "stubbytree", compressi
     return rows.mapInPandas(task, "htid string, value string")
 
 
-def fetched(wanted: DataFrame, fetch: Callable[[str], str] | None = None) -> DataFrame:
-    """htid, value through a fetcher called per id on executors; without one, a clear error: this build has no network."""
+def fetch_rows(wanted: DataFrame, fetch: Callable[[str], str] | None = None, workers: int = 8, tries: int = 4, wait: float = 0.5) -> DataFrame:
+    """htid, value, error, tries: each id through a fetcher on executors, ``workers`` at a time in a task.
+
+    A call that fails is repeated after ``wait`` seconds, twice as long each time and with a share of chance, up to
+    ``tries`` calls; an id that stays without an answer is a row with its error. A fetcher that raises KeyError or
+    FileNotFoundError (an address answered with 404, say) says that there is no such volume, and isn't asked again.
+    """
     if fetch is None:
         raise MissingDataError("no fetcher is set for remote volumes")
 
+    def one(htid: str) -> tuple[str, str | None, str | None, int]:
+        import random
+        import time
+
+        for k in range(1, tries + 1):
+            try:
+                return htid, fetch(htid), None, k
+            except (KeyError, FileNotFoundError) as e:
+                return htid, None, f"not found: {e}", k
+            except Exception as e:
+                if k == tries:
+                    return htid, None, f"{type(e).__name__}: {e}", k
+            time.sleep(wait * 2 ** (k - 1) * (0.5 + random.random()))
+        raise AssertionError
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"htid": pdf["htid"], "value": [fetch(h) for h in pdf["htid"]]})
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                for a in range(0, len(pdf), 4 * workers):  # so many answers are held at once
+                    yield pd.DataFrame(list(pool.map(one, pdf["htid"][a : a + 4 * workers])), columns=["htid", "value", "error", "tries"])
+
+    return wanted.select("htid").mapInPandas(task, "htid string, value string, error string, tries int")
 
-    return wanted.select("htid").mapInPandas(task, "htid string, value string")
+
+def fetched(wanted: DataFrame, fetch: Callable[[str], str] | None = None, **kw) -> DataFrame:
+    """htid, value of the ids that :func:`fetch_rows` finds; those that there aren't are left out, and one that gives no answer fails the query with its error."""
+    rows = fetch_rows(wanted, fetch, **kw)
+    lost = F.col("error").isNotNull() & ~F.col("error").startswith("not found")
+    return rows.select("htid", F.when(lost, F.raise_error(F.concat("htid", F.lit(": "), "error"))).otherwise(F.col("value")).alias("value")).where(F.col("value").isNotNull())
 
 
 def url_fetcher(template: str, timeout: float = 60) -> Callable[[str], str]:
@@ -321,12 +362,18 @@ def url_fetcher(template: str, timeout: float = 60) -> Callable[[str], str]:
     def fetch(htid: str) -> str:
         import bz2
         import gzip
+        import urllib.error
         import urllib.parse
         import urllib.request
 
         url = htid if template == "{url}" else template.format(id=urllib.parse.quote(htid, safe=""), clean=urllib.parse.quote(ids.path_text(htid, "local", "json", None).removesuffix(".json")))
-        with urllib.request.urlopen(url, timeout=timeout) as r:
-            data = r.read()
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as r:
+                data = r.read()
+        except urllib.error.HTTPError as e:
+            if e.code in (404, 410):
+                raise FileNotFoundError(url) from e
+            raise
         return (bz2.decompress(data) if url.endswith(".bz2") else gzip.decompress(data) if url.endswith(".gz") else data).decode()
 
     return fetch

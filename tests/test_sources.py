@@ -407,3 +407,135 @@ def test_bitmaps_of_pages(spark):
         assert rows_of(tokens.bitmap_page_freqs(held, **kw)) == rows_of(tokens.tokenlist(df, pages=False, page_freq=True, **kw))
     with pytest.raises(ValueError):
         tokens.bitmap_page_freqs(held, section="margin")
+
+
+def test_printed_forms(spark, corpus):
+    lines = {r.htid: r for r in corpus.printed().collect()}
+    assert lines["a.0"].line == "<Volume: T0 (1900) by N, M>" and lines["a.2"].line == "<Volume: T2 (1900) by A>"
+    assert lines["a.2"].html == "<strong><a href='http://h/a'>T2</a></strong> by <em>A, B</em> (1900, 3 pages) - <code>a.2</code>"
+    rows = [("x", "t" * 29 + " tail", "1900", ["w" * 41]), ("y", " short ", None, []), ("z", None, "1", [" p "])]
+    df = spark.createDataFrame(rows, "htid string, title string, year string, author array<string>").selectExpr("*", "htid as id", "htid as handle_url", "1 as page_count")
+    got = {r.htid: r.line for r in metadata.printed(df).collect()}
+    assert got == {"x": f"<Volume: {'t' * 29}... (1900) by {'w' * 40}...>", "y": "<Volume: short (None) without a listed author>", "z": "<Volume: None (1) by p>"}
+    assert [r.line for r in corpus.volume("a.1").page(2).printed().collect()] == ["<page 2 of volume a.1>"]
+
+
+class Flaky:
+    """A local server: every address fails twice before it answers, some never do, some are not there."""
+
+    def __init__(self):
+        import threading
+        from collections import Counter
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        asked, lock = Counter(), threading.Lock()
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                with lock:
+                    asked[self.path] += 1
+                    n = asked[self.path]
+                code = 404 if "gone" in self.path else 500 if "bad" in self.path or n < 3 else 200
+                self.send_response(code)
+                self.end_headers()
+                if code == 200:
+                    self.wfile.write(f"text of {self.path}".encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.asked, self.server = asked, ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}/"
+
+
+def test_fetching_from_a_flaky_server(spark):
+    flaky = Flaky()
+    fetch = stores.url_fetcher(flaky.url + "{id}", timeout=10)
+    wanted = spark.createDataFrame([(f"v{i}",) for i in range(30)] + [("bad",), ("gone",)], "htid string").repartition(2)
+    rows = {r.htid: r for r in stores.fetch_rows(wanted, fetch, tries=4, wait=0.01).collect()}
+    assert {k for k, r in rows.items() if r.value} == {f"v{i}" for i in range(30)} and rows["v3"].value == "text of /v3"
+    assert all(flaky.asked[f"/v{i}"] == 3 == rows[f"v{i}"].tries for i in range(30))  # each is fetched once
+    assert (rows["bad"].tries, flaky.asked["/bad"]) == (4, 4) and "500" in rows["bad"].error
+    assert (rows["gone"].tries, flaky.asked["/gone"]) == (1, 1) and rows["gone"].error.startswith("not found")
+    found = stores.fetched(wanted.where("htid <> 'bad'"), fetch, wait=0.01)
+    assert found.count() == 30
+    with pytest.raises(Exception, match="bad: HTTPError"):
+        stores.fetched(wanted, fetch, wait=0.01).collect()
+    flaky.server.shutdown()
+
+
+def test_one_volume_is_in_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(400_000).select(F.concat(F.lit("v."), F.lpad((F.col("id") % 500).cast("string"), 3, "0")).alias("htid"), (F.col("id") / 500).cast("int").alias("page"), F.lit("body").alias("section"), F.sha2(F.col("id").cast("string"), 256).alias("token"), F.lit("NN").alias("pos"), F.lit(1).cast("long").alias("count"))
+    before = stores.LOOKUP_BYTES
+    stores.LOOKUP_BYTES = 1 << 20
+    try:
+        stores.write_tables({"tokens": rows}, str(tmp_path), clustered=True)
+    finally:
+        stores.LOOKUP_BYTES = before
+    bounds = []
+    for f in (tmp_path / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        bounds += [(c.statistics.min, c.statistics.max) for c in (meta.row_group(g).column(0) for g in range(meta.num_row_groups))]
+    assert len(bounds) >= 8
+    for i in range(0, 500, 7):
+        assert sum(low <= f"v.{i:03d}" <= high for low, high in bounds) <= 2
+    one = stores.read_table(spark, str(tmp_path), "tokens").where("htid = 'v.123'")
+    assert one.count() == 800 and "EqualTo(htid,v.123)" in plan_of(one)
+
+
+def plain_lowess(x, y, share, passes):
+    """Point by point, by weighted least squares."""
+    n, k = len(x), min(len(x), max(2, int(share * len(x) + 1e-10)))
+    robust, out = np.ones(n), np.array(y, float)
+    for turn in range(passes + 1):
+        for i in range(n):
+            near = np.sort(np.argsort(np.abs(x - x[i]), kind="stable")[:k])
+            d = np.abs(x[near] - x[i])
+            w = (1 - (d / d.max()) ** 3) ** 3 * robust[near]
+            if w.sum() <= 0:
+                out[i] = y[i]
+                continue
+            a = np.stack([np.ones(k), x[near]], axis=1) * np.sqrt(w)[:, None]
+            out[i] = np.linalg.lstsq(a, y[near] * np.sqrt(w), rcond=None)[0] @ [1, x[i]]
+        if turn < passes:
+            left = np.abs(y - out)
+            robust = np.clip(1 - (left / (6 * np.median(left))) ** 2, 0, 1) ** 2
+    return out
+
+
+def test_robust_smoothing(spark):
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.uniform(0.5, 1.5, 120))
+    y = np.sin(x / 9) + rng.normal(0, 0.1, 120)
+    y[[10, 50, 51, 90]] += 12  # outliers
+    for share in (0.1, 0.25, 0.4):
+        for passes in (1, 3):
+            assert np.allclose(analysis.robustly_smoothed(x, y, share, passes), plain_lowess(x, y, share, passes), atol=1e-7)
+    assert np.abs(analysis.robustly_smoothed(x, y, 0.2) - np.sin(x / 9)).max() < 0.4 < np.abs(analysis.smoothed(x, y, 0.2) - np.sin(x / 9)).max()
+    assert analysis.robustly_smoothed(np.array([1.0]), np.array([4.0])).tolist() == [4.0]
+    line = np.arange(30.0)
+    assert np.allclose(analysis.robustly_smoothed(line, 2 * line + 1), 2 * line + 1)
+    df = spark.createDataFrame([("v", i, i, float(v)) for i, v in enumerate(y)], "htid string, page int, seq int, sentiment double")
+    got = [r.smooth for r in analysis.lowess(df, "sentiment", 0.25, 3, "seq").orderBy("page").collect()]
+    assert np.allclose(got, analysis.robustly_smoothed(np.arange(120.0), y, 0.25))
+
+
+def test_small_parts_of_queries(corpus, spark):
+    """One page's line characters; chunks as places of a stored table; stop words of vectors; the order of chunks."""
+    from folio.operators import features, vectors
+
+    one = features.line_chars(corpus.chars, page_select=2, section="all")
+    assert {r.page for r in one.collect()} == {2} and one.count() == 6
+    chunked = tokens.tokenlist(corpus.tokens, chunk=True, chunk_target=5)
+    assert "chunk" in chunked.columns and "page" not in chunked.columns
+    again = tokens.tokenlist(chunked, pos=False)  # a table by chunk is folded by chunk
+    assert "chunk" in again.columns and again.groupBy().sum("count").first()[0] == chunked.groupBy().sum("count").first()[0]
+    ordered = [(r.htid, r.chunk, r.token, r.pos) for r in analysis.chunk_order(chunked.repartition(3)).select("htid", "chunk", "token", "pos").collect()]
+    assert ordered == sorted(ordered)
+    model = spark.createDataFrame([("The", [1.0, 0.0]), ("the", [0.0, 1.0])], "token string, vec array<double>")
+    stop = spark.createDataFrame([("the",)], "token string")
+    vecs = {r.htid: r.vec for r in vectors.document_vectors(corpus.tokens, model, 2, stop, log=False, min_ncount=0).collect()}
+    assert all(v == [6.0, None] or v[0] > 0 and v[1] == 0.0 for v in vecs.values()) and len(vecs) == 3
