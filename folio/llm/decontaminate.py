@@ -6,8 +6,8 @@ that length reaches the window, the last words are an item window, and the state
 
 Normalised: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. An automaton is built over ``max_words`` words of
 items at most (an item is never cut, a longer one has its own), then kept as flat arrays with sorted transitions: about
-60 bytes a word. A larger benchmark has several, which documents pass one after the other; those that a worker holds
-together stay below ``max_bytes``.
+60 bytes a word. A larger benchmark has several, built and stored by tasks. Documents pass them one after the other; those
+that a worker holds together stay below ``max_bytes``, and the driver holds so many while it broadcasts them.
 
 Defined results: null text has no words and an item without words never occurs; null ``item_id`` items are named
 ``null``; rows that repeat an item are each counted; repeated documents stay; texts of any length are read whole, word by
@@ -18,6 +18,7 @@ empty tables give no row or no hit.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, tidy
+from folio.llm.common import documents, stored, tidy
 
 WINDOW = 8
 #: Words of items that one automaton is built over, and bytes of automata that a worker holds together.
 MAX_WORDS, MAX_BYTES = 250_000, 200 << 20
+#: Bytes of a word and what follows it, by which items are dealt to tasks.
+WORD_BYTES = 6
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
 
@@ -192,17 +195,33 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[SuffixAutomaton]:
-    """The benchmark's automata, made as the items stream to the driver."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        ws = words(r["t"])
-        if held and size + len(ws) > max_words:
-            yield SuffixAutomaton(held, window)
-            held, size = [], 0
-        held.append((r["i"] if r["i"] is not None else "null", ws))
-        size += len(ws)
-    if held:
-        yield SuffixAutomaton(held, window)
+    """The benchmark's automata. Tasks build them over their items and store them; they come to the driver one at a time."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    chars = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    tasks = max(1, -(-int(chars) // (WORD_BYTES * max_words)))  # about as many as automata, so that a small benchmark has one
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([pickle.dumps(SuffixAutomaton(held, window))], pa.binary())], names=["automaton"])
+
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = words(t)
+                if held and size + len(ws) > max_words:
+                    yield done()
+                    held, size = [], 0
+                if ws:
+                    held.append((i if i is not None else "null", ws))
+                    size += len(ws)
+        if held:
+            yield done()
+
+    dealt = items.coalesce(1) if tasks == 1 else items.repartition(tasks)
+    made = stored(dealt.mapInArrow(tidy(build), "automaton binary"), "automata", **{"parquet.block.size": str(16 << 20)})
+    for r in made.toLocalIterator():
+        yield pickle.loads(bytes(r["automaton"]))
 
 
 def _groups(made: Iterator[SuffixAutomaton], max_bytes: int) -> Iterator[list[SuffixAutomaton]]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -878,3 +879,41 @@ def test_phrases_that_go_on_in_one_way_are_told_once():
     told = [(p, int(c), int(v)) for got in collocations.phrase_counts(shard, [np.full(16, 255, np.uint8)] * 5) for p, c, v in zip(*got, strict=True)]
     assert all(c == 7 for _, c, _ in told)
     assert {(p, v) for p, _, v in told if b" " in p} == {(b"a b c d e", 3), (b"b c d e f", 3), (b"c d e f", 2), (b"d e f", 1), (b"e f", 0)}
+
+
+def test_large_benchmarks_are_built_by_tasks(spark):
+    """Several automata: as many as the words need, each item in one, the hits as with one."""
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(r.choice([0, 3, 20, 60])))) for i in range(120)] + [(None, "w1 w2 w3"), (500, None)]
+    docs = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(30)) + " " + items[r.randrange(120)][1]) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(7)
+    made = list(decontaminate.automata(bench, max_words=300))
+    held = sorted(name for sa in made for name in sa.names)
+    assert len(made) >= 5 and held == sorted("null" if i is None else str(i) for i, t in items if t)
+    df = spark.createDataFrame(docs, DOCS)
+    want = {x[0]: x[1:4] for x in decontaminate.brute_force(docs, items)}
+    for max_words, max_bytes in ((250_000, 200 << 20), (300, 200 << 20), (300, 1)):
+        got = decontaminate.mark_hits(df, bench, max_words=max_words, max_bytes=max_bytes).collect()
+        assert {x.doc_id: (x.n_words, sum(e - s for s, e in x.hits), len(x["items"])) for x in got} == {k: v for k, v in want.items()}
+
+
+def test_a_conversation_of_many_turns(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"text {i} ### x\n") for i in range(2000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", pa_lit("clash")).withColumn("loss", pa_lit("clash"))
+    at = time.time()
+    row = chat.format_conversations(df).first()
+    assert time.time() - at < 40  # a few seconds where the machine is free
+    assert chat.parse(row.formatted) == [(x[2], x[3]) for x in turns] and not row.rewrites
+    assert [chat.unescape(row.formatted[s:e]) for s, e in row.loss] == [x[3] for x in turns if x[2] == "assistant"]
+
+
+def test_clashing_columns_and_long_texts(spark, hard):
+    """Columns named as the operators' own, and texts of a million words, in the operators that read documents row by row."""
+    long = spark.createDataFrame([(90, "a b c d e. " * 200_000)], DOCS)
+    docs = hard.unionByName(long)
+    clash = docs.withColumns({c: pa_lit("clash") for c in ("kept", "n_words", "piece", "start", "length", "fp", "component_id", "score")})
+    counted = {(x.doc_id, x.n_words) for x in quality.statistics(clash.drop("n_words")).select("doc_id", "n_words").collect()}
+    assert (90, 1_000_000) in counted
+    rows = packing.pack(clash.where("doc_id = 90"), path("byte_bpe_50k.json"))
+    plain = packing.pack(docs.where("doc_id = 90"), path("byte_bpe_50k.json"))
+    assert rows.count() == plain.count() > 900 and check_packing(rows.collect()) > 900
