@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from folio.llm import common, decontaminate
 from folio.llm.common import stored
 
@@ -122,3 +124,23 @@ def test_scratch_tables_go_when_told(spark, tmp_path, monkeypatch):
     (tmp_path / "folio" / "other").mkdir()
     assert common.clear(spark) and not common.clear(spark)
     assert [p.name for p in (tmp_path / "folio").iterdir()] == ["other"]
+
+
+def test_clashing_columns_null_ids_and_repeated_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select(*cp.COLUMNS)
+    first = docs.orderBy("doc_id").limit(1)
+    rows = docs.unionByName(first).unionByName(first.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    rows = rows.unionByName(spark.createDataFrame([(1001, None, None, None, None), (1002, "", "en", "s", 0), (1003, "... 12 !!", "en", "s", 9)], docs.schema))
+    names = ("fp", "n_words", "n_dropped", "lang_pred", "confidence", "hits", "items", "piece", "rid", "text_hash")
+    plain = clash = rows
+    for n in names:
+        clash = clash.withColumn(n, F.lit("clash"))
+    for name, stage in cp.STAGES[:-1]:
+        plain, clash = stored(stage(spark, plain, sf_dir), "plain"), stored(stage(spark, clash, sf_dir), "clash")
+        assert clash.columns == cp.COLUMNS, name
+        assert sorted(map(str, clash.collect())) == sorted(map(str, plain.collect())), name
+        for n in names:
+            clash = clash.withColumn(n, F.lit("clash"))
+    kept = [r.doc_id for r in plain.collect()]
+    assert None in kept and not {1001, 1002, 1003} & set(kept) and kept.count(first.first().doc_id) == 2
+    assert cp.best_fit(spark, clash, sf_dir).count() == cp.best_fit(spark, plain, sf_dir).count()
