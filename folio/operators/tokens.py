@@ -60,8 +60,8 @@ def tokenlist(
         out = df.select(*keys).distinct().withColumn("count", F.lit(1).cast("long"))
     elif page_freq:
         out = df.groupBy(*keys).agg((F.count("*") if freq == "rows" else F.count_distinct(place)).alias("count"))
-    elif set(keys) == set(tokens.columns) - {"count"}:
-        out = df.select(*keys, F.col("count").cast("long").alias("count"))  # nothing folds: no aggregate, no shuffle
+    elif chunk or set(keys) == set(tokens.columns) - {"count"}:
+        out = df.select(*keys, F.col("count").cast("long").alias("count"))  # nothing folds, or chunks do: no aggregate, no shuffle
     else:
         out = df.groupBy(*keys).agg(F.sum("count").cast("long").alias("count"))
     if chunk:
