@@ -12,7 +12,7 @@ from folio.functions import ids
 from folio.operators import analysis, chunking, features, tokens, vectors
 from folio.plans import bridge
 from folio.plans.scratch import scratch
-from folio.sources import metadata, stores, volumes
+from folio.sources import archives, metadata, stores, volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,6 +404,14 @@ def _zips(s: SparkSession, d: str) -> DataFrame:
     return stores.read_zips(s, path).select("htid", F.sha2("value", 256).alias("sha"))
 
 
+@query("archive_tokens_selected", "SELECT * FROM t WHERE section = 'body' AND page IN (1, 3)", _TOKENS)
+def _selected(s: SparkSession, d: str) -> DataFrame:
+    """Token rows of two pages from archives: page and section are chosen where the texts are read."""
+    path = scratch(s, "archives")
+    stores.write_volumes(bridge.to_json_volumes(bridge.read(s, d)), path, "ziptree").write.format("noop").mode("overwrite").save()
+    return archives.read_archives(s, path, "tokens").where("section = 'body' and page in (1, 3)")
+
+
 @query("conversation_tokens", r"""SELECT 'conv.' || conv_id AS htid, CAST(turn + 1 AS INTEGER) AS page, CASE role WHEN 'system' THEN 'header' WHEN 'assistant' THEN 'footer' ELSE 'body' END AS section, token, count(*) AS count
   FROM (SELECT *, unnest(regexp_extract_all(text, '[\p{L}]+|[0-9]+|[^\s\p{L}0-9]')) AS token FROM conversations) GROUP BY ALL""")
 def _conversations(s: SparkSession, d: str) -> DataFrame:

@@ -264,19 +264,10 @@ def _write_zips(raw: DataFrame, root: str, hash_chars: int = 3) -> DataFrame:
 
 
 def read_zips(spark: SparkSession, root: str) -> DataFrame:
-    """htid, value of all volumes in the archives below ``root``; archives are opened where they are, an entry at a time."""
+    """htid, value of all volumes in the archives of ``root``; see :mod:`folio.sources.archives`."""
+    from folio.sources.archives import read_archives
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
-                files, at = _filesystem(path)
-                with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
-                    for n in z.namelist():
-                        if n.endswith(".json"):
-                            yield pd.DataFrame({"htid": [ids.extract_text(n)], "value": [z.read(n).decode()]})
-
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path")  # contents are not read
-    return listed.mapInPandas(task, "htid string, value string")
+    return read_archives(spark, root)
 
 
 def read_raw(spark: SparkSession, root: str) -> DataFrame:

@@ -539,3 +539,36 @@ def test_small_parts_of_queries(corpus, spark):
     stop = spark.createDataFrame([("the",)], "token string")
     vecs = {r.htid: r.vec for r in vectors.document_vectors(corpus.tokens, model, 2, stop, log=False, min_ncount=0).collect()}
     assert all(v == [6.0, None] or v[0] > 0 and v[1] == 0.0 for v in vecs.values()) and len(vecs) == 3
+
+
+def test_archives_are_split_and_take_filters(spark, tmp_path):
+    import json
+    from pyspark.sql import datasource as D
+
+    from folio.sources import archives
+
+    def text(i):
+        section = {"tokenPosCount": {f"w{k}": {"NN": k + 1, "VB": 1} for k in range(i % 4)}}
+        return json.dumps({"id": f"a.{i}", "features": {"pages": [{"seq": f"{p:08d}", "header": None, "body": section, "footer": section} for p in range(1, i % 5 + 1)]}})
+
+    raw = spark.createDataFrame([(f"a.{i}", text(i)) for i in range(60)] + [("b.x:/1", "{}")], "htid string, value string")
+    stores.write_volumes(raw, str(tmp_path / "many"), "ziptree").collect()
+    stores._write_zips(raw, str(tmp_path / "one"), 0).collect()
+    want = rows_of(volumes.tokens(raw))
+    for place in ("many", "one"):
+        df = archives.read_archives(spark, str(tmp_path / place), split_bytes=2000)
+        assert rows_of(df) == rows_of(raw) and df.rdd.getNumPartitions() > 1  # one archive, several tasks
+        own = archives.read_archives(spark, str(tmp_path / place), "tokens", split_bytes=2000)
+        assert rows_of(own.select(*volumes.tokens(raw).columns)) == want
+        few = own.where("page >= 2 and page < 4 and section in ('body', 'header') and htid like 'a.1%' and count > 1")
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        condition = plan.split("BatchScan")[0].split("Filter")[-1]  # what is left for Spark
+        assert "count" in condition and not any(c in condition for c in ("page", "section", "htid"))
+        assert rows_of(few.select(*volumes.tokens(raw).columns)) == rows_of(volumes.tokens(raw).where("page >= 2 and page < 4 and section in ('body', 'header') and htid like 'a.1%' and count > 1"))
+    one = archives.read_archives(spark, str(tmp_path / "many"), hashed=True).where("htid = 'b.x:/1'")
+    assert [tuple(r) for r in one.collect()] == [("b.x:/1", "{}")]
+    reader = archives.ArchiveReader(str(tmp_path / "many"), "texts", 1 << 20, True, None)
+    assert list(reader.pushFilters([D.In(("htid",), ("a.1", "a.2")), kept := D.EqualTo(("value",), "x")])) == [kept]
+    assert {p.split("/")[-1] for s in reader.partitions() for p, *_ in s.ranges} == {stores.ids.bucket_text(x) + ".zip" for x in ("a.1", "a.2")}
+    (tmp_path / "none").mkdir()
+    assert archives.read_archives(spark, str(tmp_path / "none")).count() == 0
