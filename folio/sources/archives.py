@@ -87,10 +87,10 @@ class ArchiveReader(D.DataSourceReader):
                 held += size + OPEN_COST
         return out
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, split: Split | None) -> Iterator[pa.RecordBatch]:
         from folio.sources.stores import _filesystem
 
-        for path, start, end in split.ranges:
+        for path, start, end in split.ranges if split else ():  # no split is given where there is none
             files, at = _filesystem(path)
             with files.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                 for entry in z.infolist():
