@@ -37,8 +37,8 @@ LONGEST = 5
 BITS = 64
 #: Words of a shard, and bitmap entries that are extended together (a pair's entry meets up to ``BITS`` words).
 SHARD_WORDS, BATCH = 500_000, 20_000
-#: Phrases that a task adds up before it tells them.
-HELD = 300_000
+#: Phrases that a task adds up before it tells them, and neighbouring scan tasks whose shards of a language are kept together.
+HELD, NEAR = 300_000, 4
 #: Counters of a length, and how many of them make a segment.
 MAX_COUNTERS, SEGMENT = 1 << 26, 1 << 17
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -325,7 +325,10 @@ def phrase_table(parts: DataFrame, min_count: int, longest: int = LONGEST, count
 
 def mine(docs: DataFrame, min_count: int = 100, top: int = 2000, keep_share: int = 100, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", size: int = SHARD_WORDS, max_counters: int = MAX_COUNTERS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``top`` phrases; a phrase goes that a longer one holds with ``keep_share`` percent of its count or more."""
-    parts = stored(shards(docs, text_col, lang_col, size), "shards", **{"parquet.block.size": str(16 << 20)})
+    # a task that counts holds one language's shards where it can, and tells a phrase of many of them once; a frequent language still has groups enough
+    near = F.floor(F.spark_partition_id() / NEAR)
+    dealt = shards(docs, text_col, lang_col, size).withColumn("near", near).repartition("lang", "near").sortWithinPartitions("lang", "near").drop("near")
+    parts = stored(dealt, "shards", **{"parquet.block.size": str(16 << 20)})
     totals = parts.groupBy("lang").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     words = parts.agg(F.sum(F.octet_length("ids") / 4).cast("long")).first()[0] or 0
     counters = min(max_counters, max(1 << 14, 1 << (max(words // 4, 1) - 1).bit_length()))
