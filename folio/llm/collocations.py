@@ -327,7 +327,7 @@ def mine(docs: DataFrame, min_count: int = 100, top: int = 2000, keep_share: int
     """lang, rank, phrase, a, l, r, n, score of each language's ``top`` phrases; a phrase goes that a longer one holds with ``keep_share`` percent of its count or more."""
     # a task that counts holds one language's shards where it can, and tells a phrase of many of them once; a frequent language still has groups enough
     near = F.floor(F.spark_partition_id() / NEAR)
-    dealt = shards(docs, text_col, lang_col, size).withColumn("near", near).repartition("lang", "near").sortWithinPartitions("lang", "near").drop("near")
+    dealt = shards(docs, text_col, lang_col, size).withColumn("near", near).repartition("lang", "near").drop("near")
     parts = stored(dealt, "shards", **{"parquet.block.size": str(16 << 20)})
     totals = parts.groupBy("lang").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     words = parts.agg(F.sum(F.octet_length("ids") / 4).cast("long")).first()[0] or 0
