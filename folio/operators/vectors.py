@@ -2,22 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a vocabulary block; a task holds one block's vectors.
+BLOCK_WORDS = 4096
+
+
+def _runs(column: pa.Array) -> np.ndarray:
+    """Where runs of equal values (nulls are equal) begin, and the end."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]]))
+
+
+def _rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
+
+
+def _sums(keys: pa.Array, n: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * vec.shape[1])
+    return pa.record_batch([keys, pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(vec.reshape(-1)))], names=["key", "n", "vec"])
+
+
+def _product(dim: int):
+    """Rows of one block and part after another, its vectors first: a sum for each key and batch."""
 
-def document_vectors(tokens: DataFrame, model: DataFrame, dim: int, stop: DataFrame | None = None, log: bool = True, min_ncount: int = 10, word: str = "token", key: str = "htid") -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, matrix = None, [], []
+        for batch in batches:
+            for a, b in zip((r := _runs(batch.column("cell"))), r[1:]):
+                cell, rows = batch.column("cell")[a].as_py(), batch.slice(a, b - a)
+                if cell != at:
+                    at, words, matrix = cell, [], []
+                of_model = rows.column("vec").is_valid()
+                model, rows = rows.filter(of_model), rows.filter(pc.invert(of_model))
+                if model.num_rows:
+                    words.append(model.column("token"))
+                    matrix.append(_rows(model.column("vec"), dim))
+                if not words or not rows.num_rows:
+                    continue
+                if len(words) > 1:
+                    words, matrix = [pa.concat_arrays(words)], [np.concatenate(matrix)]
+                place = pc.index_in(rows.column("token"), value_set=words[0])
+                rows, place = rows.filter(place.is_valid()), place.drop_null().to_numpy()
+                if not rows.num_rows:
+                    continue
+                first = _runs(rows.column("key"))
+                weighted = matrix[0][place] * rows.column("w").to_numpy()[:, None]
+                yield _sums(rows.column("key").take(pa.array(first[:-1])), np.diff(first), np.add.reduceat(weighted, first[:-1]))
+
+    return task
+
+
+def _total(dim: int):
+    """Sums of one key after another, added up; a null vector adds nothing."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last key's sums, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec = np.zeros((batch.num_rows, dim))
+            there = batch.column("vec").is_valid()
+            vec[there.to_numpy(zero_copy_only=False)] = _rows(batch.column("vec").filter(there), dim)
+            first = _runs(batch.column("key"))[:-1]
+            keys, n, vec = batch.column("key").take(pa.array(first)), np.add.reduceat(batch.column("n").to_numpy(), first), np.add.reduceat(vec, first)
+            if held is not None:
+                if held[0][0].as_py() == keys[0].as_py():
+                    n[0], vec[0] = n[0] + held[1][0], vec[0] + held[2][0]
+                else:
+                    yield _sums(*held)
+            if len(keys) > 1:
+                yield _sums(keys[:-1], n[:-1], vec[:-1])
+            held = keys[-1:], n[-1:], vec[-1:]
+        if held is not None:
+            yield _sums(*held)
+
+    return task
+
+
+def document_vectors(tokens: DataFrame, model: DataFrame, dim: int, stop: DataFrame | None = None, log: bool = True, min_ncount: int = 10, word: str = "token", key: str = "htid", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``key`` and ``vec``: the sum of ln(1 + count) (or count) times the vector, over the words that ``model`` (token, vec) has.
 
-    ``dim`` nulls where no more than ``min_ncount`` distinct words are in the model. Spark broadcasts the model only where
-    its size allows; otherwise it is joined by word.
+    ``dim`` nulls where no more than ``min_ncount`` distinct words are in the model. A sparse-dense product by vocabulary
+    block: words and vectors go to blocks of about ``block_words``, a block's counts to several parts by key, so that
+    frequent words and keys are dealt out. A task reads a block's vectors, then streams its counts; the sums of the
+    blocks are added up by key. The model is counted first, and never collected or broadcast.
+
+    Defined results: null is a key like any other; null words and counts, and words whose vector is null or that the model
+    lacks, add nothing; a null entry of a vector makes its sums NaN; a word given twice has its first vector's sums
+    (any of them); a vector of another length than ``dim`` fails; other columns are ignored, whatever their names.
     """
-    counts = tokens.groupBy(key, F.col(word).alias("token")).agg(F.sum("count").alias("count"))
+    spark = tokens.sparkSession
+    tokens = tokens.select(F.col(key).alias("key"), F.col(word).alias("token"), "count")
+    counts = tokens.where(F.col("token").isNotNull()).groupBy("key", "token").agg(F.sum("count").alias("count")).where(F.col("count").isNotNull())
+    model = model.select("token", F.col("vec").cast("array<double>").alias("vec")).where(F.col("token").isNotNull() & F.col("vec").isNotNull())
     if stop is not None:
-        model = model.join(stop, "token", "left_anti")
+        model = model.join(stop.select("token"), "token", "left_anti")
+    blocks = max(1, -(-model.count() // block_words))
+    parts = max(4, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    cell = F.pmod(F.xxhash64("token"), F.lit(blocks)) * parts
     weight = F.log1p("count") if log else F.col("count").cast("double")
-    joined = counts.join(model, "token").select(key, "token", weight.alias("w"), "vec")
-    sums = [F.sum(F.col("w") * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)]
-    found = joined.groupBy(key).agg(F.count("*").alias("n"), *sums)
-    vec = F.when(F.col("n") > min_ncount, F.array(*[F.col(f"v{i}") for i in range(dim)])).otherwise(F.array_repeat(F.lit(None).cast("double"), dim))
-    return tokens.select(key).distinct().join(found, key, "left").select(key, F.coalesce(vec, F.array_repeat(F.lit(None).cast("double"), dim)).alias("vec"))
+    no_key = F.lit(None).cast(tokens.schema["key"].dataType)
+    dense = model.select(F.explode(F.sequence(cell, cell + (parts - 1))).alias("cell"), no_key.alias("key"), "token", F.lit(None).cast("double").alias("w"), "vec")
+    sparse = counts.select((cell + F.pmod(F.xxhash64("key"), F.lit(parts))).alias("cell"), "key", "token", weight.alias("w"), F.lit(None).cast("array<double>").alias("vec"))
+    dealt = sparse.unionByName(dense).repartition("cell").sortWithinPartitions("cell", F.col("vec").isNull(), "key")
+    sums = f"key {tokens.schema['key'].dataType.simpleString()}, n long, vec array<double>"
+    found = dealt.mapInArrow(_product(dim), sums)
+    keys = tokens.select("key").distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("vec"))
+    total = found.unionByName(keys).repartition("key").sortWithinPartitions("key").mapInArrow(_total(dim), sums)
+    vec = F.when(F.col("n") > min_ncount, F.col("vec")).otherwise(F.array_repeat(F.lit(None).cast("double"), dim))
+    return total.select(F.col("key").alias(key), vec.alias("vec"))

@@ -1,8 +1,11 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from folio.operators.vectors import document_vectors
 from folio.plans import queries
 
 
@@ -23,3 +26,47 @@ def test_document_vectors_use_every_vector(spark, sf_dir):
         known = [(math.log1p(n), model[t]) for t, n in words.items() if t in model]
         want = [sum(w * v[i] for w, v in known) for i in range(64)] if len(known) > 10 else [None] * 64
         assert len(got[htid]) == 64 and got[htid] == (pytest.approx(want, abs=2e-6) if len(known) > 10 else want)
+
+
+def vectors_by_hand(rows, model, dim, log, least):
+    counts = defaultdict(Counter)
+    for key, token, n in rows:
+        counts[key][token] += n or 0
+    out = {}
+    for key, words in counts.items():
+        known = [(math.log1p(n) if log else n, model[t]) for t, n in words.items() if model.get(t) is not None]
+        out[key] = [sum(w * v[i] for w, v in known) for i in range(dim)] if len(known) > least else [None] * dim
+    return out
+
+
+@pytest.mark.parametrize("block_words,batch,log", [(4096, "10000", True), (7, "3", True), (7, "10000", False)])
+def test_document_vectors_by_block(spark, block_words, batch, log):
+    """Blocks of few words, batches that cut blocks and keys, a word and a key with most rows, 300 dimensions, and nulls."""
+    r, dim = random.Random(3), 300
+    vocabulary = [f"w{i}" for i in range(60)] + ["", "é"]
+    model = {w: [r.random() - 0.5 for _ in range(dim)] for w in vocabulary[:50] + ["", "é"]} | {"w51": None}
+    rows = [(r.choice(["a", "b", "c", None, "all"]), r.choice(vocabulary), r.randrange(1, 9)) for _ in range(600)]
+    rows += [(f"k{i}", "w0", 1) for i in range(40)] + [("all", w, 2) for w in vocabulary] + [("few", "w1", 3), ("a", None, 4), ("none", "zz", 1), ("a", "w2", None)]
+    tokens = spark.createDataFrame(rows, "htid string, token string, count long").repartition(5).selectExpr("*", "'clash' AS key", "1 AS cell", "2 AS vec", "3 AS n", "4 AS w")
+    words = spark.createDataFrame(list(model.items()), "token string, vec array<double>").selectExpr("*", "'clash' AS key", "1 AS w")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {x.htid: x.vec for x in document_vectors(tokens, words, dim, log=log, min_ncount=2, block_words=block_words).collect()}
+        stop = spark.createDataFrame([("w0",), ("é",), (None,)], "token string").withColumn("vec", F.lit(1))
+        without = {x.htid: x.vec for x in document_vectors(tokens, words, dim, stop=stop, log=log, min_ncount=0, block_words=block_words).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for found, want in ((got, vectors_by_hand(rows, model, dim, log, 2)), (without, vectors_by_hand(rows, {k: v for k, v in model.items() if k not in ("w0", "é")}, dim, log, 0))):
+        assert set(found) == set(want)
+        for k, v in want.items():
+            assert found[k] == (v if v[0] is None else pytest.approx(v, abs=1e-9))
+
+
+def test_document_vectors_of_nothing(spark):
+    tokens = spark.createDataFrame([(1, "a", 2)], "htid long, token string, count long")
+    words = spark.createDataFrame([], "token string, vec array<float>")
+    assert [tuple(x) for x in document_vectors(tokens, words, 2).collect()] == [(1, [None, None])]
+    assert document_vectors(tokens.limit(0), words, 2).count() == 0
+    with pytest.raises(Exception, match="reshape"):
+        document_vectors(tokens, spark.createDataFrame([("a", [1.0])], "token string, vec array<double>"), 2).collect()
