@@ -21,9 +21,11 @@ other columns are ignored, whatever their names; an empty table gives no row.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ LONGEST = 5
 BITS = 64
 #: Words of a shard, and bitmap entries that are extended together (a pair's entry meets up to ``BITS`` words).
 SHARD_WORDS, BATCH = 500_000, 20_000
-#: Phrases that a task adds up before it tells them.
-HELD = 300_000
+#: Phrases that a task adds up before it tells them; words of the corpus for each bucket of told phrases, which has five times as many different ones at most.
+HELD, BUCKET_WORDS = 300_000, 200_000
 #: Counters of a length, and how many of them make a segment.
 MAX_COUNTERS, SEGMENT = 1 << 26, 1 << 17
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -292,31 +294,70 @@ def _grown(shard: Shard, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray
         block, bits = np.repeat(to, many)[hit], both[hit]
 
 
-def phrase_table(parts: DataFrame, min_count: int, longest: int = LONGEST, counters: int = MAX_COUNTERS) -> DataFrame:
-    """lang, phrase, f of the phrases of one to ``longest`` words with ``min_count`` occurrences."""
+def packed(held: dict[tuple[str, int, bytes], int], keys: list[tuple[str, int, bytes]]) -> bytes:
+    """The counts of these phrases, compressed: in order, so that neighbours share their beginnings; a list for each language and cover."""
+    groups = []
+    for (lang, cover), own in groupby(sorted(keys), lambda k: k[:2]):
+        phrases = [k[2] for k in own]
+        groups.append([lang, cover, b"\n".join(phrases).decode(), [held[lang, cover, p] for p in phrases]])
+    return zlib.compress(json.dumps(groups, ensure_ascii=False, separators=(",", ":")).encode(), 6)
+
+
+def unpacked(counts: bytes) -> Iterator[tuple[tuple[str, int, bytes], int]]:
+    for lang, cover, phrases, n in json.loads(zlib.decompress(counts)):
+        yield from (((lang, cover, p), m) for p, m in zip(phrases.encode().split(b"\n"), n, strict=True))
+
+
+def phrase_table(parts: DataFrame, min_count: int, longest: int = LONGEST, counters: int = MAX_COUNTERS, buckets: int = 1) -> DataFrame:
+    """lang, phrase, f of the phrases of one to ``longest`` words with ``min_count`` occurrences.
+
+    Counts are told in ``buckets`` by the phrase's hash, each packed by the telling task; a task that adds them up holds
+    one bucket's different phrases.
+    """
     filters: list[np.ndarray] = []
     for _ in range(longest):
         filters.append(next_filter(parts, filters, counters, min_count))
     told = parts.sparkSession.sparkContext.broadcast(filters)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, bytes], int] = {}  # shards of one task are added up before they are told
+        held: Counter[tuple[str, int, bytes]] = Counter()  # shards of one task are added up before they are told
 
         def done() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[2].decode() for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "cover", "n"])
+            dealt = defaultdict(list)
+            for k in held:
+                dealt[xxhash.xxh3_64_intdigest(k[2]) % buckets].append(k)
+            out = pa.record_batch([pa.array(list(dealt), pa.int64()), pa.array([packed(held, keys) for keys in dealt.values()], pa.binary())], names=["bucket", "counts"])
             held.clear()
             return out
 
         for lang, shard in _each(batches):
             for phrases, n, cover in phrase_counts(shard, told.value):
-                for key in zip([lang] * len(phrases), cover.tolist(), phrases, n.tolist(), strict=True):
-                    held[key[:3]] = held.get(key[:3], 0) + key[3]
+                for phrase, c, m in zip(phrases, cover.tolist(), n.tolist(), strict=True):
+                    held[lang, c, phrase] += m
             if len(held) > HELD:
                 yield done()
         yield done()
 
-    counted = parts.mapInArrow(tidy(task), "lang string, phrase string, cover int, n long").groupBy("lang", "phrase", "cover").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, Counter()  # rows come sorted by bucket: one is held
+
+        def done() -> pa.RecordBatch:
+            lang, cover, phrase = zip(*held, strict=True)
+            return pa.record_batch([pa.array(lang), pa.array([p.decode() for p in phrase]), pa.array(cover, pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "cover", "n"])
+
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != bucket and held:
+                    yield done()
+                    held.clear()
+                bucket = k
+                for key, n in unpacked(counts):
+                    held[key] += n
+        if held:
+            yield done()
+
+    told_rows = parts.mapInArrow(tidy(task), "bucket long, counts binary")
+    counted = told_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(add), "lang string, phrase string, cover int, n long")
     back = F.explode(F.sequence(F.lit(0), F.col("cover"))).alias("back")
     begin = F.when(F.col("back") == 0, F.col("phrase")).otherwise(F.expr("substring_index(phrase, ' ', size(split(phrase, ' ')) - back)"))
     each = counted.select("lang", "phrase", "n", back).select("lang", begin.alias("phrase"), "n")
@@ -329,7 +370,7 @@ def mine(docs: DataFrame, min_count: int = 100, top: int = 2000, keep_share: int
     totals = parts.groupBy("lang").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     words = parts.agg(F.sum(F.octet_length("ids") / 4).cast("long")).first()[0] or 0
     counters = min(max_counters, max(1 << 14, 1 << (max(words // 4, 1) - 1).bit_length()))
-    table = stored(phrase_table(parts, min_count, longest, counters).withColumn("k", F.size(F.split("phrase", " "))), "phrases")
+    table = stored(phrase_table(parts, min_count, longest, counters, words // BUCKET_WORDS + 1).withColumn("k", F.size(F.split("phrase", " "))), "phrases")
     candidates = table.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), "k")
     # a phrase inside a longer one is also inside one of a word more, which is no rarer: its beginning or its end
     ends = F.explode(F.array(F.expr("substring_index(phrase, ' ', k - 1)"), F.expr("substring_index(phrase, ' ', 1 - k)"))).alias("phrase")
