@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words of a vocabulary block; a task holds one block's vectors.
 BLOCK_WORDS = 4096
+#: Dimensions that are summed as columns: Spark generates code for up to 100 fields (its ``codegen.maxFields``).
+COLUMNS = 90
 
 
 def _runs(column: pa.Array) -> np.ndarray:
@@ -86,35 +88,45 @@ def _total(dim: int):
     return task
 
 
-def document_vectors(tokens: DataFrame, model: DataFrame, dim: int, stop: DataFrame | None = None, log: bool = True, min_ncount: int = 10, word: str = "token", key: str = "htid", block_words: int = BLOCK_WORDS) -> DataFrame:
+def document_vectors(tokens: DataFrame, model: DataFrame, dim: int, stop: DataFrame | None = None, log: bool = True, min_ncount: int = 10, word: str = "token", key: str = "htid", by_block: bool | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``key`` and ``vec``: the sum of ln(1 + count) (or count) times the vector, over the words that ``model`` (token, vec) has.
 
-    ``dim`` nulls where no more than ``min_ncount`` distinct words are in the model. A sparse-dense product by vocabulary
-    block: words and vectors go to blocks of about ``block_words``, a block's counts to several parts by key, so that
-    frequent words and keys are dealt out. A task reads a block's vectors, then streams its counts; the sums of the
-    blocks are added up by key. The model is counted first, and never collected or broadcast.
+    ``dim`` nulls where no more than ``min_ncount`` distinct words are in the model. Up to ``COLUMNS`` dimensions are
+    joined by word and summed as columns. Wider ones are a sparse-dense product by vocabulary block: words and vectors go
+    to blocks of about ``block_words``, a block's counts to several parts by key, so that frequent words and keys are
+    dealt out; a task reads a block's vectors, then streams its counts, and the sums of the blocks are added up by key.
+    ``by_block`` chooses; both give the same sums. The model is never collected.
 
-    Defined results: null is a key like any other; null words and counts, and words whose vector is null or that the model
-    lacks, add nothing; a null entry of a vector makes its sums NaN; a word given twice has its first vector's sums
-    (any of them); a vector of another length than ``dim`` fails; other columns are ignored, whatever their names.
+    Defined results: null is a key like any other; null words and counts, null vectors and entries, and words that the
+    model lacks, add nothing; the model's words must be distinct; a vector shorter than ``dim`` fails; other columns are
+    ignored, whatever their names.
     """
     spark = tokens.sparkSession
     tokens = tokens.select(F.col(key).alias("key"), F.col(word).alias("token"), "count")
-    counts = tokens.where(F.col("token").isNotNull()).groupBy("key", "token").agg(F.sum("count").alias("count")).where(F.col("count").isNotNull())
+    weight = F.log1p("count") if log else F.col("count").cast("double")
+    counts = tokens.groupBy("key", "token").agg(F.sum("count").alias("count")).select("key", "token", weight.alias("w"))
     model = model.select("token", F.col("vec").cast("array<double>").alias("vec")).where(F.col("token").isNotNull() & F.col("vec").isNotNull())
     if stop is not None:
         model = model.join(stop.select("token"), "token", "left_anti")
+    none = F.array_repeat(F.lit(None).cast("double"), dim)
+    if dim <= COLUMNS if by_block is None else not by_block:
+        known = F.count_if(F.col("w").isNotNull() & F.col("vec").isNotNull()).alias("n")
+        sums = [F.coalesce(F.sum(F.col("w") * F.col("vec")[i]), F.lit(0.0)).alias(f"v{i}") for i in range(dim)]
+        found = counts.join(model, "token", "left").groupBy("key").agg(known, *sums)
+        return found.select(F.col("key").alias(key), F.when(F.col("n") > min_ncount, F.array(*[F.col(f"v{i}") for i in range(dim)])).otherwise(none).alias("vec"))
+    keys = tokens.select("key").distinct()
+    counts = counts.where(F.col("token").isNotNull() & F.col("w").isNotNull())
+    model = model.withColumn("vec", F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0))))
     blocks = max(1, -(-model.count() // block_words))
     parts = max(4, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
     cell = F.pmod(F.xxhash64("token"), F.lit(blocks)) * parts
     weight = F.log1p("count") if log else F.col("count").cast("double")
     no_key = F.lit(None).cast(tokens.schema["key"].dataType)
     dense = model.select(F.explode(F.sequence(cell, cell + (parts - 1))).alias("cell"), no_key.alias("key"), "token", F.lit(None).cast("double").alias("w"), "vec")
-    sparse = counts.select((cell + F.pmod(F.xxhash64("key"), F.lit(parts))).alias("cell"), "key", "token", weight.alias("w"), F.lit(None).cast("array<double>").alias("vec"))
+    sparse = counts.select((cell + F.pmod(F.xxhash64("key"), F.lit(parts))).alias("cell"), "key", "token", "w", F.lit(None).cast("array<double>").alias("vec"))
     dealt = sparse.unionByName(dense).repartition("cell").sortWithinPartitions("cell", F.col("vec").isNull(), "key")
     sums = f"key {tokens.schema['key'].dataType.simpleString()}, n long, vec array<double>"
     found = dealt.mapInArrow(_product(dim), sums)
-    keys = tokens.select("key").distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("vec"))
+    keys = keys.select("key", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("vec"))
     total = found.unionByName(keys).repartition("key").sortWithinPartitions("key").mapInArrow(_total(dim), sums)
-    vec = F.when(F.col("n") > min_ncount, F.col("vec")).otherwise(F.array_repeat(F.lit(None).cast("double"), dim))
-    return total.select(F.col("key").alias(key), vec.alias("vec"))
+    return total.select(F.col("key").alias(key), F.when(F.col("n") > min_ncount, F.col("vec")).otherwise(none).alias("vec"))

@@ -39,10 +39,10 @@ def vectors_by_hand(rows, model, dim, log, least):
     return out
 
 
-@pytest.mark.parametrize("block_words,batch,log", [(4096, "10000", True), (7, "3", True), (7, "10000", False)])
-def test_document_vectors_by_block(spark, block_words, batch, log):
-    """Blocks of few words, batches that cut blocks and keys, a word and a key with most rows, 300 dimensions, and nulls."""
-    r, dim = random.Random(3), 300
+@pytest.mark.parametrize("block_words,batch,log,dim", [(4096, "10000", True, 300), (7, "3", True, 300), (7, "10000", False, 300), (7, "10000", True, 5)])
+def test_document_vectors_by_block(spark, block_words, batch, log, dim):
+    """Blocks of few words, batches that cut blocks and keys, a word and a key with most rows, 300 dimensions, few as columns, and nulls."""
+    r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)] + ["", "é"]
     model = {w: [r.random() - 0.5 for _ in range(dim)] for w in vocabulary[:50] + ["", "é"]} | {"w51": None}
     rows = [(r.choice(["a", "b", "c", None, "all"]), r.choice(vocabulary), r.randrange(1, 9)) for _ in range(600)]
@@ -63,10 +63,13 @@ def test_document_vectors_by_block(spark, block_words, batch, log):
             assert found[k] == (v if v[0] is None else pytest.approx(v, abs=1e-9))
 
 
-def test_document_vectors_of_nothing(spark):
+@pytest.mark.parametrize("by_block,fails", [(True, "reshape"), (False, "INVALID_ARRAY_INDEX")])
+def test_document_vectors_of_nothing(spark, by_block, fails):
     tokens = spark.createDataFrame([(1, "a", 2)], "htid long, token string, count long")
     words = spark.createDataFrame([], "token string, vec array<float>")
-    assert [tuple(x) for x in document_vectors(tokens, words, 2).collect()] == [(1, [None, None])]
-    assert document_vectors(tokens.limit(0), words, 2).count() == 0
-    with pytest.raises(Exception, match="reshape"):
-        document_vectors(tokens, spark.createDataFrame([("a", [1.0])], "token string, vec array<double>"), 2).collect()
+    assert [tuple(x) for x in document_vectors(tokens, words, 2, by_block=by_block).collect()] == [(1, [None, None])]
+    assert document_vectors(tokens.limit(0), words, 2, by_block=by_block).count() == 0
+    some = spark.createDataFrame([("a", [1.0, None])], "token string, vec array<double>")
+    assert [tuple(x) for x in document_vectors(tokens, some, 2, log=False, min_ncount=0, by_block=by_block).collect()] == [(1, [2.0, 0.0])]
+    with pytest.raises(Exception, match=fails):
+        document_vectors(tokens, some.selectExpr("token", "array(1D) AS vec"), 2, min_ncount=0, by_block=by_block).collect()
