@@ -138,6 +138,21 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
             yield lang, Shard(lang, batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
 
 
+def sparse(part: np.ndarray) -> bytes:
+    """A segment's nonzero counters, compressed: the low bytes of their distances, the high ones, the counts."""
+    at = np.flatnonzero(part)
+    gap = np.diff(at, prepend=-1)
+    return zlib.compress((gap & 255).astype(np.uint8).tobytes() + (gap >> 8).astype(np.uint16).tobytes() + part[at].tobytes(), 1)
+
+
+def dense(counts: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a segment's nonzero counters, and the counts."""
+    raw = zlib.decompress(counts)
+    n = len(raw) // (3 + np.dtype(kind).itemsize)
+    gap = np.frombuffer(raw, np.uint8, n).astype(np.int64) + (np.frombuffer(raw, np.uint16, n, n).astype(np.int64) << 8)
+    return np.cumsum(gap) - 1, np.frombuffer(raw, kind, n, 3 * n).astype(np.int64)
+
+
 def next_filter(parts: DataFrame, filters: list[np.ndarray], counters: int, min_count: int) -> np.ndarray:
     """One bit a counter: whether phrases of the next length that fall on it may reach ``min_count``."""
     kind = np.uint8 if min_count < 256 else np.uint32
@@ -154,7 +169,7 @@ def next_filter(parts: DataFrame, filters: list[np.ndarray], counters: int, min_
         for k in range(counters // size if total is not None else 0):
             part = total[k * size : (k + 1) * size]
             if part.any():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([sparse(part)], pa.binary())], names=["segment", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, total = None, None  # rows come sorted by segment: one is held
@@ -164,13 +179,12 @@ def next_filter(parts: DataFrame, filters: list[np.ndarray], counters: int, min_
 
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(c), kind).astype(np.int64)
                 if k != segment:
                     if segment is not None:
                         yield told()
-                    segment, total = k, own
-                else:
-                    total = np.minimum(total + own, min_count)
+                    segment, total = k, np.zeros(size, np.int64)
+                at, n = dense(c, kind)
+                total[at] = np.minimum(total[at] + n, min_count)
         if segment is not None:
             yield told()
 

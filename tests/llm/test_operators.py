@@ -859,6 +859,17 @@ def test_collocations(spark, empty, size, counters, bucket_words, monkeypatch):
     assert collocations.mine(empty.withColumn("lang", pa_lit("en"))).count() == 0
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32])
+def test_counters_are_told_whole(kind):
+    from folio.llm import collocations
+
+    for places in ([], [0], [131071], [0, 255, 256, 257, 70000, 131071], range(131072)):
+        part = np.zeros(collocations.SEGMENT, kind)
+        part[list(places)] = np.arange(len(places)) % 100 + 1
+        at, n = collocations.dense(collocations.sparse(part), kind)
+        assert at.tolist() == list(places) and n.tolist() == part[at].tolist()
+
+
 def test_bitmaps_are_and_ed_over_blocks():
     """One word only: bitmaps shift over the bounds of blocks, and occurrences overlap."""
     from folio.llm import collocations
