@@ -42,9 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group stays; groups connect documents with a five-word shingle similarity of 0.8 or more."""
+    """The first document of each group stays; groups connect documents whose SimHash fingerprints of five-word shingles differ in 2 bits or fewer, and those with a shingle similarity of 0.8 or more."""
     short_batches(spark)
-    return simhash.keep_first(docs.select(*COLUMNS), shingle=5, similarity=0.8)
+    return simhash.keep_first(docs.select(*COLUMNS), shingle=5, radius=2, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

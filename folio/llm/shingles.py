@@ -1,4 +1,7 @@
-"""SimHash near-dedup by similarity: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup with a similarity: what SimHash links, and documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+All documents get the SimHash fingerprint of :mod:`folio.llm.simhash`, and fingerprints within ``radius`` bits are linked
+by its bit-sliced buckets. These links stand as they are; what follows only adds links that no fingerprint shows.
 
 At a similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits, and those of very short texts in up to 30, so
 that no bounded number of buckets keyed by fingerprint bits finds all pairs, and no radius alone parts them from others.
@@ -32,7 +35,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from folio.llm.common import BASE, BASE_INV, hot_of, join_salted, mix64, powers, slices, spread, stored, text_buffer, tidy, word_hashes, word_spans
 from folio.llm.components import components
-from folio.llm.simhash import _lanes, _planes, near
+from folio.llm.simhash import _lanes, _planes, fingerprint, links, near
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 32
@@ -107,7 +110,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def printed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, ``text_hash``, ``fp`` (the set's name) and ``bands``."""
+    """id, ``text_hash``, ``fp`` (the set's name), ``print`` (the SimHash fingerprint) and ``bands``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +118,14 @@ def printed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
             for a, b in slices(offsets, 1 << 18):
                 h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 keys = band_keys(h, bounds)
+                prints = np.array([fingerprint(t, shingle) for t in batch.column(text_col).slice(a, b - a).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col).slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(set_names(h, bounds)), _lists(keys.ravel(), np.arange(b - a + 1) * BANDS)],
-                    names=[id_col, "text_hash", "fp", "bands"],
+                    [batch.column(id_col).slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(set_names(h, bounds)), pa.array(prints), _lists(keys.ravel(), np.arange(b - a + 1) * BANDS)],
+                    names=[id_col, "text_hash", "fp", "print", "bands"],
                 )
 
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col)
-    return rows.mapInArrow(tidy(task), rows.select(id_col, "text_hash").schema.add("fp", "long").add("bands", ArrayType(LongType())))
+    return rows.mapInArrow(tidy(task), rows.select(id_col, "text_hash").schema.add("fp", "long").add("print", "long").add("bands", ArrayType(LongType())))
 
 
 def _sets(texts: DataFrame, shingle: int, text_col: str) -> DataFrame:
@@ -235,7 +239,18 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_block: int = MAX_BLOCK) -> DataFrame:
+def _print_links(rows: DataFrame, radius: int, total: int) -> DataFrame:
+    """Links (a, b) over sets that join all whose documents' fingerprints are equal or within ``radius`` bits."""
+    pairs = rows.select("fp", "print").distinct()
+    prints = stored(pairs.groupBy("print").agg(F.min("fp").alias("lead"), F.count("*").alias("n")), "prints")
+    same = join_salted(pairs, prints.select("print", "lead"), "print", hot_of(prints, "print", "n", total), "fp").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    close = links(prints.select(F.col("print").alias("fp")), radius)
+    for end in ("a", "b"):
+        close = close.join(prints.select(F.col("print").alias(end), F.col("lead").alias(f"set_{end}")), end)
+    return same.where("a <> b").unionByName(close.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_block: int = MAX_BLOCK, radius: int = 2) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` (the set's name), ``component_id`` (the least id reachable)."""
     if not SIMILARITY <= similarity <= 1:
         raise ValueError(f"blocks are made for a similarity of {SIMILARITY} or more")
@@ -256,7 +271,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     hot_hubs = hot_of(hubs.groupBy("hub").agg(F.sum("n").alias("n")), "hub", "n", total)
     both = join_salted(half, sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b", hot_hubs, "a")
     common = F.size(F.array_intersect("x", "y"))
-    alike = stored(both.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    alike = both.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    alike = stored(_print_links(rows, radius, total).unionByName(alike), "links")
     roots = components(alike)
     rooted = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = stored(rooted.join(_apart(rooted), "key").select("key", "fp", "root", "n"), "mixed")

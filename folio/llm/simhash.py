@@ -11,8 +11,8 @@ with the one d places on is 64 exclusive-ors of a plane with itself shifted by d
 block is abandoned as soon as every lane exceeds the radius. Matches are merged in the task, so a bucket yields at most
 one link a member. Links become components over distinct fingerprints.
 
-With ``similarity`` the same comparison finds documents whose shingle sets have at least this Jaccard similarity
-(:mod:`folio.llm.shingles`): likely pairs come from the bit planes, and whole sets decide.
+With ``similarity`` documents whose shingle sets have at least this Jaccard similarity are linked besides
+(:mod:`folio.llm.shingles`), as such pairs often differ in more bits than buckets can find.
 
 Defined results: null or wordless text has fingerprint zero, linked like any other; copies share one fingerprint, and
 rows that repeat a ``doc_id`` are kept; null ``doc_id`` rows link but never name a component (null where no other does);
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     if similarity is not None:
         from folio.llm import shingles
 
-        return shingles.near_duplicates(docs, shingle, similarity, id_col, text_col)
+        return shingles.near_duplicates(docs, shingle, similarity, id_col, text_col, radius=radius)
     printed = stored(fingerprints(docs.select(id_col, text_col), shingle, text_col), "fingerprints")
     least = printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     hot = hot_of(least, "fp", "n", printed.count())  # one text in very many rows

@@ -4,7 +4,7 @@ import re
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from folio.llm import common, decontaminate
+from folio.llm import common, decontaminate, simhash
 from folio.llm.common import stored
 
 
@@ -58,6 +58,15 @@ def test_near_copies_go_and_firsts_stay(spark, sf_dir):
     assert {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()} == {0, 9}
 
 
+def test_near_dedup_links_by_simhash(spark, sf_dir):
+    """Texts that are mostly the same few shingles, repeated, have one fingerprint; their shingle sets are far below the similarity."""
+    texts = ["one two three four five six seven " * 100 + " ".join(f"{k}{i}" for i in range(60)) for k in "ab"] + ["another text altogether " * 9]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    bits = simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)
+    assert bits.bit_count() <= 2
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()} == {0, 2}
+
+
 def test_repeated_lines_stay_once(spark, sf_dir):
     rows = [(i, "boiler plate\n" + (f"own {i}" if i % 2 else ""), "en", "s", 1) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
