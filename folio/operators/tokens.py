@@ -78,7 +78,8 @@ def tokenlist(
 
 def tokenlist_cube(tokens: DataFrame) -> DataFrame:
     """All foldings of (page, section, token, pos) at once, with ``grouping_id``: an addition."""
-    return tokens.cube("page", "section", "token", "pos").agg(F.grouping_id().alias("grouping_id"), F.sum("count").alias("count"))
+    base = tokens.groupBy("page", "section", "token", "pos").agg(F.sum("count").alias("count"))  # sixteen foldings of few rows
+    return base.cube("page", "section", "token", "pos").agg(F.grouping_id().alias("grouping_id"), F.sum("count").alias("count"))
 
 
 def page_bitmaps(tokens: DataFrame) -> DataFrame:
