@@ -44,8 +44,8 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_files` for text files with one volume a line: what to use for very many volumes."""
-    df = spark.read.text(path)
-    return df.select(F.coalesce(F.get_json_object("value", "$.htid"), F.get_json_object("value", "$.id")).alias("htid"), "value")
+    df = spark.read.text(path).select("value", F.json_tuple("value", "htid", "id").alias("htid", "id"))
+    return df.select(F.coalesce("htid", "id").alias("htid"), "value")
 
 
 def read_with(spark: SparkSession, paths: str | list[str], parse: Callable[[bytes], str]) -> DataFrame:
