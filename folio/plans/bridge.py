@@ -9,22 +9,41 @@ LINES_A_PAGE = 4
 TOKEN = r"[\p{L}]+|[0-9]+|[^\s\p{L}0-9]"
 
 
+#: Bytes of text that a task takes where documents are dealt out by volume: its words and their sums fit into memory.
+TEXT_A_TASK = 8 << 20
+
+
+def _htid(docs: DataFrame) -> Column:
+    return F.col("htid") if "htid" in docs.columns else F.concat(F.lit("doc."), F.col("doc_id"))
+
+
+def volume_tasks(docs: DataFrame) -> int:
+    """How many tasks the texts of ``docs`` are for, of at most about ``TEXT_A_TASK`` each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_A_TASK))
+
+
+def by_volume(docs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``docs`` with ``htid``, dealt out by it: every fold with the volume among its keys then stays within its task, so texts are shuffled and words are not."""
+    return docs.withColumn("htid", _htid(docs)).repartition(tasks or volume_tasks(docs), "htid")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """htid, page, section, line of ``docs`` (doc_id, text); null text counts as empty."""
-    rows = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    rows = docs.select(_htid(docs).alias("htid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     place = F.col("i") % LINES_A_PAGE
     section = F.when(place == 0, "header").when(place == LINES_A_PAGE - 1, "footer").otherwise("body")
     return rows.select("htid", (F.floor(F.col("i") / LINES_A_PAGE) + 1).cast("int").alias("page"), section.alias("section"), "line")
 
 
-def _pos(token: str) -> Column:
-    return F.when(F.col(token).rlike(r"^[0-9]"), "CD").when(F.col(token).rlike(r"^\p{Lu}"), "NNP").when(F.col(token).rlike(r"^\p{L}"), "NN").otherwise("SYM")
+def _pos(token: Column) -> Column:
+    return F.when(token.rlike(r"^[0-9]"), "CD").when(token.rlike(r"^\p{Lu}"), "NNP").when(token.rlike(r"^\p{L}"), "NN").otherwise("SYM")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """htid, page, section, token, pos, count."""
     words = lines(docs).select("htid", "page", "section", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
-    return words.withColumn("pos", _pos("token")).groupBy("htid", "page", "section", "token", "pos").agg(F.count("*").alias("count"))
+    return words.withColumn("pos", _pos(F.col("token"))).groupBy("htid", "page", "section", "token", "pos").agg(F.count("*").alias("count"))
 
 
 def line_chars(docs: DataFrame) -> DataFrame:
@@ -64,13 +83,13 @@ def volumes(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.col("lang").alias("language"), F.col("source").alias("collection"), n.alias("page_count"))
 
 
-def _section_lines(docs: DataFrame) -> DataFrame:
-    """htid, page, section, lines: one row a section, made within each document's row."""
-    split = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("ls"))
+def _page_lines(docs: DataFrame, *own: Column) -> DataFrame:
+    """htid, ``own``, page, ls: one row a page with its lines, made within each document's row."""
+    split = docs.select(_htid(docs).alias("htid"), *own, F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("ls"))
     starts = F.sequence(F.lit(0), F.ceil(F.size("ls") / LINES_A_PAGE).cast("int") - 1)
-    pages = split.select("htid", F.posexplode(F.transform(starts, lambda p: F.slice("ls", p * LINES_A_PAGE + 1, LINES_A_PAGE))).alias("p", "ls"))
-    each = F.array(*[F.struct(F.lit(s).alias("section"), F.slice("ls", a, n).alias("lines")) for s, a, n in (("header", 1, 1), ("body", 2, LINES_A_PAGE - 2), ("footer", LINES_A_PAGE, 1))])
-    return pages.select("htid", (F.col("p") + 1).alias("page"), F.explode(each).alias("x")).select("htid", "page", "x.section", "x.lines").where(F.size("lines") > 0)
+    others = [c for c in split.columns if c != "ls"]
+    pages = split.select(*others, F.posexplode(F.transform(starts, lambda p: F.slice("ls", p * LINES_A_PAGE + 1, LINES_A_PAGE))).alias("p", "ls"))
+    return pages.select(*others, (F.col("p") + 1).alias("page"), "ls")
 
 
 def _counted(chars: Column) -> Column:
@@ -78,37 +97,45 @@ def _counted(chars: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda d: d == c)))))
 
 
+def _run_starts(words: Column) -> Column:
+    """Where runs of equal words start in a sorted array."""
+    place = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    return F.when(F.size(words) > 0, place).otherwise(F.array().cast("array<int>"))
+
+
 def to_json_volumes(docs: DataFrame) -> DataFrame:
     """htid, value: one nested JSON text per volume, as the scan reads them (schema version 3.0).
 
-    Section rows are made within each document's row; only token rows and section statistics are dealt out, once, by
-    volume, and all that follows stays within the volume's partition.
+    Words are sorted and counted within each page's row, and a volume's pages meet once: of documents dealt out by
+    :func:`by_volume` nothing but their texts is shuffled. Each array is made in a row of its own (``explode`` of one
+    element), so that no lambda makes it anew.
     """
-    sections = _section_lines(docs)
-
-    def total(of) -> Column:
-        return F.aggregate("lines", F.lit(0), lambda n, x: n + of(x))
-
-    text = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
-    stats = sections.select(
-        "htid", "page", "section", total(lambda x: F.regexp_count(x, F.lit(TOKEN))).alias("tokenCount"), F.size("lines").alias("lineCount"), (F.size("lines") - F.size(text)).alias("emptyLineCount"),
-        F.array_max(F.transform("lines", lambda x: F.length(F.regexp_extract(x, r"^\p{Lu}*", 0)))).alias("capAlphaSeq"),
-        F.when(F.size(text) > 0, F.aggregate(text, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit("[.!?]")))).alias("sentenceCount"),
-        _counted(F.transform(text, lambda x: F.substring(x, 1, 1))).alias("beginCharCounts"), _counted(F.transform(text, lambda x: F.substring(x, -1, 1))).alias("endCharCount"),
-    )
-    words = sections.select("htid", "page", "section", F.explode("lines").alias("line")).select("htid", "page", "section", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
-    counted = words.repartition("htid").groupBy("htid", "page", "section", "token").agg(F.count("*").alias("count"))
-    counts = counted.groupBy("htid", "page", "section").agg(F.map_from_entries(F.collect_list(F.struct("token", F.create_map(_pos("token"), "count")))).alias("tokenPosCount"))
-    parts = stats.repartition("htid").join(counts, ["htid", "page", "section"], "left")
-    body = F.struct("tokenCount", "lineCount", "emptyLineCount", "capAlphaSeq", "sentenceCount", F.coalesce("tokenPosCount", F.from_json(F.lit("{}"), "map<string,map<string,bigint>>")).alias("tokenPosCount"), "beginCharCounts", "endCharCount")
-    names = ("header", "body", "footer")
-    own = F.map_from_entries(F.collect_list(F.struct("section", F.to_json(body))))
-    page = F.concat(F.lit('{"seq":"'), F.lpad(F.col("page").cast("string"), 8, "0"), F.lit('"'), *[F.concat(F.lit(f',"{s}":'), F.coalesce(F.col("own")[s], F.lit("null"))) for s in names], F.lit("}"))
-    pages = parts.groupBy("htid", "page").agg(own.alias("own")).select("htid", F.struct("page", page.alias("j")).alias("p"))
-    whole = pages.groupBy("htid").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    meta = docs.select(F.concat(F.lit("doc."), F.col("doc_id")).alias("htid"), F.to_json(F.struct(F.concat(F.lit("doc."), F.col("doc_id")).alias("title"), F.col("lang").alias("language"))).alias("metadata"))
+    places = {"header": (1, 1), "body": (2, LINES_A_PAGE - 2), "footer": (LINES_A_PAGE, 1)}
+
+    def each(of, name: str) -> Column:
+        return F.explode(F.array(F.struct(*[of(s).alias(s) for s in places]))).alias(name)
+
+    rows = _page_lines(docs, F.to_json(F.struct(_htid(docs).alias("title"), F.col("lang").alias("language"))).alias("metadata"))
+    rows = rows.select("htid", "metadata", "page", each(lambda s: F.slice("ls", *places[s]), "l"))
+    rows = rows.select("*", each(lambda s: F.sort_array(F.flatten(F.transform(F.col(f"l.{s}"), lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))))), "tk"))
+    rows = rows.select("*", each(lambda s: _run_starts(F.col(f"tk.{s}")), "at"))
+
+    def section(s: str) -> Column:
+        ls, tk, at = F.col(f"l.{s}"), F.col(f"tk.{s}"), F.col(f"at.{s}")
+        text = F.filter(F.transform(ls, lambda x: F.trim(x)), lambda x: x != "")
+        uses = F.transform(at, lambda a, i: F.struct(F.get(tk, a).alias("token"), F.create_map(_pos(F.get(tk, a)), F.coalesce(F.get(at, i + 1), F.size(tk)) - a)))
+        sentences = F.when(F.size(text) > 0, F.aggregate(text, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit("[.!?]"))))
+        body = F.struct(
+            F.size(tk).alias("tokenCount"), F.size(ls).alias("lineCount"), (F.size(ls) - F.size(text)).alias("emptyLineCount"),
+            F.array_max(F.transform(ls, lambda x: F.length(F.regexp_extract(x, r"^\p{Lu}*", 0)))).alias("capAlphaSeq"), sentences.alias("sentenceCount"), F.map_from_entries(uses).alias("tokenPosCount"),
+            _counted(F.transform(text, lambda x: F.substring(x, 1, 1))).alias("beginCharCounts"), _counted(F.transform(text, lambda x: F.substring(x, -1, 1))).alias("endCharCount"),
+        )
+        return F.when(F.size(ls) > 0, F.to_json(body)).otherwise("null")
+
+    page = F.concat(F.lit('{"seq":"'), F.lpad(F.col("page").cast("string"), 8, "0"), F.lit('"'), *[F.concat(F.lit(f',"{s}":'), section(s)) for s in places], F.lit("}"))
+    whole = rows.select("htid", "metadata", F.struct("page", page.alias("j")).alias("p")).groupBy("htid").agg(F.first("metadata").alias("metadata"), F.array_sort(F.collect_list("p")).alias("p"))
     text = F.concat(F.lit('{"id":"'), F.col("htid"), F.lit('","metadata":'), F.col("metadata"), F.lit(',"features":{"schemaVersion":"3.0","pageCount":'), F.size("p").cast("string"), F.lit(',"pages":['), F.array_join(F.transform("p", lambda x: x["j"]), ","), F.lit("]}}"))
-    return whole.join(meta, "htid").select("htid", text.alias("value"))
+    return whole.where(F.col("htid").isNotNull()).select("htid", text.alias("value"))
 
 
 def to_metadata_volumes(docs: DataFrame) -> DataFrame:

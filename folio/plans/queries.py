@@ -46,8 +46,12 @@ def query(name: str, sql: str | None, base: str = "") -> Callable[[Query], Query
     return add
 
 
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return bridge.tokens(bridge.read(s, d))
+    return bridge.tokens(bridge.by_volume(_texts(s, d)))
 
 
 def _sum(keys: str, where: str = "section = 'body'", value: str = "sum(count)", word: str | None = None) -> str:
@@ -80,9 +84,12 @@ _fold("page_freq_rows", _sum("htid, lowercase", "true", "count(*)"), section="gr
 
 @query("page_freq_bitmaps", _sum("htid, lowercase", "true", "count(DISTINCT page)"), _TOKENS)
 def _bitmaps(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "bitmaps")
-    tokens.page_bitmaps(_tokens(s, d)).write.parquet(path)
-    return tokens.bitmap_page_freqs(s.read.parquet(path), section="group", case=False, pos=False)
+    """The bitmaps are stored as they lie, a bucket a task, so that they are folded without a shuffle."""
+    docs, path = _texts(s, d), scratch(s, "bitmaps")
+    buckets = bridge.volume_tasks(docs)
+    name = "folio_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    tokens.page_bitmaps(bridge.tokens(bridge.by_volume(docs, buckets))).write.bucketBy(buckets, "htid").option("path", path).saveAsTable(name)
+    return tokens.bitmap_page_freqs(s.table(name), section="group", case=False, pos=False)
 
 
 query("tokenlist_cube", """SELECT page, section, token, pos, CAST(grouping_id(page, section, token, pos) AS BIGINT) AS grouping_id, CAST(sum(count) AS BIGINT) AS count
@@ -286,7 +293,7 @@ def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
   JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) USING (r), range({_DIM}) x(i) GROUP BY htid, i) USING (htid, dim)""", _TOKENS)
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     """Every vector goes to the word of its rank; all dimensions, one a row."""
-    lines = bridge.lines(bridge.read(s, d)).where("section = 'body'")
+    lines = bridge.lines(bridge.by_volume(_texts(s, d))).where("section = 'body'")
     path = scratch(s, "body")  # read three times
     lines.select("htid", F.explode(F.regexp_extract_all("line", F.lit(bridge.TOKEN), F.lit(0))).alias("token")).groupBy("htid", "token").agg(F.count("*").alias("count")).write.parquet(path)
     body = s.read.schema("htid string, token string, count long").parquet(path)
@@ -331,10 +338,14 @@ def _fallback(s: SparkSession, d: str) -> DataFrame:
     return stores.with_fallback(of("documents"), of("labels").withColumn("value", F.lit("cache")), lambda missing: missing.withColumn("value", F.lit("store")))
 
 
+def _volumes(s: SparkSession, d: str) -> DataFrame:
+    return bridge.to_json_volumes(bridge.by_volume(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")))
+
+
 def _nested(s: SparkSession, d: str) -> DataFrame:
     """The nested texts, written one a line and scanned back."""
     path = scratch(s, "volumes")
-    bridge.to_json_volumes(bridge.read(s, d)).select("value").write.option("compression", "gzip").text(path)
+    _volumes(s, d).select("value").write.option("compression", "gzip").text(path)
     return volumes.read_lines(s, path)
 
 
@@ -408,7 +419,7 @@ def _zips(s: SparkSession, d: str) -> DataFrame:
 def _selected(s: SparkSession, d: str) -> DataFrame:
     """Token rows of two pages from archives: page and section are chosen where the texts are read."""
     path = scratch(s, "archives")
-    stores.write_volumes(bridge.to_json_volumes(bridge.read(s, d)), path, "ziptree").write.format("noop").mode("overwrite").save()
+    stores.write_volumes(_volumes(s, d), path, "ziptree").write.format("noop").mode("overwrite").save()
     return archives.read_archives(s, path, "tokens").where("section = 'body' and page in (1, 3)")
 
 
