@@ -17,10 +17,10 @@ def _htid(docs: DataFrame) -> Column:
     return F.col("htid") if "htid" in docs.columns else F.concat(F.lit("doc."), F.col("doc_id"))
 
 
-def volume_tasks(docs: DataFrame) -> int:
-    """How many tasks the texts of ``docs`` are for, of at most about ``TEXT_A_TASK`` each."""
+def volume_tasks(docs: DataFrame, each: int = TEXT_A_TASK) -> int:
+    """How many tasks the texts of ``docs`` are for, of at most about ``each`` bytes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_A_TASK))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // each))
 
 
 def by_volume(docs: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -28,12 +28,18 @@ def by_volume(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     return docs.withColumn("htid", _htid(docs)).repartition(tasks or volume_tasks(docs), "htid")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """htid, page, section, line of ``docs`` (doc_id, text); null text counts as empty."""
-    rows = docs.select(_htid(docs).alias("htid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+def by_cell(docs: DataFrame, cells: int) -> DataFrame:
+    """``docs`` with ``htid`` and ``cell``, one of so many that follows from it, dealt out by cell."""
+    named = docs.withColumn("htid", _htid(docs))
+    return named.withColumn("cell", F.pmod(F.xxhash64("htid"), F.lit(cells))).repartition(cells, "cell")
+
+
+def lines(docs: DataFrame, *own: str) -> DataFrame:
+    """htid, ``own``, page, section, line of ``docs`` (doc_id, text); null text counts as empty."""
+    rows = docs.select(_htid(docs).alias("htid"), *own, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     place = F.col("i") % LINES_A_PAGE
     section = F.when(place == 0, "header").when(place == LINES_A_PAGE - 1, "footer").otherwise("body")
-    return rows.select("htid", (F.floor(F.col("i") / LINES_A_PAGE) + 1).cast("int").alias("page"), section.alias("section"), "line")
+    return rows.select("htid", *own, (F.floor(F.col("i") / LINES_A_PAGE) + 1).cast("int").alias("page"), section.alias("section"), "line")
 
 
 def _pos(token: Column) -> Column:

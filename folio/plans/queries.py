@@ -274,6 +274,8 @@ query("sentiment_lowess", f"""SELECT htid, page, round(my + CASE WHEN var > 1e-1
     lambda s, d: analysis.lowess(_sentiment(s, d).withColumn("sentiment", F.col("sentiment").cast("double")), "sentiment").withColumn("smooth", F.round("smooth", 6))
 )
 _DIM = 64
+#: Bytes of text in a cell of documents that the vectors of its words are sent to.
+_CELL_TEXT = 24 << 20
 
 
 def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
@@ -292,14 +294,17 @@ def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
   (SELECT htid, token, sum(count) AS count FROM t WHERE section = 'body' GROUP BY ALL) JOIN (SELECT token, row_number() OVER (ORDER BY sum(count) DESC, token) AS r FROM t WHERE section = 'body' GROUP BY token) USING (token)
   JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) USING (r), range({_DIM}) x(i) GROUP BY htid, i) USING (htid, dim)""", _TOKENS)
 def _vectors(s: SparkSession, d: str) -> DataFrame:
-    """Every vector goes to the word of its rank; all dimensions, one a row."""
-    lines = bridge.lines(bridge.by_volume(_texts(s, d))).where("section = 'body'")
-    path = scratch(s, "body")  # read three times
-    lines.select("htid", F.explode(F.regexp_extract_all("line", F.lit(bridge.TOKEN), F.lit(0))).alias("token")).groupBy("htid", "token").agg(F.count("*").alias("count")).write.parquet(path)
-    body = s.read.schema("htid string, token string, count long").parquet(path)
+    """Every vector goes to the word of its rank; all dimensions, one a row. The words are stored as they lie, a bucket a cell."""
+    docs, path = _texts(s, d), scratch(s, "body")  # read three times
+    cells = max(3 * s.sparkContext.defaultParallelism, bridge.volume_tasks(docs, _CELL_TEXT))  # cells lie unevenly in as many tasks
+    name = "folio_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    lines = bridge.lines(bridge.by_cell(docs, cells), "cell").where("section = 'body'")
+    counted = lines.select("cell", "htid", F.explode(F.regexp_extract_all("line", F.lit(bridge.TOKEN), F.lit(0))).alias("token")).groupBy("cell", "htid", "token").agg(F.count("*").alias("count"))
+    counted.write.bucketBy(cells, "cell").option("path", path).saveAsTable(name)
+    body = s.table(name)
     words = _ranked(body.groupBy("token").agg(F.sum("count").alias("count")), "words", F.desc("count"), F.asc("token"))
-    vecs = _ranked(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vectors", F.asc("vec_id"))
-    found = vectors.document_vectors(body, words.join(vecs, "r").select("token", "vec"), _DIM)
+    vecs = _ranked(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec")), "vectors", F.asc("vec_id"))
+    found = vectors.document_vectors(body, words.join(vecs, "r").select("token", "vec"), _DIM, cell=("cell", cells))
     return found.select("htid", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from folio.operators import vectors
 from folio.operators.vectors import document_vectors
 from folio.plans import queries
 
@@ -73,3 +74,36 @@ def test_document_vectors_of_nothing(spark, by_block, fails):
     assert [tuple(x) for x in document_vectors(tokens, some, 2, log=False, min_ncount=0, by_block=by_block).collect()] == [(1, [2.0, 0.0])]
     with pytest.raises(Exception, match=fails):
         document_vectors(tokens, some.selectExpr("token", "array(1D) AS vec"), 2, min_ncount=0, by_block=by_block).collect()
+
+
+def test_sums_of_documents_are_not_shuffled(spark, sf_dir):
+    """Vectors are sent to the cells of documents that have their words; above that nothing is shuffled, with a bucketed table or without."""
+    tokens = spark.createDataFrame([(f"d{i % 9}", f"w{i % 50}", i) for i in range(400)], "htid string, token string, count long")
+    words = spark.createDataFrame([(f"w{i}", [1.0, float(i)]) for i in range(40)], "token string, vec array<double>")
+    for df in (queries.QUERIES["doc_vectors"](spark, sf_dir), document_vectors(tokens, words, 2, min_ncount=0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Union")]
+        assert plan.count("Window [first(") == 1
+
+
+@pytest.mark.parametrize("rows_a_cell", [1_000_000, 20])
+def test_document_vectors_in_many_cells(spark, monkeypatch, rows_a_cell):
+    """A word of all keys, keys in cells of their own, repeated rows and nulls give the sums that one cell gives."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", rows_a_cell)
+    r = random.Random(5)
+    rows = [(r.choice([None, *[f"k{i}" for i in range(30)]]), r.choice(["hot", None, *[f"w{i}" for i in range(40)]]), r.choice([None, 1, 2, 3])) for _ in range(900)]
+    rows += [(f"k{i}", "hot", 5) for i in range(30)]
+    model = {f"w{i}": [r.random(), r.random()] for i in range(30)} | {"hot": [0.5, -0.25]}
+    tokens = spark.createDataFrame(rows, "htid string, token string, count long")
+    words = spark.createDataFrame(list(model.items()), "token string, vec array<float>")
+    model = {k: list(v) for k, v in words.collect()}
+    got = {x.htid: x.vec for x in document_vectors(tokens, words, 2, min_ncount=3).collect()}
+    counts = defaultdict(Counter)
+    for key, token, n in rows:
+        counts[key][token] += n or 0
+    some = {(key, token) for key, token, n in rows if n is not None}
+    assert set(got) == set(counts)
+    for key, n in counts.items():
+        known = [(math.log1p(x), model[t]) for t, x in n.items() if t in model and (key, t) in some]
+        want = [sum(w * v[i] for w, v in known) for i in range(2)]
+        assert got[key] == (pytest.approx(want, abs=1e-9) if len(known) > 3 else [None, None])
