@@ -1,12 +1,14 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is two aggregates and two joins over the edges; nothing is collected but two numbers a round. Between rounds
-the edges are a checkpoint in the shared folder, so lost executors cost one round at most.
+Each step is two aggregates and two joins over the edges; nothing is collected but two numbers a round, and these are
+observed while the round's edges are written, so that they take no job. Between rounds the edges are a checkpoint in the
+shared folder, so lost executors cost one round at most. Edges that are stars already take one round, so components of
+more links are best found from the (node, root) of those before and the new links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folio.llm.common import shared_dir
@@ -25,6 +27,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a checkpoint, and their number and the sum of their hashes."""
+    seen = Observation()
+    edges = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes")).checkpoint()
+    return edges, (seen.get["n"], seen.get["hashes"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: long) to (node, root): the least node of each node's component; roots themselves are left out.
 
@@ -32,11 +41,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     shared_dir(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    state = None
+    edges, state = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        edges = _star(_star(edges, True), False).checkpoint()
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        edges, now = _written(_star(_star(edges, True), False))
         if now == state:
             break
         state = now

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, tidy
+from folio.llm.common import documents, tidy, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 17
@@ -276,7 +276,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     some = rows.where(draw < share).select(F.col(lang_col), F.substring(text_col, 1, train_chars)).limit(2 * per_language * len(counts)).collect()
-    return Crf(sorted(counts)).fit(sorted((r[0], r[1]) for r in some))
+    model = Crf(sorted(counts)).fit(sorted((r[0], r[1]) for r in some))
+    trim()  # the driver's Python stays small beside its JVM
+    return model
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:

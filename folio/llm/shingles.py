@@ -272,15 +272,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     both = join_salted(half, sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b", hot_hubs, "a")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.where(common + F.lit(1e-9) >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    alike = stored(_print_links(rows, radius, total).unionByName(alike), "links")
-    roots = components(alike)
+    roots = components(_print_links(rows, radius, total).unionByName(alike))
     rooted = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = stored(rooted.join(_apart(rooted), "key").select("key", "fp", "root", "n"), "mixed")
     blocks = mixed.where(F.col("n") <= max_block).select("key", "fp", "root")
     if not (large := mixed.where(F.col("n") > max_block)).isEmpty():
         blocks = blocks.unionByName(_large_blocks(large, sets, similarity, max_block))
     more = _mixed_links(blocks.join(sets, "fp").select("key", "fp", "root", "bits", "s"), similarity)
-    roots = components(alike.unionByName(more))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return join_salted(rows, named.join(firsts, "root").select("fp", "component_id"), "fp", hot_sets, id_col).select(id_col, "fp", "component_id")

@@ -549,6 +549,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_one_round(spark):
+    """Found components and new links are cheap: stars settle in one round, and a round takes no job for its numbers alone (22 jobs before)."""
+    stars = spark.range(1, 5000).selectExpr("id AS a", "id % 10 AS b")
+    spark.sparkContext.setJobGroup("stars", "components of stars")
+    try:
+        roots = components(stars)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars"))
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert 0 < jobs <= 15
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, i % 10) for i in range(10, 5000)}
+
+
 def test_scratch_is_shared(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
 
